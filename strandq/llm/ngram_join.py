@@ -27,6 +27,7 @@ from .common import MASK40, WordHasher, batches, components, materialise, shingl
 NEED, OF = 3, 7
 SKETCH_BITS = (14, 22)  # at most 4 Mi counters of 4 bytes: the proven bound of what is broadcast
 BLOCK = 4096
+FILTER_BITS = 24
 CLIP = np.uint64((1 << 24) - 1)
 
 
@@ -107,12 +108,31 @@ def _prefix(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
+def _slot():
+    return F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS bits, whatever the number of ids: most rows that no pair names are spared the shuffle of their text."""
+    words = ids.select(_slot().alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    got = words.toPandas()
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of row ids whose whole texts link; b's text travels to a, where hot rows gather."""
+    spark = docs.sparkSession
+
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = spark.sparkContext.broadcast(_id_filter(ids))
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in rows:
+            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array((wanted.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             yield pa.record_batch({"id": batch.column(0), "z": pa.array([z.compress(x) for x in _bytes(batch.column(1))], pa.binary())})
 
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +147,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(len(left) > 0 and OF * both >= NEED * (len(left) + len(right)))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(ok, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(packed, "id long, z binary")
-    texts = materialise(texts.dropDuplicates(["id"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("slot", _slot()).mapInArrow(packed, "id long, z binary")
+    texts = materialise(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
     return joined.select("a", "b", "za", "zb").mapInArrow(judge, "a long, b long")
 
@@ -148,11 +167,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.  The order of ties doesn't matter: links are exact.
     """
     signed = materialise(signatures(docs))
-    known = signed.filter("n > 0 and row is not null")
-    classes = materialise(known.groupBy("n", "set_hash").agg(F.min("row").alias("rep"), F.min_by("prefix", "row").alias("prefix"))
-                          .withColumn("g", F.xxhash64("n", "prefix")))
+    known = signed.filter("n > 0 and row is not null").withColumn("g", F.xxhash64("n", "prefix"))
+    classes = materialise(known.groupBy("g", "n", "set_hash").agg(F.min("row").alias("rep")))
     members = classes.select("g", "n", "rep")
-    groups = classes.groupBy("g", "n").agg(F.min("rep").alias("head"), F.min_by("prefix", "rep").alias("prefix"))
+    groups = known.groupBy("g", "n").agg(F.min("row").alias("head"), F.min_by("prefix", "row").alias("prefix"))
     tokens = groups.select("g", "n", "head", F.posexplode("prefix").alias("p", "t"))
     w = Window.partitionBy("t")
     first = w.orderBy("p", "g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
