@@ -1,11 +1,592 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL that each is held against."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import bases as B
+from ..functions import bits, text
+from ..operators import alignment, intervals, kmers, records, sequences, stats
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with SQL that gives the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Derived inputs: expressions that both engines read alike.
+BASES = "concat(translate(md5(concat('a', cast(doc_id as varchar(20)))), '0123456789abcdef', 'ACGTACGTACGTACGT'), case when doc_id % 7 = 0 then 'N' else 'A' end, translate(md5(concat('b', cast(doc_id as varchar(20)))), '0123456789abcdef', 'ACGTacgtACGTacgt'))"
+READS = f"reads as (select doc_id as seq_idx, {BASES} as bases from documents)"
+K = 5
+ROW = "concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-', cast(l_partkey as varchar(20)), '-', cast(l_suppkey as varchar(20)), '-', cast(cast(floor(l_extendedprice * 100) as bigint) as varchar(20)))"
+KMERS = f"""{READS},
+win as (select seq_idx, bases, unnest(range(0, length(bases) - {K - 1})) as pos from reads where length(bases) >= {K}),
+fwd as (select seq_idx, pos, upper(substr(bases, cast(pos as int) + 1, {K})) as fwd from win),
+km as (select seq_idx, pos, fwd, reverse(translate(fwd, 'ACGT', 'TGCA')) as rc from fwd where regexp_full_match(fwd, '[ACGT]+')),
+can as (select seq_idx, pos, fwd, rc, translate(least(translate(fwd, 'ACTG', '0123'), translate(rc, 'ACTG', '0123')), '0123', 'ACTG') as kmer from km)"""
+DB = KMERS + ",\ndb as (select kmer, count(*) as value from can group by kmer)"
+IV = f"iv as (select l_suppkey as grp, l_orderkey as bgn, l_orderkey + cast(l_quantity as bigint) as end_, {ROW} as id from lineitem)"
+RG = "rg as (select s_suppkey as grp, s_suppkey * 100 as beg2, s_suppkey * 100 + 250 as end2 from supplier)"
+VI = f"vi as (select l_suppkey as grp, cast(l_quantity as bigint) as x, l_orderkey * 8 + l_linenumber as u, {ROW} as t from lineitem)"
+HG = VI + ", hg as (select grp, x as value, count(*) as weight from vi group by grp, x)"
+CG = f"cg as (select {ROW} as id, concat(cast(cast(l_quantity as int) as varchar(9)), 'M', cast(l_linenumber as varchar(9)), 'I', cast(cast(l_quantity as int) % 7 + 1 as varchar(9)), '=', cast(l_linenumber % 3 + 1 as varchar(9)), 'D', cast(cast(l_quantity as int) % 5 + 1 as varchar(9)), 'X') as cigar, l_partkey % 50 as pos from lineitem where l_orderkey % 20 = 1)"
+PR = f"{READS}, pr as (select seq_idx as id, substr(upper(bases), 1, 24) as a, substr(upper(bases), 30, 24) as b from reads)"
+
+
+def reads(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id as seq_idx", BASES + " as bases")
+
+
+def rows(spark, d, name, with_clause):
+    """A derived input: the text behind 'as (' of a clause, with its table read from d."""
+    body = with_clause.split(" as (", 1)[1].rsplit(")", 1)[0]
+    select, source = body.split(" from ", 1)
+    source, _, where = source.partition(" where ")
+    df = table(spark, d, source.strip())
+    df = df.filter(where) if where else df
+    return df.selectExpr(*_items(select.removeprefix("select ")))
+
+
+def _items(select: str) -> list[str]:
+    out, deep, at = [], 0, 0
+    for i, c in enumerate(select):
+        deep += (c == "(") - (c == ")")
+        if c == "," and not deep:
+            out.append(select[at:i])
+            at = i + 1
+    return [*out, select[at:]]
+
+
+def iv(spark, d):
+    return rows(spark, d, "iv", IV)
+
+
+def rg(spark, d):
+    return rows(spark, d, "rg", RG)
+
+
+def vi(spark, d):
+    return rows(spark, d, "vi", VI)
+
+
+def hg(spark, d):
+    return vi(spark, d).groupBy("grp", F.col("x").alias("value")).agg(F.count("*").alias("weight"))
+
+
+def db(spark, d):
+    return kmers.count(reads(spark, d), K)
+
+
+def flagship(spark, d):
+    return kmers.histogram(db(spark, d))
+
+
+# ---- k-mers ----
+@query(f"with {KMERS} select seq_idx, cast(pos as bigint) as pos, fwd, rc from km")
+def kmer01_enumerate(spark, d):
+    return kmers.enumerate_kmers(reads(spark, d), K).select("seq_idx", F.col("pos").cast("long").alias("pos"), "fwd", "rc")
+
+
+@query(f"with {KMERS} select seq_idx, count(*) as windows, count(*) filter (where regexp_full_match(fwd, '[ACGT]+')) as valid from fwd group by seq_idx")
+def kmer02_with_invalid(spark, d):
+    return kmers.enumerate_kmers(reads(spark, d), K, True).groupBy("seq_idx").agg(F.count("*").alias("windows"), F.count_if("valid").alias("valid"))
+
+
+@query(f"with {KMERS} select kmer, count(*) as value from can group by kmer")
+def kmer03_chunked_count(spark, d):
+    """Chunks that carry the last k - 1 bases give what whole sequences give."""
+    parts = sequences.chunked(reads(spark, d), 20, K - 1).select("seq_idx", F.col("piece").alias("bases"))
+    return kmers.count(parts, K)
+
+
+@query(f"with {KMERS} select distinct fwd, substr(fwd, 2) || 'A' as right_a, 'T' || substr(fwd, 1, {K - 1}) as left_t from km")
+def kmer04_push(spark, d):
+    f = F.col("fwd")
+    return kmers.enumerate_kmers(reads(spark, d), K).select("fwd", B.push_right(f, F.lit("A")).alias("right_a"), B.push_left(f, F.lit("T")).alias("left_t")).distinct()
+
+
+@query(f"with {KMERS} select distinct fwd, rc, kmer, least(fwd, rc) as plain, translate(fwd, 'ACTG', '0123') <= translate(rc, 'ACTG', '0123') as is_canonical, fwd = rc as is_palindrome from can")
+def kmer06_canonical(spark, d):
+    f = F.col("fwd")
+    return kmers.enumerate_kmers(reads(spark, d), K).select("fwd", "rc", B.canonical(f).alias("kmer"), B.plain_canonical(f).alias("plain"), B.is_canonical(f).alias("is_canonical"), B.is_palindrome(f).alias("is_palindrome")).distinct()
+
+
+@query(f"with {DB} select kmer, " + " + ".join(f"cast(substr(translate(kmer, 'ACTG', '0123'), {i + 1}, 1) as bigint) * {4 ** (K - 1 - i)}" for i in range(K)) + ", value from db".replace(", value", " as packed, value"))
+def kmer08_packed(spark, d):
+    return db(spark, d).select("kmer", B.packed(F.col("kmer")).cast("long").alias("packed"), "value")
+
+
+@query(" union all ".join(f"select cast({k} as bigint) as k, cast({p} as bigint) as palindromes, cast({b} as bigint) as below" for k, p, b in ((1, 0, 2), (2, 4, 6), (3, 0, 32), (4, 16, 120), (5, 0, 512), (6, 64, 2016))))
+def kmer09_census(spark, d):
+    out = None
+    for k in range(1, 7):
+        one = kmers.census(spark, k).withColumn("k", F.lit(k).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {DB} select kmer, value from db")
+def kmer10_count(spark, d):
+    return db(spark, d)
+
+
+@query(f"with {KMERS}, b as (select kmer, seq_idx % 3 as batch, count(*) as v from can group by 1, 2) select kmer, cast(least(sum(v * 100000000), 4294967295) as bigint) as value, min(batch) as label from b group by kmer")
+def kmer11_merge(spark, d):
+    parts = kmers.enumerate_kmers(reads(spark, d), K).groupBy(B.canonical(F.col("fwd")).alias("kmer"), (F.col("seq_idx") % 3).alias("batch")).agg((F.count("*") * 100000000).alias("value"))
+    return kmers.merge(parts.withColumn("label", F.col("batch")))
+
+
+@query(f"with {DB} select substr(kmer, 1, 3) as prefix, count(*) as n, sum(value)::bigint as total from db group by 1")
+def kmer12_prefixes(spark, d):
+    return db(spark, d).groupBy(F.substring("kmer", 1, 3).alias("prefix")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(f"with {DB} select value, count(*) as occurrences from db group by value")
+def agg01_histogram(spark, d):
+    return kmers.histogram(db(spark, d))
+
+
+@query(f"with {KMERS}, b as (select kmer, count(*) as value from can where seq_idx % 2 = 0 group by kmer union all select kmer, count(*) from can where seq_idx % 2 = 1 group by kmer) select value, count(*) as occurrences from b group by value")
+def agg02_histogram_merge(spark, d):
+    r = reads(spark, d)
+    parts = [kmers.histogram(kmers.count(r.filter(f"seq_idx % 2 = {i}"), K)) for i in (0, 1)]
+    return parts[0].unionByName(parts[1]).groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
+
+
+@query(f"with {DB} select count(*) filter (where value = 1) as unique_kmers, count(*) as distinct_kmers, sum(value)::bigint as present, cast({4**K} - count(*) as double) as missing, max(value) as most from db")
+def agg03_summary(spark, d):
+    t = db(spark, d)
+    return t.agg(F.count_if(F.col("value") == 1).alias("unique_kmers"), F.count("*").alias("distinct_kmers"), F.sum("value").alias("present"), (F.lit(float(4**K)) - F.count("*")).alias("missing"), F.max("value").alias("most"))
+
+
+@query(f"with {DB}, h as (select value, count(*) as occurrences from db group by value) select value, occurrences, round(sum(occurrences) over (order by value) / sum(occurrences) over (), 9) as distinct_share, round(sum(occurrences * value) over (order by value) / sum(occurrences * value) over (), 9) as total_share from h")
+def agg04_report(spark, d):
+    r = kmers.report(kmers.histogram(db(spark, d)))
+    return r.select("value", "occurrences", F.round("distinct_share", 9).alias("distinct_share"), F.round("total_share", 9).alias("total_share"))
+
+
+SMOOTH = "exp(-(o * o) / 2.0) / sqrt(2 * pi())"
+
+
+@query(f"with {DB}, h as (select value, count(*) as occurrences from db group by value), o as (select unnest(range(-9, 10)) as o) select a.value, round(sum(b.occurrences * {SMOOTH}), 6) as smooth from h a join o on true join h b on b.value = a.value + o.o group by a.value")
+def agg06_smoothing(spark, d):
+    return kmers.smoothed(kmers.histogram(db(spark, d))).select("value", F.round("smooth", 6).alias("smooth"))
+
+
+@query(f"with {DB}, h as (select value, count(*) as smooth from db group by value), s as (select value, smooth, smooth - lag(smooth) over (order by value) as rise, lead(smooth) over (order by value) - smooth as go from h) select value, smooth, case when rise > 0 and go < 0 then 'peak' else 'trough' end as kind from s where (rise > 0 and go < 0) or (rise < 0 and go > 0)")
+def win03_extrema(spark, d):
+    return kmers.extrema(kmers.histogram(db(spark, d)).withColumnRenamed("occurrences", "smooth"))
+
+
+@query(f"with {DB} select kmer, value from db where value between 3 and 50")
+def pred04_value_range(spark, d):
+    return kmers.value_range(db(spark, d), 3, 50)
+
+
+@query(f"with {DB} select count(*) filter (where value between 3 and 50) as loaded, count(*) filter (where value < 3) as too_low, count(*) filter (where value > 50) as too_high from db")
+def pred04_report(spark, d):
+    return kmers.range_report(db(spark, d), 3, 50)
+
+
+HALF = f"{DB}, half as (select kmer, count(*) as value from can where seq_idx % 50 = 0 group by kmer)"
+
+
+def half(spark, d):
+    return kmers.count(reads(spark, d).filter("seq_idx % 50 = 0"), K)
+
+
+@query(f"with {HALF} select db.kmer, db.value from db where exists (select 1 from half where half.kmer = db.kmer)")
+def join01_exists(spark, d):
+    return kmers.exists(db(spark, d), half(spark, d))
+
+
+@query(f"with {HALF} select db.kmer, db.value from db where not exists (select 1 from half where half.kmer = db.kmer)")
+def join02_missing(spark, d):
+    return kmers.missing(db(spark, d), half(spark, d))
+
+
+@query(f"with {HALF} select db.kmer, coalesce(half.value, 0) as value from db left join half on half.kmer = db.kmer")
+def join03_value(spark, d):
+    return kmers.value(db(spark, d).select("kmer"), half(spark, d))
+
+
+@query(f"with {DB} select kmer, value, row_number() over (order by translate(kmer, 'ACTG', '0123')) - 1 as idx from db")
+def join04_index(spark, d):
+    return kmers.indexed(db(spark, d))
+
+
+K11 = KMERS.replace(f"- {K - 1}", "- 10").replace(f">= {K}", ">= 11").replace(f"+ 1, {K})", "+ 1, 11)")
+
+
+@query(f"with {K11} select q.seq_idx as query_idx, q.pos as query_pos, r.seq_idx, r.pos from can q join can r on q.kmer = r.kmer where q.seq_idx % 10 = 0")
+def join05_positions(spark, d):
+    r = reads(spark, d)
+    out = kmers.positions(r.filter("seq_idx % 10 = 0"), r, 11)
+    return out.select("query_idx", F.col("query_pos").cast("long").alias("query_pos"), "seq_idx", F.col("pos").cast("long").alias("pos"))
+
+
+# ---- intervals ----
+@query(f"with {IV}, s as (select *, max(end_) over (partition by grp order by bgn, end_ rows between unbounded preceding and 1 preceding) as reach from iv), f as (select *, sum(case when reach >= bgn or end_ <= reach then 0 else 1 end) over (partition by grp order by bgn, end_ rows unbounded preceding) as i from s) select grp, min(bgn) as bgn, max(end_) as end_, count(*) as num from f group by grp, i")
+def int04_squash(spark, d):
+    return intervals.squash(iv(spark, d))
+
+
+SQ = f"{IV}, s as (select *, max(end_) over (partition by grp order by bgn, end_ rows between unbounded preceding and 1 preceding) as reach from iv), f as (select *, sum(case when reach >= bgn or end_ <= reach then 0 else 1 end) over (partition by grp order by bgn, end_ rows unbounded preceding) as i from s), sq as (select grp, min(bgn) as bgn, max(end_) as end_ from f group by grp, i)"
+
+
+@query(f"with {IV}, e as (select grp, bgn as pos, 1 as d from iv union all select grp, end_, -1 from iv), s as (select grp, pos, sum(d) as d from e group by grp, pos), o as (select grp, pos as bgn, lead(pos) over (partition by grp order by pos) as end_, cast(sum(d) over (partition by grp order by pos) as bigint) as depth from s) select * from o where end_ is not null")
+def int05_depth(spark, d):
+    return intervals.depth(iv(spark, d))
+
+
+@query(f"with {SQ}, g as (select grp, coalesce(lag(end_) over (partition by grp order by bgn), 100) as b, bgn as e from sq union all select grp, max(end_), 5000 from sq group by grp), c as (select grp, least(greatest(b, 100), 5000) as bgn, least(greatest(e, 100), 5000) as end_ from g) select * from c where bgn < end_")
+def int06_invert(spark, d):
+    return intervals.invert(intervals.squash(iv(spark, d)), 100, 5000)
+
+
+@query(f"with {IV}, h as (select grp, 100 as bgn, bgn as end_ from iv union all select grp, end_, 5000 from iv) select grp, cast(bgn as bigint) as bgn, cast(end_ as bigint) as end_ from h where bgn < end_")
+def int07_invert_each(spark, d):
+    return intervals.invert_each(iv(spark, d), 100, 5000)
+
+
+@query("select s_suppkey as grp, least(s_suppkey, s_suppkey + cast(s_acctbal as bigint)) as bgn, greatest(s_suppkey, s_suppkey + cast(s_acctbal as bigint)) as end_ from supplier".replace("cast(s_acctbal as bigint)", "cast(floor(s_acctbal) as bigint)"))
+def int01_spans(spark, d):
+    return intervals.from_span(table(spark, d, "supplier").selectExpr("s_suppkey as grp", "cast(floor(s_acctbal) as bigint) as n"), "grp", "n").select("grp", "bgn", "end_")
+
+
+@query(f"with {IV} select grp, bgn, end_, id from iv where end_ - bgn between 10 and 40")
+def pred05_length(spark, d):
+    return iv(spark, d).filter("end_ - bgn between 10 and 40")
+
+
+@query(f"with {IV}, {RG} select iv.id, rg.beg2, rg.end2 from iv join rg on iv.grp = rg.grp and iv.bgn <= rg.end2 and iv.end_ >= rg.beg2")
+def join06_overlaps(spark, d):
+    return intervals.overlaps(iv(spark, d), rg(spark, d), 64, closed=True).select("id", "beg2", "end2")
+
+
+@query(f"with {IV}, {RG} select iv.id, rg.beg2, rg.end2 from iv join rg on iv.grp = rg.grp and iv.bgn < rg.end2 and iv.end_ > rg.beg2")
+def join07_range_query(spark, d):
+    return intervals.overlaps(iv(spark, d), rg(spark, d), 256).select("id", "beg2", "end2")
+
+
+@query(f"with {IV}, {RG} select id from iv where exists (select 1 from rg where iv.grp = rg.grp and iv.bgn < rg.end2 and iv.end_ > rg.beg2)")
+def join09_include(spark, d):
+    return intervals.touching(iv(spark, d), rg(spark, d), 256).select("id")
+
+
+@query(f"with {IV}, {RG} select id from iv where not exists (select 1 from rg where iv.grp = rg.grp and iv.bgn < rg.end2 and iv.end_ > rg.beg2)")
+def join09_exclude(spark, d):
+    return intervals.touching(iv(spark, d), rg(spark, d), 256, keep=False).select("id")
+
+
+@query("select s_suppkey as id, 'chr' || cast(s_suppkey % 20 as varchar) as name, s_suppkey * 1000 - 1 as beg, s_suppkey * 2000000 as end_ from supplier")
+def int10_regions(spark, d):
+    t = table(spark, d, "supplier").selectExpr("s_suppkey as id", "concat('chr', s_suppkey % 20, ':', s_suppkey, 'k-', s_suppkey * 2, 'M') as t")
+    r = intervals.parse_region(F.col("t"))
+    return t.select("id", r["name"].alias("name"), r["beg"].alias("beg"), r["end"].alias("end_"))
+
+
+# ---- statistics ----
+@query(f"with {VI} select grp, count(*) as n, round(avg(x), 6) as mean, round(coalesce(var_samp(x), 0), 6) as variance, round(coalesce(stddev_samp(x), 0), 6) as deviation from vi group by grp")
+def agg07_moments(spark, d):
+    return stats.moments(vi(spark, d)).select("grp", "n", *(F.round(c, 6).alias(c) for c in ("mean", "variance", "deviation")))
+
+
+@query(f"with {VI} select grp, cast(count(*) as bigint) as n, round(avg(x), 6) as mean, round(coalesce(var_samp(x), 0), 6) as variance from vi where u % 5 <> 0 group by grp")
+def agg08_retract(spark, d):
+    v = vi(spark, d)
+    signed = v.withColumn("w", F.lit(1).cast("long")).unionByName(v.filter("u % 5 = 0").withColumn("w", F.lit(-1).cast("long")))
+    return stats.retract(signed).filter("n > 0").select("grp", "n", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+RK = f"{VI}, rk as (select *, row_number() over (partition by grp order by x) - 1 as r, count(*) over (partition by grp) as n from vi)"
+
+
+@query(f"with {RK}, q as (select grp, max(case when r = n // 2 then x end) as med, max(case when r = n // 3 then x end) as lo, max(case when r = (2 * n) // 3 then x end) as hi from rk group by grp) select v.grp, count(*) as n, round(avg(x), 6) as mean, round(coalesce(stddev_samp(x), 0), 6) as deviation from vi v join q on v.grp = q.grp and x between med - 5 * greatest(med - lo, hi - med) and med + 5 * greatest(med - lo, hi - med) group by v.grp")
+def agg09_trimmed(spark, d):
+    return stats.trimmed(vi(spark, d)).select("grp", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"with {VI}, c as (select grp, x, count(*) as c from vi group by grp, x), o as (select grp, x, row_number() over (partition by grp order by c desc, x) as r from c) select grp, x as mode from o where r = 1")
+def agg10_mode(spark, d):
+    return stats.mode(vi(spark, d))
+
+
+MED = f"{RK}, med as (select grp, (min(x) + max(x)) // 2 as median from rk where r = n // 2 or r = (n - 1) // 2 group by grp)"
+
+
+@query(f"with {MED} select grp, median from med")
+def agg11_median(spark, d):
+    return stats.median(vi(spark, d))
+
+
+@query(f"with {MED}, a as (select v.grp, abs(x - median) as x from vi v join med m on v.grp = m.grp), o as (select grp, x, row_number() over (partition by grp order by x) - 1 as r, count(*) over (partition by grp) as n from a) select grp, x as mad from o where r = n // 2")
+def agg12_mad(spark, d):
+    return stats.mad(vi(spark, d))
+
+
+@query(f"with {VI}, o as (select grp, x, row_number() over (partition by grp order by t desc) - 1 as late, count(*) over (partition by grp) as n from vi) select grp, round(sum(pow(0.9, late) * (case when late = n - 1 then 1.0 else 0.1 end) * x), 6) as ema from o group by grp")
+def agg13_moving(spark, d):
+    return stats.moving(vi(spark, d), 0.1).select("grp", F.round("ema", 6).alias("ema"))
+
+
+@query(f"with {HG}, c as (select *, sum(weight) over (partition by grp order by value) as cum, sum(weight) over (partition by grp) as n from hg), m as (select grp, value, row_number() over (partition by grp order by weight desc, value) as r from hg) select c.grp, cast(max(n) as bigint) as n, round(sum(c.value * weight) / max(n), 6) as mean, max(m.value) as mode, min(case when cum >= n // 2 then c.value end) as median from c join m on c.grp = m.grp and m.r = 1 group by c.grp")
+def agg14_weighted(spark, d):
+    return stats.weighted(hg(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"with {HG}, c as (select *, sum(weight) over (partition by grp order by value) as cum, sum(weight) over (partition by grp) as n from hg), s as (select unnest([0.0, 0.25, 0.5, 0.99, 1.0]) as share) select grp, cast(share as double) as share, coalesce(min(case when cum > floor(share * n) then value end), max(value)) as value from c join s on true group by grp, share")
+def agg15_sampled(spark, d):
+    return stats.sampled(hg(spark, d), [0.0, 0.25, 0.5, 0.99, 1.0])
+
+
+@query("with s as (select l_orderkey as id, list_sort(list_distinct(list(l_returnflag || l_linestatus))) as members from lineitem group by l_orderkey), f as (select members, min(id) as first_id from s group by members) select s.id, array_to_string(s.members, ' ') as members, f.first_id from s join f on s.members = f.members")
+def agg16_distinct_sets(spark, d):
+    sets = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.concat("l_returnflag", "l_linestatus")).alias("words"))
+    return stats.distinct_sets(sets).select("id", F.array_join("members", " ").alias("members"), "first_id")
+
+
+@query("select l_orderkey * 8 + l_linenumber as id, cast(ac as bigint) as an, cast(ac as bigint) as n_one from (select l_orderkey, l_linenumber, 2 as ac from lineitem where l_linenumber = 1) x where false union all select grp, an, n_one from (select l_suppkey as grp, 2 * count(*) as an, sum(l_linenumber % 2 + cast(l_quantity as int) % 2)::bigint as n_one from lineitem group by l_suppkey) y")
+def agg17_allele_counts(spark, d):
+    calls = table(spark, d, "lineitem").selectExpr("'c' as chrom", "l_suppkey as pos", "concat(l_linenumber % 2, '/', cast(l_quantity as int) % 2) as gt")
+    return records.allele_counts(calls).select(F.col("pos").alias("id"), "an", F.coalesce(F.col("ac")["1"], F.lit(0)).alias("n_one"))
+
+
+@query()
+def agg18_fisher(spark, d):
+    t = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*(F.count_if((F.col("l_linenumber") % 2 == i) & (F.col("l_linestatus") == s)).alias(f"n{i + 1}{j}") for i in (0, 1) for j, s in ((1, "F"), (2, "O"))))
+    return stats.fisher(t)
+
+
+@query("with c as (select l_suppkey, l_orderkey from lineitem), a as (select l_suppkey, l_orderkey from c group by 1, 2) select count(*) as n from a")
+def set01_distinct(spark, d):
+    return table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct().agg(F.count("*").alias("n"))
+
+
+@query("with x as (select coalesce(a.k, coalesce(b.k, c.k)) as k, a.k as ak, b.k as bk, c.k as ck from (select distinct o_custkey as k from orders where o_orderkey % 2 = 0) a full join (select distinct o_custkey as k from orders where o_orderkey % 3 = 0) b on a.k = b.k full join (select distinct o_custkey as k from orders where o_orderkey % 5 = 0) c on coalesce(a.k, b.k) = c.k) select k, (case when ak is null then 0 else 1 end) + (case when bk is null then 0 else 2 end) + (case when ck is null then 0 else 4 end) as mask from x")
+def join08_merge(spark, d):
+    o = table(spark, d, "orders")
+    out = records.merged([o.filter(f"o_orderkey % {n} = 0").select(F.col("o_custkey").alias("k")).distinct() for n in (2, 3, 5)], ["k"])
+    return out.select("k", F.aggregate("sources", F.lit(0), lambda a, s: a + F.call_function("shiftleft", F.lit(1), s - 1)).alias("mask"))
+
+
+# ---- sequences ----
+@query(f"with {READS} select seq_idx, reverse(translate(bases, 'ACGTacgt', 'TGCAtgca')) as rc from reads")
+def seq01_reverse_complement(spark, d):
+    return reads(spark, d).select("seq_idx", B.complement_reversed(F.col("bases")).alias("rc"))
+
+
+@query(f"with {READS}, p as (select seq_idx, bases, unnest(range(1, length(bases) + 1)) as i from reads), c as (select seq_idx, i, substr(bases, cast(i as int), 1) as b, case when i > 1 then substr(bases, cast(i as int) - 1, 1) else '' end as before from p) select seq_idx, string_agg(b, '' order by i) as squeezed from c where upper(b) <> upper(before) group by seq_idx")
+def seq02_squeeze(spark, d):
+    return reads(spark, d).select("seq_idx", B.runs_squeezed(F.col("bases")).alias("squeezed"))
+
+
+@query(f"with {READS} select seq_idx, case when contains(bases, 'N') then null else upper(bases) end as two, upper(bases) as three from reads")
+def seq03_pack(spark, d):
+    """Packing and unpacking gives the bases back."""
+    b, n = F.col("bases"), F.length("bases")
+    return reads(spark, d).select("seq_idx", sequences.unpacked(sequences.packed(b), n).alias("two"), sequences.unpacked(sequences.packed(b, 3), n, 3).alias("three"))
+
+
+@query(f"with {READS} select seq_idx, substr(bases, 11, 20) as mid, cast(null as varchar) as beyond from reads")
+def src07_subsequence(spark, d):
+    b = F.col("bases")
+    return reads(spark, d).select("seq_idx", B.sub_sequence(b, F.lit(10), F.lit(30)).alias("mid"), B.sub_sequence(b, F.lit(60), F.lit(99)).alias("beyond"))
+
+
+@query(f"with {READS}, c as (select seq_idx, bases, unnest(range(0, length(bases), 20)) as bgn from reads) select seq_idx, cast(bgn as int) as bgn, substr(bases, cast(bgn as int) + 1, 20) as piece, bgn + 20 >= length(bases) as is_last from c")
+def src08_chunks(spark, d):
+    return sequences.chunked(reads(spark, d), 20).select("seq_idx", "bgn", "piece", "is_last")
+
+
+def cg(spark, d):
+    return rows(spark, d, "cg", CG)
+
+
+OPS = CG + r", op as (select id, pos, unnest(range(1, 6)) as i, [cast(regexp_extract(cigar, '^(\d+)M', 1) as bigint), cast(regexp_extract(cigar, '(\d+)I', 1) as bigint), cast(regexp_extract(cigar, '(\d+)=', 1) as bigint), cast(regexp_extract(cigar, '(\d+)D', 1) as bigint), cast(regexp_extract(cigar, '(\d+)X', 1) as bigint)] as n from cg)"
+
+
+@query(f"with {OPS} select id, n[1] + n[2] + n[3] + n[5] as query_len, n[1] + n[3] + n[4] + n[5] as ref_len, n[1] + n[2] + n[3] + n[4] + n[5] as columns, n[2] + n[4] as gaps, n[3] as matches, n[5] as mismatches from op where i = 1")
+def cig02_tallies(spark, d):
+    return sequences.tallies(cg(spark, d))
+
+
+@query(f"with {OPS} select id, n[1] + n[2] + n[3] + n[4] + n[5] as n, n[1] + n[2] + n[3] + n[5] - 1 as last_a, pos + n[1] + n[3] + n[4] + n[5] - 1 as last_b from op where i = 1")
+def cig03_columns(spark, d):
+    return sequences.columns(cg(spark, d)).groupBy("id").agg(F.count("*").alias("n"), F.max("a_pos").alias("last_a"), F.max("b_pos").alias("last_b"))
+
+
+@query("with c as (select l_partkey % 50 as b, cast(l_quantity as bigint) as n from lineitem where l_orderkey % 20 = 1), p as (select unnest(range(b, b + n)) as pos from c) select cast(pos as bigint) as pos, count(*) as depth from p group by pos")
+def agg19_pileup(spark, d):
+    r = table(spark, d, "lineitem").filter("l_orderkey % 20 = 1").selectExpr(ROW + " as id", "'c' as chrom", "l_partkey % 50 as pos", "concat(cast(l_quantity as int), 'M') as cigar", "repeat('A', cast(l_quantity as int)) as seq")
+    return sequences.pileup(r).groupBy("pos").agg(F.sum("n").alias("depth"))
+
+
+# ---- alignment ----
+def pr(spark, d):
+    return reads(spark, d).selectExpr("seq_idx as id", "substr(upper(bases), 1, 24) as a", "substr(upper(bases), 30, 24) as b")
+
+
+@query(f"with {PR} select id, levenshtein(a, b) as distance, case when levenshtein(a, b) > 14 then -1 else levenshtein(a, b) end as bounded from pr")
+def aln01_edit_distance(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return pr(spark, d).select("id", alignment.edit_distance(a, b).cast("long").alias("distance"), alignment.edit_distance(a, b, 14).cast("long").alias("bounded"))
+
+
+@query(f"with {PR}, s as (select id, substr(a, 1, 8) as a, substr(b, 1, 12) as b from pr), e as (select id, a, b, unnest(range(0, 13)) as e from s), w as (select id, e, levenshtein(a, substr(b, 1, cast(e as int))) as dist from e) select id, min(dist) as distance from w group by id")
+def aln02_prefix(spark, d):
+    p = pr(spark, d).selectExpr("id", "substr(a, 1, 8) as a", "substr(b, 1, 12) as b")
+    return p.select("id", alignment.fitted(F.col("a"), F.col("b"), True)["distance"].cast("long").alias("distance"))
+
+
+@query(f"with {PR}, s as (select id, substr(a, 1, 8) as a, substr(b, 1, 12) as b from pr), e as (select id, a, b, unnest(range(0, 13)) as e from s), f as (select id, a, b, e, unnest(range(0, 13)) as f from e), w as (select id, levenshtein(a, substr(b, cast(f as int) + 1, cast(e as int))) as dist from f where f + e <= 12) select id, min(dist) as distance from w group by id")
+def aln02_infix(spark, d):
+    p = pr(spark, d).selectExpr("id", "substr(a, 1, 8) as a", "substr(b, 1, 12) as b")
+    return p.select("id", alignment.fitted(F.col("a"), F.col("b"))["distance"].cast("long").alias("distance"))
+
+
+def _affine(mode):
+    def f(spark, d):
+        return pr(spark, d).withColumn("r", alignment.aligned(F.col("a"), F.col("b"), mode)).select("id", "r.*")
+
+    f.__name__ = {"local": "aln07_local", "extend": "aln08_extension", "dovetail": "aln09_dovetail", "contained": "aln09_contained"}[mode]
+    return query()(f)
+
+
+for _mode in ("local", "extend", "dovetail", "contained"):
+    _affine(_mode)
+
+
+# ---- bits, codes, hashes, texts ----
+@query("select o_orderkey as x, case when o_orderkey = 0 then 0 else length(bin(o_orderkey)) end as width, bit_count(o_orderkey)::int as ones, lpad(bin(o_orderkey), 64, '0') as bits, reverse(lpad(bin(o_orderkey), 64, '0')) as reversed, (o_orderkey << 7) as rotated from orders where o_orderkey < 100000")
+def bit06_widths(spark, d):
+    x = F.col("o_orderkey")
+    return table(spark, d, "orders").filter("o_orderkey < 100000").select(x.alias("x"), bits.width(x).cast("long").alias("width"), F.bit_count(x).alias("ones"), bits.binary(x, 64).alias("bits"), bits.reversed_bits(x).alias("reversed"), bits.rotate_left(x, 7).alias("rotated"))
+
+
+@query("select o_orderkey as x, repeat('0', cast(length(bin(o_orderkey)) - 1 as int)) || bin(o_orderkey) as gamma, repeat('0', cast(length(bin(length(bin(o_orderkey)))) - 1 as int)) || bin(length(bin(o_orderkey))) || substr(bin(o_orderkey), 2) as delta, repeat('0', cast(o_orderkey % 20 as int)) || '1' as unary from orders where o_orderkey > 0")
+def cod03_codes(spark, d):
+    x = F.col("o_orderkey")
+    return table(spark, d, "orders").filter("o_orderkey > 0").select(x.alias("x"), bits.gamma(x).alias("gamma"), bits.delta(x).alias("delta"), bits.unary(x % 20).alias("unary"))
+
+
+@query()
+def cod05_zeckendorf(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("x"), bits.zeckendorf(F.col("s_suppkey")).alias("code"))
+
+
+@query()
+def hash01_words(spark, d):
+    x = F.col("s_suppkey").cast("long")
+    return table(spark, d, "supplier").select(x.alias("x"), text.word_hash(F.array(x, x * 7, F.lit(3).cast("long"))).alias("hash"))
+
+
+@query("select doc_id, md5(text) as digest, ('0x' || substr(md5(text), 1, 8))::bigint as high from documents")
+def hash02_md5(spark, d):
+    m = F.md5("text")
+    return table(spark, d, "documents").select("doc_id", m.alias("digest"), F.conv(F.substring(m, 1, 8), 16, 10).cast("long").alias("high"))
+
+
+@query(" union all ".join(f"select cast({i} as bigint) as n, cast({f} as bigint) as f" for i, f in enumerate(bits.fibonacci_numbers(46))))
+def math01_fibonacci(spark, d):
+    numbers = F.array(*[F.lit(f).cast("long") for f in bits.fibonacci_numbers(46)])
+    return spark.range(47).select(F.col("id").alias("n"), F.element_at(numbers, (F.col("id") + 1).cast("int")).alias("f"))
+
+
+@query("select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) as n_words, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1] as first_word from documents".replace("\\\\", "\\"))
+def str04_words(spark, d):
+    w = text.words(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.get(w, F.lit(0)).alias("first_word"))
+
+
+@query("select event_id, lower(event_type) in ('y', 't', '1', 'yes', 'true') as b, regexp_extract(event_type, '^[a-z]+', 0) as head from events")
+def str08_bool(spark, d):
+    return table(spark, d, "events").select("event_id", text.to_bool(F.col("event_type")).alias("b"), F.regexp_extract("event_type", "^[a-z]+", 0).alias("head"))
+
+
+@query("select s_suppkey, -s_suppkey as plain, s_suppkey * 1000 as kilo, s_suppkey * 1024 as kibi, s_suppkey as hexed, cast(null as bigint) as wrong from supplier")
+def str10_integers(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    return table(spark, d, "supplier").select("s_suppkey", text.decode_integer(F.concat(F.lit("-"), k)).alias("plain"), text.decode_integer(F.concat(k, F.lit("k"))).alias("kilo"), text.decode_integer(F.concat(k, F.lit("ki"))).alias("kibi"), text.decode_integer(F.concat(F.hex("s_suppkey"), F.lit("h"))).alias("hexed"), text.decode_integer(F.concat(k, F.lit("hg"))).alias("wrong"))
+
+
+@query("select s_suppkey, s_suppkey as lo, s_suppkey * 2 as hi, 7 as single, 9223372036854775807 as open_end from supplier".replace("7 as single", "cast(7 as bigint) as single"))
+def str11_ranges(spark, d):
+    r = text.decode_ranges(F.concat(F.col("s_suppkey").cast("string"), F.lit("-"), (F.col("s_suppkey") * 2).cast("string"), F.lit(",7,20-")))
+    return table(spark, d, "supplier").select("s_suppkey", r[0]["lo"].alias("lo"), r[0]["hi"].alias("hi"), r[1]["hi"].alias("single"), r[2]["hi"].alias("open_end"))
+
+
+@query("select o_orderkey, case when o_orderkey * 997 <= 9999 then cast(o_orderkey * 997 as varchar) when o_orderkey * 997 // 1000 <= 9999 then cast(o_orderkey * 997 // 1000 as varchar) || 'k' when o_orderkey * 997 // 1000000 <= 9999 then cast(o_orderkey * 997 // 1000000 as varchar) || 'M' else 'big' end as si from orders")
+def str13_si(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.si(F.col("o_orderkey") * 997).alias("si"))
+
+
+@query("select page_id, split_part(url, '/', -1) as base, regexp_replace(url, '#top$', '') as plain from pages")
+def str15_paths(spark, d):
+    u = F.col("url")
+    return table(spark, d, "pages").select("page_id", text.basename(u).alias("base"), text.without_suffix(u, "#top").alias("plain"))
+
+
+@query("select doc_id, regexp_extract(text, '(?i)(th[a-z]+) ([a-z]+)', 2) as second, regexp_matches(text, '(?i)licensed under') as licensed from documents")
+def regx01_captures(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "(?i)(th[a-z]+) ([a-z]+)", 2).alias("second"), F.col("text").rlike("(?i)licensed under").alias("licensed"))
+
+
+@query("select event_id, cast(floor(epoch(ts)) as bigint) // 31536000 as years, cast(floor(epoch(ts)) as bigint) % 31536000 // 86400 as days, cast(floor(epoch(ts)) as bigint) % 86400 // 3600 as hours, year(ts)::int as y, date_trunc('hour', ts)::timestamp as hour from events".replace(", date_trunc('hour', ts)::timestamp as hour", ""))
+def time02_parts(spark, d):
+    s = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").withColumn("s", s)
+    return e.select("event_id", F.expr("s div 31536000").alias("years"), F.expr("s % 31536000 div 86400").alias("days"), F.expr("s % 86400 div 3600").alias("hours"), F.year("ts").alias("y"))
+
+
+@query("select l_orderkey * 8 + l_linenumber as id, (l_orderkey & 4) = 0 and (l_orderkey & 3) = 3 as good, case when length(l_returnflag) = length(l_linestatus) then 'snp' else 'indel' end as kind from lineitem")
+def pred06_flags(spark, d):
+    t = table(spark, d, "lineitem")
+    return t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), records.has_flags(F.col("l_orderkey"), 3, 4).alias("good"), records.variant_kind(F.lit("A"), F.lit("C")).alias("kind"))
+
+
+@query("select event_type, time_bucket(interval '1 hour', ts) as hour, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2".replace("time_bucket(interval '1 hour', ts)", "date_trunc('hour', ts)"))
+def stm04_windows(spark, d):
+    from ..streaming import counting
+
+    out = counting.sliding_stats(table(spark, d, "events"), "1 hour", "1 hour", "10 minutes")
+    return out.select("event_type", F.col("window.start").alias("hour"), "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"with {DB} select kmer, value from db")
+def stm02_stream_count(spark, d):
+    """The same counts from a stream of documents, batch after batch."""
+    import tempfile
+    import uuid
 
+    from ..streaming import counting
 
-def oracle_sql() -> dict:
-    return {}
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandq-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents")
+    path = f"{d}/documents.parque[t]"  # a pattern holds for a file and for a folder
+    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return counting.count_stream(spark, source.selectExpr("doc_id as seq_idx", BASES + " as bases"), K, f"{at}/out", f"{at}/state").select("kmer", "value")
