@@ -87,7 +87,7 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
-def batches(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def batches(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Slices of about limit bytes, a longer text alone, so that memory follows the longest text and not the batch."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -25,7 +25,7 @@ LIMIT = 1024
 #: Penalties in tokens of padding: per sequence, per cut at a sentence end, per cut within a sentence.
 EACH, SENTENCE, INSIDE = 4, 1, 6
 #: Tokens that the dynamic program sees at once, and words remembered by a tokenizer.
-BLOCK, REMEMBERED = 1 << 18, 600_000
+BLOCK, REMEMBERED = 1 << 18, 400_000
 #: Fixed value: the pre-tokenizer of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPLIT = re.compile(r" (?=\S)")
