@@ -30,10 +30,10 @@ def reversed_bits(x: Column) -> Column:
     return F.reverse(binary(x, 64))
 
 
-def swapped_bytes(x: Column) -> Column:
-    """The eight bytes in the other order, as hexadecimal text."""
+def swapped_bytes(x: Column, size: int = 8) -> Column:
+    """The `size` lowest bytes in the other order, as hexadecimal text."""
     h = F.lpad(F.hex(x), 16, "0")
-    return F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)])
+    return F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(size)])
 
 
 def two_to_three(x: Column) -> Column:
@@ -78,3 +78,59 @@ def zeckendorf(x: Column) -> Column:
 
     done = F.aggregate(F.array(*[F.lit(f).cast("long") for f in reversed(terms)]), start, take)
     return F.concat(done["code"], F.lit("1"))
+
+
+_ALL = (1 << 64) - 1
+
+
+def _masked(x: Column, mask: int) -> Column:
+    return x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+
+def clear_left(x: Column, n: int) -> Column:
+    """The n highest bits become 0; from 64 on, all."""
+    return _masked(x, _ALL >> min(n, 64))
+
+
+def keep_left(x: Column, n: int) -> Column:
+    return _masked(x, _ALL ^ (_ALL >> min(n, 64)))
+
+
+def clear_right(x: Column, n: int) -> Column:
+    return _masked(x, _ALL ^ ((1 << min(n, 64)) - 1))
+
+
+def keep_right(x: Column, n: int) -> Column:
+    return _masked(x, (1 << min(n, 64)) - 1)
+
+
+def keep_middle(x: Column, left: int, right: int) -> Column:
+    """What lies between the `left` highest and the `right` lowest bits."""
+    return clear_right(clear_left(x, left), right)
+
+
+def clear_middle(x: Column, left: int, right: int) -> Column:
+    return keep_left(x, left).bitwiseOR(keep_right(x, right))
+
+
+def rotate_right(x: Column, r: int) -> Column:
+    return rotate_left(x, -r)
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (63 - i % 64).cast("int"))
+
+
+def get_bit(words: Column, i: Column) -> Column:
+    """Bit i of an array of 64-bit words, the highest bit of the first word being 0; null outside."""
+    return F.call_function("shiftrightunsigned", F.get(words, F.floor(i / 64).cast("int")), (63 - i % 64).cast("int")).bitwiseAND(1).cast("int")
+
+
+def set_bit(words: Column, i: Column, on: bool) -> Column:
+    """The array with bit i set or cleared; unchanged if i lies outside."""
+    new = (lambda w: w.bitwiseOR(_bit(i))) if on else (lambda w: w.bitwiseAND(F.bitwise_not(_bit(i))))
+    return F.transform(words, lambda w, k: F.when(k == F.floor(i / 64), new(w)).otherwise(w))
+
+
+def flip_bit(words: Column, i: Column) -> Column:
+    return F.transform(words, lambda w, k: F.when(k == F.floor(i / 64), w.bitwiseXOR(_bit(i))).otherwise(w))

@@ -41,9 +41,10 @@ _INTEGER = r"^([+-]?)([0-9a-fA-F]+?)(?:([kKmMgGtTpPeE])(i?)|([bBoOdDhH])?)$"
 
 
 def key_value(line: Column) -> Column:
-    """key, value of a line parted by runs of ':', '=' or white space with at most such marks; a key alone gives null.  Comments begin with ! or #."""
-    body = F.regexp_replace(line, r"^[ \t]*[!#].*$|[ \t]+[!#].*$", "")
-    pattern = r"^[ \t]*([^ \t:=]+)(?:[:=]+[ \t]*|[ \t]+)(.*?)[ \t]*$"
+    """key, value around the first run of ':' and '='; the key may hold spaces, the value may be empty.  Null for a line without
+    a key or such a run.  Comments begin with ! or # at the start or behind white space."""
+    body = F.regexp_replace(line, r"(?s)(?:^|\s+)[!#].*$", "")
+    pattern = r"(?s)^\s*([^\s:=][^:=]*?)\s*[:=]+\s*(.*?)\s*$"
     return F.when(body.rlike(pattern), F.struct(F.regexp_extract(body, pattern, 1).alias("key"), F.regexp_extract(body, pattern, 2).alias("value")))
 
 
@@ -110,3 +111,48 @@ def word_hash(words_: Column) -> Column:
         return folded(times(folded(times(folded(h.bitwiseXOR(F.size(words_).cast("long")), 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
 
     return F.aggregate(words_, F.lit(HASH_SEED), step, finish)
+
+
+def trimmed(s: Column) -> Column:
+    """Without spaces, and nothing but spaces, at either end."""
+    return F.trim(s)
+
+
+#: Classes of one character.
+CLASSES = {"space": r"[ \t\n\r\x0B\f]", "visible": r"[!-~]", "letter": r"[A-Za-z]", "bin": r"[01]", "oct": r"[0-7]", "dec": r"[0-9]", "hex": r"[0-9A-Fa-f]", "comment": r"[!#]", "delimiter": r"[:=]"}
+
+
+def of_class(s: Column, name: str) -> Column:
+    """Whether s is one or more characters of a class; empty texts aren't."""
+    return s.rlike(rf"\A{CLASSES[name]}+\z")
+
+
+def is_decimal(s: Column) -> Column:
+    """Digits and dots in any mixture, without a sign."""
+    return s.rlike(r"\A[0-9.]+\z")
+
+
+def leading_number(s: Column) -> Column:
+    """The floating-point number that a text begins with, behind white space; null without one."""
+    return F.regexp_extract(s, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
+
+
+def behind_number(s: Column) -> Column:
+    """What follows the leading integer."""
+    return F.regexp_replace(s, r"^\s*[+-]?[0-9]+", "")
+
+
+def in_base(x: Column, base: int, width: int = 0) -> Column:
+    """A non-negative number in base 2, 8, 10 or 16, lower-case, filled with zeros up to width."""
+    digits = F.lower(F.conv(x.cast("string"), 10, base))
+    return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
+
+
+def megabytes(bits: Column) -> Column:
+    """Bits as MB of 2**20 bytes; bits short of a byte don't count."""
+    return F.floor(bits / 8) / float(1 << 20)
+
+
+def percent_decoded(s: Column) -> Column:
+    """%XX escapes decoded; a plus sign stays."""
+    return F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -107,3 +109,56 @@ def aligned(a: Column, b: Column, mode: str = "local", **costs: int) -> Column:
         return pd.DataFrame(rows, columns=["score", "bgn_a", "end_a", "bgn_b", "end_b", "cigar"])
 
     return run(a, b)
+
+
+def edit_path(a: str, b: str, mode: str) -> tuple[int, int, int, str, str, str]:
+    """distance, start and end in b, cigar (= X I D; I stands in a alone), and both texts with gaps.
+
+    mode global: all of b; prefix: a beginning of b; infix: any stretch, the first end with the least distance, and the
+    start that the path leads to.  Among equal paths a column of both comes before I, and I before D.  In the shown
+    texts equal letters are lower-case and different ones upper-case.
+    """
+    n, m = len(a), len(b)
+    at = np.arange(m + 1)
+    letters = np.array([ord(c) for c in b], dtype=np.int64)
+    rows = [np.zeros(m + 1, int) if mode == "infix" else at.copy()]
+    for i, c in enumerate(a, 1):
+        row = rows[-1]
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c)))])
+        rows.append(np.minimum.accumulate(new - at) + at)
+    i, j = n, m if mode == "global" else int(rows[n].argmin())
+    distance, end, steps = int(rows[i][j]), j, []
+    while i or (j and mode != "infix"):
+        here = rows[i][j]
+        if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            same = a[i - 1] == b[j - 1]
+            case = str.lower if same else str.upper
+            steps.append(("=" if same else "X", case(a[i - 1]), case(b[j - 1])))
+            i, j = i - 1, j - 1
+        elif i and here == rows[i - 1][j] + 1:
+            steps.append(("I", a[i - 1].upper(), "-"))
+            i -= 1
+        else:
+            steps.append(("D", "-", b[j - 1].upper()))
+            j -= 1
+    steps.reverse()
+    runs = [(op, len(list(same))) for op, same in groupby(s[0] for s in steps)]
+    return distance, j, end, "".join(f"{k}{op}" for op, k in runs), "".join(s[1] for s in steps), "".join(s[2] for s in steps)
+
+
+def edit_paths(a: Column, b: Column, mode: str = "global") -> Column:
+    """The struct of edit_path for each pair; null texts count as empty."""
+
+    @F.pandas_udf("struct<distance:int,bgn:int,end_:int,cigar:string,shown_a:string,shown_b:string>")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [edit_path(p or "", q or "", mode) for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame(rows, columns=["distance", "bgn", "end_", "cigar", "shown_a", "shown_b"])
+
+    return run(a, b)
+
+
+def path_summary(cigar: Column) -> Column:
+    """matches, mismatches, inserted and deleted letters, and how many stretches of the two there are."""
+    runs = lambda op: F.regexp_extract_all(cigar, F.lit(rf"(\d+){op}"), F.lit(1))
+    total = lambda op: F.aggregate(runs(op), F.lit(0), lambda s, x: s + x.cast("int"))
+    return F.struct(total("=").alias("matches"), total("X").alias("mismatches"), total("I").alias("inserted"), total("D").alias("deleted"), F.size(runs("I")).alias("insert_opens"), F.size(runs("D")).alias("delete_opens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +126,51 @@ def extrema(curve: DataFrame) -> DataFrame:
     rise, go = F.col("smooth") - F.lag("smooth").over(w), F.lead("smooth").over(w) - F.col("smooth")
     kind = F.when((rise > 0) & (go < 0), "peak").when((rise < 0) & (go > 0), "trough")
     return curve.withColumn("kind", kind).filter("kind is not null")
+
+
+#: What the search for coverage peaks looks at: values below SPAN, extrema below REACH.
+SPAN, REACH = 1024, 100
+
+
+def _between(h: np.ndarray, middle: int, reach: int, at: np.ndarray) -> np.ndarray:
+    """The polynomial through the points middle - reach to middle + reach of h, at some places."""
+    known = np.arange(max(middle - reach, 0), min(middle + reach, len(h) - 1) + 1)
+    out = np.zeros(len(at))
+    for k in known:
+        rest = known[known != k]
+        out += h[k] * np.prod((at[:, None] - rest) / (k - rest), axis=1)
+    return out
+
+
+def _turns(h: np.ndarray, reach: int, step: float = 0.025) -> list[float]:
+    """Places of troughs and peaks in turn, refined within 1.5 of each."""
+    falls, found = np.diff(h) < 0, []
+    for i in range(3, REACH):
+        if falls[i - 1] != falls[i]:
+            at = np.arange(i - 1.5, i + 1.5 + step * 1.1, step)
+            y = _between(h, i, reach + 1, at)
+            found.append(float(at[y.argmin() if falls[i - 1] else y.argmax()]))
+    return found
+
+
+def peaks(hist: DataFrame, t: float = 0.5, width: int = 9) -> DataFrame:
+    """peak, ploidy, coverage for peaks 1 to 8 of a histogram (value, occurrences), and as peak 0 the trough between noise and data.
+
+    The trough is sought on the histogram as it is, peaks on the smoothed one; the highest peak gets ploidy 1 and the
+    others follow by halves.  A peak that isn't there has coverage 0.  Values from SPAN on have no effect, so one task
+    with at most SPAN rows does for any input; an empty histogram gives no row.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h = np.zeros(SPAN)
+        np.add.at(h, rows["value"].to_numpy(int), rows["occurrences"].to_numpy(float))
+        d = np.arange(-width, width + 1)
+        s = np.convolve(h, np.exp(-(d**2) / (4 * t)) / np.sqrt(4 * np.pi * t), "same")
+        raw, smooth = _turns(h, 3), _turns(s, 4)
+        coverage = [raw[0] if raw else 0.0, *(smooth[2 * i - 1] if 2 * i - 1 < len(smooth) else 0.0 for i in range(1, 9))]
+        height = [0.0, *(float(_between(h, round(x), 3, np.array([x]))[0]) if x else float("-inf") for x in coverage[1:])]
+        top = max(range(1, 9), key=lambda i: (height[i], -i))
+        return pd.DataFrame({"peak": range(9), "ploidy": [i / 2 ** (top - 1) for i in range(9)], "coverage": coverage})
+
+    small = hist.filter((F.col("value") >= 1) & (F.col("value") < SPAN)).groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
+    return small.groupBy().applyInPandas(run, "peak int, ploidy double, coverage double")

@@ -43,3 +43,11 @@ def merged(sources: list[DataFrame], key: list[str]) -> DataFrame:
         s = s.withColumn("source", F.lit(i))
         rows = s if rows is None else rows.unionByName(s, allowMissingColumns=True)
     return rows.groupBy(*key).agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("n_rows"))
+
+
+def trimmed_alleles(alts: Column, calls: Column) -> tuple[Column, Column]:
+    """The alternative alleles that some call uses, and the calls renumbered to them.  Calls are an array of allele
+    numbers over all samples, 0 for the reference and null for missing ones."""
+    used = F.array_distinct(F.filter(calls, lambda c: c > 0))
+    kept = F.filter(alts, lambda _, i: F.array_contains(used, i + 1))
+    return kept, F.transform(calls, lambda c: F.when(c.isNotNull(), F.size(F.filter(used, lambda u: u <= c))))

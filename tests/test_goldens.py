@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from strandq.functions import bases as B
-from strandq.functions import bits, text
-from strandq.operators import alignment, intervals, kmers, sequences, stats
+from strandq.functions import bits, random_numbers, text
+from strandq.operators import alignment, intervals, kmers, records, sequences, stats
 from strandq.sources import sequence_files as S
 
 
@@ -94,3 +94,52 @@ def test_files(spark, tmp_path):
     s = tmp_path / "x.sam"
     s.write_text("@HD\tVN:1\nq1\t16\tchr1\t7\t60\t4M\t*\t0\t0\tAACG\tABCD\tNM:i:1\nq2\t256\tchr1\t7\t60\t4M\t*\t0\t0\tAACG\tABCD\n")
     assert [tuple(r) for r in S.sam_reads(S.read_sam(spark, str(s))).collect()] == [("q1", "CGTT", "DCBA")]
+
+
+def test_key_values(spark):
+    lines = {"a = b": ("a", "b"), "a key:=  b c  # no": ("a key", "b c"), "a=": ("a", ""), "a =#x": ("a", "#x"), "a = #x": ("a", ""), "a": None, "# a = b": None, "=b": None, "a #c = d": None, "": None}
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", text.key_value(F.col("line")).alias("kv"))
+    assert {r.line: r.kv and tuple(r.kv) for r in df.collect()} == lines
+
+
+def test_twister(spark):
+    seeds = spark.createDataFrame([(5489,), (None,)], "s long").select("s", random_numbers.twister(F.col("s"), 4).alias("y"))
+    rows = seeds.select("s", "y", random_numbers.real_closed(F.col("y")[0]).alias("u"), random_numbers.gaussian(F.col("y")).alias("g")).collect()
+    got = {r.s: r for r in rows}
+    assert got[5489].y == [3499211612, 581869302, 3890346734, 3586334585] and got[None].y is None and got[None].g is None
+    assert got[5489].u == 3499211612 / (2**32 - 1)
+    many = spark.range(4000).select(random_numbers.twister(F.col("id"), 40).alias("y")).select(random_numbers.gaussian(F.col("y"), 3.0, 2.0).alias("g")).agg(F.avg("g"), F.stddev("g")).first()
+    assert abs(many[0] - 3) < 0.15 and abs(many[1] - 2) < 0.15
+
+
+def test_edit_paths(spark):
+    assert alignment.edit_path("ACGT", "ACT", "global") == (1, 0, 3, "2=1I1=", "acGt", "ac-t")
+    assert alignment.edit_path("", "AC", "global")[:4] == (2, 0, 2, "2D") and alignment.edit_path("", "AC", "infix")[:4] == (0, 0, 0, "")
+    assert alignment.edit_path("ACGT", "TTACGTT", "infix")[:4] == (0, 2, 6, "4=")
+    assert alignment.edit_path("ACGT", "AGGTTT", "prefix")[:4] == (1, 0, 4, "1=1X2=")
+    row = spark.createDataFrame([("AAC", None), (None, None)], "a string, b string").select(alignment.edit_paths(F.col("a"), F.col("b")).alias("r")).select("r.*", alignment.path_summary(F.col("r.cigar")).alias("s")).collect()
+    assert [r.distance for r in row] == [3, 0] and tuple(row[0].s) == (0, 0, 3, 0, 1, 0)
+
+
+def test_bit_edges(spark):
+    row = spark.range(1).select(F.lit(-2).cast("long").alias("x")).select(*[f(F.col("x"), n) for f in (bits.clear_left, bits.keep_left, bits.clear_right, bits.keep_right) for n in (0, 64, 70)], bits.rotate_right(F.col("x"), 0), bits.rotate_right(F.col("x"), 64)).first()
+    assert tuple(row) == (-2, 0, 0, 0, -2, -2, -2, 0, 0, 0, -2, -2, -2, -2)
+    words = F.array(F.lit(-1).cast("long"))
+    assert tuple(spark.range(1).select(bits.get_bit(words, F.lit(64)), bits.set_bit(words, F.lit(64), False)[0]).first()) == (None, -1)
+
+
+def test_coverage_peaks(spark):
+    import math
+
+    curve = [(v, int(1e6 * math.exp(-v) + 4000 * math.exp(-((v - 20) ** 2) / 18) + 9000 * math.exp(-((v - 40) ** 2) / 50))) for v in range(1, 90)]
+    hist = spark.createDataFrame([*curve, (5000, 10**9)], "value long, occurrences long")
+    got = {r.peak: r for r in kmers.peaks(hist).collect()}
+    assert abs(got[1].coverage - 20) < 0.5 and abs(got[2].coverage - 40) < 0.5 and 5 < got[0].coverage < 16
+    assert (got[1].ploidy, got[2].ploidy) == (0.5, 1.0) and got[3].coverage == 0
+    assert kmers.peaks(hist.limit(0)).count() == 0
+
+
+def test_trimmed_alleles(spark):
+    df = spark.createDataFrame([(["C", "G", "T"], [0, 3, 1, None]), ([], [0]), (["C"], [])], "alts array<string>, calls array<int>")
+    got = [(r[0], r[1]) for r in df.select(*records.trimmed_alleles(F.col("alts"), F.col("calls"))).collect()]
+    assert got == [(["C", "T"], [0, 2, 1, None]), ([], [0]), ([], [])]
