@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -75,8 +77,9 @@ class Matcher:
         if not len(self.automaton):
             return []
         found = [(end + 1 - len(p), end + 1, p, w) for end, (p, w) in self.automaton.iter(folded)]
-        spared = [(s, e) for s, e, _, w in found if w is None]
-        return [x for x in found if x[3] is not None and not any(s <= x[0] and x[1] <= e for s, e in spared)]
+        spared = sorted((s, e) for s, e, _, w in found if w is None)
+        starts, reach = [s for s, _ in spared], [0, *accumulate((e for _, e in spared), max)]
+        return [x for x in found if x[3] is not None and x[1] > reach[bisect_right(starts, x[0])]]
 
     def features(self, text: str | None) -> list[float]:
         folded = fold(text)

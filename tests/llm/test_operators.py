@@ -208,6 +208,23 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
+def test_secrets_in_long_runs():
+    """Runs without white space take linear time, and URL escapes behind them are found."""
+    text = "%41 " + "a1Z_" * 250_000 + "%20token%3Dabcdefghijk"
+    base, added = secrets.find_secrets(text)
+    assert base == [] and added == [("assign", 4, len(text))]
+
+
+def test_exceptions_cover_their_hits():
+    r = random.Random(3)
+    m = toxicity.Model({" ba": 1.0, "ad ": 2.0, " bad ": 3.0}, [" bald ", " bad cat ", " cab "], []).matcher()
+    for _ in range(300):
+        folded = f" {' '.join(r.choice(['bad', 'bald', 'cat', 'cab', 'mad']) for _ in range(r.randint(0, 9)))} "
+        found = [(end + 1 - len(p), end + 1, p, w) for end, (p, w) in m.automaton.iter(folded)]
+        spared = [x for x in found if x[3] is None]
+        assert m.hits(folded) == [x for x in found if x[3] is not None and not any(s[0] <= x[0] and x[1] <= s[1] for s in spared)]
+
+
 def test_gif(spark):
     for k in range(40):
         r = random.Random(k)
