@@ -67,6 +67,26 @@ def range_report(table: DataFrame, least: int, most: int) -> DataFrame:
     return table.agg(F.count_if(v.between(least, most)).alias("loaded"), F.count_if(v < least).alias("too_low"), F.count_if(v > most).alias("too_high"))
 
 
+def lookup_sizes(table: DataFrame, k: int, memory_bits: int = 1 << 38) -> DataFrame:
+    """prefix_bits, bits, least, sparse: how many bits a lookup of table (kmer, value) takes, by the bits of its prefix.
+
+    A prefix costs a 64-bit pointer, a k-mer its other bits and those of the greatest value.  `least` marks the
+    smallest size, `sparse` the longest prefix within memory_bits that is less than 4 bits longer than that; it tells
+    whether a table may be broadcast.  There are at most as many rows as a k-mer has bits; a table too small to have a
+    prefix of 6 bits gives none.
+    """
+    n, p = F.col("n"), F.col("prefix_bits")
+    most = F.least(F.length(F.bin("n")) + 1, F.lit(2 * k))
+    whole = table.agg(F.count("*").alias("n"), F.coalesce(F.max("value"), F.lit(0)).cast("long").alias("top")).filter(most > 6)
+    sizes = whole.withColumn("prefix_bits", F.explode(F.sequence(F.lit(6), most - 1)))
+    value_bits = F.when(F.col("top") > 0, F.length(F.bin("top"))).otherwise(0)
+    sizes = sizes.withColumn("bits", F.expr("shiftleft(1L, prefix_bits)") * 64 + n * (2 * k - p) + n * value_bits)
+    every = Window.partitionBy("n")
+    sizes = sizes.withColumn("best", F.min(F.struct("bits", "prefix_bits")).over(every)["prefix_bits"])
+    sizes = sizes.withColumn("longest", F.max(F.when((F.col("bits") < memory_bits) & (p < F.col("best") + 4), p)).over(every))
+    return sizes.select("prefix_bits", "bits", (p == F.col("best")).alias("least"), F.coalesce(p == F.col("longest"), F.lit(False)).alias("sparse"))
+
+
 def exists(kmers: DataFrame, table: DataFrame) -> DataFrame:
     """Semi join on kmer; Spark broadcasts the table if statistics prove it small."""
     return kmers.join(table, "kmer", "left_semi")

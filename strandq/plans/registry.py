@@ -248,6 +248,13 @@ def join05_positions(spark, d):
     return out.select("query_idx", F.col("query_pos").cast("long").alias("query_pos"), "seq_idx", F.col("pos").cast("long").alias("pos"))
 
 
+@query(f"with {K11}, w as (select kmer, count(*) as value from can group by kmer), t as (select count(*) as n, max(value) as top from w), p as (select n, top, unnest(range(6, least(length(bin(n)) + 1, 22))) as p from t), "
+       "s as (select cast(p as int) as prefix_bits, cast((1::bigint << p) * 64 + n * (22 - p) + n * length(bin(top)) as bigint) as bits from p), b as (select arg_min(prefix_bits, bits) as best from s), "
+       "m as (select max(prefix_bits) as longest from s, b where bits < 40000000 and prefix_bits < best + 4) select prefix_bits, bits, prefix_bits = best as least, prefix_bits = longest as sparse from s, b, m")
+def kmer13_lookup_sizes(spark, d):
+    return kmers.lookup_sizes(kmers.count(reads(spark, d), 11), 11, 40_000_000)
+
+
 # ---- intervals ----
 @query(f"with {IV}, s as (select *, max(end_) over (partition by grp order by bgn, end_ rows between unbounded preceding and 1 preceding) as reach from iv), f as (select *, sum(case when reach >= bgn or end_ <= reach then 0 else 1 end) over (partition by grp order by bgn, end_ rows unbounded preceding) as i from s) select grp, min(bgn) as bgn, max(end_) as end_, count(*) as num from f group by grp, i")
 def int04_squash(spark, d):

@@ -20,6 +20,9 @@ def test_kmers(spark):
     short = spark.createDataFrame([(1, "ACG"), (2, ""), (3, None), (4, "ACNGT")], "seq_idx long, bases string")
     assert kmers.count(short, 4).count() == 0
     assert tuple(kmers.census(spark, 4).first()) == (16, 120)
+    table = spark.range(300).selectExpr("cast(id as string) as kmer", "id % 7 + 1 as value")
+    assert [tuple(r) for r in kmers.lookup_sizes(table, 8, 70_000).orderBy("prefix_bits").collect()] == [(6, 7996, True, False), (7, 11792, False, False), (8, 19684, False, False), (9, 35768, False, True)]
+    assert kmers.lookup_sizes(table.limit(0), 8).count() == 0
 
 
 def test_intervals(spark):
