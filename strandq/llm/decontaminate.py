@@ -1,13 +1,16 @@
-"""Benchmark decontamination: rare word n-grams of test items seed a join with training passages; Smith-Waterman
+"""Benchmark decontamination: rare word pairs of test items seed a join with training passages; Smith-Waterman
 alignment over words then scores exact, edited and paraphrased copies.
 
-The document frequency of every benchmark n-gram is counted over all documents.  An item's seeds are its n-grams whose
-frequency does not exceed the item's median, so however often an item was copied, half of its n-grams stay seeds, and
-n-grams that are common by chance drop out.  Documents are read twice; only passages around seeds are shuffled.
+Two matched words next to each other in the alignment cost nothing if they are neighbours in item and passage, 1 if one
+word is between them in either or both, else 2 or more.  So an item of n words that scores T has, among the pairs of its
+neighbouring words, at least (2T - 3 - n) / 3 that the passage has as neighbours or with one word between them.  Half of
+these may be the item's most frequent pairs, so that they needn't be joined; a passage that has fewer of the others is
+left out.  Frequencies, and so the number of copies, decide only what is joined, never what is found.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, materialise, shingles
+from .common import _STEP, WordHasher, batches, materialise, mix
 
-SEED_WORDS = 3
 #: Bits of the filter that spares the join most n-grams: 2**FILTER_BITS bits is the proven bound of the broadcast.
 FILTER_BITS = 22
-#: Alignment: a match, and the cost of a changed, missing or added word.
+#: Alignment: a match, and the cost of a changed, missing or added word; least_hits holds for these two.
 MATCH, COST = 2, 1
 #: The least score, as a share of an exact copy's, that counts as a leak.
 LEAK = 0.5
@@ -58,29 +60,42 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best, start, end
 
 
-def _grams(texts: list[bytes], hasher: WordHasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per text: its number, hashes of its n-grams (none if it has fewer words), and its words' byte bounds."""
+def _pairs(words: np.ndarray, apart: int) -> np.ndarray:
+    return mix(words[:-apart] * _STEP + words[apart:])
+
+
+def _words(texts: list[bytes], hasher: WordHasher) -> Iterator[tuple[int, np.ndarray]]:
+    """Per text: its number and the hashes of its words."""
     for at, part in batches(texts):
-        words, first, start, end = hasher(part)
-        skip = 0
-        for i, t in enumerate(part):
-            f, g = first[i], first[i + 1]
-            grams = shingles(words[f:g], SEED_WORDS) if g - f >= SEED_WORDS else words[:0]
-            yield at + i, grams, start[f:g] - skip, end[f:g] - skip
-            skip += len(t) + 1
+        words, first, _, _ = hasher(part)
+        for i in range(len(part)):
+            yield at + i, words[first[i] : first[i + 1]]
+
+
+def least_hits(n: int, least: float) -> int:
+    """How many pairs of neighbours of an item of n words any passage has that reaches `least`; below 1, neighbours alone prove nothing."""
+    return math.ceil((2 * least * MATCH * n - 3 - n) / 3 - 1e-9)
 
 
-def item_grams(benchmark: DataFrame) -> DataFrame:
-    """item_id, gram, at, words for each n-gram of each item; shorter items have none and can't be found."""
+def item_grams(items: DataFrame, least: float = LEAK) -> DataFrame:
+    """item, gram, times, words, hits for each word pair of each item (item, text): at least `hits` of them are in a leak.
+
+    Where neighbours alone prove nothing, words with one between them count too, and one hit is enough.  Items of which a
+    single matching word reaches `least` (at LEAK: of one or two words) have none and can't be found.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher()
         for part in parts:
-            ids = part["item_id"].tolist()
-            rows = [(ids[i], int(g), k, len(s)) for i, grams, s, _ in _grams([plain(t) for t in part["text"]], hasher) for k, g in enumerate(grams.view(np.int64))]
-            yield pd.DataFrame(rows, columns=["item_id", "gram", "at", "words"])
+            keys, rows = part["item"].tolist(), []
+            for i, w in _words([plain(t) for t in part["text"]], hasher):
+                if least * MATCH * len(w) > MATCH:
+                    hits = least_hits(len(w), least)
+                    grams = _pairs(w, 1) if hits >= 1 else np.concatenate([_pairs(w, 1), _pairs(w, 2)])
+                    rows += [(keys[i], g, k, len(w), max(hits, 1)) for g, k in Counter(grams.view(np.int64).tolist()).items()]
+            yield pd.DataFrame(rows, columns=["item", "gram", "times", "words", "hits"])
 
-    return benchmark.selectExpr("cast(item_id as bigint) item_id", "text").filter("item_id is not null").mapInPandas(run, "item_id long, gram long, at int, words int")
+    return items.select("item", "text").mapInPandas(run, "item long, gram long, times int, words int, hits int")
 
 
 def _filter(grams: DataFrame) -> np.ndarray:
@@ -90,16 +105,27 @@ def _filter(grams: DataFrame) -> np.ndarray:
     return bits
 
 
+def _hits(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of a text's pairs, with at most one word between, that pass the filter."""
+    at, grams = [], []
+    for apart in (1, 2):
+        g = _pairs(words, apart)
+        hit = np.flatnonzero(known[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+        at.append(hit)
+        grams.append(g[hit])
+    return np.concatenate(at), np.concatenate(grams)
+
+
 def gram_frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """gram, df over all documents, for the n-grams of the benchmark."""
+    """gram, df over all documents, for the word pairs of the benchmark."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(grams)))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher(), np.unpackbits(bits.value).astype(bool)
         for batch in rows:
             seen: Counter = Counter()
-            for _, g, _, _ in _grams([plain(t) for t in batch.column(0).to_pylist()], hasher):
-                hit = g[known[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]]
+            for _, words in _words([plain(t) for t in batch.column(0).to_pylist()], hasher):
+                _, hit = _hits(words, known)
                 if len(hit):
                     seen.update(np.unique(hit).view(np.int64).tolist())
             yield pa.record_batch({"gram": pa.array(list(seen), pa.int64()), "df": pa.array(list(seen.values()), pa.int64())})
@@ -109,10 +135,17 @@ def gram_frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def rare_seeds(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """item_id, gram: per item the n-grams that are no more frequent than its median one."""
-    counted = grams.select("item_id", "gram").distinct().join(gram_frequencies(docs, grams), "gram", "left").fillna(0, ["df"])
-    middle = Window.partitionBy("item_id")
-    return counted.withColumn("half", F.percentile("df", 0.5).over(middle)).filter("df <= half").select("item_id", "gram")
+    """item, gram, times, need: per item its pairs without the most frequent ones, and how many of those left a leak has at least."""
+    counted = grams.join(gram_frequencies(docs, grams), "gram", "left").fillna(0, ["df"])
+    common = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("df"), "gram"))
+    counted = counted.withColumn("left_out", F.when(common <= F.floor(F.col("hits") / 2), F.col("times")).otherwise(0))
+    need = F.col("hits") - F.sum("left_out").over(Window.partitionBy("item"))
+    return counted.withColumn("need", need).filter("left_out = 0").select("item", "gram", "times", "need")
+
+
+def _block_bit(doc, block):
+    """The place of a block of a document in a filter; on columns, numbers and arrays."""
+    return doc % (1 << 40) * 1_000_003 + block * 7919
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFrame:
@@ -120,48 +153,83 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
     alignment reaches `least` of an exact copy's score; words are counted from 0 in the document.
 
     Null and empty texts have no leaks.  Rows with one doc_id count as one document.  Rows without doc_id or item_id
-    are left out of the pairs.  Empty tables give an empty result.
+    are left out of the pairs.  Empty tables give an empty result.  For items too short to be found, see item_grams.
     """
-    grams = materialise(item_grams(benchmark))
+    items = materialise(benchmark.selectExpr("cast(item_id as bigint) item_id", "text").filter("item_id is not null and text is not null").distinct().withColumn("item", F.xxhash64("item_id", "text")))
+    grams = materialise(item_grams(items, least))
     seeds = materialise(rare_seeds(docs, grams))
-    longest = grams.agg(F.max("words")).first()[0] or 0
-    reach = longest + 8
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(seeds)))
+    # An alignment that reaches `least` covers no more words than this, so it lies within one of the blocks of twice as many.
+    step = math.ceil((3 - MATCH * least) * (grams.agg(F.max("words")).first()[0] or 1)) + 1
+    context = docs.sparkSession.sparkContext
+    bits = context.broadcast(np.packbits(_filter(seeds)))
+    mask = (1 << FILTER_BITS) - 1
 
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher(), np.unpackbits(bits.value).astype(bool)
         for batch in rows:
             ids = batch.column(0).to_pylist()
-            texts = [plain(t) for t in batch.column(1).to_pylist()]
-            out: dict[str, list] = {"doc_id": [], "from_word": [], "passage": [], "grams": []}
-            for i, g, start, end in _grams(texts, hasher):
-                hits = np.flatnonzero(known[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-                if ids[i] is None or not len(hits):
+            out: tuple[list, list, list] = ([], [], [])
+            for i, words in _words([plain(t) for t in batch.column(1).to_pylist()], hasher):
+                at, g = _hits(words, known)
+                if ids[i] is None or not len(g):
+                    continue
+                last = max(0, -(-len(words) // step) - 2)
+                block = at // step
+                both = np.concatenate([np.minimum(block, last), np.clip(block - 1, 0, last)])
+                order = np.lexsort((g2 := np.concatenate([g, g]), both))
+                both, g2 = both[order], g2[order].view(np.int64)
+                new = np.append(True, (both[1:] != both[:-1]) | (g2[1:] != g2[:-1]))
+                both, g2 = both[new], g2[new]
+                out[0].append(np.full(len(g2), ids[i], np.int64))
+                out[1].append(both)
+                out[2].append(g2)
+            yield pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in out], ["doc_id", "block", "gram"])
+
+    texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    hits = texts.mapInArrow(find, "doc_id long, block long, gram long").join(seeds, "gram")
+    # Rows with one doc_id may repeat a hit, which can only add candidates.
+    found = hits.groupBy("doc_id", "block", "item").agg(F.sum("times").alias("n"), F.first("need").alias("need")).filter("n >= need")
+    found = materialise(found.select("doc_id", "block", "item"))
+    wanted = np.zeros(mask + 1, dtype=bool)
+    for (i,) in found.select(_block_bit(F.pmod("doc_id", F.lit(1 << 40)), F.col("block")).bitwiseAND(mask).alias("i")).distinct().toLocalIterator():
+        wanted[i] = True
+    blocks = context.broadcast(np.packbits(wanted))
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(blocks.value).astype(bool)
+        for batch in rows:
+            out: tuple[list, list, list] = ([], [], [])
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if doc is None or not text:
                     continue
-                for group in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach) + 1):
-                    a, b = max(0, group[0] - reach), min(len(start), group[-1] + SEED_WORDS + reach)
-                    out["doc_id"].append(ids[i])
-                    out["from_word"].append(int(a))
-                    out["passage"].append(texts[i][start[a] : end[b - 1]].decode(errors="replace"))
-                    out["grams"].append(np.unique(g[group]).view(np.int64).tolist())
-            yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["from_word"], pa.int32()), pa.array(out["passage"], pa.string()), pa.array(out["grams"], pa.list_(pa.int64()))], ["doc_id", "from_word", "passage", "grams"])
-
-    passages = materialise(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(cut, "doc_id long, from_word int, passage string, grams array<long>"))
-    pairs = passages.select("doc_id", "from_word", F.explode("grams").alias("gram")).join(seeds, "gram").groupBy("doc_id", "from_word", "item_id").agg(F.count("*").alias("n"))
-    items = benchmark.selectExpr("cast(item_id as bigint) item_id", "text item").filter("item_id is not null and item is not null")
+                may = np.flatnonzero(known[_block_bit(doc, np.arange(len(text) // step + 1)) & mask])
+                if len(may):
+                    words = plain(text).split()
+                    for k in may.tolist():
+                        if k * step < len(words):
+                            out[0].append(doc)
+                            out[1].append(k)
+                            out[2].append(b" ".join(words[k * step : (k + 2) * step]).decode(errors="replace"))
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "block", "passage"])
+
+    passages = texts.mapInArrow(cut, "doc_id long, block long, passage string")
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for doc, item, at, text, passage in zip(part["doc_id"], part["item_id"], part["from_word"], part["item"], part["passage"], strict=True):
-                number: dict[str, int] = {}
-                x, y = (np.array([number.setdefault(w, len(number)) for w in t.split()]) for t in (plain(text).decode(errors="replace"), passage))
+            for doc, item, block, text, passage in zip(part["doc_id"], part["item_id"], part["block"], part["text"], part["passage"], strict=True):
+                number: dict[bytes, int] = {}
+                own, other = plain(text).split(), passage.encode().split()
+                goal = least * MATCH * len(own)
+                if MATCH * sum((Counter(own) & Counter(other)).values()) < goal:
+                    continue
+                x, y = (np.array([number.setdefault(w, len(number)) for w in t]) for t in (own, other))
                 best, s, e = align(x, y)
-                if best >= least * MATCH * len(x):
-                    rows.append((doc, item, best / (MATCH * len(x)), at + s, at + e))
+                if best >= goal:
+                    rows.append((doc, item, best / (MATCH * len(x)), block * step + s, block * step + e))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-    scored = passages.drop("grams").join(pairs, ["doc_id", "from_word"]).join(items, "item_id").select("doc_id", "item_id", "from_word", "item", "passage")
+    scored = passages.join(found.join(items, "item"), ["doc_id", "block"]).select("doc_id", "item_id", "block", "text", "passage")
     scored = scored.mapInPandas(judge, "doc_id long, item_id long, score double, start_word long, end_word long")
     best = F.max(F.struct("score", -F.col("start_word"), -F.col("end_word")))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))

@@ -142,6 +142,37 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_are_those_of_all_alignments(spark):
+    """Held against aligning every document with every item: 10 to 60 % edits, hundreds of equal edited copies, exact copies beside, frequent words."""
+    r = random.Random(23)
+    speak = lambda n: [r.choice(("the", "of", "a", "in")) if r.random() < 0.3 else f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(n)]
+    items = [speak(n) for n in (3, 4, 5, 6, 8, 8, 15, 25, 40, 40, 60)]
+
+    def edited(item, share):
+        out = []
+        for w in item:
+            out += [w] if r.random() >= share else r.choice(([], ["new"], [w, "more"], ["other"]))
+        return out
+
+    texts = [speak(r.randint(0, 300)) + edited(r.choice(items), r.choice((0.1, 0.2, 0.3, 0.45, 0.6))) + speak(r.randint(0, 300)) for _ in range(200)]
+    third = [w if k % 3 < 2 else f"x{k}" for k, w in enumerate(items[8])]  # no three words in a row are left, yet half of the score
+    fourth = [w if k % 4 < 3 else f"y{k}" for k, w in enumerate(items[9])]  # a quarter changed: fewer than half of the 3-grams are left
+    spread = [x for w in items[7] for x in (w, "gap")]
+    texts += [third, spread, items[9]] + [speak(20) + fourth + speak(20)] * 300
+    ids, number = {}, lambda t: np.array([ids.setdefault(w, len(ids)) for w in t])
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            if len(t) and (score := decontaminate.align(number(item), number(t))[0]) >= len(item):
+                want[d, i] = score / (2 * len(item))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(frame(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert {k: x.score for k, x in got.items()} == want
+    assert (200, 8) in got and (201, 7) in got and all((d, 9) in got for d in range(202, 503))
+    for (d, i), x in got.items():
+        assert decontaminate.align(number(items[i]), number(texts[d][x.start_word : x.end_word]))[0] == x.score * 2 * len(items[i])
+
+
 def test_substrings(spark):
     r = random.Random(13)
     shared = words(r, 60)
