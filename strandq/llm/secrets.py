@@ -1,21 +1,23 @@
 """Secret scans with a recursive decoding worklist.
 
-Each text is scanned as it stands.  Then encoded stretches (URL escapes, Unicode escapes, base64, and zlib or gzip
-data inside base64) are decoded, each layer is scanned again, and its stretches join the worklist until nothing new
-appears; a layer seen before within the same text (a cycle) is not decoded again.  A find in a decoded layer is mapped
-to the stretch of the original text that holds it.
+Each text is scanned as it stands.  Then its URL and Unicode escapes are decoded where they stand, so that the text
+around them stays, and encoded stretches (base64, also over line ends, and zlib or gzip data inside) are decoded; each
+layer is scanned again and joins the worklist until nothing new appears; a layer seen before within the same text (a
+cycle) is not decoded again.  A find in a decoded layer is mapped to the stretch of the original text that holds it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -26,11 +28,16 @@ ASSIGN = re.compile(rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 URL = re.compile(r"(?<![A-Za-z0-9._~+-])[A-Za-z0-9._~+-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+-]*+)+")  # from a run's start only, so that long runs take linear time
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};){2,}")
+FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+")  # escapes alone, where the text between has become words
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over line ends; what stands before it on lines of its own may shift it, so it is read from four places.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++")
+_OCTETS = re.compile(r"(?:%[0-7][0-9A-Fa-f])|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
-#: A compressed layer is read up to this many bytes; what a bomb would unpack beyond is not scanned.
-LAYER_BYTES = 1 << 24
+_PACKED = re.compile("e[A-P]|H4s")  # how zlib and gzip data begin in base64
+#: Compressed layers are read to their end, in windows of about LAYER_BYTES that overlap by CARRY characters.
+LAYER_BYTES, CARRY = 1 << 24, 1 << 22
 
 
 def scan(text: str) -> Iterator[tuple[str, int, int]]:
@@ -49,41 +56,137 @@ def _escape(m: re.Match) -> str:
     return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else m[0]
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text if they are UTF-8, after unpacking zlib or gzip data."""
-    if raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b":
+def _bytes(s: str) -> bytes:
+    body = s.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _octet_text(s: str) -> str:
+    """Base64 as text with a character for each byte: the patterns are ASCII, and places can be told."""
+    return _bytes(s).decode("latin-1")
+
+
+def _inflated(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """zlib or gzip data (members too) in parts of some MB at most, as far as it can be unpacked, and how much was read."""
+    at, unpack = 0, zlib.decompressobj(47)
+    while at < len(raw):
+        part, before = raw[at : at + 4096], unpack.copy()
+        at += len(part)
         try:
-            raw = zlib.decompressobj(47).decompress(raw, LAYER_BYTES)
-        except zlib.error:
-            return None
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text[:64]) else None
+            yield unpack.decompress(part), at - len(unpack.unused_data)
+        except zlib.error:  # what comes before the damage
+            for k in range(len(part)):
+                try:
+                    yield before.decompress(part[k : k + 1]), at - len(part) + k + 1
+                except zlib.error:
+                    return
+        if unpack.eof:
+            at -= len(unpack.unused_data)
+            if raw[at : at + 2] != b"\x1f\x8b":
+                return
+            unpack = zlib.decompressobj(47)
 
 
-def _base64(s: str) -> str | None:
-    body = s.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return _readable(base64.b64decode(body + "=" * (-len(body) % 4)))
-    except (binascii.Error, ValueError):
-        return None
-
-
-def layers(text: str) -> Iterator[tuple[int, int, str]]:
-    """Encoded stretches of a text: start, end and what they decode to."""
-    if "%" in text:
-        for m in URL.finditer(text):
-            yield m.start(), m.end(), urllib.parse.unquote(m[0], errors="replace")
-    if "\\" in text or "&#" in text:
-        for m in UNICODE.finditer(text):
-            yield m.start(), m.end(), _ESCAPE.sub(_escape, m[0])
+def _unpacked(raw: bytes) -> Iterator[str]:
+    """Compressed data as windows of text, each with the last CARRY characters of the one before."""
+    decoder, tail, held = codecs.getincrementaldecoder("utf-8")("replace"), "", []
+    size = 0
+    for part, _ in _inflated(raw):
+        held.append(part)
+        size += len(part)
+        if size >= LAYER_BYTES:
+            window = tail + decoder.decode(b"".join(held))
+            yield window
+            tail, held, size = window[-CARRY:], [], 0
+    if size:
+        yield tail + decoder.decode(b"".join(held), True)
+
+
+def _base64(s: str) -> Iterator[str]:
+    raw = _bytes(s)
+    yield raw.decode(errors="replace")
+    if raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b":
+        yield from _unpacked(raw)
+
+
+def _octets(m: re.Match) -> str:
+    return urllib.parse.unquote(m[0], errors="replace")
+
+
+class Layer(NamedTuple):
+    """A text, and for each of its characters where it comes from: the stretch of the original text, one stretch for all, or (None) just there."""
+
+    text: str
+    start: np.ndarray | int | None = None
+    end: np.ndarray | int | None = None
+
+    def stretch(self, a: int, b: int) -> tuple[int, int]:
+        if self.start is None:
+            return a, b
+        return (self.start, self.end) if isinstance(self.start, int) else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+
+
+def _unescaped(layer: Layer, stretches: re.Pattern, escapes: re.Pattern, decode: Callable[[re.Match], str]) -> Layer:
+    """The whole layer with its escapes decoded.  What an escape decodes to comes from the stretch of escapes around it."""
+    text, at, pieces, starts, ends = layer.text, 0, [], [], []
+    if layer.start is None and escapes.search(text):
+        layer = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
+    whole = isinstance(layer.start, int)
+    for run in stretches.finditer(text):
+        s, e = layer.stretch(*run.span())
+        for m in escapes.finditer(text, *run.span()):
+            new = decode(m)
+            pieces += [text[at : m.start()], new]
+            if not whole:
+                starts += [layer.start[at : m.start()], np.full(len(new), s)]
+                ends += [layer.end[at : m.start()], np.full(len(new), e)]
+            at = m.end()
+    if not pieces:
+        return layer
+    out = "".join([*pieces, text[at:]])
+    return Layer(out, layer.start, layer.end) if whole else Layer(out, np.concatenate([*starts, layer.start[at:]]), np.concatenate([*ends, layer.end[at:]]))
+
+
+def layers(layer: Layer) -> Iterator[Layer]:
+    """What a layer decodes to: itself without escapes, and its base64 stretches."""
+    text = layer.text
+    if "%" in text and (plain := _unescaped(layer, URL, _OCTETS, _octets)).text != text:
+        yield plain
+        if "+" in text:  # a blank in forms
+            yield _unescaped(layer._replace(text=text.replace("+", " ")), FORM, _OCTETS, _octets)
+    if ("\\" in text or "&#" in text) and (plain := _unescaped(layer, UNICODE, _ESCAPE, _escape)).text != text:
+        yield plain
     for m in BASE64.finditer(text):
-        if (decoded := _base64(m[0])) is not None:
-            yield m.start(), m.end(), decoded
+        for k in range(4 if m.start() == 0 and len(text) > CARRY else 1):  # a window may begin within a stretch
+            for decoded in _base64(m[0][k:]):
+                yield Layer(decoded, *layer.stretch(*m.span()))
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            yield from _wrapped(layer, m)
+
+
+def _wrapped(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """Base64 over line ends; what is found in it comes from the lines that it covers."""
+    lines = [(x.start(), x.end()) for x in re.compile(r"[^\s]+").finditer(layer.text, *m.span())]
+    body = "".join(layer.text[a:b] for a, b in lines)
+    if len(body) < 16:
+        return
+    lines[-1] = lines[-1][0], m.end() + re.match("={0,2}", layer.text[m.end() : m.end() + 2]).end()
+    first = np.cumsum([0, *(b - a for a, b in lines[:-1])])
+    start, end = np.array([layer.stretch(a, b) for a, b in lines]).T
+    line = lambda i: np.minimum(np.searchsorted(first, i, side="right") - 1, len(lines) - 1)
+    for k in range(4):
+        text = _octet_text(body[k:])
+        bit = 8 * np.arange(len(text))
+        yield Layer(text, start[line(k + bit // 6)], end[line(k + (bit + 7) // 6)])
+    for i, (a, b) in enumerate(lines):
+        if _PACKED.match(layer.text, a, b):
+            raw = _bytes(body[first[i] :])
+            used = max((n for _, n in _inflated(raw)), default=0)
+            last = int(line(first[i] + (8 * used - 1) // 6)) if used else i
+            for text in _unpacked(raw):
+                yield Layer(text, int(start[i]), int(end[last]))
 
 
 def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -92,15 +195,22 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     base = sorted(scan(text), key=order)
     added: set[tuple[str, int, int]] = set()
     seen: set[bytes] = set()
-    work = list(layers(text))
+
+    work = [layers(Layer(text))]
     while work:
-        start, end, layer = work.pop()
-        key = blake2b(f"{start}:{end}:{layer}".encode(errors="replace"), digest_size=16).digest()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        whole = isinstance(layer.start, int)
+        key = blake2b(f"{(layer.start, layer.end) if whole else ''}:{layer.text}".encode(errors="replace"), digest_size=16).digest()
         if key in seen:
             continue
         seen.add(key)
-        added.update((kind, start, end) for kind, _, _ in scan(layer))
-        work += [(start, end, inner) for _, _, inner in layers(layer) if inner != layer]
+        for kind, a, b in scan(layer.text):
+            s, e = layer.stretch(a, b)
+            if whole or layer.text[a:b] != text[s:e]:  # what stands there as it is was the base scan's
+                added.add((kind, s, e))
+        work.append(layers(layer))
     return base, sorted(added - set(base), key=order)
 
 

@@ -246,6 +246,24 @@ def test_secrets_in_long_runs():
     assert base == [] and added == [("assign", 4, len(text))]
 
 
+def test_secrets_encoded_in_part():
+    """Single escapes anywhere in a secret, within its text; forms; base64 over line ends."""
+    find = lambda t: {k for k, _, _ in secrets.find_secrets(t)[1]}
+    for t in ("token\\u003dabcdefgh1234", "\\u0070\\u0061\\u0073\\u0073word=hunter22222", "password=%68unter22222", 'secret: "ab%2Fcdefghijk"', "password+%3D+hunter22222"):
+        assert secrets.find_secrets(f"see {t} now")[1] == [("assign", 4, 4 + len(t.rstrip('"')))], t
+        assert find("x " + base64.b64encode(f"see {t} now".encode()).decode()) == {"assign"}, t
+    for kind, t, must in (("assign", "password=hunter22", range(17)), ("access", "AKIA" + "Z" * 12, range(16)), ("hex", "0f" * 16, range(32))):
+        for k in must:
+            for code in (f"\\u{ord(t[k]):04x}", f"%{ord(t[k]):02X}", f"&#{ord(t[k])};"):
+                assert kind in find(f"é {t[:k]}{code}{t[k + 1:]} z"), (t, k, code)
+    assert secrets.find_secrets("password=abcdefgh%20x y")[1] == [] and secrets.find_secrets("token=abcdefgh+ijk 5%20")[1] == []
+    packed = base64.b64encode(b"some words before password = hunter22222 and some behind").decode()
+    for width in (4, 10, 64):
+        for head in ("", "word\n", "of\r\n"):
+            lines = "\n".join(packed[i : i + width] for i in range(0, len(packed), width))
+            assert find(f"a b: {head}{lines}\nthe end") == {"assign"}, (width, head)
+
+
 def test_exceptions_cover_their_hits():
     r = random.Random(3)
     m = toxicity.Model({" ba": 1.0, "ad ": 2.0, " bad ": 3.0}, [" bald ", " bad cat ", " cab "], []).matcher()
