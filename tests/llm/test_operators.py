@@ -264,6 +264,24 @@ def test_secrets_encoded_in_part():
             assert find(f"a b: {head}{lines}\nthe end") == {"assign"}, (width, head)
 
 
+def test_secrets_in_odd_layers():
+    """Layers with marks, control characters, odd bytes and damage are scanned, and compressed ones to their end."""
+    pack = lambda raw: base64.b64encode(raw).decode()
+    secret = b"password=hunter22222"
+    for raw in (b"\xef\xbb\xbf" + secret, b"\xc2\xa0\x0c\x1b" + secret, b"caf\xe9 " * 9 + secret, secret + b" \xc3", b"x" + secret):
+        for whole in (raw, gzip.compress(raw), zlib.compress(raw), gzip.compress(b"other") + gzip.compress(raw)):
+            t = pack(whole)
+            assert secrets.find_secrets(f"a {t} b")[1] == [("assign", 2, 2 + len(t))], whole
+    far = b"\xc3\xa9\n" * (secrets.LAYER_BYTES // 3 + 100_000) + b" " + secret
+    assert secrets.find_secrets(pack(zlib.compress(far)))[1]
+    over = b"\n" * (secrets.LAYER_BYTES - 10) + secret + b"\n" * 100
+    assert secrets.find_secrets(pack(zlib.compress(over)))[1]
+    noise = np.random.RandomState(5).bytes(30_000)
+    assert secrets.find_secrets(pack(zlib.compress(secret + b" " + noise)[:20_000]))[1]
+    t = base64.encodebytes(gzip.compress(words(random.Random(1), 60).encode() + b" " + secret)).decode()
+    assert secrets.find_secrets(f"of\n{t}end")[1] == [("assign", 3, 3 + len(t.rstrip()))]
+
+
 def test_exceptions_cover_their_hits():
     r = random.Random(3)
     m = toxicity.Model({" ba": 1.0, "ad ": 2.0, " bad ": 3.0}, [" bald ", " bad cat ", " cab "], []).matcher()
