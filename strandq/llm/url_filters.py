@@ -1,7 +1,8 @@
 """URL filters as a temporal list join, with DataFrame functions only.
 
 Dated list entries (a key is put on a list or taken off) become validity intervals; each capture is evaluated against
-the entries that were active when it was fetched.  Keys are hosts, parent domains, and hosts with leading path folders.
+the entries that were active when it was fetched.  Keys are hosts, parent domains, and hosts with any number of leading path
+folders; hosts in either case, folders as they stand.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("key", "list").orderBy("at")
     at = entries.filter("key is not null and list is not null and at is not null and action in ('add', 'remove')")
-    at = at.groupBy(F.lower("key").alias("key"), "list", "at").agg(F.max("action").alias("action"))
+    name = F.substring_index("key", "/", 1)
+    at = at.groupBy(F.concat(F.lower(name), F.substr("key", F.length(name) + 1)).alias("key"), "list", "at").agg(F.max("action").alias("action"))
     turns = at.withColumn("was", F.lag("action", 1, "remove").over(w)).filter("was <> action")
     return turns.withColumn("until", F.lead("at").over(w)).filter("action = 'add'").select("key", "list", F.col("at").alias("since"), "until")
 
@@ -28,13 +30,13 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+?)\.?(?::[0-9]*)?(?:[/?#]|$)", 1))
 
 
-def keys(url: Column, folders: int = 2) -> Column:
-    """The keys that can match a URL: its host, parent domains of two labels or more, and host with 1 to `folders` folders."""
+def keys(url: Column, folders: int | None = None) -> Column:
+    """The keys that can match a URL: its host, parent domains of two labels or more, and host with 1 to `folders` folders (None: all)."""
     h = host(url)
     labels = F.split(h, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, 100), "."))
     path = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1), "/"), lambda x: x != "")
-    deep = F.transform(F.sequence(F.lit(0), F.least(F.size(path), F.lit(folders))), lambda i: F.concat_ws("/", h, F.slice(path, 1, i)))
+    deep = F.transform(F.sequence(F.lit(0), F.size(path) if folders is None else F.least(F.size(path), F.lit(folders))), lambda i: F.concat_ws("/", h, F.slice(path, 1, i)))
     return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, deep)))
 
 
@@ -46,7 +48,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, row: str = "page_id", url:
     one task large: an equi-join on the key is split where it is skewed, and hits are combined per capture before
     they are shuffled.
     """
-    asked = captures.select(F.col(row).alias("_row"), F.explode(keys(F.col(url))).alias("key"), F.col(at).alias("_at")).filter("_row is not null and _at is not null")
+    deepest = entries.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
+    asked = captures.select(F.col(row).alias("_row"), F.explode(keys(F.col(url), deepest)).alias("key"), F.col(at).alias("_at")).filter("_row is not null and _at is not null")
     hits = asked.join(intervals(entries), "key").filter("_at >= since and (until is null or _at < until)")
     found = hits.groupBy("_row").agg(F.count_distinct("key", "list").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max(F.struct(F.length("key"), "key"))["key"].alias("matched"))
     return captures.join(found, F.col(row) == F.col("_row"), "left").drop("_row").withColumn("n_active", F.coalesce("n_active", F.lit(0)))

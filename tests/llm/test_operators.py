@@ -216,6 +216,13 @@ def test_url_filters(spark):
     assert url_filters.evaluate(pages.limit(0), entries).count() == 0 and url_filters.evaluate(pages, entries.limit(0)).count() == 8
 
 
+def test_url_filters_of_deep_and_capital_folders(spark):
+    entries = spark.createDataFrame([("h.org/a/b/c/d", "deep", 0, "add"), ("H.org/Ads", "case", 0, "add"), ("h.ORG/Ads", "case", 9, "remove")], "key string, list string, at int, action string")
+    pages = spark.createDataFrame([(1, "http://h.org/a/b/c/d/e?x", 5), (2, "http://h.org/a/b/c", 5), (3, "http://h.org/Ads/x", 5), (4, "http://h.org/ads/x", 5), (5, "http://h.org/Ads/x", 9)], "page_id long, url string, at int")
+    got = {r.page_id: r.matched for r in url_filters.evaluate(pages, entries).collect()}
+    assert got == {1: "h.org/a/b/c/d", 2: None, 3: "h.org/Ads", 4: None, 5: None}
+
+
 def test_chat(spark):
     turns = [(1, 0, "u", "hi"), (1, 1, "a", "yo"), (2, 0, "u", "hi"), (3, 0, "u", "hi"), (3, 1, "a", "yo"), (4, 0, "u", None), (None, 0, "u", "lost"), (5, 0, "u", "hi"), (5, 1, "a", "no")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
