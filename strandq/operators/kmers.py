@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +47,7 @@ def summary(table: DataFrame, k: int) -> DataFrame:
 
 
 def report(hist: DataFrame) -> DataFrame:
-    """The histogram with running shares of distinct and of all k-mers.  It has one row per value: few."""
+    """The histogram with running shares of distinct and of all k-mers.  It has a row per value, so at most sqrt(2 n) for n k-mers."""
     running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, t = F.col("occurrences"), F.col("occurrences") * F.col("value")
@@ -148,49 +146,43 @@ def extrema(curve: DataFrame) -> DataFrame:
     return curve.withColumn("kind", kind).filter("kind is not null")
 
 
-#: What the search for coverage peaks looks at: values below SPAN, extrema below REACH.
-SPAN, REACH = 1024, 100
+#: Turning points are sought at values from FIRST to below REACH of a histogram cut at SPAN; at most PEAKS count.
+FIRST, REACH, SPAN, PEAKS = 3, 100, 1024, 8
 
 
-def _between(h: np.ndarray, middle: int, reach: int, at: np.ndarray) -> np.ndarray:
-    """The polynomial through the points middle - reach to middle + reach of h, at some places."""
-    known = np.arange(max(middle - reach, 0), min(middle + reach, len(h) - 1) + 1)
-    out = np.zeros(len(at))
-    for k in known:
-        rest = known[known != k]
-        out += h[k] * np.prod((at[:, None] - rest) / (k - rest), axis=1)
-    return out
+def turning_points(curve: DataFrame) -> DataFrame:
+    """value, at, kind of the peaks and troughs of a curve (value, height) with a row for each whole value.
 
-
-def _turns(h: np.ndarray, reach: int, step: float = 0.025) -> list[float]:
-    """Places of troughs and peaks in turn, refined within 1.5 of each."""
-    falls, found = np.diff(h) < 0, []
-    for i in range(3, REACH):
-        if falls[i - 1] != falls[i]:
-            at = np.arange(i - 1.5, i + 1.5 + step * 1.1, step)
-            y = _between(h, i, reach + 1, at)
-            found.append(float(at[y.argmin() if falls[i - 1] else y.argmax()]))
-    return found
+    Stretches of equal height count as one step, whose middle is the place; elsewhere the place is where the parabola
+    through the step and its two neighbours turns.  All rows meet in one window: for curves of a bounded length.
+    """
+    w = Window.orderBy("value")
+    steps = curve.withColumn("_old", F.lag("height").over(w)).filter("_old is null or _old <> height")
+    h, left, right, stop = F.col("height"), F.lag("height").over(w), F.lead("height").over(w), F.lead("value").over(w)
+    steps = steps.select("value", h, left.alias("l"), right.alias("r"), stop.alias("stop"))
+    kind = F.expr("case when height > l and height > r then 'peak' when height < l and height < r then 'trough' end")
+    at = F.expr("case when stop = value + 1 then value + (l - r) / (2 * (l - 2 * height + r)) else (value + stop - 1) / 2 end")
+    return steps.select("value", at.cast("double").alias("at"), kind.alias("kind")).filter("kind is not null")
 
 
 def peaks(hist: DataFrame, t: float = 0.5, width: int = 9) -> DataFrame:
     """peak, ploidy, coverage for peaks 1 to 8 of a histogram (value, occurrences), and as peak 0 the trough between noise and data.
 
-    The trough is sought on the histogram as it is, peaks on the smoothed one; the highest peak gets ploidy 1 and the
-    others follow by halves.  A peak that isn't there has coverage 0.  Values from SPAN on have no effect, so one task
-    with at most SPAN rows does for any input; an empty histogram gives no row.
+    The trough is the first one of the histogram as it is, as smoothing would move it; peaks are those of the smoothed
+    one.  Peak i has ploidy i, halved as often as peaks lie before the highest one.  What isn't there has coverage 0.
+    Values from SPAN on have no effect, so that fewer than SPAN rows are fetched, once, and seen by windows; an empty
+    histogram gives no row.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h = np.zeros(SPAN)
-        np.add.at(h, rows["value"].to_numpy(int), rows["occurrences"].to_numpy(float))
-        d = np.arange(-width, width + 1)
-        s = np.convolve(h, np.exp(-(d**2) / (4 * t)) / np.sqrt(4 * np.pi * t), "same")
-        raw, smooth = _turns(h, 3), _turns(s, 4)
-        coverage = [raw[0] if raw else 0.0, *(smooth[2 * i - 1] if 2 * i - 1 < len(smooth) else 0.0 for i in range(1, 9))]
-        height = [0.0, *(float(_between(h, round(x), 3, np.array([x]))[0]) if x else float("-inf") for x in coverage[1:])]
-        top = max(range(1, 9), key=lambda i: (height[i], -i))
-        return pd.DataFrame({"peak": range(9), "ploidy": [i / 2 ** (top - 1) for i in range(9)], "coverage": coverage})
-
-    small = hist.filter((F.col("value") >= 1) & (F.col("value") < SPAN)).groupBy("value").agg(F.sum("occurrences").alias("occurrences"))
-    return small.groupBy().applyInPandas(run, "peak int, ploidy double, coverage double")
+    spark = hist.sparkSession
+    small = hist.filter((F.col("value") >= 1) & (F.col("value") < SPAN)).groupBy("value").agg(F.sum("occurrences").cast("long").alias("occurrences"))
+    small = spark.createDataFrame(small.collect(), "value long, occurrences long").coalesce(1)
+    dense = spark.range(1, SPAN, numPartitions=1).select(F.col("id").alias("value")).join(small, "value", "left").select("value", F.coalesce("occurrences", F.lit(0)).alias("occurrences"))
+    near = F.col("value").between(FIRST, REACH - 1)
+    raw = turning_points(dense.select("value", F.col("occurrences").cast("double").alias("height"))).filter(near & (F.col("kind") == "trough"))
+    even = smoothed(dense, t, width).select("value", F.round("smooth", 6).alias("height"))  # rounded, so that no turn is a sum's last bit
+    tops = turning_points(even).filter(near & (F.col("kind") == "peak")).withColumn("peak", F.row_number().over(Window.orderBy("value"))).filter(F.col("peak") <= PEAKS)
+    found = tops.join(dense, "value").select("peak", "at", "occurrences").unionByName(raw.agg(F.min("at").alias("at")).select(F.lit(0).alias("peak"), "at", F.lit(-1).cast("long").alias("occurrences")))
+    highest = found.agg(F.max(F.struct("occurrences", -F.col("peak"), F.col("peak").alias("top")))["top"].alias("top"))
+    slots = spark.range(0, PEAKS + 1, numPartitions=1).select(F.col("id").cast("int").alias("peak"))
+    rows = slots.join(found.select("peak", "at"), "peak", "left").crossJoin(F.broadcast(highest)).join(F.broadcast(small.limit(1).select(F.lit(1).alias("some"))))
+    return rows.select("peak", (F.col("peak") / F.pow(F.lit(2.0), F.greatest(F.col("top"), F.lit(1)) - 1)).alias("ploidy"), F.coalesce("at", F.lit(0.0)).alias("coverage"))

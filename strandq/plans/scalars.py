@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, random_numbers, text
 from ..operators import alignment, kmers, records
-from .registry import PR, db, pr, query, table
+from .registry import KMERS, PR, SMOOTH, K, pr, query, reads, table
 
 # A number whose highest bit can be set, in Spark (long) and in SQL (as text of 64 bits).
 WIDE = "o_orderkey * 40503 + 12345"
@@ -140,7 +140,15 @@ def rng01_numbers(spark, d):
     return n.select("s_suppkey", "y", random_numbers.real_open(F.col("y")[0]).alias("open"), random_numbers.real_53(F.col("y")[0], F.col("y")[1]).alias("fine"), random_numbers.exponential(F.col("y")[0], 1.0, 2.0).alias("waiting"), random_numbers.gaussian(F.col("y")).alias("normal"))
 
 
-@query()
+K7 = KMERS.replace(f"- {K - 1}", "- 6").replace(f">= {K}", ">= 7").replace(f"+ 1, {K})", "+ 1, 7)")
+TURNS = ("{1}a as (select value, height, lag(height) over (order by value) as old from {0}), {1}b as (select value, height, lag(height) over (order by value) as l, lead(height) over (order by value) as r, lead(value) over (order by value) as stop from {1}a where old is null or old <> height), "
+         "{1} as (select value, case when stop = value + 1 then value + (l - r) / (2 * (l - 2 * height + r)) else (value + stop - 1) / 2 end as spot, case when height > l and height > r then 'peak' else 'trough' end as kind from {1}b where ((height > l and height > r) or (height < l and height < r)) and value between 3 and 99)")
+
+
+@query(f"with {K7}, w as (select kmer, count(*) as value from can group by kmer), small as (select value, count(*) as n from w where value < 1024 group by value), dense as (select g.value, coalesce(n, 0)::double as height from (select unnest(range(1, 1024)) as value) g left join small s on g.value = s.value), "
+       f"o as (select unnest(range(-9, 10)) as o), even as (select a.value, round(sum(b.height * {SMOOTH}), 6) as height from dense a join o on true join dense b on b.value = a.value + o.o group by a.value), {TURNS.format('dense', 'tr')}, {TURNS.format('even', 'te')}, "
+       "tops as (select te.value, te.spot, d.height, row_number() over (order by te.value) as peak from te join dense d on d.value = te.value where te.kind = 'peak'), found as (select peak, spot, height from tops where peak <= 8 union all select 0, min(spot), -1 from tr where kind = 'trough'), "
+       "high as (select arg_max(peak, height * 100 - peak) as top from found) select cast(s.peak as int) as peak, s.peak / pow(2, greatest(top, 1) - 1) as ploidy, round(coalesce(spot, 0), 4) as coverage from (select unnest(range(0, 9)) as peak) s left join found f on f.peak = s.peak join high on true where exists (select 1 from small)")
 def agg06_peaks(spark, d):
-    """Coverage peaks of the histogram of k-mer counts."""
-    return kmers.peaks(db(spark, d).groupBy("value").agg(F.count("*").alias("occurrences")))
+    """Coverage peaks of the histogram of 7-mer counts."""
+    return kmers.peaks(kmers.histogram(kmers.count(reads(spark, d), 7))).withColumn("coverage", F.round("coverage", 4))
