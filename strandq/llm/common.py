@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK40 = np.uint64((1 << 40) - 1)
@@ -21,11 +20,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; only where that is unset (tests) one is chosen here."""
+    """A new path below spark.checkpoint.dir, a folder that the driver and all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandq-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/strandq-{uuid.uuid4().hex}"
 
 
@@ -36,6 +34,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame, **keys: Column) -> DataFrame:
+    """row_, a struct of all of df's columns, and some computed from them: no name of df's can clash with later ones."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row_"), *(c.alias(k) for k, c in keys.items()))
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns out of row_ and new ones, which replace those of their name."""
+    taken = {k.lower() for k in new}
+    return df.select(*(F.col("row_").getField(c).alias(c) for c in columns if c.lower() not in taken), *(c.alias(k) for k, c in new.items()))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums of products become evenly spread hashes."""
     x = x ^ (x >> np.uint64(31))

@@ -40,20 +40,37 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-#: A dated list made from the hosts of the pages themselves: additions and removals on days given by a digest of the host.
-_DAY = "cast(conv(substring(md5(concat({0}, host)), 1, 4), 16, 10) as int)"
+#: A dated list made from the pages themselves: hosts, domains and folders, on days given by a digest.
+_DAY = "cast(conv(substring(md5(concat('{0}', name)), 1, 4), 16, 10) as int)"
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages with a day of capture, and entries: added, added again, taken off, added once more; deep folders, capitals, removals of what isn't there."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.expr("cast(page_id * 7919 % 400 as int)").alias("at"))
-    hosts = pages.select(url_filters.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
-    day = lambda salt: F.expr(_DAY.format(f"'{salt}'"))
-    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    added = hosts.filter(day("p") % 3 == 0).select(F.col("host").alias("key"), F.when(day("l") % 2 == 0, "spam").otherwise("adult").alias("list"), (day("a") % 400).alias("at"), F.lit("add").alias("action"), (day("a") % 400 + 30 + day("b") % 100).alias("end"))
-    folder = hosts.filter(day("f") % 4 == 0).select(F.concat("host", F.lit("/en")).alias("key"), F.lit("pages").alias("list"), (day("c") % 400).alias("at"), F.lit("add").alias("action"), (day("c") % 400 + 200).alias("end"))
-    wide = hosts.select(domain.alias("host")).distinct().select(F.col("host").alias("key"), F.lit("wide").alias("list"), (day("w") % 300).alias("at"), F.lit("add").alias("action"), (day("w") % 300 + 60).alias("end"))
-    every = added.unionByName(folder).unionByName(wide)
-    return pages, every.drop("end").unionByName(every.select("key", "list", F.col("end").alias("at"), F.lit("remove").alias("action")))
+    host = url_filters.host(F.col("url"))
+    folder = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+/([^/?#]+)/[0-9]", 1)
+    number = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+/[^/?#]+/([^/?#]+)", 1)
+    hosts = pages.select(host.alias("name")).filter("name <> ''").distinct()
+    wide = hosts.select(F.regexp_extract("name", r"([^.]+\.[^.]+)$", 1).alias("name")).distinct()
+    first = pages.select(F.concat_ws("/", host, folder).alias("name")).filter(folder != "").distinct()
+    deep = pages.select(F.concat_ws("/", host, folder, number).alias("name")).filter((folder != "") & (number != "")).distinct()
+    day = lambda salt: F.expr(_DAY.format(salt))
+    dated = lambda rows, key, name, n, turns: rows.filter(day("p") % n == 0).select(key.alias("key"), name.alias("list"), F.explode(F.array(*(F.struct(at.cast("int").alias("at"), F.lit(what).alias("action")) for at, what in turns))).alias("e")).select("key", "list", "e.*")
+    k = F.col("name")
+    a, b = day("a") % 200, day("b") % 60
+    turns = [(a, "add"), (a + b, "add"), (a + 100, "remove"), (a + 130, "remove"), (a + 160, "add"), (a + 160 + b, "remove")]
+    every = [
+        dated(hosts, F.when(a % 2 == 0, k).otherwise(F.upper(k)), F.when(day("l") % 2 == 0, "spam").otherwise("adult"), 3, turns),
+        dated(wide, k, F.lit("wide"), 1, [(a, "add"), (a + 90, "remove"), (a + 90, "add")]),
+        dated(first, k, F.lit("pages"), 2, turns),
+        dated(first, F.upper(k), F.lit("capitals"), 2, [(a, "add")]),
+        dated(deep, k, F.lit("page"), 5, [(b, "remove"), (a, "add")]),
+        dated(deep, F.concat(k, F.lit("/a/b")), F.lit("deeper"), 3, [(a, "add")]),
+    ]
+    out = every[0]
+    for x in every[1:]:
+        out = out.unionByName(x)
+    return pages, out
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,28 +78,41 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.evaluate(*_captures(spark, sf_dir)).select("page_id", "at", "n_active", "lists", "matched")
 
 
+# Held against the dated entries themselves: the last one of a key and list up to the day of capture decides.
 OP6_SQL = r"""
 with pages1 as (
   select page_id, url, cast(page_id * 7919 % 400 as int) as at, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) as host,
-         split_part(regexp_extract(url, '^[A-Za-z]+://[^/?#]+/([^?#]*)', 1), '/', 1) as folder
+         regexp_extract(url, '^[A-Za-z]+://[^/?#]+/([^/?#]+)/[0-9]', 1) as folder, regexp_extract(url, '^[A-Za-z]+://[^/?#]+/[^/?#]+/([^/?#]+)', 1) as number,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]+/([^?#]*)', 1), '/'), lambda x: x <> '') as path
   from pages),
-hosts as (select distinct host from pages1 where host <> ''),
-d as (select host, {p} as p, {l} as l, {a} as a, {b} as b, {f} as f, {c} as c from hosts),
-wide as (select distinct regexp_extract(host, '([^.]+\.[^.]+)$', 1) as host from hosts),
-w as (select host, {w} as w from wide),
-valid as (
-  select host as key, case when l % 2 = 0 then 'spam' else 'adult' end as list, a % 400 as since, a % 400 + 30 + b % 100 as until from d where p % 3 = 0
-  union all select host || '/en', 'pages', c % 400, c % 400 + 200 from d where f % 4 = 0
-  union all select host, 'wide', w % 300, w % 300 + 60 from w),
-hit as (
-  select p.page_id, v.key, v.list from pages1 p join valid v on v.key = p.host and p.at >= v.since and p.at < v.until
-  union select p.page_id, v.key, v.list from pages1 p join valid v on v.key = p.host || '/' || p.folder and p.at >= v.since and p.at < v.until
-  union select p.page_id, v.key, v.list from pages1 p join valid v on v.key = regexp_extract(p.host, '([^.]+\.[^.]+)$', 1) and p.at >= v.since and p.at < v.until),
+names as (
+  select distinct 'host' as kind, host as name from pages1 where host <> ''
+  union select 'wide', regexp_extract(host, '([^.]+\.[^.]+)$', 1) from pages1
+  union select 'first', host || '/' || folder from pages1 where folder <> ''
+  union select 'deep', host || '/' || folder || '/' || number from pages1 where folder <> '' and number <> ''),
+d as (select kind, name, {p} as p, {l} as l, {a} % 200 as a, {b} % 60 as b from names),
+six as (select kind, name, p, l, a, unnest([[a, 1], [a + b, 1], [a + 100, 0], [a + 130, 0], [a + 160, 1], [a + 160 + b, 0]]) as e from d),
+entries as (
+  select name as key, case when l % 2 = 0 then 'spam' else 'adult' end as list, e[1] as day, e[2] as on_ from six where kind = 'host' and p % 3 = 0
+  union all select name, 'pages', e[1], e[2] from six where kind = 'first' and p % 2 = 0
+  union all select name, 'wide', a, 1 from d where kind = 'wide'
+  union all select name, 'wide', a + 90, 0 from d where kind = 'wide'
+  union all select lower(split_part(name, '/', 1)) || '/' || upper(split_part(name, '/', 2)), 'capitals', a, 1 from d where kind = 'first' and p % 2 = 0
+  union all select name, 'page', b, 0 from d where kind = 'deep' and p % 5 = 0
+  union all select name, 'page', a, 1 from d where kind = 'deep' and p % 5 = 0
+  union all select name || '/a/b', 'deeper', a, 1 from d where kind = 'deep' and p % 3 = 0),
+days as (select key, list, day, min(on_) as on_ from entries group by key, list, day),
+asked as (
+  select p.page_id, p.at, unnest(list_distinct(list_concat(
+    [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, greatest(len(string_split(host, '.')), 2))],
+    [case when i = 0 then host else host || '/' || array_to_string(path[1:i], '/') end for i in range(0, len(path) + 1)]))) as key
+  from pages1 p where host <> ''),
+last as (select a.page_id, d.key, d.list, arg_max(d.on_, d.day) as on_ from asked a join days d on d.key = a.key and d.day <= a.at group by a.page_id, d.key, d.list),
 found as (
-  select page_id, count(distinct key || ' ' || list) as n, string_agg(distinct list, ',' order by list) as lists, max(lpad(cast(length(key) as varchar), 6, '0') || key) as best
-  from hit group by page_id)
+  select page_id, count(*) as n, string_agg(distinct list, ',' order by list) as lists, max(lpad(cast(length(key) as varchar), 6, '0') || key) as best
+  from last where on_ = 1 group by page_id)
 select p.page_id, p.at, coalesce(f.n, 0) as n_active, f.lists as lists, substr(f.best, 7) as matched from pages1 p left join found f on p.page_id = f.page_id
-""".format(**{k: f"cast('0x' || substr(md5('{k}' || host), 1, 4) as int)" for k in "plabfcw"})
+""".format(**{k: f"cast('0x' || substr(md5('{k}' || name), 1, 4) as int)" for k in "plab"})
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

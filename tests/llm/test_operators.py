@@ -223,6 +223,31 @@ def test_url_filters_of_deep_and_capital_folders(spark):
     assert got == {1: "h.org/a/b/c/d", 2: None, 3: "h.org/Ads", 4: None, 5: None}
 
 
+def test_url_filters_of_hot_keys_and_clashing_names(spark, monkeypatch):
+    """Held against a plain reading of the dated entries, with one hot host, many entries of a key, and addresses."""
+    monkeypatch.setattr(url_filters, "CELL", 8)
+    r = random.Random(31)
+    names = ["hot.org", "b.hot.org", "hot.org/x", "hot.org/X", "10.0.0.1", "0.1", "[::1]", "other.net"]
+    entries = [(r.choice(names), r.choice("pq"), r.randint(0, 50), r.choice(("add", "remove"))) for _ in range(300)]
+    urls = ["http://hot.org/x/y"] * 300 + ["http://b.hot.org/X", "http://hot.org/X", "http://10.0.0.1/", "http://[::1]:80/q", "http://other.net"] * 6 + [None, "nonsense"]
+    rows = [(u, r.randint(0, 60) if i % 50 else None, "key", "cell", i) for i, u in enumerate(urls)] + [("http://hot.org/x/y", 7, "same", "row", 1)] * 200
+    pages = spark.createDataFrame(rows, "url string, at int, key string, lists string, n_active int")
+    own = {"http://hot.org/x/y": ["hot.org", "hot.org/x"], "http://b.hot.org/X": ["b.hot.org", "hot.org"], "http://hot.org/X": ["hot.org", "hot.org/X"], "http://10.0.0.1/": ["10.0.0.1"], "http://[::1]:80/q": ["[::1]"], "http://other.net": ["other.net"]}
+
+    def plain(url, at):
+        on = []
+        for k in own.get(url, ()) if at is not None else ():
+            for name in "pq":
+                past = [(t, action) for key, x, t, action in entries if (key, x) == (k, name) and t <= at]
+                if past and max(past)[1] == "add":
+                    on.append((k, name))
+        return len(on), ",".join(sorted({x for _, x in on})) or None
+
+    got = url_filters.evaluate(pages, spark.createDataFrame(entries, "key string, list string, at int, action string"))
+    assert got.columns == ["url", "at", "key", "n_active", "lists", "matched"]
+    assert sorted((x.url or "", -1 if x.at is None else x.at, x.n_active, x.lists or "") for x in got.collect()) == sorted((u or "", -1 if t is None else t, plain(u, t)[0], plain(u, t)[1] or "") for u, t, *_ in rows)
+
+
 def test_chat(spark):
     turns = [(1, 0, "u", "hi"), (1, 1, "a", "yo"), (2, 0, "u", "hi"), (3, 0, "u", "hi"), (3, 1, "a", "yo"), (4, 0, "u", None), (None, 0, "u", "lost"), (5, 0, "u", "hi"), (5, 1, "a", "no")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
