@@ -11,19 +11,27 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-GREY = bytes(v for i in range(256) for v in (i, i, i))
-SIDE = 24
-PIXELS = SIDE * SIDE
+#: The canvas: WIDE samples a row, at most ROWS rows a frame.  PIXELS is the unit of payloads.
+WIDE, ROWS, PIXELS = 24, 48, 576
+#: The sample for which a pixel that shows nothing stands: a blank.
+BLANK = 32
+#: What happens to each frame, in turn, before the next: back to nothing, back to what was there, or left.
+DISPOSALS = (2, 3, 2, 1)
 
 
 @dataclass
 class Frame:
-    """indices: the palette indices as stored; rgba: the whole canvas when the frame shows; delay in hundredths of a second."""
+    """rgba: the whole canvas while the frame shows; delay in hundredths of a second; left, top, width, height: what was drawn."""
 
     delay: int
-    indices: bytes
+    left: int
+    top: int
+    width: int
+    height: int
+    disposal: int
     rgba: np.ndarray
 
 
@@ -71,24 +79,6 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
     return bytes(codes + acc.to_bytes((held + 7) >> 3, "little"))
 
 
-def lzw_literal(data: np.ndarray) -> np.ndarray:
-    """Code streams for rows of PIXELS samples, all at once: each sample is its own code, and a clear code before every
-    254 of them keeps codes at nine bits.  Larger than lzw_encode's, made without a loop over samples."""
-    runs = range(0, PIXELS, 254)
-    codes = np.empty((len(data), PIXELS + len(runs) + 1), np.uint16)
-    at = 0
-    for r in runs:
-        some = data[:, r : r + 254]
-        codes[:, at] = 256
-        codes[:, at + 1 : at + 1 + some.shape[1]] = some
-        at += 1 + some.shape[1]
-    codes[:, at] = 257
-    bits = np.empty((*codes.shape, 9), np.uint8)
-    for j in range(9):
-        bits[:, :, j] = codes >> j & 1
-    return np.packbits(bits.reshape(len(data), -1), axis=1, bitorder="little")
-
-
 @lru_cache(maxsize=64)
 def _schedule(depth: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit offset and mask of the codes that follow a clear code: a code's width depends on its number alone."""
@@ -98,7 +88,7 @@ def _schedule(depth: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lzw_decode(data: bytes, depth: int, pixels: int) -> bytes:
-    """The inverse of either.  Codes are cut from the stream in blocks; an entry of the table is a stretch of the output
+    """The inverse of lzw_encode.  Codes are cut from the stream in blocks; an entry of the table is a stretch of the output
     so far: that of an earlier code and one pixel more.  Blocks of plain samples are copied whole."""
     clear, first = 1 << depth, (1 << depth) + 2
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
@@ -152,16 +142,56 @@ def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(data[i : i + 255])]) + data[i : i + 255] for i in range(0, len(data), 255)) + b"\0"
 
 
-def encode_gif(payload: bytes, delay: int = 10, compress: bool = False) -> bytes:
-    """One full frame of 24 x 24 grey samples per 576 bytes of payload, whose length must be a positive multiple of it;
-    with compress, codes stand for repeated stretches, which takes about twenty times as long."""
+@lru_cache(maxsize=256)
+def _passes(high: int) -> np.ndarray:
+    """The rows of an interlaced image in the order in which they are stored."""
+    return np.array([r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, high, step)])
+
+
+def encode_gif(payload: bytes) -> bytes:
+    """Payload as frames of up to ROWS rows of WIDE grey samples, each shown a hundredth of a second per row.
+
+    The palette holds the samples that occur.  A frame draws the rows between the first and the last that must change;
+    within them, what the canvas shows already (a blank where it shows nothing) is transparent, if the palette has an
+    index to spare.  So what a frame shows depends on how the ones before it were disposed of.  Every other frame is
+    interlaced.  The length must be a positive multiple of 576.
+    """
     if not payload or len(payload) % PIXELS:
         raise ValueError("the payload must be a positive multiple of 576 bytes")
-    head = b"GIF89a" + struct.pack("<HHBBB", SIDE, SIDE, 0xF7, 0, 0) + GREY
-    control = b"\x21\xf9\x04" + struct.pack("<BHB", 4, delay, 0) + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, SIDE, SIDE, 0) + b"\x08"
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS)
-    streams = map(lzw_encode, map(bytes, rows)) if compress else (x.tobytes() for i in range(0, len(rows), 512) for x in lzw_literal(rows[i : i + 512]))
-    return head + b"".join(control + _blocks(x) for x in streams) + b"\x3b"
+    data = np.frombuffer(payload, np.uint8)
+    used = np.flatnonzero(np.bincount(data, minlength=256))
+    depth = min(8, max(2, len(used).bit_length()))
+    clear = len(used) if len(used) < 1 << depth else None
+    grey, index = np.zeros(1 << depth, np.uint8), np.zeros(256, np.uint8)
+    grey[: len(used)], index[used] = used, np.arange(len(used))
+    size = ROWS * WIDE
+    shown = np.full(min(size, len(data)), BLANK, np.uint8)
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDE, len(shown) // WIDE, 0xF0 | (depth - 1), 0, 0), np.repeat(grey, 3).tobytes()]
+    for k, at in enumerate(range(0, len(data), size)):
+        new = data[at : at + size]
+        before = shown[: len(new)]
+        change = np.flatnonzero(new != before)
+        a, b = (change[0] // WIDE * WIDE, (change[-1] // WIDE + 1) * WIDE) if len(change) else (0, WIDE)
+        drawn = index[new[a:b]]
+        if clear is not None:
+            drawn[new[a:b] == before[a:b]] = clear
+        if k & 1:
+            drawn = drawn.reshape(-1, WIDE)[_passes((b - a) // WIDE)]
+        dispose = DISPOSALS[k % len(DISPOSALS)]
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", dispose << 2 | (clear is not None), len(new) // WIDE, clear or 0, 0))
+        out.append(b"\x2c" + struct.pack("<HHHHBB", 0, a // WIDE, WIDE, (b - a) // WIDE, (k & 1) << 6, depth))
+        out.append(_blocks(lzw_encode(drawn.tobytes(), depth)))
+        if dispose == 1:
+            before[:] = new
+        elif dispose == 2:
+            before[a:b] = BLANK
+    return b"".join([*out, b"\x3b"])
+
+
+def samples(frame: Frame) -> bytes:
+    """The samples that a frame of encode_gif shows."""
+    rows = frame.rgba[: frame.delay]
+    return np.where(rows[..., 3] > 0, rows[..., 0], BLANK).astype(np.uint8).tobytes()
 
 
 def decode_gif(data: bytes) -> Iterator[Frame]:
@@ -212,8 +242,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
             raise ValueError("no palette")
         grid = np.frombuffer(indices, np.uint8).reshape(h, w)
         if bits & 0x40:
-            rows = [r for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(first, h, step)]
-            grid = grid[np.argsort(rows)]
+            grid = grid[np.argsort(_passes(h))]
         before = canvas.copy() if dispose == 3 else None
         view = canvas[y : y + h, x : x + w]
         shown = grid[: view.shape[0], : view.shape[1]]
@@ -222,9 +251,8 @@ def _frames(data: bytes) -> Iterator[Frame]:
             view[..., 3] = 255
         else:
             seen = shown != clear
-            view[seen, :3] = np.take(palette, shown[seen], axis=0, mode="clip")
-            view[seen, 3] = 255
-        yield Frame(delay, grid.tobytes(), canvas.copy())
+            view[seen] = np.insert(np.take(palette, shown[seen], axis=0, mode="clip"), 3, 255, axis=1)
+        yield Frame(delay, x, y, w, h, dispose, canvas.copy())
         if dispose == 2:
             view[:] = 0
         elif dispose == 3:
@@ -250,7 +278,10 @@ def to_payload(text: str | None) -> tuple[int, bytes]:
 
 
 def gif_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (a GIF) for each row of docs (doc_id, text); null texts count as empty."""
+    """doc_id, n_bytes, media (a GIF) for each row of docs (doc_id, text); null texts count as empty, further columns don't matter.
+
+    Repeated rows and rows without id come back each; an empty table gives an empty result.  A text of any length is one GIF.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -262,51 +293,46 @@ def gif_media(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
 
 
-FRAMES = "doc_id long, frame int, delay int, indices binary, histogram array<int>, error string"
+FRAME = "struct<delay:int,left:int,top:int,width:int,height:int,disposal:int,histogram:array<int>>"
+
 
+def gif_columns(media: DataFrame) -> DataFrame:
+    """Per row of media (doc_id, n_bytes, media): frames (timed, with the rectangle drawn and a histogram of 64 colours
+    of the composed canvas), the length and digests of the samples that they show, and digests of the GIF.
 
-def gif_frames(media: DataFrame) -> DataFrame:
-    """One row per timed frame of each GIF of media (doc_id, media): stored indices and a histogram of 64 colours of the
-    composed canvas.  Null media give no row; broken data give the frames before the break, then a row with an error."""
+    Broken media give the frames before the break and an error; null media give no frames.  Frames are read one after
+    another, so that memory holds one canvas; an empty table gives an empty result.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
-            for doc, data in zip(part["doc_id"], part["media"], strict=True):
-                k = 0
+            for doc, n, data in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True):
+                digest, size, tail, frames, error = sha256(), 0, b"", [], None
                 try:
-                    for k, f in enumerate(decode_gif(data) if data is not None else (), 1):
-                        out.append((doc, k - 1, f.delay, f.indices, histogram(f.rgba).tolist(), None))
+                    for f in decode_gif(data) if data is not None else ():
+                        own = samples(f)
+                        digest.update(own)
+                        size, tail = size + len(own), (tail + own)[-32:]
+                        frames.append((f.delay, f.left, f.top, f.width, f.height, f.disposal, histogram(f.rgba).tolist()))
                 except ValueError as e:
-                    out.append((doc, k, None, None, None, str(e)))
-                if len(out) >= 4096:
-                    yield _rows(out)
-                    out = []
-            yield _rows(out)
-
-    return media.select("doc_id", "media").mapInPandas(run, FRAMES)
+                    error = str(e)
+                data = data or b""
+                out.append((doc, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), sha256(data).hexdigest(), frames, error))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "error"]).astype({"doc_id": "Int64", "n_bytes": "Int64"})
 
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{FRAME}>, error string"
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
 
-def _rows(out: list) -> pd.DataFrame:
-    x = pd.DataFrame(out, columns=["doc_id", "frame", "delay", "indices", "histogram", "error"])
-    return x.astype({"doc_id": "Int64", "frame": "Int32", "delay": "Int32"})
 
+def gif_frames(columns: DataFrame) -> DataFrame:
+    """doc_id, frame, and the fields of each frame of gif_columns."""
+    return columns.select("doc_id", F.posexplode("frames").alias("frame", "f")).select("doc_id", "frame", "f.*")
 
-def gif_digest(media: DataFrame) -> DataFrame:
-    """Per row of media (doc_id, n_bytes, media): the payload read back from the frames, digests, and a feature text
-    (frames, whole duration, and the counts of the grey quarters).  Frames are read one after another."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for doc, n, data in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True):
-                digest, size, tail, frames, time, colours = sha256(), 0, b"", 0, 0, np.zeros(64, np.int64)
-                for f in decode_gif(data):
-                    digest.update(f.indices)
-                    size, tail, frames, time = size + len(f.indices), (tail + f.indices)[-32:], frames + 1, time + f.delay
-                    colours += histogram(f.rgba)
-                feature = f"frames={frames};time={time};colours=" + ",".join(f"{i}:{c}" for i, c in enumerate(colours) if c)
-                out.append((doc, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), sha256(data).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
-
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def feature(frames: Column) -> Column:
+    """Frames, whole duration, rows drawn, and the counts of the colours that occur, as text."""
+    total = lambda name: F.aggregate(frames, F.lit(0).cast("long"), lambda a, f: a + f[name])
+    counts = F.aggregate(frames, F.array_repeat(F.lit(0).cast("long"), 64), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
+    seen = F.filter(F.transform(counts, lambda n, i: F.when(n > 0, F.concat_ws(":", i, n))), lambda x: x.isNotNull())
+    return F.concat(F.lit("frames="), F.size(frames), F.lit(";time="), total("delay"), F.lit(";drawn="), total("height"), F.lit(";colours="), F.array_join(seen, ","))

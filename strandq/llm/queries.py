@@ -142,7 +142,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.gif_digest(gif.gif_media(_table(spark, sf_dir, "documents")))
+    out = gif.gif_columns(gif.gif_media(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", gif.feature(F.col("frames")).alias("feature"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -329,16 +330,72 @@ def test_gif(spark):
         r = random.Random(k)
         data = bytes(r.choice(range(r.choice([1, 2, 3, 256]))) for _ in range(r.randint(1, 12000)))
         assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
-    payload = gif.to_payload("héllo " * 500)[1]
-    for compress in (False, True):
-        frames = list(gif.decode_gif(gif.encode_gif(payload, compress=compress)))
-        assert b"".join(f.indices for f in frames) == payload and frames[0].delay == 10
-    media = gif.gif_media(frame(spark, ["abc", None, "", "abc"]))
-    got = gif.gif_digest(media).collect()
-    assert all(r.payload_bytes == 576 for r in got) and len({r.media_sha256 for r in got if r.n_bytes == 3}) == 1
-    broken = spark.createDataFrame([(1, bytearray(gif.encode_gif(payload)[:1500])), (2, bytearray(b"no")), (3, None)], "doc_id long, media binary")
-    rows = gif.gif_frames(broken).collect()
-    assert {r.doc_id for r in rows if r.error} == {1, 2} and not any(r.doc_id == 3 for r in rows)
+    for k in range(60):
+        r = random.Random(k)
+        kind = range(r.choice([1, 3, 30, 256]))
+        some = [bytes(r.choice(kind) for _ in range(gif.PIXELS)) for _ in range(3)]
+        payload = b"".join(r.choice([*some, b" " * gif.PIXELS]) for _ in range(r.randint(1, 14)))
+        frames = list(gif.decode_gif(gif.encode_gif(payload)))
+        assert b"".join(map(gif.samples, frames)) == payload
+        assert b"".join(bytes(32 if not p[3] else p[0] for row in c[:rows] for p in row) for c, rows in plain_gif(gif.encode_gif(payload))) == payload
+    payload = gif.to_payload("the same line again\n" * 3000)[1]
+    media = gif.encode_gif(payload)
+    frames = list(gif.decode_gif(media))
+    assert len(media) < len(payload) / 4 and {f.disposal for f in frames} == {1, 2, 3} and min(f.height for f in frames) < max(f.height for f in frames)
+    media = gif.gif_media(frame(spark, ["abc", None, "", "abc", "é " * 200_000]))
+    got = {r.doc_id: r for r in gif.gif_columns(media).collect()}
+    assert all(got[k].payload_bytes == 576 and got[k].error is None for k in range(4)) and got[0].media_sha256 == got[3].media_sha256
+    for k, t in enumerate(("abc", "", "", "abc", "é " * 200_000)):
+        n, payload = gif.to_payload(t)
+        assert (got[k].n_bytes, got[k].payload_sha256, got[k].tail_crc32) == (n, sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    broken = spark.createDataFrame([(1, 5, bytearray(gif.encode_gif(payload)[:1500])), (2, None, bytearray(b"no")), (3, 0, None), (None, 1, bytearray(gif.encode_gif(payload)))], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in gif.gif_columns(broken).collect()}
+    assert rows[1].error and rows[2].error and rows[3].error is None and rows[3].frames == [] and rows[None].error is None
+    assert gif.gif_frames(gif.gif_columns(broken)).filter("doc_id is null").agg({"delay": "sum"}).first()[0] == len(payload) // gif.WIDE
+    assert gif.gif_columns(gif.gif_media(empty(spark))).count() == 0
+
+
+def plain_gif(data):
+    """(canvas, delay) of each frame by a slow reader of its own: codes bit by bit, a list for each table entry, pixel by pixel."""
+    wide, high, flags = data[6] | data[7] << 8, data[8] | data[9] << 8, data[10]
+    colours = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(2 << (flags & 7))]
+    at = 13 + 3 * len(colours)
+    canvas = [[(0, 0, 0, 0)] * wide for _ in range(high)]
+    while data[at] != 0x3B:
+        assert data[at : at + 3] == b"\x21\xf9\x04"
+        bits, delay, clear = data[at + 3], data[at + 4] | data[at + 5] << 8, data[at + 6]
+        at += 8
+        x, y, w, h = (data[at + 1 + 2 * k] | data[at + 2 + 2 * k] << 8 for k in range(4))
+        laced, depth, at = data[at + 9] & 0x40, data[at + 10], at + 11
+        stream = b""
+        while data[at]:
+            stream, at = stream + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        number, place, pixels, table, old = int.from_bytes(stream, "little"), 0, [], [], None
+        while True:
+            width = min(12, len(table).bit_length()) if table else depth + 1
+            code, place = number >> place & (1 << width) - 1, place + width
+            if code == 1 << depth:
+                table, old = [[i] for i in range(1 << depth)] + [None, None], None
+            elif code == (1 << depth) + 1:
+                break
+            else:
+                entry = table[code] if code < len(table) else old + old[:1]
+                if old is not None and len(table) < 4096:
+                    table.append(old + entry[:1])
+                pixels, old = pixels + entry, entry
+        rows = [r for a, s in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(a, h, s)] if laced else range(h)
+        before = [list(r) for r in canvas]
+        for k, r in enumerate(rows):
+            for c in range(w):
+                if not (bits & 1 and pixels[k * w + c] == clear):
+                    canvas[y + r][x + c] = (*colours[pixels[k * w + c]], 255)
+        yield [list(r) for r in canvas], delay
+        if bits >> 2 & 7 == 2:
+            for r in range(h):
+                canvas[y + r][x : x + w] = [(0, 0, 0, 0)] * w
+        elif bits >> 2 & 7 == 3:
+            canvas = before
 
 
 def test_gif_disposal():
