@@ -45,6 +45,30 @@ def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(F.col("row_").getField(c).alias(c) for c in columns if c.lower() not in taken), *(c.alias(k) for k, c in new.items()))
 
 
+#: A key of no more rows than this is never dealt.
+LEAST = 512
+
+
+def heavy(rows: DataFrame, keys: list[str], total: int, least: int | None = None, share: int = 8) -> DataFrame:
+    """keys, cells of the keys that too many of the `total` rows have for one task, and into how many cells to deal them.
+
+    There are at most `share` times as many as shuffle partitions, which bounds the broadcast.
+    """
+    cell = max(LEAST if least is None else least, total // (share * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    many = rows.groupBy(*keys).agg(F.count("*").alias("rows_")).filter(F.col("rows_") > cell)
+    return F.broadcast(materialise(many.select(*keys, F.ceil(F.col("rows_") / cell).cast("int").alias("cells"))))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, keys: list[str], *by: str) -> DataFrame:
+    """rows with the cell of their key that a hash of `by` gives."""
+    return rows.join(hot, keys, "left").withColumn("cell", F.pmod(F.xxhash64(*by), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
+
+
+def copied(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """rows once for each cell of their key."""
+    return rows.join(hot, keys, "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums of products become evenly spread hashes."""
     x = x ^ (x >> np.uint64(31))

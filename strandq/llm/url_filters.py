@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, materialise, unboxed
+from .common import boxed, copied, dealt, heavy, materialise, unboxed
 
 #: Captures of one key are split into cells of at least this many rows, and of a like share of all captures at any size.
-CELL, SHARE = 512, 8
+CELL = 128
 #: Into how many parts the captures of one URL and time are dealt.
 SALTS = 64
 
@@ -53,17 +53,12 @@ def in_force(asked: DataFrame, valid: DataFrame, rows: int) -> DataFrame:
 
     Captures meet the lists of their key, and per key and list both sides are put in the order of time, so that each
     capture looks at the last interval that began, however many there are.  Keys of more than a share of all `rows` are
-    dealt to several cells, to each of which their few intervals are copied; there are fewer such keys than SHARE per
-    task and key of a URL, which bounds what is broadcast.
+    dealt to several cells, to each of which their intervals are copied.
     """
-    cell = max(CELL, rows // (SHARE * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    hot = asked.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cell).select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
-    hot = F.broadcast(materialise(hot))
+    hot = heavy(asked, ["key"], rows, CELL)
     rest = [c for c in asked.columns if c != "key"]
-    own = asked.join(hot, "key", "left").select("key", *rest, F.pmod(F.xxhash64(*rest), F.coalesce("cells", F.lit(1))).cast("int").alias("cell"))
-    spread = lambda x: x.join(hot, "key", "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
-    met = own.join(spread(valid.select("key", "list").distinct()), ["key", "cell"])
-    begun = spread(valid).select("key", "cell", "list", F.col("since").alias("t"), F.struct("since", "until").alias("span"))
+    met = dealt(asked, hot, ["key"], *rest).join(copied(valid.select("key", "list").distinct(), hot, ["key"]), ["key", "cell"])
+    begun = copied(valid, hot, ["key"]).select("key", "cell", "list", F.col("since").alias("t"), F.struct("since", "until").alias("span"))
     w = Window.partitionBy("key", "cell", "list").orderBy("t", F.col("span").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = met.unionByName(begun, allowMissingColumns=True).withColumns({"last": F.last("span", True).over(w), "asks": F.col("span").isNull()})
     return every.filter("asks and last is not null and (last.until is null or t < last.until)").select("key", "list", *rest)

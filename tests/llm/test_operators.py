@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from strandq.llm import chat, decontaminate, gif, ngram_join, packing, secrets, sharding, substrings, toxicity, url_filters
+from strandq.llm import chat, common, decontaminate, gif, ngram_join, packing, secrets, sharding, substrings, toxicity, url_filters
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, n int, comp long"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,35 @@ def test_ngram_join(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.ngram_join(odd).collect()) == [(-1, -1), (3, 3), (3, 3)]
 
 
+def test_ngram_join_in_cells(spark, monkeypatch):
+    """Hot tokens, hot groups and hot stars dealt to cells; templates, mixes of common lines, chains of near copies."""
+    monkeypatch.setattr(common, "LEAST", 2)
+    monkeypatch.setattr(ngram_join, "CELL", 2)
+    r = random.Random(41)
+    lines = [words(r, 9) for _ in range(8)]
+    texts = [f"the new post was liked by user u{i}" for i in range(60)] + [f"{lines[0]} {lines[1]} and user u{i} too" for i in range(30)]
+    texts += [" ".join(r.sample(lines, r.randint(2, 5))) for _ in range(120)]
+    chain = words(r, 60).split()
+    for _ in range(40):
+        chain[r.randrange(60)] = f"w{r.randint(0, 10**6)}"
+        texts.append(" ".join(chain))
+    s, label = brute_components(texts)
+    rows = ngram_join.ngram_join(frame(spark, texts)).collect()
+    assert {x.doc_id: x.component_id for x in rows} == dict(enumerate(label)) and len(rows) == len(texts)
+
+
+def test_one_of_each_loses_no_text(spark):
+    """Rows of one id with other texts are others; repeats of a row go; names of inner columns can be those of the table."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    rows = [(1, text("a"), "node"), (1, text("b"), "x"), (1, text("a"), "y"), (2, text("b"), "z"), (3, text("c"), "p"), (3, None, "q"), (3, "", "r"), (None, text("a"), "s"), (None, text("a"), "s"), (-5, text("d"), "t"), (-5, text("d") + " more", "u")]
+    df = spark.createDataFrame([(*x, 1, 2, 3, {"k": 1}) for x in rows], "doc_id long, text string, node string, `row_` int, comp int, `order` int, m map<string,int>")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((x.doc_id or 0, x.text or "-") for x in kept.collect())
+    assert got == sorted([(1, text("a")), (1, text("b")), (3, text("c")), (3, "-"), (3, "-"), (0, text("a")), (0, text("a")), next((-5, t) for t in (text("d"), text("d") + " more") if (-5, t) in got)])
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_sharding(spark):
     texts = corpus() * 3
     rows = sharding.shard(frame(spark, texts), 4).collect()
