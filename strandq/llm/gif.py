@@ -11,6 +11,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,107 +36,108 @@ class Frame:
     rgba: np.ndarray
 
 
-def lzw_encode(data: bytes, depth: int = 8) -> bytes:
-    """Variable-width codes, starting with a clear code; the table is cleared when its 4096 entries are used."""
+@lru_cache(maxsize=64)
+def _widths(depth: int, n: int) -> np.ndarray:
+    """Bits of the n codes that follow a clear code: a code's width depends on its number alone."""
+    size = (1 << depth) + 2 + np.maximum(np.arange(n) - 1, 0)
+    return np.minimum(12, np.floor(np.log2(size)).astype(np.int64) + 1)
+
+
+def lzw_codes(data: bytes, depth: int) -> list[int]:
+    """The longest known stretch after another, between a clear code and an end code; the table is cleared when its 4096 entries are used."""
     clear = 1 << depth
-    table: dict[int, int] = {}
-    codes, acc, held, width, fresh = bytearray(), clear, depth + 1, depth + 1, clear + 2
-    at = -1
-    get = table.get
-    for b in data:
-        if at < 0:
-            at = b
-            continue
-        key = at << 8 | b
-        code = get(key)
-        if code is not None:
+    codes, table, fresh = [clear], {}, clear + 2
+    put, known = codes.append, table.setdefault
+    at = data[0] if data else clear + 1
+    for b in data[1:]:
+        code = known(at << 8 | b, fresh)
+        if code != fresh:
             at = code
             continue
-        acc |= at << held
-        held += width
-        if held > 256:
-            whole = held >> 3
-            codes += (acc & ((1 << (whole << 3)) - 1)).to_bytes(whole, "little")
-            acc >>= whole << 3
-            held &= 7
-        if fresh < 4096:
-            table[key] = fresh
-            if fresh >> width:
-                width += 1
-            fresh += 1
-        else:
-            acc |= clear << held
-            held += width
+        put(at)
+        fresh += 1
+        if fresh > 4096:
+            put(clear)
             table.clear()
-            width, fresh = depth + 1, clear + 2
+            fresh = clear + 2
         at = b
-    if at >= 0:
-        acc |= at << held
-        held += width
-        if fresh < 4096 and fresh >> width:
-            width += 1
-    acc |= (clear + 1) << held
-    held += width
-    return bytes(codes + acc.to_bytes((held + 7) >> 3, "little"))
+    put(at)
+    if data:
+        put(clear + 1)
+    return codes
 
 
-@lru_cache(maxsize=64)
-def _schedule(depth: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit offset and mask of the codes that follow a clear code: a code's width depends on its number alone."""
-    size = (1 << depth) + 2 + np.maximum(np.arange(n) - 1, 0)
-    width = np.minimum(12, np.floor(np.log2(size)).astype(np.int64) + 1)
-    return np.concatenate([[0], np.cumsum(width)]), ((1 << width) - 1).astype(np.uint32)
+def lzw_encode(data: bytes, depth: int = 8) -> bytes:
+    """The codes of data packed at their widths, all at once: no two codes share a bit, so that bytes are sums."""
+    codes = np.array(lzw_codes(data, depth))
+    number = np.arange(len(codes))
+    since = np.maximum.accumulate(np.where(codes == 1 << depth, number + 1, 0))
+    nth = np.append(0, number[1:] - since[:-1])  # of a code behind the last clear code
+    width = _widths(depth, 4352)[nth]
+    bit = np.cumsum(width) - width
+    at, value = bit >> 3, codes << (bit & 7)
+    size = int(bit[-1] + width[-1] + 7) >> 3
+    return sum(np.bincount(at + k, value >> 8 * k & 255, size + 3) for k in range(3)).astype(np.uint8)[:size].tobytes()
 
 
 def lzw_decode(data: bytes, depth: int, pixels: int) -> bytes:
-    """The inverse of lzw_encode.  Codes are cut from the stream in blocks; an entry of the table is a stretch of the output
-    so far: that of an earlier code and one pixel more.  Blocks of plain samples are copied whole."""
+    """The inverse of lzw_encode, for any stream of codes.
+
+    Code k behind a clear code makes an entry of its own stretch of the output and the pixel that follows.  So a pixel is
+    a literal or that of an earlier place; what it is in the end is found for all pixels at once by doubling the steps.
+    """
     clear, first = 1 << depth, (1 << depth) + 2
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     windows = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
-    offset, mask = _schedule(depth, pixels + 257)
-    total, bit = len(data) * 8, 0
-    out = bytearray()
-    while len(out) < pixels:  # from one clear code to the next
-        base, starts, ends, i, ended = len(out), None, None, 0, False
-        while len(out) < pixels:
-            have = int(np.searchsorted(offset[i + 1 : i + 257], total - bit, side="right"))
-            pos = bit + offset[i : i + have]
-            codes = windows[pos >> 3] >> (pos & 7).astype(np.uint32) & mask[i : i + have]
-            other = np.flatnonzero(codes >= clear)
-            if starts is None and (not len(other) or codes[other[0]] < first):
-                cut = int(other[0]) if len(other) else have
-                out += codes[:cut].astype(np.uint8).tobytes()
-            else:
-                if starts is None:
-                    starts = list(range(base, len(out)))
-                    ends = list(range(base + 1, len(out) + 1))
-                for cut, code in enumerate(codes.tolist()):
-                    here = len(out)
-                    if code < clear:
-                        out.append(code)
-                    elif code < first:
-                        break
-                    elif (k := code - first) >= len(starts):
-                        raise ValueError("code beyond the table")
-                    elif ends[k] < here:
-                        out += out[starts[k] : ends[k] + 1]
-                    else:  # the entry that this very code makes
-                        out += out[starts[k] :] + out[starts[k] : starts[k] + 1]
-                    starts.append(here)
-                    ends.append(len(out))
-                else:
-                    cut = have
-            i += cut
-            if cut < have:
-                ended = int(codes[cut]) != clear
-                bit += int(offset[i + 1])
+    total, bit, out, done, ended = len(data) * 8, 0, [], 0, False
+    while done < pixels and not ended:  # from one clear code to the next
+        some, n = [], 0
+        while True:
+            width = _widths(depth, n + 1024)[n:]
+            end = bit + np.cumsum(width)
+            have = int(np.searchsorted(end, total, side="right"))
+            pos = end[:have] - width[:have]
+            codes = windows[pos >> 3] >> (pos & 7).astype(np.uint32) & ((1 << width[:have]) - 1).astype(np.uint32)
+            stop = np.flatnonzero((codes >= clear) & (codes < first))
+            cut = int(stop[0]) if len(stop) else have
+            some.append(codes[:cut].astype(np.int64))
+            n += cut
+            if cut < have or have < 1024:
+                ended = cut == have or int(codes[cut]) != clear
+                bit = int(end[min(cut, have - 1)]) if have else total
+                break
+            bit = int(end[-1])
+            if n > pixels + 1024:  # more codes than pixels: what follows doesn't show
+                ended = True
                 break
-            if have < 256:
-                return bytes(out[:pixels])
-        if ended:
+        codes = np.concatenate(some)
+        if len(codes):
+            out.append(_stretch(codes, clear, first, pixels - done))
+            done += len(out[-1])
+    return np.concatenate(out)[:pixels].tobytes() if out else b""
+
+
+def _stretch(codes: np.ndarray, clear: int, first: int, most: int) -> np.ndarray:
+    """The pixels of codes without clear codes among them, at least `most` of them if there are."""
+    number = np.arange(len(codes))
+    parent = np.where(codes < clear, number, codes - first)  # the code whose entry this is; a literal's own number
+    if (parent > number - (codes >= clear)).any():
+        raise ValueError("code beyond the table")
+    size, step = (codes >= clear).astype(np.int64), parent
+    while ((further := step[step]) != step).any():  # a code is one longer than its parent
+        size, step = size + size[step], further
+    start = np.cumsum(size + 1) - size - 1
+    count = int(np.searchsorted(start, most))
+    size, start, parent = size[:count] + 1, start[:count], parent[:count]
+    source = np.arange(int(start[-1] + size[-1])) - np.repeat(start - start[parent], size)
+    while True:
+        further = source[source]
+        if (further == source).all():
             break
-    return bytes(out[:pixels])
+        source = further
+    value = np.zeros(len(source), np.uint8)
+    value[start] = np.minimum(codes[:count], clear - 1)  # where it isn't a literal, no source leads to it
+    return value[source]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -204,11 +206,17 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         raise ValueError("the data end early") from None
 
 
+def _palette(data: bytes, at: int, flags: int) -> np.ndarray:
+    """Opaque colours."""
+    colours = np.frombuffer(data, np.uint8, 3 << ((flags & 7) + 1), at).reshape(-1, 3)
+    return np.concatenate([colours, np.full((len(colours), 1), 255, np.uint8)], axis=1)
+
+
 def _frames(data: bytes) -> Iterator[Frame]:
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
     at, shared = 13, None
     if flags & 0x80:
-        shared = np.frombuffer(data, np.uint8, 3 << ((flags & 7) + 1), at).reshape(-1, 3)
+        shared = _palette(data, at, flags)
         at += 3 << ((flags & 7) + 1)
     canvas = np.zeros((high, wide, 4), np.uint8)
     delay, clear, dispose = 0, None, 0
@@ -228,7 +236,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
         at += 10
         palette = shared
         if bits & 0x80:
-            palette = np.frombuffer(data, np.uint8, 3 << ((bits & 7) + 1), at).reshape(-1, 3)
+            palette = _palette(data, at, bits)
             at += 3 << ((bits & 7) + 1)
         depth, codes, at = data[at], [], at + 1
         while n := data[at]:
@@ -247,11 +255,10 @@ def _frames(data: bytes) -> Iterator[Frame]:
         view = canvas[y : y + h, x : x + w]
         shown = grid[: view.shape[0], : view.shape[1]]
         if clear is None:
-            view[..., :3] = np.take(palette, shown, axis=0, mode="clip")
-            view[..., 3] = 255
+            view[:] = np.take(palette, shown, axis=0, mode="clip")
         else:
             seen = shown != clear
-            view[seen] = np.insert(np.take(palette, shown[seen], axis=0, mode="clip"), 3, 255, axis=1)
+            view[seen] = np.take(palette, shown[seen], axis=0, mode="clip")
         yield Frame(delay, x, y, w, h, dispose, canvas.copy())
         if dispose == 2:
             view[:] = 0
@@ -304,25 +311,35 @@ def gif_columns(media: DataFrame) -> DataFrame:
     another, so that memory holds one canvas; an empty table gives an empty result.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for doc, n, data in zip(part["doc_id"], part["n_bytes"], part["media"], strict=True):
-                digest, size, tail, frames, error = sha256(), 0, b"", [], None
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts, numbers = ([], [], []), ([], [], [])  # payload and media digests, errors; payload size, tail, media size
+            fields, colours, offsets = [], [], [0]
+            for data in batch.column(2).to_pylist():
+                digest, size, tail, error = sha256(), 0, b"", None
                 try:
                     for f in decode_gif(data) if data is not None else ():
                         own = samples(f)
                         digest.update(own)
                         size, tail = size + len(own), (tail + own)[-32:]
-                        frames.append((f.delay, f.left, f.top, f.width, f.height, f.disposal, histogram(f.rgba).tolist()))
+                        fields.append((f.delay, f.left, f.top, f.width, f.height, f.disposal))
+                        colours.append(histogram(f.rgba))
                 except ValueError as e:
                     error = str(e)
+                offsets.append(len(fields))
                 data = data or b""
-                out.append((doc, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), sha256(data).hexdigest(), frames, error))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "error"]).astype({"doc_id": "Int64", "n_bytes": "Int64"})
+                for column, value in zip((*texts, *numbers), (digest.hexdigest(), sha256(data).hexdigest(), error, size, zlib.crc32(tail), len(data)), strict=True):
+                    column.append(value)
+            of = np.array(fields, np.int32).reshape(-1, 6)
+            histograms = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * 64), pa.array(np.array(colours, np.int32).reshape(-1)))
+            frames = pa.StructArray.from_arrays([*(pa.array(of[:, k]) for k in range(6)), histograms], ["delay", "left", "top", "width", "height", "disposal", "histogram"])
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "n_bytes": batch.column(1), "payload_bytes": pa.array(numbers[0], pa.int64()), "payload_sha256": pa.array(texts[0], pa.string()),
+                "tail_crc32": pa.array(numbers[1], pa.int64()), "media_bytes": pa.array(numbers[2], pa.int64()), "media_sha256": pa.array(texts[1], pa.string()),
+                "frames": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), frames), "error": pa.array(texts[2], pa.string())})
 
     schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<{FRAME}>, error string"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
+    return media.selectExpr("cast(doc_id as bigint) doc_id", "cast(n_bytes as bigint) n_bytes", "media").mapInArrow(run, schema)
 
 
 def gif_frames(columns: DataFrame) -> DataFrame:
