@@ -45,18 +45,22 @@ def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(F.col("row_").getField(c).alias(c) for c in columns if c.lower() not in taken), *(c.alias(k) for k, c in new.items()))
 
 
-#: A key of no more rows than this is never dealt.
-LEAST = 512
+#: A key is dealt to cells if it has more than LEAST rows, and more than a task's share divided by SHARE.
+LEAST, SHARE = 512, 8
 
 
-def heavy(rows: DataFrame, keys: list[str], total: int, least: int | None = None, share: int = 8) -> DataFrame:
+def heavy(rows: DataFrame, keys: list[str], total: int, least: int | None = None) -> DataFrame:
     """keys, cells of the keys that too many of the `total` rows have for one task, and into how many cells to deal them.
 
-    There are at most `share` times as many as shuffle partitions, which bounds the broadcast.
+    There are at most SHARE times as many as shuffle partitions, which bounds the broadcast.
     """
-    cell = max(LEAST if least is None else least, total // (share * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    many = rows.groupBy(*keys).agg(F.count("*").alias("rows_")).filter(F.col("rows_") > cell)
-    return F.broadcast(materialise(many.select(*keys, F.ceil(F.col("rows_") / cell).cast("int").alias("cells"))))
+    return heavy_of(rows.groupBy(*keys).agg(F.count("*").alias("rows_")), keys, total, least, "rows_")
+
+
+def heavy_of(counts: DataFrame, keys: list[str], total: int, least: int | None = None, n: str = "n") -> DataFrame:
+    """The same from counts (keys, n)."""
+    cell = max(LEAST if least is None else least, total // (SHARE * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return F.broadcast(materialise(counts.filter(F.col(n) > cell).select(*keys, F.ceil(F.col(n) / cell).cast("int").alias("cells"))))
 
 
 def dealt(rows: DataFrame, hot: DataFrame, keys: list[str], *by: str) -> DataFrame:

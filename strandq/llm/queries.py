@@ -26,7 +26,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that occur in more than one document."""
-    return substrings.repeated_spans(_table(spark, sf_dir, "documents"))
+    return substrings.repeated_spans(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
