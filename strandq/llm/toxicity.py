@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import boxed, materialise, unboxed
 
 #: Characters that look like a Latin letter, and digits and signs that stand for one.
 HOMOGLYPHS = {
@@ -30,10 +30,11 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɑ": "a", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o", "ß": "s",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
-#: At most about this many labelled rows of each class train the lexicon and the regression.
+#: At most about this many labelled rows of each class train the lexicon and the regression.  They bound what is fetched
+#: and broadcast too: the lexicon and its exceptions hold words of these rows only, each in three of them at least.
 TRAIN_ROWS = {1: 8000, 0: 16000}
-#: At most this many patterns, the most telling ones, form the lexicon; of it the bound of what is broadcast.
-PATTERNS = 2000
+#: What a text without any hit scores at most, so that no text is called toxic for nothing.
+SILENT = 0.45
 AFFIX = (4, 5, 6)
 
 _TABLE = str.maketrans(HOMOGLYPHS | {d: c for d, c in DIGITS.items() if d.isdigit()})
@@ -93,15 +94,15 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of a bounded choice by hash of the labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """text, toxic of a bounded choice by hash of the labelled rows whose crc32(doc_id as text) mod 5 is not 0; and by how
+    much, as a logarithm, the choice raises the odds of toxic rows over those of all labelled ones."""
     known = labels.filter("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.lit(0.0)
-    for label, bound in TRAIN_ROWS.items():
-        share = F.when(F.col("toxic") == label, min(1.0, bound / max(1, there.get(label, 0)))).otherwise(share)
+    shares = {label: min(1.0, bound / max(1, there.get(label, 0))) for label, bound in TRAIN_ROWS.items()}
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), math.log(shares[1] / shares[0])
 
 
 def _telling(n1, n0, all1, all0):
@@ -114,8 +115,13 @@ def _telling(n1, n0, all1, all0):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model that the labels give; without rows of both classes, one that scores every text below 0.01."""
-    rows = materialise(training_rows(docs, labels))
+    """The model that the labels give; without rows of both classes, one that scores every text below 0.01.
+
+    Null texts and ids, repeated rows and rows without a label don't matter; of several labels of a doc_id the greatest
+    counts.  Where no pattern tells the classes apart, every text scores the share of toxic labels, SILENT at most.
+    """
+    rows, raised = training_rows(docs, labels)
+    rows = materialise(rows)
     count = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     all1, all0 = count.get(1, 0), count.get(0, 0)
     if not all1 or not all0:
@@ -137,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     forms = forms.groupBy("pattern").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     least = 8 + 2 * math.log(1 + table.count())  # so that chance alone gives about none
     forms = forms.withColumn("g", _telling(F.col("n1"), F.col("n0"), F.lit(all1), F.lit(all0))).filter(f"g >= {least} and n1 >= 3")
-    first = [r["pattern"] for r in forms.orderBy(F.desc("g"), "pattern").limit(PATTERNS).collect()]
+    first = sorted(r["pattern"] for r in forms.select("pattern").collect())
 
     # The same with each document counted once, for these patterns alone.
     probe = Model(dict.fromkeys(first, 1.0), [], [])
@@ -156,14 +162,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     keep = _telling(n1, n0, float(all1), float(all0)) >= least
     weight = np.log((n1 + 0.5) / (all1 + 1)) - np.log((n0 + 0.5) / (all0 + 1))
     weights = {p: float(w) for p, w in zip(exact["pattern"][keep], weight[keep], strict=True)}
-    begins, ends = [p for p in weights if p[-1] != " "], [p for p in weights if p[0] != " "]
-    spared: list[str] = []
-    if begins or ends:
-        hit = F.concat(F.lit(" "), word).substr(F.lit(1), F.lit(1)) == "x"
-        for k in AFFIX:
-            hit = hit | F.concat(F.lit(" "), F.substring(word, 1, k)).isin([p for p in begins if len(p) == k + 1]) | F.concat(F.right(word, F.lit(k)), F.lit(" ")).isin([p for p in ends if len(p) == k + 1])
-        clean = table.filter(hit & (F.col("n0") >= 3) & (F.col("n1") * all0 <= F.col("n0") * all1)).orderBy(F.desc("n0"), "word").limit(PATTERNS)
-        spared = [f" {r['word']} " for r in clean.collect()]
+    # Words that a beginning or an ending hits, though clean rows use them as often.
+    affix = F.explode(F.array(*affixes)).alias("pattern")
+    hitting = rows.sparkSession.createDataFrame([(p,) for p in weights if p.count(" ") == 1], "pattern string")
+    clean = table.filter((F.col("n0") >= 3) & (F.col("n1") * all0 <= F.col("n0") * all1)).select("word", affix)
+    spared = sorted(f" {r['word']} " for r in clean.join(F.broadcast(hitting), "pattern").select("word").distinct().collect())
     model = Model(weights, spared, [])
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pd.DataFrame([(*matcher.features(t), float(y)) for t, y in zip(part["text"], part["toxic"], strict=True)], columns=list("abcdey"))
 
     seen = rows.mapInPandas(measure, "a double, b double, c double, d double, e double, y double").toPandas().sort_values(list("abcdey")).to_numpy()
-    model.coefficients = _logistic(seen[:, :-1], seen[:, -1]).tolist()
+    fitted = _logistic(seen[:, :-1], seen[:, -1])
+    fitted[0] = min(fitted[0] - raised, math.log(SILENT / (1 - SILENT)))
+    model.coefficients = fitted.tolist()
     return model
 
 
@@ -188,7 +193,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with a text column) and score, a double from 0 to 1.  Null and empty texts are scored like texts without hits."""
+    """docs (with a text column) and score, a double from 0 to 1, which replaces a column of that name.
+
+    Null and empty texts are scored like texts without hits; texts of any length, repeated rows and null ids like others;
+    an empty table gives an empty result.
+    """
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -200,9 +209,11 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """The rows of docs that score less than cut under a model learnt from labels (doc_id, toxic) of the same rows.
+    """The rows of docs that score less than cut under a model learnt from labels (doc_id, toxic) of the same rows; all of
+    them where nothing could be learnt.
 
-    Null texts, null ids and repeated rows are scored like others; further columns stay.  Labels of unknown documents,
+    Null texts, null ids and repeated rows are scored like others; further columns, of whatever names, stay.  Labels of unknown documents,
     null labels and labels other than 0 and 1 are not learnt from; of several labels of a doc_id the greatest counts.
     """
-    return toxicity(docs, train(docs, labels)).filter(F.col("score") < cut).select(*docs.columns)
+    scored = toxicity(boxed(docs, text=F.col("text")), train(docs.select("doc_id", "text"), labels))
+    return unboxed(scored.filter(F.col("score") < cut), docs.columns)

@@ -11,6 +11,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from strandq.llm import chat, common, decontaminate, gif, ngram_join, packing, secrets, sharding, substrings, toxicity, url_filters
 
@@ -292,6 +293,45 @@ def test_toxicity(spark):
     assert m.hits(" grimbledon ") == [] and len(m.hits(" grimble grimbledon ")) == 1
 
 
+def test_toxicity_of_many_patterns_and_of_none(spark):
+    """A lexicon and exceptions of any size; nothing to learn from; clean_rows with columns named like inner ones."""
+    r = random.Random(37)
+    word = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") + r.choice("aeiou") for _ in range(4))
+    bad = sorted({word() for _ in range(2600)})
+    texts = [" ".join([words(r, 20), *(bad[(25 * (i // 2) + k) % len(bad)] for k in range(25))]) if i % 2 else words(r, 25) for i in range(8000)]
+    docs = frame(spark, texts).withColumn("score", F.lit(9.0)).withColumn("toxic", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert sum(p.count(" ") == 2 for p in model.weights) > 2300
+    kept = toxicity.clean_rows(docs, labels)
+    assert kept.columns == docs.columns and {x.doc_id % 2 for x in kept.select("doc_id").collect()} == {0} and kept.count() == 4000
+    assert kept.agg({"score": "min"}).first()[0] == 9.0
+    dull = frame(spark, [words(random.Random(5), 30)] * 200)
+    half = labels.filter("doc_id < 200")
+    assert toxicity.clean_rows(dull, half).count() == 200 and toxicity.clean_rows(dull, half.limit(0)).count() == 200
+    assert toxicity.clean_rows(empty(spark), labels).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on rows that the model never saw: toxic words in varied spelling, within clean rows' words and beside them."""
+    r = random.Random(43)
+    bad = ["grimble", "snarkle", "blugger", "vexpit"]
+    disguise = lambda w: "".join({"i": "1", "e": "3", "a": "а", "o": "0"}.get(c, c) if r.random() < 0.4 else c for c in w)
+    rows = []
+    for i in range(3000):
+        toxic = r.random() < 0.2
+        text = words(r, r.randint(5, 80)).split()
+        for _ in range(r.randint(1, 4) if toxic else 0):
+            text.insert(r.randrange(len(text)), disguise(r.choice(bad)))
+        if r.random() < 0.3:
+            text.insert(0, "grimbledon")
+        rows.append((i, " ".join(text), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    held = [(x.score >= 0.5, rows[x.doc_id][2]) for x in toxicity.toxicity(docs, model).collect() if zlib.crc32(str(x.doc_id).encode()) % 5 == 0]
+    assert len(held) > 500 and sum(p == bool(y) for p, y in held) / len(held) > 0.98
+
+
 def test_url_filters(spark):
     entries = spark.createDataFrame([("a.example.com", "x", 5, "add"), ("a.example.com", "x", 9, "remove"), ("example.com", "y", 7, "add"), ("a.example.com/p", "z", 0, "add"), (None, "x", 0, "add"), ("b.org", "x", 3, "add"), ("b.org", "x", 3, "remove")], "key string, list string, at int, action string")
     pages = spark.createDataFrame([(1, "http://A.example.com/q", 4), (2, "http://a.example.com/q", 5), (3, "https://u@a.example.com:80/p/r?x", 8), (4, "http://a.example.com", 9), (5, None, 5), (6, "nonsense", 5), (7, "http://b.org/", None), (8, "http://b.org/", 4)], "page_id long, url string, at int")
