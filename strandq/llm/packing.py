@@ -1,9 +1,9 @@
 """Order-preserving packing of documents into token sequences by dynamic programming.
 
-Candidate cuts are document ends, sentence ends, and the places where a full sequence that starts at one of them would
-end.  A sequence [i, j) costs its padding (none at a power of two), a
-fixed cost, and a penalty if j cuts a document.  The cheapest cut before j lies in a sliding window of 1024 tokens, kept
-as a monotone queue; sequences of a half, a quarter and an eighth are looked up.  Each partition is one stream in its own order,
+Candidate cuts are document ends and sentence ends; only stretches of over 1024 tokens without either are cut inside.  A
+sequence [i, j) costs its padding (none at a power of two), a fixed cost, and a penalty if j cuts a document.  The
+cheapest cut before j lies in a sliding window of 1024 tokens, kept as a monotone queue; sequences of a half, a quarter
+and an eighth are looked up.  Each partition is one stream in its own order,
 so nothing is shuffled, and memory holds one block of tokens.
 """
 
@@ -131,12 +131,7 @@ def _candidates(ids: np.ndarray, ends: np.ndarray, flags: np.ndarray, limit: int
     penalty = np.full(len(at), INSIDE)
     penalty[good[at - 1]] = SENTENCE
     penalty[np.isin(at, ends, assume_unique=True)] = 0
-    by_place = np.full(int(at[-1]) + limit + 1, 255, np.uint8)
-    by_place[at + limit] = INSIDE
-    by_place[at] = penalty
-    by_place = by_place[: int(at[-1]) + 1]
-    at = np.flatnonzero(by_place < 255)
-    return at.tolist(), by_place[at].tolist()
+    return at.tolist(), penalty.tolist()
 
 
 def pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -144,6 +144,32 @@ def test_packing(spark):
     assert packing.pack(empty(spark), VOCABULARY).count() == 0
 
 
+def test_cuts_lie_at_boundaries(spark):
+    """Sequences end at sentence or document ends, but within stretches of over 1024 tokens that have none; little is padded."""
+    r = random.Random(47)
+    texts = [". ".join(words(r, r.randint(2, 30)) for _ in range(r.randint(1, 60))) for _ in range(150)] + [words(r, 3000)]
+    pieces = packing.pack(frame(spark, texts).coalesce(1), VOCABULARY).collect()
+    ends = packing.words_of(VOCABULARY).ends
+    ids = {d: np.concatenate([np.frombuffer(p.ids, "<u4") for p in sorted(some, key=lambda p: p.start)]) for d, some in by(pieces, "doc_id").items()}
+    inside = 0
+    for some in by(pieces, "sequence_id").values():
+        last = max(some, key=lambda p: p.offset)
+        stop, own = last.start + last.length, ids[last.doc_id]
+        if stop < len(own) and not ends[own[stop - 1]]:
+            before, behind = np.flatnonzero(ends[own[:stop]]), np.flatnonzero(ends[own[stop:]])
+            assert (behind[0] + stop if len(behind) else len(own)) - (before[-1] + 1 if len(before) else 0) > 1024
+            inside += 1
+    total = packing.padding(spark.createDataFrame([(p.sequence_id, p.length) for p in pieces], "sequence_id long, length long")).first()
+    assert inside and total.tokens == sum(map(len, ids.values())) and total.padding < 0.05 * total.tokens
+
+
+def by(rows, key):
+    out = defaultdict(list)
+    for x in rows:
+        out[x[key]].append(x)
+    return out
+
+
 def test_cuts_are_cheapest():
     r = random.Random(3)
     for _ in range(50):
