@@ -123,7 +123,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 with t as (
-  select conv_id, row_number() over (partition by conv_id order by turn, role, text) as n, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) as h,
+  select conv_id, row_number() over (partition by conv_id order by turn, coalesce(role, ''), coalesce(text, '')) as n, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) as h,
          '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) as body
   from conversations where conv_id is not null),
 p as (select conv_id, n, string_agg(h, '') over (partition by conv_id order by n) as prefix from t),

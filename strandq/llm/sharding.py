@@ -3,16 +3,16 @@
 Rows are ordered by (hash of the text, hash of doc_id, doc_id), so that equal texts lie together.  Exact byte counts
 below candidate boundaries are taken over all partitions: a histogram of the leading bits of the order key, then of
 the next bits inside the few cells that hold a splitter, until each splitter is within tolerance of its target or its
-cell can't be divided.  A group of equal texts larger than a cell allows is divided further by the second key.  Only
+cell holds a single key.  A group of equal texts larger than a cell allows is divided further by the second key.  Only
 histograms (at most CELLS rows per open splitter) reach the driver.  Then rows are exchanged once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import boxed, materialise, unboxed
 
 BITS = 12
 CELLS = 1 << BITS
@@ -28,38 +28,41 @@ def _digit(level: int):
     return F.shiftrightunsigned(F.col(key), shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with size (UTF-8 bytes, none for null, plus 1) and the two halves of the order key."""
-    return docs.withColumns({
-        "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
-        "k1": F.xxhash64(F.coalesce("text", F.lit(""))),
-        "k2": F.xxhash64(F.col("doc_id").cast("string")),
-    })
+def keys(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """size (UTF-8 bytes, none for null, plus 1) and the two halves of the order key."""
+    return {
+        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
+        "k1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+        "k2": F.xxhash64(F.col(doc_id).cast("string")),
+    }
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
-    """For each inner boundary the digits of the first cell behind it; rows must be keyed()."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    allowed = tolerance * total / shards
+    """For each inner boundary the digits of the first cell behind it; rows must have keys()."""
     done: dict[int, tuple[int, ...]] = {}
     open_: dict[int, tuple[tuple[int, ...], int]] = {i: ((), 0) for i in range(1, shards)}  # boundary: cell and the bytes before it
+    total = 0
+    one = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
     for level in range(12):
-        if not open_ or not total:
+        if not open_:
             break
         cells = {c for c, _ in open_.values()}
         path = F.array(*(_digit(j) for j in range(level))) if level else F.array().cast("array<int>")
         within = rows if not level else rows.filter(path.isin(*[F.array(*map(F.lit, c)) for c in cells]))
         found: dict[tuple[int, ...], list] = {}
-        for c, d, size in within.groupBy(path.alias("c"), _digit(level).alias("d")).agg(F.sum("size")).orderBy("c", "d").toLocalIterator():
-            found.setdefault(tuple(c), []).append((d, size))
+        for c, d, size, single in within.groupBy(path.alias("c"), _digit(level).alias("d")).agg(F.sum("size"), one).orderBy("c", "d").toLocalIterator():
+            found.setdefault(tuple(c), []).append((d, size, single))
+        if not found:
+            break
+        total = total or sum(size for _, size, _ in found[()])
         for i, (cell, before) in list(open_.items()):
             target, at = i * total / shards, before
-            for d, size in found[cell]:
-                if at + size > target or (d, size) == found[cell][-1]:
+            for d, size, single in found[cell]:
+                if at + size > target or d == found[cell][-1][0]:
                     break
                 at += size
-            miss = min(target - at, at + size - target)
-            if abs(miss) <= allowed or level == 11:
+            miss = min(abs(target - at), abs(at + size - target))
+            if miss <= tolerance * total / shards or single or level == 11:
                 done[i] = (*cell, d if abs(target - at) <= abs(at + size - target) else d + 1)
                 del open_[i]
             else:
@@ -79,26 +82,27 @@ def _behind(bound: tuple[int, ...]):
 def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with size, shard (0 to shards - 1; bytes per shard near equal) and slot (gapless from 0 within a shard).
 
-    Null and empty texts have size 1 and form one group of equal texts; a null doc_id is a value like others.
-    Repeated rows are kept, each with its slot.  A shard can stay empty if there are fewer rows than shards.
-    An empty table gives an empty result.  A single text is never divided, so a boundary misses its target by at
-    most half of the text that lies across it.
+    Equal texts lie next to each other, so that a group of them is in one shard unless a boundary falls into it; then it
+    is divided by doc_id, as the law of bytes asks.  Null and empty texts have size 1 and form one group of equal texts;
+    a null doc_id is a value like others.  Repeated rows are kept, each with its slot.  A shard can stay empty if there
+    are fewer rows than shards.  An empty table gives an empty result.  A single text, however long, is never divided, so
+    a boundary misses its target by at most half of the text that lies across it.  Columns of docs may have any name;
+    those named like the three new ones are replaced.
     """
-    slim = materialise(keyed(docs.select("doc_id", "text")).select("size", "k1", "k2"))
+    slim = materialise(docs.select(*(c.alias(k) for k, c in keys().items())))
     bounds = splitters(slim, shards, tolerance)
-    rows = slim.count()
-    bits = min(20, max(4, (rows // 4096).bit_length()))
-    return place(keyed(docs), bounds, bits)
+    bits = min(20, max(4, (slim.count() // 4096).bit_length()))
+    return unboxed(place(boxed(docs, doc_id=F.col("doc_id"), **keys()), bounds, bits), docs.columns, size=F.col("size"), shard=F.col("shard"), slot=F.col("slot"))
 
 
 def place(rows: DataFrame, bounds: list[tuple[int, ...]], bits: int) -> DataFrame:
-    """The one exchange: by shard and a fine cell of both keys, within which slots are numbered; offsets come from counts per cell."""
+    """The one exchange, of rows with doc_id and keys(): by shard and a fine cell of both keys, within which slots are numbered; offsets come from counts per cell."""
     at = sum((_behind(b).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
     cell = F.shiftrightunsigned("k1", 64 - bits).cast("int")
     part = F.shiftrightunsigned("k2", 58).cast("int")  # a group of equal texts is spread over 64 cells
-    rows = rows.withColumns({"shard": at, "_cell": cell, "_part": part})
-    key = ["shard", "_cell", "_part"]
-    before = Window.partitionBy("shard").orderBy("_cell", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*key).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = rows.withColumn("_slot", F.row_number().over(Window.partitionBy(*key).orderBy("k1", "k2", "doc_id")))
-    return numbered.join(counts, key).withColumn("slot", F.col("_before") + F.col("_slot") - 1).drop("_before", "_slot", "_cell", "_part", "k1", "k2")
+    rows = rows.withColumns({"shard": at, "cell": cell, "part": part})
+    key = ["shard", "cell", "part"]
+    before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("k1", "k2", "doc_id")))
+    return numbered.join(counts, key).withColumn("slot", F.col("before") + F.col("nth") - 1)

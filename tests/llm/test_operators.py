@@ -115,6 +115,27 @@ def test_sharding(spark):
     sizes = [r[1] for r in even]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 400
     assert sharding.shard(empty(spark), 4).count() == 0
+    odd = frame(spark, corpus()).selectExpr("*", "'mine' as k1", "1 as k2", "2 as size", "3 as shard", "4 as slot", "'own' as cell", "map(1, 2) as part")
+    rows = sharding.shard(odd, 3)
+    assert rows.columns == [*(c for c in odd.columns if c not in ("size", "shard", "slot")), "size", "shard", "slot"]
+    assert {(x.k1, x.cell, x.part[1]) for x in rows.collect()} == {("mine", "own", 2)} and rows.agg({"size": "sum"}).first()[0] == sum(len((t or "").encode()) + 1 for t in corpus())
+
+
+def test_shards_are_those_of_a_sort(spark):
+    """Held against one sort by the same keys that is cut where running bytes come nearest to each target; long and equal texts."""
+    r = random.Random(53)
+    texts = [words(r, r.choice((1, 3, 30, 2000))) for _ in range(300)] + ["equal " * 40] * 400
+    df = frame(spark, texts)
+    rows = sorted((tuple(x) for x in df.select(*(c.alias(k) for k, c in sharding.keys().items()), "doc_id").collect()), key=lambda x: (x[1] % 2**64, x[2] % 2**64, x[3]))
+    for shards in (1, 2, 5, 16):
+        total, sums = sum(x[0] for x in rows), np.cumsum([0, *(x[0] for x in rows)])
+        got = {x.doc_id: (x.shard, x.slot) for x in sharding.shard(df, shards, 0.0).collect()}
+        cuts = [int(np.abs(sums - i * total / shards).argmin()) for i in range(1, shards)]
+        want = {}
+        for a, b, k in zip([0, *cuts], [*cuts, len(rows)], range(shards), strict=True):
+            want |= {x[3]: k for x in rows[a:b]}
+        assert {d: k for d, (k, _) in got.items()} == want
+        assert all(sorted(n for s, n in got.values() if s == k) == list(range(sum(s == k for s in want.values()))) for k in range(shards))
 
 
 def test_packing(spark):
@@ -404,6 +425,11 @@ def test_chat(spark):
     got = {r.conv_id: (r.n_turns, r.copies) for r in chat.render(df).collect()}
     assert got == {1: (2, 2), 4: (1, 1), 5: (2, 1)}
     assert chat.render(df.limit(0)).count() == 0
+    odd = df.selectExpr("*", "1 as n_turns", "2 as copies", "3 as n", "true as last", "4 as h1", "'x' as chat")
+    assert {r.conv_id: (r.n_turns, r.copies) for r in chat.render(odd.unionByName(odd.filter("conv_id = 5"))).collect()} == {1: (2, 2), 4: (1, 1), 5: (4, 1)}
+    long = spark.createDataFrame([(k, t, "u", f"{t} " * 50) for k in (1, 2) for t in range(2000 - k)], "conv_id long, turn long, role string, text string")
+    (only,) = chat.render(long.unionByName(spark.createDataFrame([(3, 0, None, None), (4, 0, "", "")], long.schema))).filter("conv_id < 3").collect()
+    assert (only.conv_id, only.n_turns) == (1, 1999) and only.chat.count("<|end|>") == 1999
 
 
 def test_secrets(spark):
