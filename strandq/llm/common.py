@@ -73,6 +73,18 @@ def copied(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(hot, keys, "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
 
 
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits in 64-bit words, set where a row of slots (s) says so: a filter whose size doesn't grow with the rows."""
+    words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+    out, got = np.zeros(1 << (bits - 6), np.uint64), words.toPandas()
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def is_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums of products become evenly spread hashes."""
     x = x ^ (x >> np.uint64(31))

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHasher, batches, materialise, mix
+from .common import _STEP, WordHasher, batches, bitmap, boxed, is_set, materialise, mix, unboxed
 
 #: Bits of the filter that spares the join most n-grams: 2**FILTER_BITS bits is the proven bound of the broadcast.
 FILTER_BITS = 22
@@ -28,6 +28,8 @@ FILTER_BITS = 22
 MATCH, COST = 2, 1
 #: The least score, as a share of an exact copy's, that counts as a leak.
 LEAK = 0.5
+#: Places of hits are told in units of 2**UNIT words.
+UNIT = 4
 _PLAIN = bytes(i if chr(i).isalnum() or i > 127 else 32 for i in range(256)).translate(bytes(i + 32 if 65 <= i < 91 else i for i in range(256)))
 
 
@@ -99,10 +101,7 @@ def item_grams(items: DataFrame, least: float = LEAK) -> DataFrame:
 
 
 def _filter(grams: DataFrame) -> np.ndarray:
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    for (i,) in grams.select(F.col("gram").bitwiseAND((1 << FILTER_BITS) - 1).alias("i")).distinct().toLocalIterator():
-        bits[i] = True
-    return bits
+    return bitmap(grams.select(F.col("gram").bitwiseAND((1 << FILTER_BITS) - 1).alias("s")), FILTER_BITS)
 
 
 def _hits(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +109,7 @@ def _hits(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at, grams = [], []
     for apart in (1, 2):
         g = _pairs(words, apart)
-        hit = np.flatnonzero(known[(g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+        hit = np.flatnonzero(is_set(known, (g & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)))
         at.append(hit)
         grams.append(g[hit])
     return np.concatenate(at), np.concatenate(grams)
@@ -118,14 +117,14 @@ def _hits(words: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def gram_frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """gram, df over all documents, for the word pairs of the benchmark."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(grams)))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(grams))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = WordHasher(), np.unpackbits(bits.value).astype(bool)
+        hasher = WordHasher()
         for batch in rows:
             seen: Counter = Counter()
             for _, words in _words([plain(t) for t in batch.column(0).to_pylist()], hasher):
-                _, hit = _hits(words, known)
+                _, hit = _hits(words, bits.value)
                 if len(hit):
                     seen.update(np.unique(hit).view(np.int64).tolist())
             yield pa.record_batch({"gram": pa.array(list(seen), pa.int64()), "df": pa.array(list(seen.values()), pa.int64())})
@@ -135,17 +134,23 @@ def gram_frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def rare_seeds(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """item, gram, times, need: per item its pairs without the most frequent ones, and how many of those left a leak has at least."""
+    """item, gram, times, words, need: per item its pairs without the most frequent ones, and how many of those left a leak has at least."""
     counted = grams.join(gram_frequencies(docs, grams), "gram", "left").fillna(0, ["df"])
     common = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("df"), "gram"))
     counted = counted.withColumn("left_out", F.when(common <= F.floor(F.col("hits") / 2), F.col("times")).otherwise(0))
     need = F.col("hits") - F.sum("left_out").over(Window.partitionBy("item"))
-    return counted.withColumn("need", need).filter("left_out = 0").select("item", "gram", "times", "need")
+    return counted.withColumn("need", need).filter("left_out = 0").select("item", "gram", "times", "words", "need")
+
 
+def _scale(words: Column, least: float) -> Column:
+    """log2 of an item's step.  An alignment that reaches `least` covers at most (3 - MATCH * least) * words words, so it lies
+    within one of the blocks of two steps that begin at each step."""
+    return F.greatest(F.ceil(F.log2(F.ceil(words * (3 - MATCH * least)) + 1)), F.lit(UNIT)).cast("int")
 
-def _block_bit(doc, block):
+
+def _place(doc, scale, block):
     """The place of a block of a document in a filter; on columns, numbers and arrays."""
-    return doc % (1 << 40) * 1_000_003 + block * 7919
+    return doc % (1 << 40) * 1_000_003 + block * 7919 + scale * 104_729
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFrame:
@@ -153,71 +158,69 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
     alignment reaches `least` of an exact copy's score; words are counted from 0 in the document.
 
     Null and empty texts have no leaks.  Rows with one doc_id count as one document.  Rows without doc_id or item_id
-    are left out of the pairs.  Empty tables give an empty result.  For items too short to be found, see item_grams.
+    are left out of the pairs.  Items of one or two words, of which a single word reaches LEAK, can't be found.  Texts
+    and items can be of any length; further columns don't matter; empty tables give an empty result.
     """
     items = materialise(benchmark.selectExpr("cast(item_id as bigint) item_id", "text").filter("item_id is not null and text is not null").distinct().withColumn("item", F.xxhash64("item_id", "text")))
     grams = materialise(item_grams(items, least))
-    seeds = materialise(rare_seeds(docs, grams))
-    # An alignment that reaches `least` covers no more words than this, so it lies within one of the blocks of twice as many.
-    step = math.ceil((3 - MATCH * least) * (grams.agg(F.max("words")).first()[0] or 1)) + 1
+    seeds = materialise(rare_seeds(docs, grams).withColumn("scale", _scale(F.col("words"), least)))
+    scales = sorted(r["scale"] for r in seeds.select("scale").distinct().collect())  # powers of two: a few dozen at most
     context = docs.sparkSession.sparkContext
-    bits = context.broadcast(np.packbits(_filter(seeds)))
-    mask = (1 << FILTER_BITS) - 1
+    bits = context.broadcast(_filter(seeds))
 
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = WordHasher(), np.unpackbits(bits.value).astype(bool)
+        hasher = WordHasher()
         for batch in rows:
             ids = batch.column(0).to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for i, words in _words([plain(t) for t in batch.column(1).to_pylist()], hasher):
-                at, g = _hits(words, known)
+                at, g = _hits(words, bits.value)
                 if ids[i] is None or not len(g):
                     continue
-                last = max(0, -(-len(words) // step) - 2)
-                block = at // step
-                both = np.concatenate([np.minimum(block, last), np.clip(block - 1, 0, last)])
-                order = np.lexsort((g2 := np.concatenate([g, g]), both))
-                both, g2 = both[order], g2[order].view(np.int64)
-                new = np.append(True, (both[1:] != both[:-1]) | (g2[1:] != g2[:-1]))
-                both, g2 = both[new], g2[new]
-                out[0].append(np.full(len(g2), ids[i], np.int64))
-                out[1].append(both)
-                out[2].append(g2)
-            yield pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in out], ["doc_id", "block", "gram"])
+                unit = at >> UNIT
+                order = np.lexsort((g, unit))
+                unit, g = unit[order], g[order].view(np.int64)
+                new = np.append(True, (unit[1:] != unit[:-1]) | (g[1:] != g[:-1]))
+                for column, x in zip(out, (np.full(new.sum(), ids[i], np.int64), np.full(new.sum(), len(words), np.int64), unit[new], g[new]), strict=True):
+                    column.append(x)
+            yield pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in out], ["doc_id", "n_words", "unit", "gram"])
 
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    hits = texts.mapInArrow(find, "doc_id long, block long, gram long").join(seeds, "gram")
-    # Rows with one doc_id may repeat a hit, which can only add candidates.
-    found = hits.groupBy("doc_id", "block", "item").agg(F.sum("times").alias("n"), F.first("need").alias("need")).filter("n >= need")
-    found = materialise(found.select("doc_id", "block", "item"))
-    wanted = np.zeros(mask + 1, dtype=bool)
-    for (i,) in found.select(_block_bit(F.pmod("doc_id", F.lit(1 << 40)), F.col("block")).bitwiseAND(mask).alias("i")).distinct().toLocalIterator():
-        wanted[i] = True
-    blocks = context.broadcast(np.packbits(wanted))
+    hits = texts.mapInArrow(find, "doc_id long, n_words long, unit long, gram long").join(seeds, "gram")
+    last = F.expr("greatest(shiftright(n_words + shiftleft(1L, scale) - 1, scale) - 2, 0L)")
+    block = F.expr(f"shiftright(unit, scale - {UNIT})")
+    blocks = F.array_distinct(F.array(F.least(block, last), F.greatest(F.least(block - 1, last), F.lit(0))))
+    hits = hits.select("doc_id", "scale", F.explode(blocks).alias("block"), "item", "gram", "times", "need")
+    # Rows with one doc_id may add hits of their own, which can only add candidates.
+    own = ["doc_id", "scale", "block", "item"]
+    found = hits.repartition(*own).groupBy(*own, "gram").agg(F.first("times").alias("times"), F.first("need").alias("need"))
+    found = materialise(found.groupBy(*own).agg(F.sum("times").alias("n"), F.first("need").alias("need")).filter("n >= need").select(*own))
+    slots = found.select(_place(F.pmod("doc_id", F.lit(1 << 40)), F.col("scale"), F.col("block")).bitwiseAND((1 << FILTER_BITS) - 1).alias("s"))
+    wanted = context.broadcast(bitmap(slots, FILTER_BITS))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(blocks.value).astype(bool)
         for batch in rows:
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                may = np.flatnonzero(known[_block_bit(doc, np.arange(len(text) // step + 1)) & mask])
-                if len(may):
-                    words = plain(text).split()
+                words = None
+                for scale in scales:
+                    may = np.flatnonzero(is_set(wanted.value, _place(doc, scale, np.arange((len(text) >> scale) + 1)) & (1 << FILTER_BITS) - 1))
+                    if len(may) and words is None:
+                        words = plain(text).split()
                     for k in may.tolist():
-                        if k * step < len(words):
-                            out[0].append(doc)
-                            out[1].append(k)
-                            out[2].append(b" ".join(words[k * step : (k + 2) * step]).decode(errors="replace"))
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "block", "passage"])
+                        if k << scale < len(words):
+                            for column, x in zip(out, (doc, scale, k, b" ".join(words[k << scale : k + 2 << scale]).decode(errors="replace")), strict=True):
+                                column.append(x)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], ["doc_id", "scale", "block", "passage"])
 
-    passages = texts.mapInArrow(cut, "doc_id long, block long, passage string")
+    passages = texts.mapInArrow(cut, "doc_id long, scale int, block long, passage string")
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for doc, item, block, text, passage in zip(part["doc_id"], part["item_id"], part["block"], part["text"], part["passage"], strict=True):
+            for doc, item, first, text, passage in zip(part["doc_id"], part["item_id"], part["first"], part["text"], part["passage"], strict=True):
                 number: dict[bytes, int] = {}
                 own, other = plain(text).split(), passage.encode().split()
                 goal = least * MATCH * len(own)
@@ -226,15 +229,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
                 x, y = (np.array([number.setdefault(w, len(number)) for w in t]) for t in (own, other))
                 best, s, e = align(x, y)
                 if best >= goal:
-                    rows.append((doc, item, best / (MATCH * len(x)), block * step + s, block * step + e))
+                    rows.append((doc, item, best / (MATCH * len(x)), first + s, first + e))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-    scored = passages.join(found.join(items, "item"), ["doc_id", "block"]).select("doc_id", "item_id", "block", "text", "passage")
+    scored = passages.join(found.join(items, "item"), ["doc_id", "scale", "block"]).select("doc_id", "item_id", F.expr("shiftleft(block, scale)").alias("first"), "text", "passage")
     scored = scored.mapInPandas(judge, "doc_id long, item_id long, score double, start_word long, end_word long")
     best = F.max(F.struct("score", -F.col("start_word"), -F.col("end_word")))
     return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("start_word"), (-F.col("b.col3")).alias("end_word"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFrame:
-    """The rows of docs that no item leaks into; rows without doc_id stay."""
-    return docs.join(leaks(docs, benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of docs that no item leaks into; rows without doc_id stay, and further columns of whatever names."""
+    found = leaks(docs, benchmark, least).select(F.col("doc_id").alias("doc_id_")).distinct()
+    return unboxed(boxed(docs, doc_id_=F.col("doc_id").cast("long")).join(found, "doc_id_", "left_anti"), docs.columns)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MASK40, WordHasher, batches, boxed, components, copied, dealt, heavy, materialise, shingles, unboxed
+from .common import MASK40, WordHasher, batches, bitmap, boxed, components, copied, dealt, heavy, is_set, materialise, shingles, unboxed
 
 #: 100 * intersection >= 75 * union is 7 * intersection >= 3 * (sum of sizes).
 NEED, OF = 3, 7
@@ -136,31 +136,21 @@ def _prefix(n: int) -> int:
     return n - -(-3 * n // 4) + 1 if n else 0
 
 
-def _slot():
+def _slot() -> Column:
     return F.xxhash64("id").bitwiseAND((1 << FILTER_BITS) - 1)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """2**FILTER_BITS bits, whatever the number of ids: most rows that no pair names are spared the shuffle of their text."""
-    words = ids.select(_slot().alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    got = words.toPandas()
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole texts link; b's text travels to a, whose text is copied to the cells of its many pairs."""
     spark = docs.sparkSession
 
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = spark.sparkContext.broadcast(_id_filter(ids))
+    wanted = spark.sparkContext.broadcast(bitmap(ids.select(_slot().alias("s")), FILTER_BITS))  # spares most texts the shuffle
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for batch in rows:
-            slot = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array((wanted.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            batch = batch.filter(pa.array(is_set(wanted.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))))
             yield pa.record_batch({"id": batch.column(0), "z": pa.array([z.compress(x) for x in _bytes(batch.column(1))], pa.binary())})
 
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

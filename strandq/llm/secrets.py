@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
 #: The patterns of the three kinds, with letters of the first in either case.
@@ -238,23 +239,28 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long")
 
 
+def masked(text: str | None, mark: str) -> str | None:
+    if not text:
+        return text
+    base, added = find_secrets(text)
+    pieces, at = [], 0
+    for _, s, e in sorted(base + added, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            pieces += [text[at:s], mark]
+        at = max(at, e)
+    return "".join([*pieces, text[at:]])
+
+
 def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every found span, decoded or not, replaced by mark; n_chars, if there, follows the new text.  Null texts stay null."""
-    schema = docs.schema
+    """docs with every found span, decoded or not, replaced by mark; n_chars, if there, follows the new text.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = []
-            for text in part["text"]:
-                if text:
-                    base, added = find_secrets(text)
-                    pieces, at = [], 0
-                    for _, s, e in sorted(base + added, key=lambda x: (x[1], -x[2])):
-                        if s >= at:
-                            pieces += [text[at:s], mark]
-                        at = max(at, e)
-                    text = "".join([*pieces, text[at:]])
-                texts.append(text)
-            yield part.assign(text=texts, **({"n_chars": pd.array([None if t is None else len(t) for t in texts], dtype="Int64")} if "n_chars" in part else {}))
-
-    return docs.mapInPandas(run, schema)
+    Null texts stay null; repeated rows, null ids and further columns of any name and type stay; empty tables stay empty.
+    """
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        return pd.Series([masked(t, mark) for t in texts], dtype=object)
+
+    out = docs.withColumn("text", mask("text"))
+    kind = dict(docs.dtypes).get("n_chars")
+    return out.withColumn("n_chars", F.length("text").cast(kind)) if kind else out

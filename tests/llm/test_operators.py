@@ -447,6 +447,59 @@ def test_secrets(spark):
     assert secrets.scan_secrets(empty(spark)).count() == 0
 
 
+def plain_spans(text):
+    """The base spans by a plain reading of their definition, character by character."""
+    out, letters, hexes = [], set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("0123456789abcdef")
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    i = 0
+    while i < len(text):
+        end = next((i + len(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key") if low.startswith(w, i)), None)
+        if end is not None:
+            at = end + (text[end : end + 1] in ("'", '"') and end < len(text))
+            while text[at : at + 1] == " ":
+                at += 1
+            if text[at : at + 1] in (":", "=") and at < len(text):
+                at += 1
+                while text[at : at + 1] == " ":
+                    at += 1
+                at += text[at : at + 1] in ("'", '"') and at < len(text)
+                stop = at
+                while stop < len(text) and text[stop] in letters:
+                    stop += 1
+                if stop > at:
+                    if stop - at >= 8:
+                        out.append((i, 0, stop))
+                    i = stop
+                    continue
+        i += 1
+    for kind, first, more, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", hexes, 32)):
+        i = 0
+        while i < len(text):
+            stop = i + len(first)
+            if text.startswith(first, i):
+                while stop < len(text) and text[stop] in more:
+                    stop += 1
+                if stop - i >= least:
+                    out.append((i, kind, stop))
+                if stop > i + len(first):
+                    i = stop
+                    continue
+            i += 1
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+def test_base_spans_are_those_of_a_plain_reading(spark):
+    r = random.Random(59)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "'", '"', " ", "  ", ":", "=", "hunter22", "x", "abcdefgh", "é", "ſecret", "AKIA", "ABCDEFGH12345", "AKIAZ", "0f" * 15, "a", "9", "0123456789abcdef", "-", "_", "\n", "%20", "%3D"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(1500)] + [None, "token=" + "a" * 300_000]
+    for x in secrets.scan_secrets(frame(spark, texts)).collect():
+        t = texts[x.doc_id] or ""
+        want = plain_spans(t)
+        assert x.base_sha256 == sha256(want.encode()).hexdigest(), t
+        assert [x.n_assign, x.n_access, x.n_hex] == [sum(w.startswith(k) for w in want.split(",")) for k in ("assign", "access", "hex")]
+        assert set(filter(None, want.split(","))) <= set(x.spans.split(","))
+
+
 def test_secrets_in_long_runs():
     """Runs without white space take linear time, and URL escapes behind them are found."""
     text = "%41 " + "a1Z_" * 250_000 + "%20token%3Dabcdefghijk"
@@ -585,6 +638,88 @@ def test_gif_disposal():
     assert f[3][1, 1].tolist() == [255, 0, 0, 255] and f[3][0, 0].tolist() == [0, 0, 255, 255] and f[3][0, 1].tolist() == [255, 0, 0, 255]
 
 
+NAMES = """a b c k n t d1 d2 h0 h1 h2 g cell cells rows_ node comp rep row row_ order score size shard slot k1 k2 part url key list since until last many
+item item_id gram times words hits block scale unit start_word end_word passage first n_words doc_id_ text_hash spans run fresh start chunks first_doc is_first lo hi stay
+media n_bytes frames frame delay error ids length offset sequence_id doc_tokens prefix set_hash b0 p p0 n0 toxic label salt found z za zb id s w b f x y""".split()
+
+
+def test_any_names_of_further_columns(spark):
+    """Each function on documents with a column of each inner and outer name, a map among them, repeated rows, null ids and a very long text."""
+    r = random.Random(61)
+    item = words(r, 30)
+    base = [words(r, 40), words(r, 40), f"{words(r, 9)} {item}", "password = hunter22222 " + words(r, 9), "so grimble " * 4, "", None]
+    rows = [(i, t) for i, t in enumerate(base)] + [(0, base[0]), (None, base[1]), (None, None), (100, words(r, 40_000)), (101, "x" * 300_000)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    names = list(dict.fromkeys(NAMES))
+    docs = plain.select("*", *(F.lit(f"own {n}").alias(n) for n in names if n != "z"), F.expr("map('k', 1)").alias("z"))
+    labels = spark.createDataFrame([(i, int(i == 4)) for i in range(5)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, item, "own")], "item_id long, text string, doc_id string")
+    model = toxicity.Model({" grimble ": 1.0}, [], [-3.0, 9.0, 0.0, 0.0, 0.0])
+    every = {
+        "sharding": (sharding.shard, {"size", "shard", "slot"}), "one_of_each": (ngram_join.one_of_each, set()), "clean_rows": (lambda d: toxicity.clean_rows(d, labels), set()), "toxicity": (lambda d: toxicity.toxicity(d, model), {"score"}),
+        "without_leaks": (lambda d: decontaminate.without_leaks(d, bench), set()), "drop_repeats": (substrings.drop_repeats, set()), "mask_secrets": (secrets.mask_secrets, set()),
+        "ngram_join": (ngram_join.ngram_join, None), "leaks": (lambda d: decontaminate.leaks(d, bench), None), "spans": (substrings.repeated_spans, None), "pack": (lambda d: packing.pack(d, VOCABULARY), None),
+        "scan": (secrets.scan_secrets, None), "gif": (lambda d: gif.gif_columns(gif.gif_media(d)), None),
+    }
+    for name, (f, new) in every.items():
+        got, alone = f(docs), f(plain)
+        if new is not None:
+            assert set(got.columns) == set(docs.columns) | new, name
+            kept = got.collect()
+            assert all(x[n] == f"own {n}" for x in kept for n in names if n not in new and n != "z") and all(x.z == {"k": 1} for x in kept), name
+        own = [c for c in alone.columns if c not in ("slot", "media", "frames", "sequence_id", "offset")]
+        digest = lambda d, own=own: sorted(map(repr, d.select(*own).collect()))
+        assert digest(got) == digest(alone), name
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage held against brute force over a small corpus: which rows stay, their texts, and their tokens."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tokenizers import Tokenizer
+
+    r = random.Random(67)
+    items = [words(r, 40) for _ in range(3)]
+    rows = []
+    for i in range(500):
+        text = words(r, r.randint(5, 120))
+        kind = i % 10
+        if kind == 1:
+            text += " you grimble"
+        elif kind == 2:
+            text += " " + items[i % 3]
+        elif kind == 3:
+            text += " password = hunter22222 and more"
+        elif kind == 4 and i > 10:
+            near = rows[i - 10 - 4][1].split()
+            near[len(near) // 2] = "changed"
+            text = " ".join(near)
+        rows.append((i, text, "en", f"s{i % 3}", len(text)))
+    rows += [(500, None, "en", "s", None), (501, "", "de", "s", 0)]
+    at = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, int(i % 10 == 1)) for i in range(500)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+    stay = [x for x in rows if " grimble" not in (x[1] or "")]
+    s, label = brute_components([x[1] for x in stay])
+    stay = [x for x, own, c in zip(stay, s, label, strict=True) if not own or stay[c] is x]
+    stay = [x for x in stay if not any(i in (x[1] or "") for i in items)]
+    want = {x[0]: x[1] and x[1].replace("password = hunter22222", "[secret]") for x in stay}
+    assert 200 < len(want) < 380
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, at))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {x.doc_id: x.text for x in docs.collect()} == want and all(x.n_chars == (None if x.text is None else len(x.text)) for x in docs.collect())
+    tokenizer, got = Tokenizer.from_file(VOCABULARY), defaultdict(list)
+    for p in pipeline.run(spark, at).collect():
+        got[p.doc_id].append(p)
+    assert set(got) == set(want)
+    for d, some in got.items():
+        ids = np.concatenate([np.frombuffer(p.ids, "<u4") for p in sorted(some, key=lambda p: p.start)]).tolist()
+        assert ids == [*tokenizer.encode(want[d] or "", add_special_tokens=False).ids, 0]
+
+
 def test_entry_lists_every_query():
     entry = pytest.importorskip("__spark_entry__")
     names = entry.queries()
