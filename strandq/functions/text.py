@@ -67,6 +67,12 @@ def decode_ranges(s: Column) -> Column:
     return F.transform(F.filter(F.split(s, ","), lambda x: x.rlike(one)), lambda x: F.struct(part(x, 1).cast("long").alias("lo"), F.when(part(x, 2) == "", part(x, 1).cast("long")).when(part(x, 3) == "", F.lit(2**63 - 1)).otherwise(part(x, 3).try_cast("long")).alias("hi")))
 
 
+def range_numbers(s: Column) -> Column:
+    """The distinct numbers of '1-5,7,9/12', for ranges with two ends."""
+    one = F.filter(decode_ranges(s), lambda r: (r["lo"] <= r["hi"]) & (r["hi"] < F.lit(2**63 - 1)))
+    return F.array_distinct(F.flatten(F.transform(one, lambda r: F.sequence(r["lo"], r["hi"]))))
+
+
 def si(x: Column) -> Column:
     """A number with its unit letter: divided by 1000 while it exceeds 9999."""
     out = F.concat(F.floor(x / 1000**6).cast("string"), F.lit("E"))

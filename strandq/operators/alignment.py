@@ -15,23 +15,23 @@ def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
     return F.levenshtein(a, b) if most is None else F.levenshtein(a, b, most)
 
 
-def fit(a: str, b: str, prefix: bool) -> tuple[int, int]:
-    """Least edits of a against a prefix of b, or any stretch of it, and the first end (exclusive) that has them."""
+def fit(a: str, b: str, prefix: bool) -> tuple[int, int, list[int]]:
+    """Least edits of a against a prefix of b, or any stretch of it, the first end (exclusive) that has them, and all such ends."""
     x = np.frombuffer(b.encode(), np.uint8)
     at = np.arange(len(x) + 1)
     row = at.copy() if prefix else np.zeros(len(x) + 1, int)
     for i, c in enumerate(a.encode(), 1):
         new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (x != c))])
         row = np.minimum.accumulate(new - at) + at
-    return int(row.min()), int(row.argmin())
+    return int(row.min()), int(row.argmin()), np.flatnonzero(row == row.min()).tolist()
 
 
 def fitted(a: Column, b: Column, prefix: bool = False) -> Column:
-    """distance, end_ of a within b."""
+    """distance, end_, ends of a within b; null texts count as empty."""
 
-    @F.pandas_udf("struct<distance:int,end_:int>")
+    @F.pandas_udf("struct<distance:int,end_:int,ends:array<int>>")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit(p, q, prefix) for p, q in zip(x, y, strict=True)], columns=["distance", "end_"])
+        return pd.DataFrame([fit(p or "", q or "", prefix) for p, q in zip(x, y, strict=True)], columns=["distance", "end_", "ends"])
 
     return run(a, b)
 

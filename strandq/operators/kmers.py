@@ -2,27 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
+from . import sequences
 
 SATURATED = (1 << 32) - 1
 
 
+#: Sequences are cut to pieces of this many bases before their windows are taken, as a place in a long text is slow to find.
+PIECE = 256
+#: Bases that are packed at once: memory follows this and the longest sequence.
+BLOCK = 1 << 20
+
+
 def enumerate_kmers(reads: DataFrame, k: int, with_invalid: bool = False) -> DataFrame:
     """seq_idx, pos, fwd, rc of every window of k bases without other letters; with_invalid keeps those, marked by valid."""
-    starts = F.when(F.length("bases") >= k, F.sequence(F.lit(0), F.length("bases") - k))
-    out = reads.select("seq_idx", "bases", F.explode(starts).alias("pos"))
-    out = out.select("seq_idx", "pos", F.upper(F.col("bases").substr(F.col("pos") + 1, F.lit(k))).alias("fwd"))
+    most = max(PIECE, k)
+    parts = sequences.chunked(reads, most, k - 1)
+    out = parts.select("seq_idx", "bgn", "piece", F.explode(F.when(F.length("piece") >= k, F.sequence(F.lit(0), F.length("piece") - k))).alias("at"))
+    out = out.select("seq_idx", (F.col("bgn") + F.col("at")).alias("pos"), F.upper(F.col("piece").substr(F.col("at") + 1, F.lit(k))).alias("fwd"))
     valid = F.col("fwd").rlike("^[ACGT]+$")
     out = out.withColumn("valid", valid) if with_invalid else out.filter(valid)
     return out.withColumn("rc", B.complement_reversed(F.col("fwd")))
 
 
+def windows(bases: bytes, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, and two-bit packed windows with their reverse complements, of a sequence; those with another letter are left out."""
+    for lo in range(0, max(0, len(bases) - k + 1), BLOCK):
+        raw = np.frombuffer(bases, np.uint8)[lo : lo + BLOCK + k - 1]
+        digit = (raw >> 1 & 3).astype(np.uint64)  # A 0, C 1, T 2, G 3 in either case; a complement differs by 2
+        n = len(raw) - k + 1
+        fwd, rc = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for j in range(k):
+            part = digit[j : j + n]
+            fwd = fwd << np.uint64(2) | part
+            rc |= (part ^ np.uint64(2)) << np.uint64(2 * j)
+        bad = np.cumsum(np.append(0, ~np.isin(raw & 0xDF, list(b"ACGT"))))
+        good = bad[k:] == bad[:-k]
+        yield np.flatnonzero(good) + lo, fwd[good], rc[good]
+
+
 def count(reads: DataFrame, k: int) -> DataFrame:
-    """kmer, value: canonical k-mers with their number; partial counts are combined before the one shuffle."""
-    return enumerate_kmers(reads, k).select(B.canonical(F.col("fwd")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("value"))
+    """kmer, value: canonical k-mers with their number.  Up to 31 bases they are counted as packed numbers, per batch and
+    then per task, before the one shuffle."""
+    if k > 31:
+        return enumerate_kmers(reads, k).select(B.canonical(F.col("fwd")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("value"))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            held, size = [], 0
+            for text in batch.column(0).to_pylist():
+                for _, fwd, rc in windows(text or b"", k):
+                    held.append(np.minimum(fwd, rc))
+                    size += len(fwd)
+                    if size >= BLOCK:
+                        yield _counted(held)
+                        held, size = [], 0
+            if held:
+                yield _counted(held)
+
+    ascii_ = F.regexp_replace("bases", r"[^\x00-\x7F]", "N").cast("binary")  # one byte for each letter
+    packed = reads.select(ascii_.alias("bases")).mapInArrow(run, "packed long, value long")
+    return packed.groupBy("packed").agg(F.sum("value").alias("value")).select(B.unpacked(F.col("packed"), k).alias("kmer"), "value")
+
+
+def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    key, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.record_batch({"packed": pa.array(key.astype(np.int64)), "value": pa.array(n)})
 
 
 def write(table: DataFrame, path: str, files: int = 64) -> None:

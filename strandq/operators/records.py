@@ -17,6 +17,17 @@ def flag_names(flag: Column) -> Column:
     return F.array_join(F.filter(F.array(*[F.when(flag.bitwiseAND(v) != 0, n) for n, v in FLAGS.items()]), lambda x: x.isNotNull()), ",")
 
 
+def flag_mask(names: Column) -> Column:
+    """The flag of names joined by commas; unknown names count for nothing."""
+    return F.aggregate(F.array(*[F.when(F.array_contains(F.split(names, ","), n), v).otherwise(0) for n, v in FLAGS.items()]), F.lit(0), lambda a, v: a + v)
+
+
+def variant_size(ref: Column, alt: Column) -> Column:
+    """By how many bases an indel is longer than the reference, or how many bases of equally long alleles differ; 0 for others."""
+    differ = F.size(F.filter(F.sequence(F.lit(1), F.length(ref)), lambda i: F.upper(ref.substr(i, F.lit(1))) != F.upper(alt.substr(i, F.lit(1)))))
+    return F.when(variant_kind(ref, alt).isin("ref", "other"), 0).when(F.length(ref) != F.length(alt), F.length(alt) - F.length(ref)).otherwise(differ)
+
+
 def variant_kind(ref: Column, alt: Column) -> Column:
     """ref, snp, mnp, indel or other."""
     plain = alt.rlike("^[ACGTNacgtn]+$")

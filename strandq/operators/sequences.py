@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def pieces(text: Column, most: int) -> Column:
+    """A text cut each `most` characters, in one pass over it; null and empty texts have no piece."""
+    return F.when(F.length(text) > 0, F.split(text, rf"(?s)(?<=\G.{{{most}}})(?!\z)"))
+
+
 def chunked(reads: DataFrame, most: int, overlap: int = 0) -> DataFrame:
-    """seq_idx, chunk, bgn, bases, is_last: pieces of at most `most` new bases, led by `overlap` earlier ones."""
-    starts = F.when(F.length("bases") > 0, F.sequence(F.lit(0), F.length("bases") - 1, F.lit(most)))
-    out = reads.select("seq_idx", "bases", F.posexplode(starts).alias("chunk", "at"))
-    bgn = F.greatest(F.col("at") - overlap, F.lit(0))
-    return out.select("seq_idx", "chunk", bgn.alias("bgn"), F.col("bases").substr(bgn + 1, F.col("at") + most - bgn).alias("piece"), (F.col("at") + most >= F.length("bases")).alias("is_last"))
+    """seq_idx, chunk, bgn, piece, is_last: pieces of at most `most` new bases, led by `overlap` earlier ones."""
+    step = max(most, overlap)  # so that what leads a piece lies within the one before it
+    if step > most:
+        raise ValueError("the overlap must not exceed the pieces")
+    cut = reads.select("seq_idx", pieces(F.col("bases"), most).alias("p"))
+    n = F.size("p")
+    led = F.transform("p", lambda x, i: F.concat(F.when(i > 0, F.right(F.get("p", i - 1), F.lit(overlap))).otherwise(""), x)) if overlap else F.col("p")
+    out = cut.select("seq_idx", n.alias("n"), F.posexplode(led).alias("chunk", "piece"))
+    bgn = F.greatest(F.col("chunk") * most - overlap, F.lit(0))
+    return out.select("seq_idx", "chunk", bgn.alias("bgn"), "piece", (F.col("chunk") == F.col("n") - 1).alias("is_last"))
 
 
 def squeezed_map(bases: Column) -> Column:
     """For each position, and the end, its place in the text with runs squeezed: runs that begin before it, less one within a run."""
-    up = F.upper(bases)
-    at = F.sequence(F.lit(1), F.length(bases) + 1)
-    step = lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.when((i > 1) & (i <= F.length(bases)) & (up.substr(i, F.lit(1)) == up.substr(i - 1, F.lit(1))), 0).when(i == 1, 0).otherwise(1)))
-    return F.slice(F.aggregate(at, F.array(F.lit(0)), step), 2, 1 << 30)
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            x = np.frombuffer(t.upper().encode("utf-32-le"), np.uint32)
+            fresh = np.append(np.diff(x) != 0, True) if len(x) else np.zeros(0, bool)  # whether a run ends with each letter
+            return np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32)
+
+        return texts.map(one)
+
+    return run(bases)
 
 
 def _pack(bits: int):
@@ -72,17 +92,37 @@ def tallies(rows: DataFrame) -> DataFrame:
     return rows.select("id", *(total(c, k).alias(n) for n, k in (("query_len", "MIS=X"), ("ref_len", "MDN=X"), ("columns", "MID=X"), ("gaps", "ID"), ("matches", "="), ("mismatches", "X"))))
 
 
+def _before(n: Column) -> Column:
+    """For each number of an array the sum of those before it."""
+
+    @F.pandas_udf("array<long>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: None if a is None else np.cumsum(a) - a)
+
+    return run(n)
+
+
+def placed(rows: DataFrame, *keep: str) -> DataFrame:
+    """op, n, a, b of each operation of rows (cigar, pos): its length and where it begins in query and reference; with the columns to keep."""
+    ops = rows.select(*keep, "pos", cigar(F.col("cigar")).alias("ops"))
+    eaten = lambda kinds: F.transform("ops", lambda x: F.when(x["op"].isin(*kinds), x["n"]).otherwise(F.lit(0).cast("long")))
+    ops = ops.select(*keep, "pos", "ops", _before(eaten("MIS=X")).alias("a"), _before(eaten("MDN=X")).alias("b"))
+    each = ops.select(*keep, "pos", F.explode(F.arrays_zip("ops", "a", "b")).alias("x"))
+    return each.select(*keep, F.col("x.ops.op").alias("op"), F.col("x.ops.n").alias("n"), F.col("x.a").alias("a"), (F.col("x.b") + F.col("pos")).alias("b"))
+
+
 def columns(rows: DataFrame) -> DataFrame:
     """id, op, a_pos, b_pos: one row per alignment column of rows (id, cigar, pos), positions from 0 and from pos."""
-    ops = rows.select("id", "pos", F.posexplode(cigar(F.col("cigar"))).alias("i", "x"), cigar(F.col("cigar")).alias("all"))
-    before = lambda kinds: total(F.slice("all", F.lit(1), F.col("i")), kinds)
-    each = ops.select("id", F.col("x.op").alias("op"), before("MIS=X").alias("a"), (before("MDN=X") + F.col("pos")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.n") - 1)).alias("k"))
     eats = lambda kinds: F.col("op").isin(*kinds)
-    return each.filter(eats("MID=X")).select("id", "op", F.when(eats("MI=X"), F.col("a") + F.col("k")).alias("a_pos"), F.when(eats("MD=X"), F.col("b") + F.col("k")).alias("b_pos"))
+    each = placed(rows, "id").filter(eats("MID=X") & (F.col("n") > 0)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select("id", "op", F.when(eats("MI=X"), F.col("a") + F.col("k")).alias("a_pos"), F.when(eats("MD=X"), F.col("b") + F.col("k")).alias("b_pos"))
 
 
 def pileup(rows: DataFrame) -> DataFrame:
-    """chrom, pos, base, n of rows (id, chrom, pos, cigar, seq): bases that cover each position; '-' for a deletion."""
-    placed = columns(rows).filter("b_pos is not null").join(rows.select("id", "chrom", "seq"), "id")
-    base = F.when(F.col("a_pos").isNull(), "-").otherwise(F.col("seq").substr((F.col("a_pos") + 1).cast("int"), F.lit(1)))
-    return placed.groupBy("chrom", F.col("b_pos").alias("pos"), base.alias("base")).agg(F.count("*").alias("n"))
+    """chrom, pos, base, n of rows (chrom, pos, cigar, seq): bases that cover each position; '-' for a deletion."""
+    eats = lambda kinds: F.col("op").isin(*kinds)
+    some = placed(rows, "chrom", "seq").filter(eats("MD=X") & (F.col("n") > 0))
+    letters = F.when(eats("M=X"), F.col("seq").substr((F.col("a") + 1).cast("int"), F.col("n").cast("int")))
+    bases = F.when(letters.isNull(), F.array_repeat(F.lit("-"), F.col("n").cast("int"))).otherwise(F.split(letters, ""))
+    each = some.select("chrom", "b", F.posexplode(bases).alias("k", "base"))
+    return each.groupBy("chrom", (F.col("b") + F.col("k")).alias("pos"), "base").agg(F.count("*").alias("n"))

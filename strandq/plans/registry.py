@@ -52,7 +52,7 @@ IV = f"iv as (select l_suppkey as grp, l_orderkey as bgn, l_orderkey + cast(l_qu
 RG = "rg as (select s_suppkey as grp, s_suppkey * 100 as beg2, s_suppkey * 100 + 250 as end2 from supplier)"
 VI = f"vi as (select l_suppkey as grp, cast(l_quantity as bigint) as x, l_orderkey * 8 + l_linenumber as u, {ROW} as t from lineitem)"
 HG = VI + ", hg as (select grp, x as value, count(*) as weight from vi group by grp, x)"
-CG = f"cg as (select {ROW} as id, concat(cast(cast(l_quantity as int) as varchar(9)), 'M', cast(l_linenumber as varchar(9)), 'I', cast(cast(l_quantity as int) % 7 + 1 as varchar(9)), '=', cast(l_linenumber % 3 + 1 as varchar(9)), 'D', cast(cast(l_quantity as int) % 5 + 1 as varchar(9)), 'X') as cigar, l_partkey % 50 as pos from lineitem where l_orderkey % 20 = 1)"
+CG = f"cg as (select {ROW} as id, concat(cast(cast(l_quantity as int) as varchar(9)), 'M', cast(l_linenumber as varchar(9)), 'I', cast(cast(l_quantity as int) % 7 + 1 as varchar(9)), '=', cast(l_linenumber % 3 + 1 as varchar(9)), 'D', cast(cast(l_quantity as int) % 5 + 1 as varchar(9)), 'X') as cigar, l_partkey % 50 as pos from lineitem)"
 PR = f"{READS}, pr as (select seq_idx as id, substr(upper(bases), 1, 24) as a, substr(upper(bases), 30, 24) as b from reads)"
 
 
@@ -201,36 +201,60 @@ def win03_extrema(spark, d):
     return kmers.extrema(kmers.histogram(db(spark, d)).withColumnRenamed("occurrences", "smooth"))
 
 
-@query(f"with {DB} select kmer, value from db where value between 3 and 50")
+def of_length(k: int, clause: str = KMERS) -> str:
+    """The clause of k-mers with another k."""
+    return clause.replace(f"- {K - 1})", f"- {k - 1})").replace(f">= {K}", f">= {k}").replace(f"+ 1, {K})", f"+ 1, {k})")
+
+
+@query(f"with {of_length(7)}, db as (select kmer, count(*) as value from can group by kmer) select kmer, value from db where value between 3 and 50")
 def pred04_value_range(spark, d):
-    return kmers.value_range(db(spark, d), 3, 50)
+    return kmers.value_range(kmers.count(reads(spark, d), 7), 3, 50)
 
 
-@query(f"with {DB} select count(*) filter (where value between 3 and 50) as loaded, count(*) filter (where value < 3) as too_low, count(*) filter (where value > 50) as too_high from db")
+@query(f"with {of_length(7)}, db as (select kmer, count(*) as value from can group by kmer) select count(*) filter (where value between 3 and 50) as loaded, count(*) filter (where value < 3) as too_low, count(*) filter (where value > 50) as too_high from db")
 def pred04_report(spark, d):
-    return kmers.range_report(db(spark, d), 3, 50)
+    return kmers.range_report(kmers.count(reads(spark, d), 7), 3, 50)
+
+
+# A second set of reads, made of the pages; both tables are whole.
+PAGE_BASES = BASES.replace("doc_id", "page_id").replace("'a'", "'c'").replace("'b'", "'d'")
+PAGE_READS = f"page_reads as (select page_id as seq_idx, {PAGE_BASES} as bases from pages)"
+
+
+TWO = (of_length(9) + ", " + of_length(9).replace(READS, PAGE_READS).replace("from reads", "from page_reads").replace("win as", "win2 as").replace("from win", "from win2").replace("fwd as (", "fwd2 as (").replace("from fwd where", "from fwd2 where").replace("km as", "km2 as").replace("from km)", "from km2)").replace("can as", "can2 as")
+       + ", db as (select kmer, count(*) as value from can group by kmer), other as (select kmer, count(*) as value from can2 group by kmer)")
 
 
-HALF = f"{DB}, half as (select kmer, count(*) as value from can where seq_idx % 50 = 0 group by kmer)"
+def page_reads(spark, d):
+    return table(spark, d, "pages").selectExpr("page_id as seq_idx", PAGE_BASES + " as bases")
 
 
-def half(spark, d):
-    return kmers.count(reads(spark, d).filter("seq_idx % 50 = 0"), K)
+def both(spark, d):
+    return kmers.count(reads(spark, d), 9), kmers.count(page_reads(spark, d), 9)
 
 
-@query(f"with {HALF} select db.kmer, db.value from db where exists (select 1 from half where half.kmer = db.kmer)")
+@query(f"with {TWO} select db.kmer, db.value from db where exists (select 1 from other where other.kmer = db.kmer)")
 def join01_exists(spark, d):
-    return kmers.exists(db(spark, d), half(spark, d))
+    return kmers.exists(*both(spark, d))
 
 
-@query(f"with {HALF} select db.kmer, db.value from db where not exists (select 1 from half where half.kmer = db.kmer)")
+@query(f"with {TWO} select db.kmer, db.value from db where not exists (select 1 from other where other.kmer = db.kmer)")
 def join02_missing(spark, d):
-    return kmers.missing(db(spark, d), half(spark, d))
+    return kmers.missing(*both(spark, d))
 
 
-@query(f"with {HALF} select db.kmer, coalesce(half.value, 0) as value from db left join half on half.kmer = db.kmer")
+@query(f"with {TWO} select db.kmer, coalesce(other.value, 0) as value from db left join other on other.kmer = db.kmer")
 def join03_value(spark, d):
-    return kmers.value(db(spark, d).select("kmer"), half(spark, d))
+    a, b = both(spark, d)
+    return kmers.value(a.select("kmer"), b)
+
+
+@query(f"with {TWO} select coalesce(db.kmer, other.kmer) as kmer, coalesce(db.value, 0) as in_first, coalesce(other.value, 0) as in_second from db full join other on other.kmer = db.kmer")
+def set02_union(spark, d):
+    """Union of two tables, with both values; intersection and difference are join01 and join02."""
+    a, b = both(spark, d)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return a.withColumnRenamed("value", "v").join(b.withColumnRenamed("value", "w"), "kmer", "full").select("kmer", zero("v").alias("in_first"), zero("w").alias("in_second"))
 
 
 @query(f"with {DB} select kmer, value, row_number() over (order by translate(kmer, 'ACTG', '0123')) - 1 as idx from db")
@@ -238,13 +262,12 @@ def join04_index(spark, d):
     return kmers.indexed(db(spark, d))
 
 
-K11 = KMERS.replace(f"- {K - 1}", "- 10").replace(f">= {K}", ">= 11").replace(f"+ 1, {K})", "+ 1, 11)")
+K11 = of_length(11)
 
 
-@query(f"with {K11} select q.seq_idx as query_idx, q.pos as query_pos, r.seq_idx, r.pos from can q join can r on q.kmer = r.kmer where q.seq_idx % 10 = 0")
+@query(f"with {TWO.replace('- 8)', '- 10)').replace('>= 9', '>= 11').replace('+ 1, 9)', '+ 1, 11)')} select q.seq_idx as query_idx, q.pos as query_pos, r.seq_idx, r.pos from can2 q join can r on q.kmer = r.kmer")
 def join05_positions(spark, d):
-    r = reads(spark, d)
-    out = kmers.positions(r.filter("seq_idx % 10 = 0"), r, 11)
+    out = kmers.positions(page_reads(spark, d), reads(spark, d), 11)
     return out.select("query_idx", F.col("query_pos").cast("long").alias("query_pos"), "seq_idx", F.col("pos").cast("long").alias("pos"))
 
 
@@ -388,9 +411,12 @@ def agg18_fisher(spark, d):
     return stats.fisher(t)
 
 
-@query("with c as (select l_suppkey, l_orderkey from lineitem), a as (select l_suppkey, l_orderkey from c group by 1, 2) select count(*) as n from a")
+@query("select p_partkey, cast(x as bigint) as x from (select p_partkey, unnest(list_distinct(list_concat(list_concat(range(p_size, p_size + 4), [cast(7 as bigint)]), range(p_size + 2, p_size + 7)))) as x from part) t")
 def set01_distinct(spark, d):
-    return table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct().agg(F.count("*").alias("n"))
+    """The distinct numbers that a range text names."""
+    n = F.col("p_size")
+    t = F.concat(n, F.lit("-"), n + 3, F.lit(",7,"), n + 2, F.lit("/"), n + 6)
+    return table(spark, d, "part").select("p_partkey", F.explode(text.range_numbers(t)).alias("x"))
 
 
 @query("with x as (select coalesce(a.k, coalesce(b.k, c.k)) as k, a.k as ak, b.k as bk, c.k as ck from (select distinct o_custkey as k from orders where o_orderkey % 2 = 0) a full join (select distinct o_custkey as k from orders where o_orderkey % 3 = 0) b on a.k = b.k full join (select distinct o_custkey as k from orders where o_orderkey % 5 = 0) c on coalesce(a.k, b.k) = c.k) select k, (case when ak is null then 0 else 1 end) + (case when bk is null then 0 else 2 end) + (case when ck is null then 0 else 4 end) as mask from x")
@@ -446,10 +472,16 @@ def cig03_columns(spark, d):
     return sequences.columns(cg(spark, d)).groupBy("id").agg(F.count("*").alias("n"), F.max("a_pos").alias("last_a"), F.max("b_pos").alias("last_b"))
 
 
-@query("with c as (select l_partkey % 50 as b, cast(l_quantity as bigint) as n from lineitem where l_orderkey % 20 = 1), p as (select unnest(range(b, b + n)) as pos from c) select cast(pos as bigint) as pos, count(*) as depth from p group by pos")
+SEQ = f"substr(concat(translate(md5({ROW}), '0123456789abcdef', 'ACGTACGTACGTACGT'), translate(md5(concat('x', {ROW})), '0123456789abcdef', 'ACGTACGTACGTACGT')), 1, cast(cast(l_quantity as int) + l_linenumber as int))"
+
+
+@query(f"with c as (select l_suppkey % 5 as chrom, l_partkey % 500 as pos, cast(l_quantity as int) as q, cast(l_partkey % 3 + 1 as int) as d, cast(l_linenumber as int) as r, {SEQ} as seq from lineitem), "
+       "p as (select chrom, pos + k as pos, substr(seq, cast(k as int) + 1, 1) as base from (select *, unnest(range(0, q)) as k from c) x union all select chrom, pos + q + k, '-' from (select *, unnest(range(0, d)) as k from c) x "
+       "union all select chrom, pos + q + d + k, substr(seq, cast(q + k as int) + 1, 1) from (select *, unnest(range(0, r)) as k from c) x) select chrom, pos, base, count(*) as n from p group by chrom, pos, base")
 def agg19_pileup(spark, d):
-    r = table(spark, d, "lineitem").filter("l_orderkey % 20 = 1").selectExpr(ROW + " as id", "'c' as chrom", "l_partkey % 50 as pos", "concat(cast(l_quantity as int), 'M') as cigar", "repeat('A', cast(l_quantity as int)) as seq")
-    return sequences.pileup(r).groupBy("pos").agg(F.sum("n").alias("depth"))
+    """The bases of all reads per position: a match, a deletion, and a second match each."""
+    r = table(spark, d, "lineitem").selectExpr("l_suppkey % 5 as chrom", "l_partkey % 500 as pos", "concat(cast(l_quantity as int), 'M', l_partkey % 3 + 1, 'D', l_linenumber, 'M') as cigar", SEQ + " as seq")
+    return sequences.pileup(r)
 
 
 # ---- alignment ----
@@ -463,16 +495,20 @@ def aln01_edit_distance(spark, d):
     return pr(spark, d).select("id", alignment.edit_distance(a, b).cast("long").alias("distance"), alignment.edit_distance(a, b, 14).cast("long").alias("bounded"))
 
 
-@query(f"with {PR}, s as (select id, substr(a, 1, 8) as a, substr(b, 1, 12) as b from pr), e as (select id, a, b, unnest(range(0, 13)) as e from s), w as (select id, e, levenshtein(a, substr(b, 1, cast(e as int))) as dist from e) select id, min(dist) as distance from w group by id")
+@query(f"with {PR}, e as (select id, a, b, unnest(range(0, 25)) as e from pr), w as (select id, e, levenshtein(a, substr(b, 1, cast(e as int))) as dist from e) select id, min(dist) as distance, arg_min(e, dist * 100 + e) as end_ from w group by id")
 def aln02_prefix(spark, d):
-    p = pr(spark, d).selectExpr("id", "substr(a, 1, 8) as a", "substr(b, 1, 12) as b")
-    return p.select("id", alignment.fitted(F.col("a"), F.col("b"), True)["distance"].cast("long").alias("distance"))
+    r = alignment.fitted(F.col("a"), F.col("b"), True)
+    return pr(spark, d).select("id", r.alias("r")).select("id", F.col("r.distance").cast("long").alias("distance"), F.col("r.end_").cast("long").alias("end_"))
 
 
-@query(f"with {PR}, s as (select id, substr(a, 1, 8) as a, substr(b, 1, 12) as b from pr), e as (select id, a, b, unnest(range(0, 13)) as e from s), f as (select id, a, b, e, unnest(range(0, 13)) as f from e), w as (select id, levenshtein(a, substr(b, cast(f as int) + 1, cast(e as int))) as dist from f where f + e <= 12) select id, min(dist) as distance from w group by id")
+STRETCHES = f"{PR}, e as (select id, a, b, unnest(range(0, 25)) as e from pr), f as (select id, a, b, e, unnest(range(0, 25)) as f from e), w as (select id, a, f, f + e as stop, levenshtein(a, substr(b, cast(f as int) + 1, cast(e as int))) as dist from f where f + e <= 24)"
+
+
+@query(f"with {STRETCHES}, m as (select id, min(dist) as distance from w group by id) select m.id, distance, string_agg(distinct stop, ',' order by stop) as ends from m join w on w.id = m.id and w.dist = m.distance group by m.id, distance".replace("string_agg(distinct stop, ',' order by stop)", "array_to_string(list_sort(list(distinct stop)), ',')"))
 def aln02_infix(spark, d):
-    p = pr(spark, d).selectExpr("id", "substr(a, 1, 8) as a", "substr(b, 1, 12) as b")
-    return p.select("id", alignment.fitted(F.col("a"), F.col("b"))["distance"].cast("long").alias("distance"))
+    """The least distance to any stretch, and all places where such stretches end."""
+    r = alignment.fitted(F.col("a"), F.col("b"))
+    return pr(spark, d).select("id", r.alias("r")).select("id", F.col("r.distance").cast("long").alias("distance"), F.array_join("r.ends", ",").alias("ends"))
 
 
 def _affine(mode):
@@ -488,10 +524,10 @@ for _mode in ("local", "extend", "dovetail", "contained"):
 
 
 # ---- bits, codes, hashes, texts ----
-@query("select o_orderkey as x, case when o_orderkey = 0 then 0 else length(bin(o_orderkey)) end as width, bit_count(o_orderkey)::int as ones, lpad(bin(o_orderkey), 64, '0') as bits, reverse(lpad(bin(o_orderkey), 64, '0')) as reversed, (o_orderkey << 7) as rotated from orders where o_orderkey < 100000")
+@query("select o_orderkey as x, case when o_orderkey = 0 then 0 else length(bin(o_orderkey)) end as width, bit_count(o_orderkey)::int as ones, lpad(bin(o_orderkey), 64, '0') as bits, reverse(lpad(bin(o_orderkey), 64, '0')) as reversed, (o_orderkey << 7) as rotated from orders")
 def bit06_widths(spark, d):
     x = F.col("o_orderkey")
-    return table(spark, d, "orders").filter("o_orderkey < 100000").select(x.alias("x"), bits.width(x).cast("long").alias("width"), F.bit_count(x).alias("ones"), bits.binary(x, 64).alias("bits"), bits.reversed_bits(x).alias("reversed"), bits.rotate_left(x, 7).alias("rotated"))
+    return table(spark, d, "orders").select(x.alias("x"), bits.width(x).cast("long").alias("width"), F.bit_count(x).alias("ones"), bits.binary(x, 64).alias("bits"), bits.reversed_bits(x).alias("reversed"), bits.rotate_left(x, 7).alias("rotated"))
 
 
 @query("select o_orderkey as x, repeat('0', cast(length(bin(o_orderkey)) - 1 as int)) || bin(o_orderkey) as gamma, repeat('0', cast(length(bin(length(bin(o_orderkey)))) - 1 as int)) || bin(length(bin(o_orderkey))) || substr(bin(o_orderkey), 2) as delta, repeat('0', cast(o_orderkey % 20 as int)) || '1' as unary from orders where o_orderkey > 0")
@@ -529,9 +565,12 @@ def str04_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.get(w, F.lit(0)).alias("first_word"))
 
 
-@query("select event_id, lower(event_type) in ('y', 't', '1', 'yes', 'true') as b, regexp_extract(event_type, '^[a-z]+', 0) as head from events")
+WORDS = "case event_id % 11 when 0 then 'y' when 1 then 'Y' when 2 then 't' when 3 then 'T' when 4 then '1' when 5 then 'Yes' when 6 then 'TRUE' when 7 then 'no' when 8 then 'F' when 9 then '0' else event_type end"
+
+
+@query(f"select event_id, {WORDS} as word, event_id % 11 < 7 as b from events")
 def str08_bool(spark, d):
-    return table(spark, d, "events").select("event_id", text.to_bool(F.col("event_type")).alias("b"), F.regexp_extract("event_type", "^[a-z]+", 0).alias("head"))
+    return table(spark, d, "events").selectExpr("event_id", f"{WORDS} as word").select("event_id", "word", text.to_bool(F.col("word")).alias("b"))
 
 
 @query("select s_suppkey, -s_suppkey as plain, s_suppkey * 1000 as kilo, s_suppkey * 1024 as kibi, s_suppkey as hexed, cast(null as bigint) as wrong from supplier")
@@ -569,10 +608,24 @@ def time02_parts(spark, d):
     return e.select("event_id", F.expr("s div 31536000").alias("years"), F.expr("s % 31536000 div 86400").alias("days"), F.expr("s % 86400 div 3600").alias("hours"), F.year("ts").alias("y"))
 
 
-@query("select l_orderkey * 8 + l_linenumber as id, (l_orderkey & 4) = 0 and (l_orderkey & 3) = 3 as good, case when length(l_returnflag) = length(l_linestatus) then 'snp' else 'indel' end as kind from lineitem")
+NAMED = " || ".join(f"case when (o_orderkey & {v}) <> 0 then '{n},' else '' end" for n, v in records.FLAGS.items())
+
+
+@query(f"select o_orderkey as id, (o_orderkey & 4) = 0 and (o_orderkey & 3) = 3 as good, rtrim({NAMED}, ',') as names, o_orderkey & 4095 as back from orders")
 def pred06_flags(spark, d):
-    t = table(spark, d, "lineitem")
-    return t.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), records.has_flags(F.col("l_orderkey"), 3, 4).alias("good"), records.variant_kind(F.lit("A"), F.lit("C")).alias("kind"))
+    x = F.col("o_orderkey")
+    names = records.flag_names(x)
+    return table(spark, d, "orders").select(x.alias("id"), records.has_flags(x, 3, 4).alias("good"), names.alias("names"), records.flag_mask(names).cast("long").alias("back"))
+
+
+ALLELES = "substr('ACGTACGT', cast(l_orderkey % 4 as int) + 1, cast(l_linenumber % 3 as int) + 1) as ref, case when l_partkey % 7 = 0 then '.' when l_partkey % 7 = 1 then '<DEL>' else substr('ACGTGGCA', cast(l_partkey % 5 as int) + 1, cast(l_suppkey % 3 as int) + 1) end as alt"
+
+
+@query(f"with v as (select {ROW} as id, {ALLELES} from lineitem) select id, ref, alt, case when alt = '.' or alt = ref then 'ref' when alt = '<DEL>' then 'other' when length(ref) <> length(alt) then 'indel' when length(ref) = 1 then 'snp' else 'mnp' end as kind, "
+       "case when alt in ('.', '<DEL>') then 0 when length(ref) <> length(alt) then length(alt) - length(ref) when ref = alt then 0 else length(list_filter(range(1, length(ref) + 1), lambda i: substr(ref, cast(i as int), 1) <> substr(alt, cast(i as int), 1))) end as size from v")
+def pred09_kinds(spark, d):
+    r, a = F.col("ref"), F.col("alt")
+    return rows(spark, d, "v", f"v as (select {ROW} as id, {ALLELES} from lineitem)").select("id", "ref", "alt", records.variant_kind(r, a).alias("kind"), records.variant_size(r, a).cast("long").alias("size"))
 
 
 @query("select event_type, time_bucket(interval '1 hour', ts) as hour, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2".replace("time_bucket(interval '1 hour', ts)", "date_trunc('hour', ts)"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, random_numbers, text
 from ..operators import alignment, kmers, records
-from .registry import KMERS, PR, SMOOTH, K, pr, query, reads, table
+from .registry import PR, SMOOTH, STRETCHES, of_length, pr, query, reads, table
 
 # A number whose highest bit can be set, in Spark (long) and in SQL (as text of 64 bits).
 WIDE = "o_orderkey * 40503 + 12345"
@@ -117,12 +117,11 @@ def aln04_global_paths(spark, d):
     return r.select("id", F.col("r.distance").cast("long").alias("distance"), F.expr("s.mismatches + s.inserted + s.deleted").cast("long").alias("edits"), bare("r.shown_a").alias("a"), bare("r.shown_b").alias("b"))
 
 
-@query(f"with {PR}, s as (select id, substr(a, 1, 8) as a, substr(b, 1, 12) as b from pr), e as (select id, a, b, unnest(range(0, 13)) as e from s), f as (select id, a, b, e, unnest(range(0, 13)) as f from e), "
-       "w as (select id, levenshtein(a, substr(b, cast(f as int) + 1, cast(e as int))) as dist from f where f + e <= 12) select id, min(dist) as distance, min(dist) as at_place from w group by id")
+@query(f"with {STRETCHES} select id, min(dist) as distance, min(dist) as at_place, arg_min(stop, dist * 100 + stop) as end_ from w group by id")
 def aln03_infix_places(spark, d):
-    """The stretch of b between the found start and end has the found distance from a."""
-    r = pr(spark, d).selectExpr("id", "substr(a, 1, 8) as a", "substr(b, 1, 12) as b").withColumn("r", alignment.edit_paths(F.col("a"), F.col("b"), "infix"))
-    return r.select("id", F.col("r.distance").cast("long").alias("distance"), F.expr("levenshtein(a, substr(b, r.bgn + 1, r.end_ - r.bgn))").cast("long").alias("at_place"))
+    """The stretch of b between the found start and the first end has the found distance from a."""
+    r = pr(spark, d).withColumn("r", alignment.edit_paths(F.col("a"), F.col("b"), "infix"))
+    return r.select("id", F.col("r.distance").cast("long").alias("distance"), F.expr("levenshtein(a, substr(b, r.bgn + 1, r.end_ - r.bgn))").cast("long").alias("at_place"), F.col("r.end_").cast("long").alias("end_"))
 
 
 @query("select o_orderkey as id, case when o_orderkey % 3 = 0 then 'A' else 'A,C' end as alts, case when o_orderkey % 3 = 0 then '0,1,.' else '0,2,1' end as calls from orders")
@@ -140,7 +139,7 @@ def rng01_numbers(spark, d):
     return n.select("s_suppkey", "y", random_numbers.real_open(F.col("y")[0]).alias("open"), random_numbers.real_53(F.col("y")[0], F.col("y")[1]).alias("fine"), random_numbers.exponential(F.col("y")[0], 1.0, 2.0).alias("waiting"), random_numbers.gaussian(F.col("y")).alias("normal"))
 
 
-K7 = KMERS.replace(f"- {K - 1}", "- 6").replace(f">= {K}", ">= 7").replace(f"+ 1, {K})", "+ 1, 7)")
+K7 = of_length(7)
 TURNS = ("{1}a as (select value, height, lag(height) over (order by value) as old from {0}), {1}b as (select value, height, lag(height) over (order by value) as l, lead(height) over (order by value) as r, lead(value) over (order by value) as stop from {1}a where old is null or old <> height), "
          "{1} as (select value, case when stop = value + 1 then value + (l - r) / (2 * (l - 2 * height + r)) else (value + stop - 1) / 2 end as spot, case when height > l and height > r then 'peak' else 'trough' end as kind from {1}b where ((height > l and height > r) or (height < l and height < r)) and value between 3 and 99)")
 
