@@ -639,13 +639,10 @@ def stm04_windows(spark, d):
 @query(f"with {DB} select kmer, value from db")
 def stm02_stream_count(spark, d):
     """The same counts from a stream of documents, batch after batch."""
-    import tempfile
-    import uuid
-
+    from ..sources.shared import scratch
     from ..streaming import counting
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandq-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark)
     docs = table(spark, d, "documents")
     path = f"{d}/documents.parque[t]"  # a pattern holds for a file and for a folder
     source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(path)
