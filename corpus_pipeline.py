@@ -41,7 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of documents; scratch tables are removed but for the one that the last stage reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(common.made(spark))
     for _, stage in STAGES[:-1]:
         docs = common.materialise(stage(spark, docs, sf_dir))
+        common.remove(spark, common.made(spark)[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,14 +1,15 @@
-"""Shared pieces: scratch tables in the cluster's shared folder, word and shingle hashing, connected components."""
+"""Shared pieces: rows and keys, word and shingle hashing, connected components."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import made, materialise, remove, scratch  # noqa: F401  for the operators
+
 MASK40 = np.uint64((1 << 40) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -19,21 +20,6 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, a folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/strandq-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back; it outlives any executor."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def boxed(df: DataFrame, **keys: Column) -> DataFrame:
     """row_, a struct of all of df's columns, and some computed from them: no name of df's can clash with later ones."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row_"), *(c.alias(k) for k, c in keys.items()))
