@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The canvas: WIDE samples a row, at most ROWS rows a frame.  PIXELS is the unit of payloads.
-WIDE, ROWS, PIXELS = 24, 48, 576
+WIDE, ROWS, PIXELS = 24, 96, 576
 #: The sample for which a pixel that shows nothing stands: a blank.
 BLANK = 32
 #: What happens to each frame, in turn, before the next: back to nothing, back to what was there, or left.
@@ -43,33 +43,35 @@ def _widths(depth: int, n: int) -> np.ndarray:
     return np.minimum(12, np.floor(np.log2(size)).astype(np.int64) + 1)
 
 
-def lzw_codes(data: bytes, depth: int) -> list[int]:
-    """The longest known stretch after another, between a clear code and an end code; the table is cleared when its 4096 entries are used."""
-    clear = 1 << depth
-    codes, table, fresh = [clear], {}, clear + 2
-    put, known = codes.append, table.setdefault
-    at = data[0] if data else clear + 1
+def lzw_codes(data: bytes, depth: int) -> np.ndarray:
+    """The longest known stretch after another, between a clear code and an end code; the table is cleared when its 4096 entries are used.
+
+    Codes are kept times 256, so that a code and the next byte make a key without a shift."""
+    clear, first = 256 << depth, (256 << depth) + 512
+    codes, table, fresh = [clear], {}, first
+    put, known, full = codes.append, table.setdefault, 4096 << 8
+    at = data[0] << 8 if data else clear + 256
     for b in data[1:]:
-        code = known(at << 8 | b, fresh)
+        code = known(at | b, fresh)
         if code != fresh:
             at = code
             continue
         put(at)
-        fresh += 1
-        if fresh > 4096:
+        at = b << 8
+        fresh += 256
+        if fresh > full:
             put(clear)
             table.clear()
-            fresh = clear + 2
-        at = b
+            fresh = first
     put(at)
     if data:
-        put(clear + 1)
-    return codes
+        put(clear + 256)
+    return np.array(codes) >> 8
 
 
 def lzw_encode(data: bytes, depth: int = 8) -> bytes:
     """The codes of data packed at their widths, all at once: no two codes share a bit, so that bytes are sums."""
-    codes = np.array(lzw_codes(data, depth))
+    codes = lzw_codes(data, depth)
     number = np.arange(len(codes))
     since = np.maximum.accumulate(np.where(codes == 1 << depth, number + 1, 0))
     nth = np.append(0, number[1:] - since[:-1])  # of a code behind the last clear code
@@ -267,15 +269,11 @@ def _frames(data: bytes) -> Iterator[Frame]:
         delay, clear, dispose = 0, None, 0
 
 
-def histogram(rgba: np.ndarray, bins: int = 4) -> np.ndarray:
-    """Visible pixels per cell of bins**3 colours."""
-    seen = rgba[rgba[..., 3] > 0]
-    if bins == 4:
-        cell = seen[:, 0] >> 6 << 4 | seen[:, 1] >> 6 << 2 | seen[:, 2] >> 6
-    else:
-        step = seen[:, :3].astype(np.int64) * bins >> 8
-        cell = (step[:, 0] * bins + step[:, 1]) * bins + step[:, 2]
-    return np.bincount(cell, minlength=bins**3)
+def histogram(rgba: np.ndarray) -> np.ndarray:
+    """Visible pixels per cell of 64 colours, four of each of red, green and blue."""
+    high = rgba >> 6
+    cell = high[..., 0] << 4 | high[..., 1] << 2 | high[..., 2]
+    return np.bincount(cell[rgba[..., 3] > 0], minlength=64)
 
 
 def to_payload(text: str | None) -> tuple[int, bytes]:
