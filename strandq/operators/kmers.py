@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -82,6 +82,13 @@ def write(table: DataFrame, path: str, files: int = 64) -> None:
     table.repartitionByRange(files, "kmer").sortWithinPartitions("kmer").write.parquet(path)
 
 
+def read(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A table as written; with first and last, only the k-mers between them in the order of text, which file footers prune."""
+    table = spark.read.parquet(path)
+    table = table.filter(F.col("kmer") >= first) if first else table
+    return table.filter(F.col("kmer") <= last) if last else table
+
+
 def merge(batches: DataFrame) -> DataFrame:
     """kmer, value, label of rows (batch, kmer, value, label): saturating sums, and the label of the first batch."""
     return batches.groupBy("kmer").agg(F.least(F.sum("value"), F.lit(SATURATED)).alias("value"), F.min_by("label", "batch").alias("label"))

@@ -99,6 +99,89 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in S.sam_reads(S.read_sam(spark, str(s))).collect()] == [("q1", "CGTT", "DCBA")]
 
 
+def test_fasta_headers_with_marks(spark, tmp_path):
+    p = tmp_path / "x.fa"
+    p.write_bytes(b">r1 a>b\r\nACGT\r\n>r2\nAC\n\nGT\n")
+    assert sorted(tuple(r) for r in S.read_fasta(spark, str(p)).collect()) == [("r1", "a>b", "ACGT"), ("r2", "", "ACGT")]
+
+
+def test_fastq_in_splits(spark, tmp_path):
+    """Wherever a file is split, its records are the same: qualities that begin with @ and +, long and short reads."""
+    import random
+
+    r = random.Random(3)
+    want, text = [], ""
+    for i in range(300):
+        n = r.choice((1, 3, 40, 300))
+        bases, quals = "".join(r.choice("ACGTN") for _ in range(n)), "".join(r.choice("@+!IA") for _ in range(n))
+        want.append((f"read{i}", bases, [ord(c) - 33 for c in quals], 0))
+        text += f"@read{i} x\n{bases}\n+\n{quals}\n"
+    for k in range(2):
+        (tmp_path / f"{k}.fq").write_text(text[: len(text) - k])
+    try:
+        for size in (97, 1000, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            got = sorted((x.ident, x.bases, x.quals, x.error) for x in S.read_fastq(spark, str(tmp_path)).collect())
+            assert got == sorted(want * 2), size
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_mixed_files(spark, tmp_path):
+    p = tmp_path / "x.txt"
+    p.write_text("junk\n>a one\nAC\nGT\n@b\nACG\n+\n@>I\n\n>c\n@d\nAC\nno plus\n@e\nA\n+x\n!\nlost\n>f\nAA")
+    got = {x.ident: (x.bases, x.quals, x.error) for x in S.read_mixed(spark, str(p)).collect()}
+    assert got == {"a": ("ACGT", [], 2), "b": ("ACG", [31, 29, 40], 0), "c": ("", [], 0), "d": ("", [], 1), "e": ("A", [0], 2), "f": ("AA", [], 2)}
+
+
+def test_sniffed_files_and_regions(spark, tmp_path):
+    import pytest
+
+    texts = {"fa": ">x y\nACGTACGTAC\nGT\n>z\n", "fq": "@x\nACG\n+\n!!I\n", "sam": "@HD\tVN:1\nx\t16\tc\t7\t60\t3M\t*\t0\t0\tAAC\tABC\n", "two": "@CO x\n@CO y\nx\t0\tc\t7\t60\t3M\t*\t0\t0\tAAC\tABC\n"}
+    for k, t in texts.items():
+        (tmp_path / k).write_text(t)
+    got = {k: [tuple(x) for x in S.open_sequences(spark, str(tmp_path / k)).orderBy("ident").collect()] for k in texts}
+    assert got == {"fa": [("x", "ACGTACGTACGT", []), ("z", "", [])], "fq": [("x", "ACG", [0, 0, 40])], "sam": [("x", "GTT", [34, 33, 32])], "two": [("x", "AAC", [32, 33, 34])]}
+    (tmp_path / "no").write_text("@x\nACG\n")
+    with pytest.raises(ValueError):
+        S.sniff(spark, str(tmp_path / "no"))
+    reads = S.read_fasta(spark, str(tmp_path / "fa"))
+    regions = spark.createDataFrame([(x,) for x in ("x", "x:2-4", "x:5-7", "x:9-99", "x:20-30", "x:4", "z", "none:1-2")], "region string")
+    for most in (1, 4, 5, 1 << 16):
+        got = {x.region: x.bases for x in S.fetch(S.sequence_table(reads, most), regions, most).collect()}
+        assert got == {"x": "ACGTACGTACGT", "x:2-4": "CGT", "x:5-7": "ACG", "x:9-99": "ACGT", "x:20-30": "", "x:4": "TACGTACGT", "z": "", "none:1-2": None}, most
+    many = spark.range(1000).repartition(7)
+    assert sorted(x.seq_idx for x in S.numbered(many).collect()) == list(range(1000))
+
+
+def test_written_files(spark, tmp_path):
+    """What is written reads back the same: sequences, records, regions, k-mer tables."""
+    reads = spark.createDataFrame([("a", "x", "ACGTACG", [1, 2, 3, 4, 5, 6, 7]), ("b", "", "", [])], "ident string, flags string, bases string, quals array<int>")
+    S.write_lines(S.fasta_text(reads, 3), str(tmp_path / "fa"), "gzip")
+    assert sorted(tuple(x) for x in S.read_fasta(spark, str(tmp_path / "fa")).collect()) == [("a", "", "ACGTACG"), ("b", "", "")]
+    S.write_lines(S.fastq_text(reads), str(tmp_path / "fq"))
+    assert sorted((x.ident, x.bases, x.quals, x.error) for x in S.read_fastq(spark, str(tmp_path / "fq")).collect()) == [("a", "ACGTACG", [1, 2, 3, 4, 5, 6, 7], 0), ("b", "", [], 0)]
+    sam = "x\t16\tc\t7\t60\t1M2D2M\t*\t0\t0\tAAC\tABC\tNM:Z:1\tRG:Z:q\n"
+    vcf = "1\t5\t.\tAC\tC,G\t9.5\tPASS\tAF=0.1,0.2;DB\n1\t7\trs1\tA\t.\t.\tq10;s50\t.\n"
+    (tmp_path / "sam").write_text(sam)
+    (tmp_path / "vcf").write_text("##x\n" + vcf)
+    lines = lambda df: "".join(sorted(x.value + "\n" for x in df.collect()))
+    assert lines(S.sam_text(S.read_sam(spark, str(tmp_path / "sam")))) == sam
+    assert lines(S.vcf_text(S.read_vcf(spark, str(tmp_path / "vcf")))) == vcf
+    at = lambda k: sorted((x.chrom, x.bgn, x.end_) for x in S.read_regions(spark, str(tmp_path / k), k).collect())
+    assert at("sam") == [("c", 6, 11)] and at("vcf") == [("1", 4, 6), ("1", 6, 7)]
+    (tmp_path / "gff").write_text("##gff\nc\ts\tgene\t11\t20\t.\t+\t.\tID=1\n")
+    (tmp_path / "bed").write_text("c\t10\t20\n")
+    assert at("gff") == at("bed") == [("c", 10, 20)]
+    assert lines(S.bed_text(S.read_bed(spark, str(tmp_path / "bed")))) == "c\t10\t20\n"
+    table = spark.range(500).selectExpr("translate(lpad(conv(id, 10, 4), 5, '0'), '0123', 'ACTG') as kmer", "id as value")
+    kmers.write(table, str(tmp_path / "db"), 4)
+    assert sorted(map(tuple, kmers.read(spark, str(tmp_path / "db")).collect())) == sorted(map(tuple, table.collect()))
+    assert kmers.read(spark, str(tmp_path / "db"), "AC", "AG").count() == table.filter("kmer between 'AC' and 'AG'").count() > 0
+
+
 def test_key_values(spark):
     lines = {"a = b": ("a", "b"), "a key:=  b c  # no": ("a key", "b c"), "a=": ("a", ""), "a =#x": ("a", "#x"), "a = #x": ("a", ""), "a": None, "# a = b": None, "=b": None, "a #c = d": None, "": None}
     df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", text.key_value(F.col("line")).alias("kv"))
