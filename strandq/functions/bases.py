@@ -44,6 +44,15 @@ def unpacked(number: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"), "0123", "ACTG")
 
 
+def digits(s: Column) -> Column:
+    """0 to 4 for A C T G N in either case, 5 for any other letter, as text."""
+    return F.translate(F.regexp_replace(s, "[^ACTGNactgn]", "5"), "ACTGNactgn", "0123401234")
+
+
+def letters(digits_: Column) -> Column:
+    return F.translate(digits_, "01234", "ACTGN")
+
+
 def push_right(kmer: Column, base: Column) -> Column:
     return F.concat(F.substring(kmer, 2, 1 << 30), base)
 

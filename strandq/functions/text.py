@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -162,3 +164,61 @@ def megabytes(bits: Column) -> Column:
 def percent_decoded(s: Column) -> Column:
     """%XX escapes decoded; a plus sign stays."""
     return F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))
+
+
+def hex_dump(data: Column, wide: int = 16) -> Column:
+    """Lines of an address, the bytes as hexadecimal pairs and as visible characters (others as dots), `wide` bytes each."""
+    n = F.octet_length(data)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(wide))).otherwise(F.array().cast("array<int>"))
+    part = lambda at: F.substr(data, at + 1, F.lit(wide))
+    pairs = lambda at: F.rtrim(F.regexp_replace(F.lower(F.hex(part(at))), "(..)", "$1 "))
+    shown = lambda at: F.regexp_replace(F.decode(part(at), "ISO-8859-1"), r"[^ -~]", ".")
+    return F.transform(starts, lambda at: F.concat_ws("  ", F.lpad(F.lower(F.hex(at)), 8, "0"), pairs(at), shown(at)))
+
+
+def joined_path(*parts: Column) -> Column:
+    """Parts of a path between single slashes; null and empty ones are left out."""
+    return F.regexp_replace(F.concat_ws("/", *(F.nullif(p, F.lit("")) for p in parts)), "//+", "/")
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern of the dialect in which groups don't capture unless they begin with {c}, and match any of their prefixes if
+    they begin with {p}, in Spark's own: (x) is (?:x), ({c}x) is (x), ({p}xyz) is (?:x(?:y(?:z)?)?)?, {,b} is {0,b}; ^ and $
+    stand for themselves, and a dot for any character.  Matches begin at the start of a text."""
+    atom = r"\\.|\[(?:\[:[a-z]+:\]|\\.|[^\]\\])*\]|[^\\\[]"
+    out, ends = [], []
+    items = re.findall(rf"\((?:\{{[cp]\}})?|\)|\{{[0-9]*,?[0-9]*\}}|{atom}", pattern, re.DOTALL)
+    for x in items:
+        if x in ("(", "({c}", "({p}"):
+            out.append({"(": "(?:", "({c}": "(", "({p}": "(?:"}[x])
+            ends.append(["p", 0] if x == "({p}" else ["", 0])
+        elif x == ")":
+            kind, n = ends.pop()
+            out.append(")?" * n + (")" if kind != "p" else ")"))
+        elif re.fullmatch(r"\{,[0-9]+\}", x):
+            out.append("{0" + x[1:])
+        elif x[0] == "{" or x in "*+?|":
+            out.append(x)
+        else:
+            x = {"^": r"\^", "$": r"\$", ".": r"(?s:.)"}.get(x, x)
+            x = re.sub(r"\[:([a-z]+):\]", lambda m: rf"\p{{{_POSIX[m[1]]}}}", x)
+            if ends and ends[-1][0] == "p":
+                out.append("(?:")
+                ends[-1][1] += 1
+            out.append(x)
+    return "".join(out)
+
+
+#: The names of character classes.
+_POSIX = {"alnum": "Alnum", "alpha": "Alpha", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
+
+
+def longest_match(s: Column, pattern: str) -> Column:
+    """The groups (the whole first) of the longest beginning of s that the dialect's pattern matches; null if none that isn't
+    empty does.  All beginnings are tried, from the longest: for names and fields, not for long texts."""
+    java = java_pattern(pattern)
+    whole = rf"(?s)\A(?:{java})\z"
+    n = F.get(F.filter(F.sequence(F.length(s), F.lit(0), F.lit(-1)), lambda i: (i > 0) & s.substr(F.lit(1), i).rlike(whole)), F.lit(0))
+    groups = re.compile(re.sub(r"\\p\{[A-Za-z]+\}", "x", java)).groups
+    own = s.substr(F.lit(1), n)
+    return F.when(n.isNotNull(), F.array(own, *(F.regexp_extract(own, whole, k + 1) for k in range(groups))))

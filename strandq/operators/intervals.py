@@ -57,10 +57,10 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, closed: bool = False
     return a.join(b, ["grp", "_bin"]).filter(meet).filter(F.col("_bin") == F.floor(F.greatest("bgn", "beg2") / width)).drop("_bin")
 
 
-def touching(left: DataFrame, regions: DataFrame, width: int, keep: bool = True) -> DataFrame:
-    """Rows of left (with a unique column id) that overlap some region, or none of them."""
-    hit = overlaps(left, regions, width).select("id").distinct()
-    return left.join(hit, "id", "left_semi" if keep else "left_anti")
+def touching(left: DataFrame, regions: DataFrame, width: int, keep: bool = True, by: str = "overlap") -> DataFrame:
+    """Rows of left (with a unique column id) that touch some region, or none of them: by overlap, or by their start alone."""
+    rows = left.withColumn("end_", F.col("bgn") + 1) if by == "start" else left
+    return left.join(overlaps(rows, regions, width).select("id").distinct(), "id", "left_semi" if keep else "left_anti")
 
 
 def parse_region(text):

@@ -405,12 +405,6 @@ def agg17_allele_counts(spark, d):
     return records.allele_counts(calls).select(F.col("pos").alias("id"), "an", F.coalesce(F.col("ac")["1"], F.lit(0)).alias("n_one"))
 
 
-@query()
-def agg18_fisher(spark, d):
-    t = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*(F.count_if((F.col("l_linenumber") % 2 == i) & (F.col("l_linestatus") == s)).alias(f"n{i + 1}{j}") for i in (0, 1) for j, s in ((1, "F"), (2, "O"))))
-    return stats.fisher(t)
-
-
 @query("select p_partkey, cast(x as bigint) as x from (select p_partkey, unnest(list_distinct(list_concat(list_concat(range(p_size, p_size + 4), [cast(7 as bigint)]), range(p_size + 2, p_size + 7)))) as x from part) t")
 def set01_distinct(spark, d):
     """The distinct numbers that a range text names."""
@@ -536,17 +530,6 @@ def cod03_codes(spark, d):
     return table(spark, d, "orders").filter("o_orderkey > 0").select(x.alias("x"), bits.gamma(x).alias("gamma"), bits.delta(x).alias("delta"), bits.unary(x % 20).alias("unary"))
 
 
-@query()
-def cod05_zeckendorf(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("x"), bits.zeckendorf(F.col("s_suppkey")).alias("code"))
-
-
-@query()
-def hash01_words(spark, d):
-    x = F.col("s_suppkey").cast("long")
-    return table(spark, d, "supplier").select(x.alias("x"), text.word_hash(F.array(x, x * 7, F.lit(3).cast("long"))).alias("hash"))
-
-
 @query("select doc_id, md5(text) as digest, ('0x' || substr(md5(text), 1, 8))::bigint as high from documents")
 def hash02_md5(spark, d):
     m = F.md5("text")
