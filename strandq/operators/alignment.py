@@ -37,11 +37,14 @@ def fitted(a: Column, b: Column, prefix: bool = False) -> Column:
 
 
 def affine(a: str, b: str, mode: str, match: int = 2, mismatch: int = 4, opening: int = 4, extending: int = 2) -> tuple[int, int, int, int, int, str]:
-    """score, bgn_a, end_a, bgn_b, end_b, cigar with affine gaps (a gap of n costs opening + n * extending).
+    """score, bgn_a, end_a, bgn_b, end_b, cigar with affine gaps.
 
     mode local: any stretches; extend: both begin at 0; dovetail: an end of a against a beginning of b; contained: all
-    of a within b.  An alignment without columns has score 0 and an empty cigar.
+    of a within b.  A gap of n costs opening + n * extending, in local mode opening + (n - 1) * extending; there N scores
+    0 against anything, and elsewhere as any letter.  An alignment without columns has score 0 and an empty cigar.
     """
+    if mode == "local":
+        opening -= extending
     n, m = len(a), len(b)
     low = -(10**9)
     x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
@@ -57,12 +60,13 @@ def affine(a: str, b: str, mode: str, match: int = 2, mismatch: int = 4, opening
     if not free_b:
         f[0, 1:] = h[0, 1:]
     slope = extending * np.arange(m + 1)
+    blank = ord("N") if mode == "local" else -1
+    steps = {c: np.where((y == blank) | (c == blank), 0, np.where(y == c, match, -mismatch)) for c in set(x.tolist())}
     for i in range(1, n + 1):
         e[i] = np.maximum(e[i - 1], h[i - 1] - opening) - extending
         if not free_a:
             e[i, 0] = h[i, 0]
-        step = np.where(y == x[i - 1], match, -mismatch)
-        best = np.maximum(h[i - 1, :-1] + step, e[i, 1:])
+        best = np.maximum(h[i - 1, :-1] + steps[x[i - 1]], e[i, 1:])
         if mode == "local":
             best = np.maximum(best, 0)
         base = np.concatenate([[h[i, 0]], best])
@@ -78,7 +82,7 @@ def affine(a: str, b: str, mode: str, match: int = 2, mismatch: int = 4, opening
         if state == "h":
             if (mode == "local" and h[i, j] == 0) or (i == 0 and free_b) or (j == 0 and free_a):
                 break
-            if i and j and h[i, j] == h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else -mismatch):
+            if i and j and h[i, j] == h[i - 1, j - 1] + steps[x[i - 1]][j - 1]:
                 ops.append("=" if a[i - 1] == b[j - 1] else "X")
                 i, j = i - 1, j - 1
                 continue
@@ -157,6 +161,17 @@ def edit_paths(a: Column, b: Column, mode: str = "global") -> Column:
     return run(a, b)
 
 
+def error_rate(tallies: dict[str, Column]) -> Column:
+    """Mismatches and gaps over the shorter of the two lengths; null without an alignment."""
+    shorter = F.least(tallies["query_len"], tallies["ref_len"])
+    return F.when(shorter > 0, (tallies["mismatches"] + tallies["gaps"]) / shorter)
+
+
+def identity(tallies: dict[str, Column]) -> Column:
+    """Matches over alignment columns; null without an alignment."""
+    return F.when(tallies["columns"] > 0, tallies["matches"] / tallies["columns"])
+
+
 def path_summary(cigar: Column) -> Column:
     """matches, mismatches, inserted and deleted letters, and how many stretches of the two there are."""
     runs = lambda op: F.regexp_extract_all(cigar, F.lit(rf"(\d+){op}"), F.lit(1))

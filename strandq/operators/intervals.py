@@ -1,10 +1,17 @@
-"""Intervals [bgn, end_) per group grp.  Running windows are per group; a point sweep counts events before it sorts them."""
+"""Intervals [bgn, end_) per group grp.  Sweeps run within stretches of coordinates, and small windows carry over between them."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import ordered_cells
+
+#: Each size of bins is so many times the one before.
+STEP = 8
+
 
 def from_span(rows: DataFrame, at: str, length: str) -> DataFrame:
     """bgn, end_ of a start and a length; a negative length lies before the start."""
@@ -13,27 +20,45 @@ def from_span(rows: DataFrame, at: str, length: str) -> DataFrame:
 
 
 def squash(rows: DataFrame, min_overlap: int = 0) -> DataFrame:
-    """grp, bgn, end_, num: intervals that overlap by min_overlap, or are contained, become one."""
-    w = Window.partitionBy("grp").orderBy("bgn", "end_")
-    reach = F.max("end_").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when((reach >= F.col("bgn") + min_overlap) | (F.col("end_") <= reach), 0).otherwise(1)
-    islands = rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("grp", "_island").agg(F.min("bgn").alias("bgn"), F.max("end_").alias("end_"), F.count("*").alias("num")).drop("_island")
+    """grp, bgn, end_, num: intervals that overlap by min_overlap, or are contained, become one.
+
+    Groups are dealt to stretches of bgn.  What reaches into a stretch is the greatest end of those before it, and an
+    interval that began there goes on in those that don't begin one: both are carried over a row per stretch."""
+    cells = ordered_cells(rows.select("grp", "bgn", "end_"), "bgn")
+    before, within = Window.partitionBy("grp").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("grp", "cell").orderBy("bgn", "end_")
+    ends = cells.groupBy("grp", "cell").agg(F.max("end_").alias("most")).select("grp", "cell", F.max("most").over(before).alias("carried"))
+    own = cells.join(ends, ["grp", "cell"])
+    reach = F.greatest(F.max("end_").over(within.rowsBetween(Window.unboundedPreceding, -1)), "carried")
+    own = own.withColumn("fresh", F.when((reach >= F.col("bgn") + min_overlap) | (F.col("end_") <= reach), 0).otherwise(1))
+    own = own.withColumn("nth", F.sum("fresh").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = own.groupBy("grp", "cell", "nth").agg(F.min("bgn").alias("bgn"), F.max("end_").alias("end_"), F.count("*").alias("num"))
+    # Part 0 of a stretch began in an earlier one: it belongs to the last part of the one before that has any.
+    last = parts.groupBy("grp", "cell").agg(F.max("nth").alias("last"))
+    last = last.select("grp", "cell", F.max(F.when(F.col("last") > 0, F.struct("cell", "last"))).over(before).alias("from"))
+    home = F.when(F.col("nth") > 0, F.struct("cell", F.col("nth").alias("last"))).otherwise(F.col("from"))
+    return parts.join(last, ["grp", "cell"]).groupBy("grp", home.alias("home")).agg(F.min("bgn").alias("bgn"), F.max("end_").alias("end_"), F.sum("num").alias("num")).drop("home")
 
 
 def depth(rows: DataFrame) -> DataFrame:
-    """grp, bgn, end_, depth between each two neighbouring coordinates; gaps have depth 0."""
+    """grp, bgn, end_, depth between each two neighbouring coordinates; gaps have depth 0.
+
+    Coordinates are dealt to stretches, whose sums and first coordinates are carried over a row per stretch."""
     events = rows.select("grp", F.explode(F.array(F.struct(F.col("bgn").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end_").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    sums = events.groupBy("grp", "e.pos").agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy("grp").orderBy("pos")
-    out = sums.select("grp", F.col("pos").alias("bgn"), F.lead("pos").over(w).alias("end_"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return out.filter("end_ is not null")
+    sums = ordered_cells(events.groupBy("grp", "e.pos").agg(F.sum("e.d").alias("d")), "pos")
+    per = Window.partitionBy("grp").orderBy("cell")
+    cells = sums.groupBy("grp", "cell").agg(F.sum("d").alias("all"), F.min("pos").alias("first"))
+    cells = cells.select("grp", "cell", F.coalesce(F.sum("all").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"), F.lead("first").over(per).alias("next"))
+    w = Window.partitionBy("grp", "cell").orderBy("pos")
+    own = sums.withColumns({"stop": F.lead("pos").over(w), "own": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(cells, ["grp", "cell"])
+    return own.select("grp", F.col("pos").alias("bgn"), F.coalesce("stop", "next").alias("end_"), (F.col("own") + F.col("carried")).alias("depth")).filter("end_ is not null")
 
 
 def invert(squashed: DataFrame, lo: int, hi: int) -> DataFrame:
-    """The holes of squashed intervals within [lo, hi), clipped to it."""
-    w = Window.partitionBy("grp").orderBy("bgn")
-    gaps = squashed.select("grp", F.coalesce(F.lag("end_").over(w), F.lit(lo)).alias("bgn"), F.col("bgn").alias("end_"))
+    """The holes of squashed intervals within [lo, hi), clipped to it; dealt to stretches like the others."""
+    cells = ordered_cells(squashed.select("grp", "bgn", "end_"), "bgn")
+    per, w = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp", "cell").orderBy("bgn")
+    ends = cells.groupBy("grp", "cell").agg(F.max("end_").alias("most")).select("grp", "cell", F.lag("most").over(per).alias("carried"))
+    gaps = cells.withColumn("was", F.lag("end_").over(w)).join(ends, ["grp", "cell"]).select("grp", F.coalesce("was", "carried", F.lit(lo)).alias("bgn"), F.col("bgn").alias("end_"))
     last = squashed.groupBy("grp").agg(F.max("end_").alias("bgn")).select("grp", "bgn", F.lit(hi).alias("end_"))
     clip = lambda c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)).cast("long").alias(c)
     return gaps.unionByName(last).select("grp", clip("bgn"), clip("end_")).filter("bgn < end_")
@@ -48,13 +73,25 @@ def invert_each(rows: DataFrame, lo: int, hi: int) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, width: int, closed: bool = False) -> DataFrame:
     """Pairs of overlapping rows of left (grp, bgn, end_, ...) and right (grp, beg2, end2, ...).
 
-    Both sides are dealt to bins of `width`, joined by group and bin, and kept only in the first bin that they share.
+    Bins of `width`, eight times that, and so on: an interval lies in at most two bins of its own size.  Two intervals meet
+    in the bins of the larger one's size; so each is dealt to the bins of its size and of the larger sizes that the other
+    side has, and a pair counts in the first bin that both share.  However long an interval is, its rows are few.
     """
-    last = (lambda c: F.col(c)) if closed else (lambda c: F.greatest(F.col(c) - 1, F.lit(0)))
-    bins = lambda b, e: F.explode(F.sequence(F.floor(F.col(b) / width), F.greatest(F.floor(F.col(b) / width), F.floor(last(e) / width))))
-    a, b = left.withColumn("_bin", bins("bgn", "end_")), right.withColumn("_bin", bins("beg2", "end2"))
+    last = (lambda e: F.col(e)) if closed else (lambda e: F.greatest(F.col(e) - 1, F.lit(0)))
+    size = lambda b, e: F.greatest(F.ceil(F.log(F.greatest(last(e) - F.col(b) + 1, F.lit(1)) / width) / math.log(STEP)), F.lit(0)).cast("int")
+    a, b = left.withColumn("_own", size("bgn", "end_")), right.withColumn("_own2", size("beg2", "end2"))
+    sizes = lambda x, c: [r[0] for r in x.select(c).distinct().collect()]  # noqa: E731  of 64-bit numbers there are 22
+    bins = lambda b, e: F.sequence(F.expr(f"floor({b} / ({width}L * power({STEP}, _size)))").cast("long"), F.greatest(F.floor(F.col(b) / (width * F.pow(F.lit(STEP), F.col("_size")))), F.floor(last(e) / (width * F.pow(F.lit(STEP), F.col("_size"))))))
+
+    def dealt(x, own, other, begin, end):
+        which = F.array_distinct(F.concat(F.array(own), F.filter(F.array(*map(F.lit, other)).cast("array<int>"), lambda s: s > F.col(own))))
+        return x.withColumn("_size", F.explode(which)).withColumn("_bin", F.explode(bins(begin, end)))
+
+    x, y = dealt(a, "_own", sizes(b, "_own2"), "bgn", "end_"), dealt(b, "_own2", sizes(a, "_own"), "beg2", "end2")
     meet = "bgn <= end2 and end_ >= beg2" if closed else "bgn < end2 and end_ > beg2"
-    return a.join(b, ["grp", "_bin"]).filter(meet).filter(F.col("_bin") == F.floor(F.greatest("bgn", "beg2") / width)).drop("_bin")
+    pairs = x.join(y, ["grp", "_size", "_bin"]).filter(meet).filter("_size = greatest(_own, _own2)")
+    first = F.floor(F.greatest("bgn", "beg2") / (width * F.pow(F.lit(STEP), F.col("_size"))))
+    return pairs.filter(F.col("_bin") == first).drop("_bin", "_size", "_own", "_own2")
 
 
 def touching(left: DataFrame, regions: DataFrame, width: int, keep: bool = True, by: str = "overlap") -> DataFrame:

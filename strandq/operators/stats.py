@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,18 +22,30 @@ def retract(rows: DataFrame) -> DataFrame:
     return s.select("grp", "n", mean.alias("mean"), F.when(n > 1, F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))).otherwise(0.0).alias("variance"))
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows with r, the 0-based rank of x within grp, and n."""
-    return rows.withColumns({"r": F.row_number().over(Window.partitionBy("grp").orderBy("x")) - 1, "n": F.count("*").over(Window.partitionBy("grp"))})
+def counted(rows: DataFrame) -> DataFrame:
+    """grp, x, c, cum, n: the distinct values with their number, how many values are not greater, and how many there are.
+
+    Rows are counted per value, with map-side combining, before any window sees them."""
+    w = Window.partitionBy("grp")
+    each = rows.groupBy("grp", "x").agg(F.count("*").alias("c"))
+    return each.withColumns({"cum": F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+
+
+def _at(rank: str) -> Column:
+    """The value of a 0-based rank, among the rows of counted()."""
+    return F.min(F.when(F.expr(f"cum > {rank}"), F.col("x")))
 
 
 def trimmed(rows: DataFrame) -> DataFrame:
     """grp, n, mean, deviation of the values within five times the larger third-to-median distance of the median."""
-    at = lambda d, m=1: F.max(F.when(F.col("r") == F.floor(F.col("n") * m / d), F.col("x")))
-    q = ranked(rows).groupBy("grp").agg(at(2).alias("med"), at(3).alias("lo"), at(3, 2).alias("hi"))
+    values = counted(rows)
+    q = values.groupBy("grp").agg(_at("n div 2").alias("med"), _at("n div 3").alias("lo"), _at("2 * n div 3").alias("hi"))
     near = 5 * F.greatest(F.col("med") - F.col("lo"), F.col("hi") - F.col("med"))
-    good = rows.join(q, "grp").filter((F.col("x") >= F.col("med") - near) & (F.col("x") <= F.col("med") + near))
-    return good.groupBy("grp").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("deviation"))
+    good = values.join(q, "grp").filter((F.col("x") >= F.col("med") - near) & (F.col("x") <= F.col("med") + near))
+    x, c, n, mean = F.col("x").cast("double"), F.col("c"), F.col("n"), F.col("mean")
+    means = good.groupBy("grp").agg(F.sum("c").alias("n"), (F.sum(x * c) / F.sum("c")).alias("mean"))
+    spread = good.select("grp", "x", "c").join(means, "grp").groupBy("grp", "n", "mean").agg(F.sum(c * (x - mean) * (x - mean)).alias("s"))
+    return spread.select("grp", "n", "mean", F.when(n > 1, F.sqrt(F.col("s") / (n - 1))).otherwise(0.0).alias("deviation"))
 
 
 def mode(rows: DataFrame) -> DataFrame:
@@ -44,32 +56,64 @@ def mode(rows: DataFrame) -> DataFrame:
 
 def median(rows: DataFrame) -> DataFrame:
     """grp, median: of whole numbers, the mean of the two middle ones rounded toward zero."""
-    middle = ranked(rows).filter("r = n div 2 or r = (n - 1) div 2").groupBy("grp").agg(F.expr("(min(x) + max(x)) div 2").alias("median"))
-    return middle
+    return counted(rows).groupBy("grp").agg(_at("n div 2").alias("a"), _at("(n - 1) div 2").alias("b")).select("grp", F.expr("(a + b) div 2").alias("median"))
 
 
 def mad(rows: DataFrame) -> DataFrame:
     """grp, mad: the upper median of the distances from the median."""
-    apart = rows.join(median(rows), "grp").select("grp", F.abs(F.col("x") - F.col("median")).alias("x"))
-    return ranked(apart).filter("r = n div 2").select("grp", F.col("x").alias("mad"))
+    values = rows.groupBy("grp", "x").agg(F.count("*").alias("c"))
+    apart = values.join(median(rows), "grp").groupBy("grp", F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("c").alias("c"))
+    w = Window.partitionBy("grp")
+    ranks = apart.withColumns({"cum": F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    return ranks.groupBy("grp").agg(_at("n div 2").alias("mad"))
 
 
 def moving(rows: DataFrame, alpha: float) -> DataFrame:
-    """grp, ema: exponential moving average of x in the order of t; the weight of a value follows from how many come after it."""
-    w = Window.partitionBy("grp")
-    late = F.row_number().over(w.orderBy(F.desc("t"))) - 1
-    n = F.count("*").over(w)
-    share = F.pow(F.lit(1 - alpha), late) * F.when(late == n - 1, 1.0).otherwise(alpha)
-    return rows.withColumn("share", share).groupBy("grp").agg(F.sum(F.col("share") * F.col("x")).alias("ema"))
+    """grp, ema: exponential moving average of x in the order of t (no ties); the weight of a value follows from how many come
+    after it.
+
+    Groups are dealt to stretches of t, between bounds taken from all rows: a stretch sums its values as if nothing came
+    after it, and its sum is weighted by how many rows the later stretches have."""
+    cells = ordered_cells(rows, "t")
+    w = Window.partitionBy("grp", "cell").orderBy(F.desc("t"))
+    late = cells.withColumns({"late": F.row_number().over(w) - 1, "first": F.row_number().over(Window.partitionBy("grp", "cell").orderBy("t")) == 1})
+    keep = 1 - alpha
+    parts = late.groupBy("grp", "cell").agg(F.count("*").alias("m"), F.sum(F.pow(F.lit(keep), F.col("late")) * alpha * F.col("x")).alias("s"), F.max(F.when(F.col("first"), F.pow(F.lit(keep), F.col("late")) * (1 - alpha) * F.col("x"))).alias("lead"))
+    behind = F.coalesce(F.sum("m").over(Window.partitionBy("grp").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = F.col("cell") == F.min("cell").over(Window.partitionBy("grp"))
+    parts = parts.withColumns({"share": F.pow(F.lit(keep), behind), "whole": F.col("s") + F.when(begins, F.col("lead")).otherwise(0.0)})
+    return parts.groupBy("grp").agg(F.sum(F.col("share") * F.col("whole")).alias("ema"))
+
+
+#: Into how many stretches rows are dealt by their order.
+CELLS = 64
+
+
+def ordered_cells(rows: DataFrame, by: str) -> DataFrame:
+    """rows with cell, which grows with `by`: stretches between CELLS - 1 bounds that a sketch of all rows finds.  So a group
+    of a third of all rows is in a third of the cells, if it isn't in one stretch of its own."""
+    kind = dict(rows.dtypes)[by]
+    key = F.col(by).cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col(by)
+    if kind == "string":
+        key = F.conv(F.rpad(F.substring(F.hex(F.col(by)), 1, 14), 14, "0"), 16, 10).cast("long")  # the first seven bytes, in order
+    shares = [i / CELLS for i in range(1, CELLS)]
+    bounds = rows.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 1000)).first()[0] or []
+    return rows.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < key)) if bounds else F.lit(0))
 
 
 def weighted(hist: DataFrame) -> DataFrame:
-    """grp, n, mean, mode, median of rows (grp, value, weight); the median is the first value that reaches half."""
+    """grp, n, mean, deviation, mode, median, mad of rows (grp, value, weight); the median is the first value that reaches
+    half, and mad that of the distances from it."""
     w = Window.partitionBy("grp")
-    cum = F.sum("weight").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    rows = hist.withColumns({"cum": cum, "n": F.sum("weight").over(w)})
-    return rows.groupBy("grp").agg(F.max("n").alias("n"), (F.sum(F.col("value") * F.col("weight")) / F.max("n")).alias("mean"),
-                                   F.max(F.struct("weight", (-F.col("value")).alias("m")))["m"].alias("neg"), F.min(F.when(F.expr("cum >= n div 2"), F.col("value"))).alias("median")).select("grp", "n", "mean", (-F.col("neg")).alias("mode"), "median")
+    v, c, n = F.col("value"), F.col("weight"), F.col("n")
+    half = lambda rows, x: rows.withColumns({"cum": F.sum("weight").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("weight").over(w)})
+    middle = lambda x: F.min(F.when(F.expr("cum >= n div 2"), F.col(x)))
+    own = half(hist, "value").groupBy("grp").agg(F.max("n").alias("n"), (F.sum(v * c) / F.max("n")).alias("mean"), F.max(F.struct("weight", (-v).alias("m")))["m"].alias("neg"), middle("value").alias("median"))
+    apart = hist.join(own, "grp")
+    spread = apart.groupBy("grp").agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("s"))
+    far = apart.groupBy("grp", F.abs(v - F.col("median")).alias("far")).agg(F.sum("weight").alias("weight"))
+    mads = half(far, "far").groupBy("grp").agg(middle("far").alias("mad"))
+    return own.join(spread, "grp").join(mads, "grp").select("grp", "n", "mean", F.when(n > 1, F.sqrt(F.col("s") / (n - 1))).otherwise(0.0).alias("deviation"), (-F.col("neg")).alias("mode"), "median", "mad")
 
 
 def sampled(hist: DataFrame, shares: list[float]) -> DataFrame:

@@ -134,9 +134,10 @@ def kmer06_canonical(spark, d):
     return kmers.enumerate_kmers(reads(spark, d), K).select("fwd", "rc", B.canonical(f).alias("kmer"), B.plain_canonical(f).alias("plain"), B.is_canonical(f).alias("is_canonical"), B.is_palindrome(f).alias("is_palindrome")).distinct()
 
 
-@query(f"with {DB} select kmer, " + " + ".join(f"cast(substr(translate(kmer, 'ACTG', '0123'), {i + 1}, 1) as bigint) * {4 ** (K - 1 - i)}" for i in range(K)) + ", value from db".replace(", value", " as packed, value"))
+@query(f"with {DB} select kmer, " + " + ".join(f"cast(substr(translate(kmer, 'ACTG', '0123'), {i + 1}, 1) as bigint) * {4 ** (K - 1 - i)}" for i in range(K)) + ", value from db".replace(", value", " as packed, kmer as back, value"))
 def kmer08_packed(spark, d):
-    return db(spark, d).select("kmer", B.packed(F.col("kmer")).cast("long").alias("packed"), "value")
+    number = B.packed(F.col("kmer")).cast("long")
+    return db(spark, d).select("kmer", number.alias("packed"), B.unpacked(number, K).alias("back"), "value")
 
 
 @query(" union all ".join(f"select cast({k} as bigint) as k, cast({p} as bigint) as palindromes, cast({b} as bigint) as below" for k, p, b in ((1, 0, 2), (2, 4, 6), (3, 0, 32), (4, 16, 120), (5, 0, 512), (6, 64, 2016))))
@@ -383,9 +384,12 @@ def agg13_moving(spark, d):
     return stats.moving(vi(spark, d), 0.1).select("grp", F.round("ema", 6).alias("ema"))
 
 
-@query(f"with {HG}, c as (select *, sum(weight) over (partition by grp order by value) as cum, sum(weight) over (partition by grp) as n from hg), m as (select grp, value, row_number() over (partition by grp order by weight desc, value) as r from hg) select c.grp, cast(max(n) as bigint) as n, round(sum(c.value * weight) / max(n), 6) as mean, max(m.value) as mode, min(case when cum >= n // 2 then c.value end) as median from c join m on c.grp = m.grp and m.r = 1 group by c.grp")
+@query(f"with {HG}, c as (select *, sum(weight) over (partition by grp order by value) as cum, sum(weight) over (partition by grp) as n from hg), m as (select grp, value, row_number() over (partition by grp order by weight desc, value) as r from hg), "
+       "d as (select grp, min(value) as median from c where cum >= n // 2 group by grp), e as (select hg.grp, abs(value - median) as far, sum(weight) as weight from hg join d on hg.grp = d.grp group by 1, 2), g as (select *, sum(weight) over (partition by grp order by far) as cum, sum(weight) over (partition by grp) as n from e), "
+       "a as (select grp, min(far) as mad from g where cum >= n // 2 group by grp), v as (select grp, coalesce(stddev_samp(x), 0) as deviation from vi group by grp) "
+       "select c.grp, cast(max(n) as bigint) as n, round(sum(c.value * weight) / max(n), 6) as mean, round(max(v.deviation), 6) as deviation, max(m.value) as mode, max(d.median) as median, max(a.mad) as mad from c join m on c.grp = m.grp and m.r = 1 join d on c.grp = d.grp join a on c.grp = a.grp join v on c.grp = v.grp group by c.grp")
 def agg14_weighted(spark, d):
-    return stats.weighted(hg(spark, d)).withColumn("mean", F.round("mean", 6))
+    return stats.weighted(hg(spark, d)).withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
 
 
 @query(f"with {HG}, c as (select *, sum(weight) over (partition by grp order by value) as cum, sum(weight) over (partition by grp) as n from hg), s as (select unnest([0.0, 0.25, 0.5, 0.99, 1.0]) as share) select grp, cast(share as double) as share, coalesce(min(case when cum > floor(share * n) then value end), max(value)) as value from c join s on true group by grp, share")
@@ -461,6 +465,13 @@ def cig02_tallies(spark, d):
     return sequences.tallies(cg(spark, d))
 
 
+@query(f"with {OPS} select id, round((n[5] + n[2] + n[4]) / least(n[1] + n[2] + n[3] + n[5], n[1] + n[3] + n[4] + n[5])::double, 9) as error_rate, round(n[3] / (n[1] + n[2] + n[3] + n[4] + n[5])::double, 9) as identity from op where i = 1")
+def aln10_rates(spark, d):
+    t = sequences.tallies(cg(spark, d))
+    named = {c: F.col(c) for c in t.columns}
+    return t.select("id", F.round(alignment.error_rate(named), 9).alias("error_rate"), F.round(alignment.identity(named), 9).alias("identity"))
+
+
 @query(f"with {OPS} select id, n[1] + n[2] + n[3] + n[4] + n[5] as n, n[1] + n[2] + n[3] + n[5] - 1 as last_a, pos + n[1] + n[3] + n[4] + n[5] - 1 as last_b from op where i = 1")
 def cig03_columns(spark, d):
     return sequences.columns(cg(spark, d)).groupBy("id").agg(F.count("*").alias("n"), F.max("a_pos").alias("last_a"), F.max("b_pos").alias("last_b"))
@@ -536,10 +547,11 @@ def hash02_md5(spark, d):
     return table(spark, d, "documents").select("doc_id", m.alias("digest"), F.conv(F.substring(m, 1, 8), 16, 10).cast("long").alias("high"))
 
 
-@query(" union all ".join(f"select cast({i} as bigint) as n, cast({f} as bigint) as f" for i, f in enumerate(bits.fibonacci_numbers(46))))
+@query("with recursive f as (select 0::bigint as n, 1::hugeint as f, 1::hugeint as g union all select n + 1, g, f + g from f where n < 92) select n, cast(f as varchar) as f from f")
 def math01_fibonacci(spark, d):
-    numbers = F.array(*[F.lit(f).cast("long") for f in bits.fibonacci_numbers(46)])
-    return spark.range(47).select(F.col("id").alias("n"), F.element_at(numbers, (F.col("id") + 1).cast("int")).alias("f"))
+    """All that fit 64 bits without a sign."""
+    numbers = F.array(*[F.lit(str(f)) for f in bits.fibonacci_numbers(92)])
+    return spark.range(93).select(F.col("id").alias("n"), F.element_at(numbers, (F.col("id") + 1).cast("int")).alias("f"))
 
 
 @query("select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) as n_words, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1] as first_word from documents".replace("\\\\", "\\"))

@@ -58,17 +58,38 @@ def test_sequences(spark):
     assert col(spark, "select 'AAaCCGTTt' s", B.runs_squeezed(F.col("s")), sequences.squeezed_map(F.col("s"))) == [("ACGT", [0, 0, 0, 1, 1, 2, 3, 3, 3, 4])]
 
 
-def _cost(a, b, match=2, mismatch=4, opening=4, extending=2):
-    """Best local score by plain recursion over cells."""
-    h, e, f, best = {}, {}, {}, 0
+def _cost(a, b, mode, match=2, mismatch=4, opening=4, extending=2):
+    """Best score by plain recursion over cells."""
+    low, free_a, free_b = -(10**6), mode in ("local", "dovetail"), mode in ("local", "contained")
+    first = opening - extending if mode == "local" else opening
+    h, e, f = {}, {}, {}
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
-            e[i, j] = max(e[i - 1, j], h[i - 1, j] - opening) - extending if i else -(10**6)
-            f[i, j] = max(f[i, j - 1], h[i, j - 1] - opening) - extending if j else -(10**6)
-            step = h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else -mismatch) if i and j else 0
-            h[i, j] = max(0, step, e[i, j], f[i, j])
-            best = max(best, h[i, j])
-    return best
+            e[i, j] = max(e[i - 1, j], h[i - 1, j] - first) - extending if i else low
+            f[i, j] = max(f[i, j - 1], h[i, j - 1] - first) - extending if j else low
+            blank = mode == "local" and i and j and "N" in (a[i - 1], b[j - 1])
+            step = h[i - 1, j - 1] + (0 if blank else match if a[i - 1] == b[j - 1] else -mismatch) if i and j else low
+            begin = 0 if mode == "local" or (not i and not j) or (not j and free_a) or (not i and free_b) else low
+            h[i, j] = max(begin, step, e[i, j], f[i, j])
+    return max(v for (i, j), v in h.items() if mode in ("local", "extend") or i == len(a))
+
+
+def _walked(a, b, got, mode):
+    """The score of the alignment that a result describes."""
+    import re
+
+    score, i, end_a, j, end_b, cigar = got
+    total = 0
+    for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([=XID])", cigar)):
+        for _ in range(n if op in "=X" else 0):
+            assert (a[i] == b[j]) == (op == "=")
+            total += 0 if mode == "local" and "N" in (a[i], b[j]) else 2 if op == "=" else -4
+            i, j = i + 1, j + 1
+        if op in "ID":
+            total -= (2 if mode == "local" else 4) + 2 * n
+            i, j = i + n * (op == "I"), j + n * (op == "D")
+    assert (i, j) == (end_a, end_b)
+    return total
 
 
 def test_alignment():
@@ -76,9 +97,49 @@ def test_alignment():
 
     assert alignment.fit("AACT", "AACTGGC", True)[0] == 0 and alignment.fit("ACT", "CGACTGAC", False)[0] == 0
     r = random.Random(5)
-    for _ in range(60):
-        a, b = ("".join(r.choice("ACGT") for _ in range(r.randint(0, 12))) for _ in "ab")
-        assert alignment.affine(a, b, "local")[0] == _cost(a, b), (a, b)
+    for mode in ("local", "extend", "dovetail", "contained"):
+        for _ in range(150):
+            a, b = ("".join(r.choice("ACGTN") for _ in range(r.randint(0, 12))) for _ in "ab")
+            got = alignment.affine(a, b, mode)
+            assert got[0] == _cost(a, b, mode), (mode, a, b)
+            assert _walked(a, b, got, mode) == got[0], (mode, a, b, got)
+
+
+def test_sweeps_in_stretches(spark, monkeypatch):
+    """Squashed intervals, depth and holes of a group that is most of all rows, by plain loops; bins with very long intervals."""
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for _ in range(400):
+        g, b = r.choice((1, 1, 1, 2)), r.randint(0, 600)
+        rows.append((g, b, b + r.choice((0, 1, 3, 9, 60))))
+    iv = spark.createDataFrame(rows, "grp long, bgn long, end_ long")
+    for cells in (1, 7, 64):
+        monkeypatch.setattr(stats, "CELLS", cells)
+        for least in (-2, 0, 4):
+            want = []
+            for g in (1, 2):
+                reach, out = None, []
+                for _, b, e in sorted(x for x in rows if x[0] == g):
+                    if reach is not None and (reach >= b + least or e <= reach):
+                        out[-1] = (g, min(out[-1][1], b), max(out[-1][2], e), out[-1][3] + 1)
+                    else:
+                        out.append((g, b, e, 1))
+                    reach = e if reach is None else max(reach, e)
+                want += out
+            assert sorted(map(tuple, intervals.squash(iv, least).collect())) == sorted(want), (cells, least)
+        want = []
+        for g in (1, 2):
+            at = sorted({p for x in rows if x[0] == g for p in x[1:]})
+            want += [(g, a, b, sum(x[0] == g and x[1] <= a < x[2] for x in rows)) for a, b in zip(at, at[1:], strict=False)]
+        assert sorted(map(tuple, intervals.depth(iv).collect())) == sorted(want), cells
+    assert intervals.squash(iv.limit(0)).count() == intervals.depth(iv.limit(0)).count() == 0
+    other = [(r.choice((1, 2)), b, b + n) for b, n in ((0, 10**9), (5, 0), (599, 1), *((r.randint(0, 600), r.choice((1, 30, 5000))) for _ in range(80)))]
+    right = spark.createDataFrame(other, "grp long, beg2 long, end2 long")
+    for closed in (False, True):
+        want = [(*x, *y[1:]) for x in rows for y in other if x[0] == y[0] and ((x[1] <= y[2] and x[2] >= y[1]) if closed else (x[1] < y[2] and x[2] > y[1]))]
+        assert sorted(map(tuple, intervals.overlaps(iv, right, 4, closed).select("grp", "bgn", "end_", "beg2", "end2").collect())) == sorted(want)
 
 
 def test_files(spark, tmp_path):
