@@ -39,6 +39,15 @@ def packed(kmer: Column) -> Column:
     return F.aggregate(F.split(key(kmer), ""), F.lit(0).cast("decimal(38,0)"), lambda a, d: (a * 4 + d.cast("decimal(1,0)")).cast("decimal(38,0)"))
 
 
+def first_kmer(k: int) -> str:
+    """The first k-mer in their order; the last is last_kmer."""
+    return "A" * k
+
+
+def last_kmer(k: int) -> str:
+    return "G" * k
+
+
 def unpacked(number: Column, k: int) -> Column:
     """The k-mer of a numeric key, for k up to 31."""
     return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"), "0123", "ACTG")

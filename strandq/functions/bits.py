@@ -11,6 +11,11 @@ def low_mask(n: Column) -> Column:
     return F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, F.lit(-1).cast("long")).otherwise(F.expr("1L") * F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (64 - n).cast("int")))
 
 
+def high_mask(n: Column) -> Column:
+    """n high bits set; none for 0, all from 64 on."""
+    return F.bitwise_not(low_mask(64 - n))
+
+
 def rotate_left(x: Column, r: int) -> Column:
     r %= 64
     return x if r == 0 else F.shiftleft(x, r).bitwiseOR(F.shiftrightunsigned(x, 64 - r))

@@ -19,6 +19,11 @@ def twister(seed: Column, n: int) -> Column:
     return run(seed.cast("long"))
 
 
+def wide(outputs: Column, i: int) -> Column:
+    """The i-th 64-bit output: two of 32 bits, the first above, as a signed number."""
+    return F.shiftleft(F.get(outputs, F.lit(2 * i)), 32).bitwiseOR(F.get(outputs, F.lit(2 * i + 1)))
+
+
 def real_closed(y: Column) -> Column:
     """In [0, 1]."""
     return y / float((1 << 32) - 1)

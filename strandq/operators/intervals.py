@@ -19,6 +19,18 @@ def from_span(rows: DataFrame, at: str, length: str) -> DataFrame:
     return rows.withColumns({"bgn": F.least(a, b), "end_": F.greatest(a, b)})
 
 
+def of_length(rows: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """Intervals of at least and at most so many positions, both included."""
+    n = F.col("end_") - F.col("bgn")
+    return rows.filter((n >= least) & (F.lit(True) if most is None else n <= most))
+
+
+def region_list(regions: DataFrame) -> DataFrame:
+    """grp, bgn, end_, num of texts (region) such as 'chr:beg-end', merged where they overlap; an open end is the greatest number."""
+    r = parse_region(F.col("region"))
+    return squash(regions.select(r["name"].alias("grp"), r["beg"].alias("bgn"), F.coalesce(r["end"], F.lit(2**63 - 1)).alias("end_")))
+
+
 def squash(rows: DataFrame, min_overlap: int = 0) -> DataFrame:
     """grp, bgn, end_, num: intervals that overlap by min_overlap, or are contained, become one.
 

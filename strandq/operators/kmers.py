@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
-from . import sequences
+from . import sequences, skew
 
 SATURATED = (1 << 32) - 1
 
@@ -170,11 +170,45 @@ def indexed(table: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).join(F.broadcast(offsets), "_cell").withColumn("idx", F.col("_before") + F.col("_rank")).drop("_cell", "_rank", "_before")
 
 
+def packed_kmers(reads: DataFrame, k: int) -> DataFrame:
+    """seq_idx, pos, packed: the canonical k-mer, as a number, of every window of up to 31 bases without other letters."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            held, size = [], 0
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for at, fwd, rc in windows(text or b"", k):
+                    held.append((np.full(len(at), i), at, np.minimum(fwd, rc)))
+                    size += len(at)
+                    if size >= BLOCK:
+                        yield _placed(batch, held)
+                        held, size = [], 0
+            if held:
+                yield _placed(batch, held)
+
+    ascii_ = F.regexp_replace("bases", r"[^\x00-\x7F]", "N").cast("binary")
+    return reads.select(F.col("seq_idx").cast("long").alias("seq_idx"), ascii_.alias("bases")).mapInArrow(run, "seq_idx long, pos long, packed long")
+
+
+def _placed(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
+    row, at, key = map(np.concatenate, zip(*held, strict=True))
+    return pa.record_batch({"seq_idx": batch.column(0).take(pa.array(row)), "pos": pa.array(at.astype(np.int64)), "packed": pa.array(key.astype(np.int64))})
+
+
 def positions(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """query_idx, query_pos, seq_idx, pos wherever canonical k-mers of both sides agree."""
-    own = lambda x: enumerate_kmers(x, k).withColumn("kmer", B.canonical(F.col("fwd")))
-    left = own(queries).select("kmer", F.col("seq_idx").alias("query_idx"), F.col("pos").alias("query_pos"))
-    return left.join(own(reference).select("kmer", "seq_idx", "pos"), "kmer")
+    """query_idx, query_pos, seq_idx, pos, kmer wherever canonical k-mers (of up to 31 bases) of both sides agree.
+
+    Windows of a k-mer that many queries have are dealt to cells, to which the reference's are copied."""
+    left = packed_kmers(queries, k).select("packed", F.col("seq_idx").alias("query_idx"), F.col("pos").alias("query_pos"))
+    counts = left.groupBy("packed").agg(F.count("*").alias("n"))
+    hot = skew.heavy_of(counts, ["packed"], counts.agg(F.sum("n")).first()[0] or 0)
+    both = skew.dealt(left, hot, ["packed"], "query_idx", "query_pos").join(skew.copied(packed_kmers(reference, k), hot, ["packed"]), ["packed", "cell"])
+    return both.select("query_idx", "query_pos", "seq_idx", "pos", B.unpacked(F.col("packed"), k).alias("kmer"))
+
+
+def by_prefix(table: DataFrame, n: int) -> DataFrame:
+    """prefix, n, total: how many k-mers begin with each n bases, and their values: what a table is divided by."""
+    return table.groupBy(F.substring("kmer", 1, n).alias("prefix")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def space(spark, k: int) -> DataFrame:

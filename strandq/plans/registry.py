@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
-from ..functions import bits, text
+from ..functions import bits, text, times
 from ..operators import alignment, intervals, kmers, records, sequences, stats
+from ..sources.shared import scratch
+from ..streaming import counting
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -162,7 +164,7 @@ def kmer11_merge(spark, d):
 
 @query(f"with {DB} select substr(kmer, 1, 3) as prefix, count(*) as n, sum(value)::bigint as total from db group by 1")
 def kmer12_prefixes(spark, d):
-    return db(spark, d).groupBy(F.substring("kmer", 1, 3).alias("prefix")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return kmers.by_prefix(db(spark, d), 3)
 
 
 @query(f"with {DB} select value, count(*) as occurrences from db group by value")
@@ -310,7 +312,7 @@ def int01_spans(spark, d):
 
 @query(f"with {IV} select grp, bgn, end_, id from iv where end_ - bgn between 10 and 40")
 def pred05_length(spark, d):
-    return iv(spark, d).filter("end_ - bgn between 10 and 40")
+    return intervals.of_length(iv(spark, d), 10, 40)
 
 
 @query(f"with {IV}, {RG} select iv.id, rg.beg2, rg.end2 from iv join rg on iv.grp = rg.grp and iv.bgn <= rg.end2 and iv.end_ >= rg.beg2")
@@ -435,11 +437,23 @@ def seq02_squeeze(spark, d):
     return reads(spark, d).select("seq_idx", B.runs_squeezed(F.col("bases")).alias("squeezed"))
 
 
-@query(f"with {READS} select seq_idx, case when contains(bases, 'N') then null else upper(bases) end as two, upper(bases) as three from reads")
+def _bytes(digits: str, per: int, base: int) -> str:
+    """SQL of the bytes, as hexadecimal text, of digits so many to a byte, filled up with zeros."""
+    return f"array_to_string(list_transform(range(0, cast(ceil(length({digits}) / {per}.0) as bigint)), lambda i: printf('%02X', " + " + ".join(f"cast('0' || substr({digits}, cast(i * {per} + {j + 1} as int), 1) as int) * {base ** (per - 1 - j)} * case when i * {per} + {j + 1} > length({digits}) then 0 else 1 end" for j in range(per)) + ")), '')"
+
+
+@query(f"with {READS}, t as (select seq_idx, bases, translate(upper(bases), 'ACGTN', '01234') as t from reads) select seq_idx, case when contains(bases, 'N') then null else {_bytes('t', 4, 4)} end as two_bytes, {_bytes('t', 3, 5)} as three_bytes, case when contains(bases, 'N') then null else upper(bases) end as two, upper(bases) as three from t")
 def seq03_pack(spark, d):
-    """Packing and unpacking gives the bases back."""
+    """Bases packed in two and three bits, their bytes, and the bases back."""
     b, n = F.col("bases"), F.length("bases")
-    return reads(spark, d).select("seq_idx", sequences.unpacked(sequences.packed(b), n).alias("two"), sequences.unpacked(sequences.packed(b, 3), n, 3).alias("three"))
+    r = reads(spark, d).withColumns({"p2": sequences.packed(b), "p3": sequences.packed(b, 3)})
+    return r.select("seq_idx", F.hex("p2").alias("two_bytes"), F.hex("p3").alias("three_bytes"), sequences.unpacked(F.col("p2"), n).alias("two"), sequences.unpacked(F.col("p3"), n, 3).alias("three"))
+
+
+@query(f"with {READS}, p as (select seq_idx, bases, unnest(range(1, length(bases) + 1)) as i from reads), c as (select seq_idx, i, case when i = 1 or upper(substr(bases, cast(i as int), 1)) <> upper(substr(bases, cast(i - 1 as int), 1)) then 1 else 0 end as fresh from p), "
+       "m as (select seq_idx, i, sum(fresh) over (partition by seq_idx order by i) as r from c) select seq_idx, string_agg(cast(r - 1 as varchar), ',' order by i) || ',' || cast(max(r) as varchar) as places from m group by seq_idx")
+def win05_squeezed_places(spark, d):
+    return reads(spark, d).select("seq_idx", F.array_join(sequences.squeezed_map(F.col("bases")).cast("array<string>"), ",").alias("places"))
 
 
 @query(f"with {READS} select seq_idx, substr(bases, 11, 20) as mid, cast(null as varchar) as beyond from reads")
@@ -472,9 +486,12 @@ def aln10_rates(spark, d):
     return t.select("id", F.round(alignment.error_rate(named), 9).alias("error_rate"), F.round(alignment.identity(named), 9).alias("identity"))
 
 
-@query(f"with {OPS} select id, n[1] + n[2] + n[3] + n[4] + n[5] as n, n[1] + n[2] + n[3] + n[5] - 1 as last_a, pos + n[1] + n[3] + n[4] + n[5] - 1 as last_b from op where i = 1")
+@query(f"with {CG}, o as (select id, pos, string_split_regex(cigar, '[0-9]+')[2:] as ops, list_transform(string_split_regex(cigar, '[MI=DX]')[1:5], lambda x: cast(x as bigint)) as n from cg), e as (select id, pos, unnest(range(1, 6)) as i, ops, n from o), "
+       "f as (select id, ops[i] as op, n[i] as n, list_sum([0] || list_filter(n[:i - 1], lambda x, k: ops[k] <> 'D')) as a, pos + list_sum([0] || list_filter(n[:i - 1], lambda x, k: ops[k] <> 'I')) as b from e), g as (select id, op, case when op <> 'D' then a + k end as a_pos, case when op <> 'I' then b + k end as b_pos from (select *, unnest(range(0, n)) as k from f) x) "
+       "select id, op, count(*) as n, cast(sum(a_pos) as bigint) as sum_a, cast(sum(b_pos) as bigint) as sum_b, cast(sum(a_pos * b_pos) as bigint) as sum_ab from g group by id, op")
 def cig03_columns(spark, d):
-    return sequences.columns(cg(spark, d)).groupBy("id").agg(F.count("*").alias("n"), F.max("a_pos").alias("last_a"), F.max("b_pos").alias("last_b"))
+    c = sequences.columns(cg(spark, d))
+    return c.groupBy("id", "op").agg(F.count("*").alias("n"), F.sum("a_pos").alias("sum_a"), F.sum("b_pos").alias("sum_b"), F.sum(F.col("a_pos") * F.col("b_pos")).alias("sum_ab"))
 
 
 SEQ = f"substr(concat(translate(md5({ROW}), '0123456789abcdef', 'ACGTACGTACGTACGT'), translate(md5(concat('x', {ROW})), '0123456789abcdef', 'ACGTACGTACGTACGT')), 1, cast(cast(l_quantity as int) + l_linenumber as int))"
@@ -596,11 +613,10 @@ def regx01_captures(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "(?i)(th[a-z]+) ([a-z]+)", 2).alias("second"), F.col("text").rlike("(?i)licensed under").alias("licensed"))
 
 
-@query("select event_id, cast(floor(epoch(ts)) as bigint) // 31536000 as years, cast(floor(epoch(ts)) as bigint) % 31536000 // 86400 as days, cast(floor(epoch(ts)) as bigint) % 86400 // 3600 as hours, year(ts)::int as y, date_trunc('hour', ts)::timestamp as hour from events".replace(", date_trunc('hour', ts)::timestamp as hour", ""))
+@query("with e as (select event_id, cast(floor(epoch(ts)) as bigint) as s from events) select event_id, s // 31536000 as years, s % 31536000 // 86400 as days, s % 86400 // 3600 as hours, s % 3600 // 60 as minutes, s % 60 as seconds from e")
 def time02_parts(spark, d):
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
-    e = table(spark, d, "events").withColumn("s", s)
-    return e.select("event_id", F.expr("s div 31536000").alias("years"), F.expr("s % 31536000 div 86400").alias("days"), F.expr("s % 86400 div 3600").alias("hours"), F.year("ts").alias("y"))
+    return table(spark, d, "events").select("event_id", *(c.alias(k) for k, c in times.duration(s).items()))
 
 
 NAMED = " || ".join(f"case when (o_orderkey & {v}) <> 0 then '{n},' else '' end" for n, v in records.FLAGS.items())
@@ -623,22 +639,63 @@ def pred09_kinds(spark, d):
     return rows(spark, d, "v", f"v as (select {ROW} as id, {ALLELES} from lineitem)").select("id", "ref", "alt", records.variant_kind(r, a).alias("kind"), records.variant_size(r, a).cast("long").alias("size"))
 
 
-@query("select event_type, time_bucket(interval '1 hour', ts) as hour, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2".replace("time_bucket(interval '1 hour', ts)", "date_trunc('hour', ts)"))
+SLIDING = "w as (select event_type, ts, value, unnest([0, 1]) as k from events), h as (select event_type, date_trunc('hour', ts) - to_hours(k) as hour, value from w) select event_type, hour, count(*) as n, round(avg(value), 6) as mean, round(coalesce(stddev_samp(value), 0), 6) as deviation from h group by 1, 2"
+
+
+def _rounded(stats_):
+    return stats_.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"with {SLIDING}")
 def stm04_windows(spark, d):
-    from ..streaming import counting
+    """Windows of two hours that begin each hour, over a table."""
+    return _rounded(counting.sliding_stats(table(spark, d, "events"), "2 hours", "1 hour", "10 minutes"))
+
+
+def streamed(spark, d, name, files=3):
+    """A whole table as a stream of some files, a batch each."""
+    at = scratch(spark)
+    rows_ = table(spark, d, name)
+    rows_.repartition(files).write.parquet(at)
+    return spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
-    out = counting.sliding_stats(table(spark, d, "events"), "1 hour", "1 hour", "10 minutes")
-    return out.select("event_type", F.col("window.start").alias("hour"), "n", F.round("mean", 6).alias("mean"))
+
+@query(f"with {SLIDING}")
+def stm04_streamed_windows(spark, d):
+    """The same from a stream in batches."""
+    at = scratch(spark)
+    return _rounded(counting.latest(spark, f"{at}/out", f"{at}/state", counting.sliding_stats(streamed(spark, d, "events"), "2 hours", "1 hour", "365 days")))
 
 
 @query(f"with {DB} select kmer, value from db")
 def stm02_stream_count(spark, d):
     """The same counts from a stream of documents, batch after batch."""
-    from ..sources.shared import scratch
-    from ..streaming import counting
-
     at = scratch(spark)
-    docs = table(spark, d, "documents")
-    path = f"{d}/documents.parque[t]"  # a pattern holds for a file and for a folder
-    source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    source = streamed(spark, d, "documents")
     return counting.count_stream(spark, source.selectExpr("doc_id as seq_idx", BASES + " as bases"), K, f"{at}/out", f"{at}/state").select("kmer", "value")
+
+
+@query("select s_suppkey as x, cast(case when s_suppkey % 70 >= 64 then -1 when s_suppkey % 70 = 0 then 0 else (1::hugeint << (s_suppkey % 70)::int) - 1 end as bigint) as low, cast(case when s_suppkey % 70 >= 64 then -1 when s_suppkey % 70 = 0 then 0 else -(1::hugeint << (64 - s_suppkey % 70)::int) end as bigint) as high from supplier")
+def bit01_masks(spark, d):
+    n = F.col("s_suppkey") % 70
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("x"), bits.low_mask(n).alias("low"), bits.high_mask(n).alias("high"))
+
+
+@query("with r as (select 'c' || cast(p_size % 5 as varchar) as grp, p_partkey % 997 * 10 as bgn, p_partkey % 997 * 10 + p_size as end_ from part), s as (select *, max(end_) over (partition by grp order by bgn, end_ rows between unbounded preceding and 1 preceding) as reach from r), f as (select *, sum(case when reach >= bgn then 0 else 1 end) over (partition by grp order by bgn, end_ rows unbounded preceding) as i from s) select grp, min(bgn) as bgn, max(end_) as end_, count(*) as num from f group by grp, i")
+def int10_region_list(spark, d):
+    """Region texts merged where they overlap."""
+    n = F.col("p_partkey") % 997 * 10
+    return intervals.region_list(table(spark, d, "part").select(F.concat(F.lit("c"), F.col("p_size") % 5, F.lit(":"), n + 1, F.lit("-"), n + F.col("p_size")).alias("region")))
+
+
+@query("select p_partkey, list_filter(string_split(replace(p_name, ' ', chr(9)) || chr(9) || chr(9) || p_type, chr(9)), lambda x: x <> '') as w from part".replace(" as w from", "[2] as second from"))
+def src14_fields(spark, d):
+    """Fields between tabs, empty ones left out."""
+    w = text.words(F.concat(F.replace("p_name", F.lit(" "), F.lit("\t")), F.lit("\t\t"), "p_type"), "\t")
+    return table(spark, d, "part").select("p_partkey", F.get(w, F.lit(1)).alias("second"))
+
+
+@query(f"with {DB} select kmer, value, translate(kmer, 'ACTG', '0123') < '20000' as below, kmer = 'AAAAA' as is_first, kmer = 'GGGGG' as is_last from db")
+def pred02_order(spark, d):
+    m = F.col("kmer")
+    return db(spark, d).select("kmer", "value", (B.key(m) < B.key(F.lit("TAAAA"))).alias("below"), (m == B.first_kmer(K)).alias("is_first"), (m == B.last_kmer(K)).alias("is_last"))

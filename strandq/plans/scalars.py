@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bits, random_numbers, text
+from ..functions import bits, random_numbers, text, times
 from ..operators import alignment, kmers, records
 from .registry import PR, SMOOTH, STRETCHES, of_length, pr, query, reads, table
 
@@ -103,10 +103,8 @@ def math02_half_even(spark, d):
 
 @query("with t as (select event_id, date_trunc('second', ts + interval 500 milliseconds) as t from events) select event_id, year(t)::int as y, month(t)::int as mo, day(t)::int as dd, hour(t)::int as h, minute(t)::int as mi, second(t)::int as s, 4102444800 - cast(epoch(t) as bigint) as age from t")
 def time01_parts(spark, d):
-    t = F.date_trunc("second", F.col("ts") + F.expr("interval 500 milliseconds"))
-    parts = {"y": F.year, "mo": F.month, "dd": F.dayofmonth, "h": F.hour, "mi": F.minute, "s": F.second}
-    e = table(spark, d, "events").select("event_id", t.alias("t"))
-    return e.select("event_id", *[f("t").alias(k) for k, f in parts.items()], (F.lit(4102444800).cast("long") - F.unix_seconds(F.col("t").cast("timestamp"))).alias("age"))
+    e = table(spark, d, "events").select("event_id", times.rounded(F.col("ts")).alias("t"))
+    return e.select("event_id", *(c.alias(k) for k, c in times.split(F.col("t")).items()), times.age(F.col("t"), F.timestamp_seconds(F.lit(4102444800))).alias("age"))
 
 
 @query(f"with {PR} select id, levenshtein(a, b) as distance, levenshtein(a, b) as edits, a, b from pr")

@@ -21,4 +21,18 @@ def count_stream(spark: SparkSession, reads: DataFrame, k: int, out: str, state:
 
 def sliding_stats(events: DataFrame, width: str, step: str, late: str) -> DataFrame:
     """Count, mean and deviation of value per sliding window of ts and kind; works on batches and on streams."""
+    if events.isStreaming:  # watermarks need points in time, not local times
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"))
+
+
+def latest(spark: SparkSession, out: str, state: str, table: DataFrame) -> DataFrame:
+    """The whole table of a streaming aggregation after what is there now: each batch writes it anew, and the last one counts."""
+    written: list[int] = []
+
+    def save(part: DataFrame, batch: int) -> None:
+        part.write.mode("overwrite").parquet(f"{out}/b={batch}")
+        written.append(batch)
+
+    table.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(table.schema).parquet(f"{out}/b={max(written)}")

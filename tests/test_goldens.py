@@ -286,6 +286,60 @@ def test_coverage_peaks(spark):
     assert kmers.peaks(hist.limit(0)).count() == 0
 
 
+def test_streams_in_batches_and_restarts(spark, tmp_path):
+    """Three files are three batches; after a restart only new files are counted, and old counts stay."""
+    from strandq.streaming import counting
+
+    def put(k):
+        spark.createDataFrame([(k, "ACGTACGTTTACG" * (k + 1)), (k + 10, "NNNACGTA")], "seq_idx long, bases string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    def run():
+        source = spark.readStream.schema("seq_idx long, bases string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        return {x.kmer: x.value for x in counting.count_stream(spark, source, 5, str(tmp_path / "out"), str(tmp_path / "state")).collect()}
+
+    whole = lambda: {x.kmer: x.value for x in kmers.count(spark.read.parquet(str(tmp_path / "in/*")), 5).collect()}
+    for k in range(3):
+        put(k)
+    assert run() == whole() and len(list((tmp_path / "out").iterdir())) == 3
+    put(3)
+    assert run() == whole() and len(list((tmp_path / "out").iterdir())) == 4
+
+
+def test_hot_kmers_are_dealt(spark, monkeypatch):
+    """Positions of windows that nearly all sequences have, held against loops; sequences longer than a block."""
+    from collections import defaultdict
+
+    from strandq.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST", 3)
+    a = [(i, "A" * 12 + "CGT"[i % 3] + "TTG") for i in range(9)] + [(99, None), (98, "ACG"), (97, "aaaannnaaaagt")]
+    b = [(i, "G" + "T" * 9 + "CA") for i in range(5)] + [(7, "AAAAGT")]
+    schema = "seq_idx long, bases string"
+    flip = str.maketrans("ACGT", "TGCA")
+    key = lambda w: min(w.translate(str.maketrans("ACTG", "0123")), w.translate(flip)[::-1].translate(str.maketrans("ACTG", "0123")))
+    places = defaultdict(list)
+    for i, t in b:
+        for p in range(len(t) - 4):
+            places[key(t[p : p + 5])].append((i, p))
+    want = sorted((i, p, *x) for i, t in a for p in range(len(t or "") - 4) if set(t[p : p + 5].upper()) <= set("ACGT") for x in places[key(t[p : p + 5].upper())])
+    got = kmers.positions(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 5)
+    assert sorted((x.query_idx, x.query_pos, x.seq_idx, x.pos) for x in got.collect()) == want
+    monkeypatch.setattr(kmers, "BLOCK", 7)
+    text = b"ACGTNACGTTGCAACGTAGGT" * 3
+    got = [(int(p), int(f), int(r)) for x in kmers.windows(text, 4) for p, f, r in zip(*x, strict=True)]
+    digits = {65: 0, 67: 1, 84: 2, 71: 3}
+    plain = [(p, sum(digits[c] * 4 ** (3 - j) for j, c in enumerate(text[p : p + 4])), sum((digits[c] ^ 2) * 4**j for j, c in enumerate(text[p : p + 4]))) for p in range(len(text) - 3) if b"N" not in text[p : p + 4]]
+    assert got == plain
+
+
+def test_record_functions(spark):
+    df = spark.createDataFrame([(1, "AGCTCCGC", "C+m,1,0;C+h?,0;", [10, 20, 30]), (2, "AAA", "C+m,0;", [5]), (3, "", None, None)], "id long, seq string, mm string, ml array<int>")
+    assert sorted(map(tuple, records.modifications(df).collect())) == [(1, "C", "h", 2, 30), (1, "C", "m", 4, 10), (1, "C", "m", 5, 20)]
+    assert text.java_pattern("a({c}b.)^[[:alpha:]_]{,3}({p}xy\\.)$") == r"a(b(?s:.))\^[\p{Alpha}_]{0,3}(?:(?:x(?:y(?:\.)?)?)?)\$"
+    row = spark.range(1).select(text.longest_match(F.lit("abcab!"), "(a|ab|abc)*"), text.longest_match(F.lit("xyz1"), "({p}xyw)({c}[0-9])?"), text.longest_match(F.lit("q"), "a*"), text.hex_dump(F.lit(b"")), text.range_numbers(F.lit("3-1,2/4,4,9-"))).first()
+    assert [list(x) if x is not None else None for x in row] == [["abcab"], ["xy", ""], None, [], [2, 3, 4]]
+
+
 def test_trimmed_alleles(spark):
     df = spark.createDataFrame([(["C", "G", "T"], [0, 3, 1, None]), ([], [0]), (["C"], [])], "alts array<string>, calls array<int>")
     got = [(r[0], r[1]) for r in df.select(*records.trimmed_alleles(F.col("alts"), F.col("calls"))).collect()]
