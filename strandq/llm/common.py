@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import made, materialise, remove, scratch  # noqa: F401  for the operators
+from ..operators.skew import copied, dealt, heavy, heavy_of  # noqa: F401  for the operators
+from ..sources.shared import made, materialise, remove  # noqa: F401
 
 MASK40 = np.uint64((1 << 40) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -31,34 +32,6 @@ def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     return df.select(*(F.col("row_").getField(c).alias(c) for c in columns if c.lower() not in taken), *(c.alias(k) for k, c in new.items()))
 
 
-#: A key is dealt to cells if it has more than LEAST rows, and more than a task's share divided by SHARE.
-LEAST, SHARE = 512, 8
-
-
-def heavy(rows: DataFrame, keys: list[str], total: int, least: int | None = None) -> DataFrame:
-    """keys, cells of the keys that too many of the `total` rows have for one task, and into how many cells to deal them.
-
-    There are at most SHARE times as many as shuffle partitions, which bounds the broadcast.
-    """
-    return heavy_of(rows.groupBy(*keys).agg(F.count("*").alias("rows_")), keys, total, least, "rows_")
-
-
-def heavy_of(counts: DataFrame, keys: list[str], total: int, least: int | None = None, n: str = "n") -> DataFrame:
-    """The same from counts (keys, n)."""
-    cell = max(LEAST if least is None else least, total // (SHARE * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return F.broadcast(materialise(counts.filter(F.col(n) > cell).select(*keys, F.ceil(F.col(n) / cell).cast("int").alias("cells"))))
-
-
-def dealt(rows: DataFrame, hot: DataFrame, keys: list[str], *by: str) -> DataFrame:
-    """rows with the cell of their key that a hash of `by` gives."""
-    return rows.join(hot, keys, "left").withColumn("cell", F.pmod(F.xxhash64(*by), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
-
-
-def copied(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    """rows once for each cell of their key."""
-    return rows.join(hot, keys, "left").withColumn("cell", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))).drop("cells")
-
-
 def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     """2**bits bits in 64-bit words, set where a row of slots (s) says so: a filter whose size doesn't grow with the rows."""
     words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))

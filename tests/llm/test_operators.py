@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandq.llm import chat, common, decontaminate, gif, ngram_join, packing, secrets, sharding, substrings, toxicity, url_filters
+from strandq.operators import skew
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep string, n int, comp long"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,7 +76,7 @@ def test_ngram_join(spark):
 
 def test_ngram_join_in_cells(spark, monkeypatch):
     """Hot tokens, hot groups and hot stars dealt to cells; templates, mixes of common lines, chains of near copies."""
-    monkeypatch.setattr(common, "LEAST", 2)
+    monkeypatch.setattr(skew, "LEAST", 2)
     monkeypatch.setattr(ngram_join, "CELL", 2)
     r = random.Random(41)
     lines = [words(r, 9) for _ in range(8)]
@@ -269,7 +270,7 @@ def test_substrings(spark):
 
 def test_repeated_spans_are_those_of_all_chunks(spark, monkeypatch):
     """Held against a plain comparison of the bytes of all chunks; very long texts, repeated rows, texts of one id, hot chunks, periods."""
-    monkeypatch.setattr(common, "LEAST", 2)
+    monkeypatch.setattr(skew, "LEAST", 2)
     r = random.Random(19)
     passages = [words(r, 51) for _ in range(40)]
     texts = [" ".join([words(r, r.randint(0, 60)), *r.sample(passages, r.randint(0, 3)), words(r, r.randint(0, 40))]) for _ in range(80)]
