@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
-from ..functions import text
+from ..functions import special, text
 from ..operators import intervals, kmers, records, stats
 from ..sources import sequence_files as S
 from ..sources.shared import scratch
@@ -381,3 +381,15 @@ STEPS = "".join(f", k{i} as (select *, {_times(_turn('a', 15), 0x1B873593)} as k
 def hash01_words(spark, d):
     x = F.col("s_suppkey").cast("long")
     return table(spark, d, "supplier").select(x.alias("x"), text.word_hash(F.array(x, x * 7, F.lit(3).cast("long"))).alias("hash"))
+
+
+SPECIAL = "t as (select s_suppkey, cast(s_suppkey % 9 + 1 as int) as a, cast(s_suppkey % 7 + 1 as int) as b, abs(s_acctbal) / 1000 as x, (s_suppkey % 101) / 101.0::double as y from supplier)"
+
+
+@query(f"with {SPECIAL} select s_suppkey, round(1 - exp(-x) * list_sum([pow(x, k) / exp(lgamma(k + 1)) for k in range(0, a)]), 8) as gamma, round(list_sum([exp(lgamma(a + b) - lgamma(k + 1) - lgamma(a + b - k)) * pow(y, k) * pow(1 - y, a + b - 1 - k) for k in range(a, a + b)]), 8) as beta, "
+       "round(1 - 2 / sqrt(pi()) * list_sum([pow(-1, n) * pow(2 * y, 2 * n + 1) / (exp(lgamma(n + 1)) * (2 * n + 1)) for n in range(0, 40)]), 8) as erfc, round(lgamma(a + 0.5), 8) as log_gamma from t")
+def agg18_special(spark, d):
+    """Shares of the gamma and beta functions, of whole parameters as sums; the complement of the error function; log gamma."""
+    t = table(spark, d, "supplier").selectExpr("s_suppkey", "cast(s_suppkey % 9 + 1 as int) as a", "cast(s_suppkey % 7 + 1 as int) as b", "abs(s_acctbal) / 1000 as x", "(s_suppkey % 101) / 101.0D as y")
+    a, b, x, y = (F.col(c) for c in "abxy")
+    return t.select("s_suppkey", F.round(special.gamma_below(a, x), 8).alias("gamma"), F.round(special.beta_below(a, b, y), 8).alias("beta"), F.round(special.erfc(2 * y), 8).alias("erfc"), F.round(special.log_gamma(a + 0.5), 8).alias("log_gamma"))

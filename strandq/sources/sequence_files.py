@@ -284,3 +284,35 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, size, md5 of each file."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))
+
+
+def read_xz_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line of files packed by xz, which Spark's text source can't read; a file is one row, and unpacked as a stream."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import lzma
+
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                held: list[str] = []
+                for line in lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace", newline="\n"):
+                    held.append(line.rstrip("\n"))
+                    if len(held) == 10_000:
+                        yield pd.DataFrame({"path": [name] * len(held), "line": held})
+                        held = []
+                yield pd.DataFrame({"path": [name] * len(held), "line": held})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line string")
+
+
+def file_states(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, modified of each file: what a table made from them is kept with."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def changed(saved: DataFrame, now: DataFrame) -> DataFrame:
+    """path, state ('new', 'gone' or 'changed') of the files whose file_states differ; no row if what was made from them still holds."""
+    both = saved.select("path", F.struct("size", "modified").alias("a")).join(now.select("path", F.struct("size", "modified").alias("b")), "path", "full")
+    state = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "gone").when(F.col("a") != F.col("b"), "changed")
+    return both.select("path", state.alias("state")).filter("state is not null")

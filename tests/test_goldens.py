@@ -243,6 +243,21 @@ def test_written_files(spark, tmp_path):
     assert kmers.read(spark, str(tmp_path / "db"), "AC", "AG").count() == table.filter("kmer between 'AC' and 'AG'").count() > 0
 
 
+def test_packed_and_changed_files(spark, tmp_path):
+    import lzma
+
+    (tmp_path / "a.xz").write_bytes(lzma.compress("".join(f"line {i}\n" for i in range(25_000)).encode()))
+    (tmp_path / "b.xz").write_bytes(lzma.compress(b""))
+    assert sorted(x.line for x in S.read_xz_lines(spark, str(tmp_path)).collect()) == sorted(f"line {i}" for i in range(25_000))
+    saved = spark.createDataFrame(S.file_states(spark, str(tmp_path)).collect())
+    assert S.changed(saved, S.file_states(spark, str(tmp_path))).count() == 0
+    (tmp_path / "a.xz").write_bytes(b"other")
+    (tmp_path / "b.xz").unlink()
+    (tmp_path / "c.xz").write_bytes(b"")
+    got = {x.path[-4:]: x.state for x in S.changed(saved, S.file_states(spark, str(tmp_path))).collect()}
+    assert got == {"a.xz": "changed", "b.xz": "gone", "c.xz": "new"}
+
+
 def test_key_values(spark):
     lines = {"a = b": ("a", "b"), "a key:=  b c  # no": ("a key", "b c"), "a=": ("a", ""), "a =#x": ("a", "#x"), "a = #x": ("a", ""), "a": None, "# a = b": None, "=b": None, "a #c = d": None, "": None}
     df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", text.key_value(F.col("line")).alias("kv"))
@@ -255,6 +270,7 @@ def test_twister(spark):
     got = {r.s: r for r in rows}
     assert got[5489].y == [3499211612, 581869302, 3890346734, 3586334585] and got[None].y is None and got[None].g is None
     assert got[5489].u == 3499211612 / (2**32 - 1)
+    assert spark.range(1).select(random_numbers.twister(F.lit(1), 2).alias("y")).select(F.col("y")[0], random_numbers.wide(F.col("y"), 0)).first()[:] == (1791095845, (1791095845 << 32 | 4282876139) - 2**64 * (1791095845 >> 31))
     many = spark.range(4000).select(random_numbers.twister(F.col("id"), 40).alias("y")).select(random_numbers.gaussian(F.col("y"), 3.0, 2.0).alias("g")).agg(F.avg("g"), F.stddev("g")).first()
     assert abs(many[0] - 3) < 0.15 and abs(many[1] - 2) < 0.15
 
