@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -289,25 +291,21 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 def read_xz_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line of files packed by xz, which Spark's text source can't read; a file is one row, and unpacked as a stream."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
         import lzma
 
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                held: list[str] = []
-                for line in lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace", newline="\n"):
-                    held.append(line.rstrip("\n"))
-                    if len(held) == 10_000:
-                        yield pd.DataFrame({"path": [name] * len(held), "line": held})
-                        held = []
-                yield pd.DataFrame({"path": [name] * len(held), "line": held})
+        for batch in rows:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = lzma.open(io.BytesIO(content), "rt", encoding="utf-8", errors="replace", newline="\n")
+                while held := [x.rstrip("\n") for x in islice(lines, 10_000)]:
+                    yield pa.record_batch({"path": pa.array([name] * len(held)), "line": pa.array(held)})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, line string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, line string")
 
 
 def file_states(spark: SparkSession, path: str) -> DataFrame:
-    """path, size, modified of each file: what a table made from them is kept with."""
+    """path, size, modified of each file that isn't empty: what a table made from them is kept with."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 

@@ -253,7 +253,7 @@ def test_packed_and_changed_files(spark, tmp_path):
     assert S.changed(saved, S.file_states(spark, str(tmp_path))).count() == 0
     (tmp_path / "a.xz").write_bytes(b"other")
     (tmp_path / "b.xz").unlink()
-    (tmp_path / "c.xz").write_bytes(b"")
+    (tmp_path / "c.xz").write_bytes(b"new")
     got = {x.path[-4:]: x.state for x in S.changed(saved, S.file_states(spark, str(tmp_path))).collect()}
     assert got == {"a.xz": "changed", "b.xz": "gone", "c.xz": "new"}
 
