@@ -143,15 +143,15 @@ def in_order(variants: DataFrame, backward: bool = False) -> DataFrame:
 
 
 def paired_by(sources: list[DataFrame], pairing: str = "position") -> DataFrame:
-    """chrom, pos, key, sources, rows: a merge of variants (chrom, pos, ref, alt) of several sources; rows pair by position, by
-    the kind of variant, or by the alleles themselves."""
+    """chrom, pos, key, sources, alleles: a merge of variants (chrom, pos, ref, alt) of several sources, paired by position, by
+    the kind of variant, or by the alleles themselves; alleles holds each source's different ones."""
     key = {"position": F.lit(""), "kind": variant_kind(F.col("ref"), F.col("alt")), "alleles": F.concat_ws(">", F.upper("ref"), F.upper("alt"))}[pairing]
     rows = None
     for i, s in enumerate(sources, 1):
         s = s.select("chrom", "pos", "ref", "alt", F.lit(i).alias("source"))
         rows = s if rows is None else rows.unionByName(s)
     rows = rows.withColumn("key", key)
-    return rows.groupBy("chrom", "pos", "key").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_list(F.struct("source", "ref", "alt"))).alias("rows"))
+    return rows.groupBy("chrom", "pos", "key").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.struct("source", "ref", "alt"))).alias("alleles"))
 
 
 def mates_settled(bases: DataFrame) -> DataFrame:

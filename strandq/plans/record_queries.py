@@ -181,12 +181,12 @@ def sort02_sweep(spark, d):
     return S.numbered(records.in_order(rows(spark, d, "v", VARIANTS), backward=True))
 
 
-@query("select l_suppkey as chrom, l_partkey % 50 as pos, case when l_linenumber % 2 = 0 then 'snp' else 'indel' end as key, array_to_string(list_sort(list(distinct l_linenumber % 3 + 1)), ',') as sources, count(*) as n from lineitem group by 1, 2, 3")
+@query("select l_suppkey as chrom, l_partkey % 50 as pos, case when l_linenumber % 2 = 0 then 'snp' else 'indel' end as key, array_to_string(list_sort(list(distinct l_linenumber % 3 + 1)), ',') as sources, count(distinct l_linenumber % 3) as n from lineitem group by 1, 2, 3")
 def join08_pairing(spark, d):
     """Variants of three sources merged by position and kind."""
     v = table(spark, d, "lineitem").selectExpr("l_suppkey as chrom", "l_partkey % 50 as pos", "'A' as ref", "case when l_linenumber % 2 = 0 then 'C' else 'AC' end as alt", "l_linenumber % 3 as s")
     out = records.paired_by([v.filter(f"s = {k}") for k in range(3)], "kind")
-    return out.select("chrom", "pos", "key", F.array_join("sources", ",").alias("sources"), F.size("rows").cast("long").alias("n"))
+    return out.select("chrom", "pos", "key", F.array_join("sources", ",").alias("sources"), F.size("alleles").cast("long").alias("n"))
 
 
 @query("with p as (select doc_id as id, 'ACGTTGCACC' as seq from documents) select id, 'C' as base, case k when 0 then 'm' when 1 then 'm' else 'h' end as code, [1, 8, 6][k + 1] as pos, cast([doc_id_q, 20, 30][k + 1] as int) as quality from (select id, id % 100 as doc_id_q, unnest([0, 1, 2]) as k from p) t")
