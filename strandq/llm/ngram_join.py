@@ -231,8 +231,9 @@ def classes_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
         pairs = copied(pairs, named(big), [f"g{k}", f"n{k}"]).join(named(own), [f"g{k}", f"n{k}", "cell"]).drop("cell")
     apart = " + ".join(f"bit_count({b}1 ^ {b}2)" for b in BITS)
     rest = pairs.filter(f"comp1 <> comp2 and {OF} * ({apart}) <= n1 + n2").select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-    more = _verified(materialise(rest), docs)
-    comp = components(materialise(links.unionByName(more)))
+    rest = materialise(rest)
+    if not rest.isEmpty():
+        comp = components(materialise(links.unionByName(_verified(rest, docs))))
     return classes.join(comp, F.col("rep") == F.col("node"), "left").select("n", "set_hash", "rep", F.coalesce("comp", "rep").alias("comp"))
 
 

@@ -150,10 +150,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+# Every pair of documents that share a shingle, and everything that can be reached from each document.
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select doc_id, doc_id as reached from documents union select r.doc_id, l.b from r join l on l.a = r.reached)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.reached) as component_id from documents d left join n on n.doc_id = d.doc_id join r on r.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def queries() -> dict:
     every = (op1_decontaminate, op2_sharding, op3_substring_dedup, op4_packing, op5_toxicity, op6_url_filter, op7_chat, op8_secrets, op9_gif, op10_ngram_join)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_chat": OP7_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_chat": OP7_SQL, "op10_ngram_join": OP10_SQL}
