@@ -172,7 +172,7 @@ def test_fastq_in_splits(spark, tmp_path):
 
     r = random.Random(3)
     want, text = [], ""
-    for i in range(300):
+    for i in range(60):
         n = r.choice((1, 3, 40, 300))
         bases, quals = "".join(r.choice("ACGTN") for _ in range(n)), "".join(r.choice("@+!IA") for _ in range(n))
         want.append((f"read{i}", bases, [ord(c) - 33 for c in quals], 0))
