@@ -190,18 +190,28 @@ def _wrapped(layer: Layer, m: re.Match) -> Iterator[Layer]:
                 yield Layer(text, int(start[i]), int(end[last]))
 
 
-def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+Spans = list[tuple[str, int, int]]
+
+
+def find_secrets(text: str) -> tuple[Spans, Spans]:
     """The base spans, and those that decoding adds, each by start and kind."""
+    return examine(text)[:2]
+
+
+def examine(text: str) -> tuple[Spans, Spans, int]:
+    """The same, and how many characters decoding gave: far more than the text has tells of data made to swell."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(scan(text), key=order)
     added: set[tuple[str, int, int]] = set()
     seen: set[bytes] = set()
+    decoded = 0
 
     work = [layers(Layer(text))]
     while work:
         if (layer := next(work[-1], None)) is None:
             work.pop()
             continue
+        decoded += len(layer.text)
         whole = isinstance(layer.start, int)
         key = blake2b(f"{(layer.start, layer.end) if whole else ''}:{layer.text}".encode(errors="replace"), digest_size=16).digest()
         if key in seen:
@@ -212,15 +222,16 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
             if whole or layer.text[a:b] != text[s:e]:  # what stands there as it is was the base scan's
                 added.add((kind, s, e))
         work.append(layers(layer))
-    return base, sorted(added - set(base), key=order)
+    return base, sorted(added - set(base), key=order), decoded
 
 
-def _joined(spans: list[tuple[str, int, int]]) -> str:
+def _joined(spans: Spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded for each row of docs (doc_id, text).
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded, decoded_chars for each row of docs (doc_id, text):
+    counts of base spans, a digest of them, all spans, how many decoding added, and how many characters it gave.
 
     Null texts count as empty and have no spans; repeated rows, null ids and further columns don't matter; an empty
     table gives an empty result.  Whole texts are scanned, however long.
@@ -230,13 +241,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         for part in parts:
             out = []
             for text in part["text"]:
-                base, added = find_secrets(text or "")
+                base, added, decoded = examine(text or "")
                 n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 every = sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-                out.append((*n, sha256(_joined(base).encode()).hexdigest(), _joined(every), len(added)))
-            yield pd.concat([part[["doc_id"]].reset_index(drop=True).astype("Int64"), pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded"])], axis=1)
+                out.append((*n, sha256(_joined(base).encode()).hexdigest(), _joined(every), len(added), decoded))
+            yield pd.concat([part[["doc_id"]].reset_index(drop=True).astype("Int64"), pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_decoded", "decoded_chars"])], axis=1)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_decoded long, decoded_chars long")
 
 
 def masked(text: str | None, mark: str) -> str | None:

@@ -536,6 +536,7 @@ def test_secrets_in_odd_layers():
             assert secrets.find_secrets(f"a {t} b")[1] == [("assign", 2, 2 + len(t))], whole
     far = b"\xc3\xa9\n" * (secrets.LAYER_BYTES // 3 + 100_000) + b" " + secret
     assert secrets.find_secrets(pack(zlib.compress(far)))[1]
+    assert secrets.examine(pack(zlib.compress(far)))[2] > 10**7 > secrets.examine("a plain text")[2] == 0
     over = b"\n" * (secrets.LAYER_BYTES - 10) + secret + b"\n" * 100
     assert secrets.find_secrets(pack(zlib.compress(over)))[1]
     noise = np.random.RandomState(5).bytes(30_000)
