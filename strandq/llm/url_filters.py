@@ -53,7 +53,8 @@ def in_force(asked: DataFrame, valid: DataFrame, rows: int) -> DataFrame:
 
     Captures meet the lists of their key, and per key and list both sides are put in the order of time, so that each
     capture looks at the last interval that began, however many there are.  Keys of more than a share of all `rows` are
-    dealt to several cells, to each of which their intervals are copied.
+    dealt to several cells, to each of which their intervals are copied; there are at most as many such keys as skew.heavy
+    says, times the keys of a URL.
     """
     hot = heavy(asked, ["key"], rows, CELL)
     rest = [c for c in asked.columns if c != "key"]
