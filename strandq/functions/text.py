@@ -99,8 +99,12 @@ def without_suffix(s: Column, suffix: str) -> Column:
     return F.when(s.endswith(suffix), s.substr(F.lit(1), F.length(s) - len(suffix))).otherwise(s)
 
 
-#: Fixed value: where the hash of words starts.
+#: Where the hash of words starts; the factors of a word and the turn between them; what the state is turned
+#: by, multiplied with and added to; the factors and shifts at the end.
 HASH_SEED = 0xB0F57EE3
+HASH_WORD, HASH_WORD_TURN = (0xCC9E2D51, 0x1B873593), 15
+HASH_TURN, HASH_FACTOR, HASH_ADDED = 13, 5, 0xE6546B64
+HASH_END, HASH_SHIFTS = (0x85EBCA6B, 0xC2B2AE35), (16, 13, 16)
 
 
 def word_hash(words_: Column) -> Column:
@@ -112,11 +116,14 @@ def word_hash(words_: Column) -> Column:
     folded = lambda x, r: named(x, lambda a: a.bitwiseXOR(F.shiftright(a, r)))
 
     def step(h, w):
-        k = times(rotate(times(w, 0xCC9E2D51), 15), 0x1B873593)
-        return low(times(rotate(h.bitwiseXOR(k), 13), 5) + 0xE6546B64)
+        k = times(rotate(times(w, HASH_WORD[0]), HASH_WORD_TURN), HASH_WORD[1])
+        return low(times(rotate(h.bitwiseXOR(k), HASH_TURN), HASH_FACTOR) + HASH_ADDED)
 
     def finish(h):
-        return folded(times(folded(times(folded(h.bitwiseXOR(F.size(words_).cast("long")), 16), 0x85EBCA6B), 13), 0xC2B2AE35), 16)
+        h = folded(h.bitwiseXOR(F.size(words_).cast("long")), HASH_SHIFTS[0])
+        for factor, shift in zip(HASH_END, HASH_SHIFTS[1:], strict=True):
+            h = folded(times(h, factor), shift)
+        return h
 
     return F.aggregate(words_, F.lit(HASH_SEED), step, finish)
 

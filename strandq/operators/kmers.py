@@ -222,7 +222,11 @@ def census(spark, k: int) -> DataFrame:
     return space(spark, k).agg(F.count_if(B.is_palindrome(m)).alias("palindromes"), F.count_if(B.key(m) < B.key(B.complement_reversed(m))).alias("below"))
 
 
-def smoothed(hist: DataFrame, t: float = 0.5, width: int = 9) -> DataFrame:
+#: The spread and reach of the smoothing.
+SPREAD, WIDTH = 0.5, 9
+
+
+def smoothed(hist: DataFrame, t: float = SPREAD, width: int = WIDTH) -> DataFrame:
     """Gaussian smoothing over neighbouring values up to width: each row is spread to its neighbours and summed."""
     import math
 
@@ -258,7 +262,7 @@ def turning_points(curve: DataFrame) -> DataFrame:
     return steps.select("value", at.cast("double").alias("at"), kind.alias("kind")).filter("kind is not null")
 
 
-def peaks(hist: DataFrame, t: float = 0.5, width: int = 9) -> DataFrame:
+def peaks(hist: DataFrame, t: float = SPREAD, width: int = WIDTH) -> DataFrame:
     """peak, ploidy, coverage for peaks 1 to 8 of a histogram (value, occurrences), and as peak 0 the trough between noise and data.
 
     The trough is the first one of the histogram as it is, as smoothing would move it; peaks are those of the smoothed

@@ -373,11 +373,11 @@ def _turn(x, r):
     return f"((({x}) << {r}) % 4294967296 + (({x}) >> {32 - r}))"
 
 
-STEPS = "".join(f", k{i} as (select *, {_times(_turn('a', 15), 0x1B873593)} as k from (select *, {_times(w, 0xCC9E2D51)} as a from h{i}) t), h{i + 1} as (select x, ({_times(_turn('b', 13), 5)} + {0xE6546B64}) % 4294967296 as h from (select *, xor(h::bigint, k::bigint)::hugeint as b from k{i}) t)" for i, w in enumerate(("x::hugeint", "(x * 7)::hugeint", "3::hugeint")))
+STEPS = "".join(f", k{i} as (select *, {_times(_turn('a', text.HASH_WORD_TURN), text.HASH_WORD[1])} as k from (select *, {_times(w, text.HASH_WORD[0])} as a from h{i}) t), h{i + 1} as (select x, ({_times(_turn('b', text.HASH_TURN), text.HASH_FACTOR)} + {text.HASH_ADDED}) % 4294967296 as h from (select *, xor(h::bigint, k::bigint)::hugeint as b from k{i}) t)" for i, w in enumerate(("x::hugeint", "(x * 7)::hugeint", "3::hugeint")))
 
 
-@query(f"with h0 as (select s_suppkey as x, {text.HASH_SEED}::hugeint as h from supplier){STEPS}, e1 as (select x, xor(h::bigint, 3) as h from h3), e2 as (select x, xor(h, h >> 16) as h from e1), e3 as (select x, ({_times('h', 0x85EBCA6B)})::bigint as h from e2), "
-       f"e4 as (select x, xor(h, h >> 13) as h from e3), e5 as (select x, ({_times('h', 0xC2B2AE35)})::bigint as h from e4) select x, xor(h, h >> 16) as hash from e5")
+@query(f"with h0 as (select s_suppkey as x, {text.HASH_SEED}::hugeint as h from supplier){STEPS}, e1 as (select x, xor(h::bigint, 3) as h from h3), e2 as (select x, xor(h, h >> 16) as h from e1), e3 as (select x, ({_times('h', text.HASH_END[0])})::bigint as h from e2), "
+       f"e4 as (select x, xor(h, h >> 13) as h from e3), e5 as (select x, ({_times('h', text.HASH_END[1])})::bigint as h from e4) select x, xor(h, h >> 16) as hash from e5")
 def hash01_words(spark, d):
     x = F.col("s_suppkey").cast("long")
     return table(spark, d, "supplier").select(x.alias("x"), text.word_hash(F.array(x, x * 7, F.lit(3).cast("long"))).alias("hash"))
