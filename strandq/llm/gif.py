@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 WIDE, ROWS, PIXELS = 24, 96, 576
 #: The sample for which a pixel that shows nothing stands: a blank.
 BLANK = 32
+#: Canvases of more pixels are an error: memory holds two of them.
+MOST = 1 << 26
 #: What happens to each frame, in turn, before the next: back to nothing, back to what was there, or left.
 DISPOSALS = (2, 3, 2, 1)
 
@@ -199,7 +201,8 @@ def samples(frame: Frame) -> bytes:
 
 
 def decode_gif(data: bytes) -> Iterator[Frame]:
-    """Frames in order, composed on a canvas by the rules of disposal, transparency and interlacing; ValueError if the data end early."""
+    """Frames in order, composed on a canvas by the rules of disposal, transparency and interlacing; ValueError if the data end
+    early, are none, or have a canvas of more than MOST pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     try:
@@ -216,6 +219,8 @@ def _palette(data: bytes, at: int, flags: int) -> np.ndarray:
 
 def _frames(data: bytes) -> Iterator[Frame]:
     wide, high, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * high > MOST:
+        raise ValueError("the canvas is too large")
     at, shared = 13, None
     if flags & 0x80:
         shared = _palette(data, at, flags)
@@ -241,6 +246,8 @@ def _frames(data: bytes) -> Iterator[Frame]:
             palette = _palette(data, at, bits)
             at += 3 << ((bits & 7) + 1)
         depth, codes, at = data[at], [], at + 1
+        if not 1 <= depth <= 8:
+            raise ValueError("unknown code size")
         while n := data[at]:
             codes.append(data[at + 1 : at + 1 + n])
             at += n + 1

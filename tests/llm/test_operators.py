@@ -628,6 +628,22 @@ def plain_gif(data):
             canvas = before
 
 
+def test_broken_gifs_end_with_one_kind_of_error():
+    r = random.Random(71)
+    whole = gif.encode_gif(gif.to_payload("the same line again\n" * 200 + words(r, 300))[1])
+    ended = 0
+    for _ in range(400):
+        data = bytearray(whole[: r.randint(0, len(whole))] if r.random() < 0.3 else whole)
+        for _ in range(r.randint(0, 8) if data else 0):
+            data[r.choice((r.randrange(len(data)), min(len(data) - 1, r.randrange(900))))] = r.randrange(256)
+        try:
+            for _ in gif.decode_gif(bytes(data)):
+                pass
+        except ValueError:
+            ended += 1
+    assert ended > 100
+
+
 def test_gif_disposal():
     def image(x, y, w, h, pixels, bits=0, clear=None, dispose=0):
         control = b"\x21\xf9\x04" + bytes([dispose << 2 | (clear is not None), 5, 0, clear or 0, 0])
