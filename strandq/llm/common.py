@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,13 @@ def batches(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, lis
         yield at, texts[at:]
 
 
+def slices(rows: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows: what Python copies of a batch, and keeps, is then a small part of it."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, comp): the smallest node reachable.  Alternating large and small stars; each round is
     a minimum per node, combined before the shuffle, joined back, and written to the shared folder.  Nodes without

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHasher, batches, bitmap, boxed, is_set, materialise, mix, unboxed
+from .common import _STEP, WordHasher, batches, bitmap, boxed, is_set, materialise, mix, slices, unboxed
 
 #: Bits of the filter that spares the join most n-grams: 2**FILTER_BITS bits is the proven bound of the broadcast.
 FILTER_BITS = 22
@@ -121,7 +121,7 @@ def gram_frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in rows:
+        for batch in slices(rows):
             seen: Counter = Counter()
             for _, words in _words([plain(t) for t in batch.column(0).to_pylist()], hasher):
                 _, hit = _hits(words, bits.value)
@@ -170,7 +170,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
 
     def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for batch in rows:
+        for batch in slices(rows):
             ids = batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [])
             for i, words in _words([plain(t) for t in batch.column(1).to_pylist()], hasher):
@@ -199,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
     wanted = context.broadcast(bitmap(slots, FILTER_BITS))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             out: tuple[list, ...] = ([], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc is None or not text:

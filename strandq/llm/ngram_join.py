@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MASK40, WordHasher, batches, bitmap, boxed, components, copied, dealt, heavy, is_set, materialise, shingles, unboxed
+from .common import MASK40, WordHasher, batches, bitmap, boxed, components, copied, dealt, heavy, is_set, materialise, shingles, slices, unboxed
 
 #: 100 * intersection >= 75 * union is 7 * intersection >= 3 * (sum of sizes).
 NEED, OF = 3, 7
@@ -55,7 +55,7 @@ def shingle_sketch(docs: DataFrame, bits: int) -> np.ndarray:
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, out = WordHasher(), np.zeros(1 << bits, dtype=np.int64)
-        for batch in rows:
+        for batch in slices(rows):
             for _, part in batches(_bytes(batch.column(0))):
                 words, first, _, _ = hasher(part)
                 n = len(words)
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         from hashlib import blake2b
 
         hasher, freq, low = WordHasher(), sketch.value, np.uint64((1 << bits) - 1)
-        for batch in rows:
+        for batch in slices(rows):
             n, digest, parity, group, prefix, offsets = [], [], [], [], [], [0]
             for _, s in _sets(_bytes(batch.column(2)), hasher):
                 n.append(len(s))
@@ -149,13 +149,13 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        for batch in rows:
+        for batch in slices(rows):
             batch = batch.filter(pa.array(is_set(wanted.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))))
             yield pa.record_batch({"id": batch.column(0), "z": pa.array([z.compress(x) for x in _bytes(batch.column(1))], pa.binary())})
 
     def judge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, z, last, left = WordHasher(), zstandard.ZstdDecompressor(), None, None
-        for batch in rows:
+        for batch in slices(rows, 64):
             ok = []
             for za, zb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if za != last:
