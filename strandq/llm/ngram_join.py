@@ -246,7 +246,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     an empty result.  The order of ties doesn't matter: links are exact.
     """
     signed = materialise(signatures(docs))
-    out = signed.select("row", "node", "n", "set_hash").join(classes_of(signed, docs), ["n", "set_hash"], "left")
+    own = ["n", "set_hash"]
+    copies = heavy(signed, own, signed.count())
+    out = dealt(signed.select("row", "node", *own), copies, own, "node").join(copied(classes_of(signed, docs).select(*own, "comp"), copies, own), [*own, "cell"], "left")
     return out.select(F.col("row").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("row").isNull(), None).when(F.col("n") == 0, F.col("row")).otherwise(_id("comp")).alias("component_id"))
 
