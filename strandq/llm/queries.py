@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, gif, ngram_join, packing, secrets, sharding, substrings, toxicity, url_filters
+from . import chat, decontaminate, gif, line_dedup, ngram_join, packing, resample, runs, secrets, sharding, substrings, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,10 +164,37 @@ select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(r.reached) as componen
 """
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+k as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as line from s),
+n as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from k),
+r as (select key, min(doc_id) as first from n where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select n.*, coalesce(r.first <> n.doc_id, false) as lost from n left join r on n.key = r.key)
+select doc_id, count(*) as n_lines, count(*) filter (where lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not lost), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, some of which are made to repeat."""
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), runs.planted)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's words and pairs of words."""
+    out = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    every = (op1_decontaminate, op2_sharding, op3_substring_dedup, op4_packing, op5_toxicity, op6_url_filter, op7_chat, op8_secrets, op9_gif, op10_ngram_join)
+    every = (op1_decontaminate, op2_sharding, op3_substring_dedup, op4_packing, op5_toxicity, op6_url_filter, op7_chat, op8_secrets, op9_gif, op10_ngram_join, op11_line_dedup, op12_runs, op13_resample)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_chat": OP7_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_chat": OP7_SQL, "op10_ngram_join": OP10_SQL, "op11_line_dedup": OP11_SQL}
