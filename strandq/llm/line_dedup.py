@@ -1,7 +1,7 @@
 """Line dedup, with DataFrame functions only: lines are exploded, normalised and hashed, documents counted per hash, and
 what is left of a text is put together again by position.
 
-What travels is a pair of hashes and a position per line; texts move once, to the positions that they lose.  A line that
+What travels is a pair of hashes and a position per line, which are written once and read twice; texts move once, to the positions that they lose.  A line that
 very many documents have is counted with map-side combining and dealt to cells of the join.
 """
 
@@ -20,9 +20,12 @@ _BLANKS = "\x20\t\n\x0b\x0c\r"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def line_key(line: Column) -> Column:
-    """A line without blanks at its ends, A-Z lower-cased; lower() does that, and faster, where all is ASCII."""
-    bare = F.btrim(line, F.lit(_BLANKS))
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(_BLANKS))
+
+
+def lowered(bare: Column) -> Column:
+    """A-Z lower-cased; lower() does that, and faster, where all is ASCII."""
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _CAPITALS, _CAPITALS.lower()))
 
 
@@ -30,13 +33,13 @@ def lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, k (a hash of the text), pos (from 0), h1 and h2 (128 bits of the key) of each line whose key has at least
     `least` code points; rows without doc_id have none."""
     split = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    key = split.select("doc_id", "k", "pos", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= least)
+    key = split.filter(F.char_length(bare(F.col("line"))) >= least).select("doc_id", "k", "pos", lowered(bare(F.col("line"))).alias("key"))
     return key.select("doc_id", "k", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def dropped(docs: DataFrame, least: int = LEAST, documents: int = DOCUMENTS) -> DataFrame:
     """doc_id, k, lost: the positions of the lines that a text loses, for texts that lose any."""
-    key, every = ["h1", "h2"], lines(docs, least)
+    key, every = ["h1", "h2"], materialise(lines(docs, least))
     many = every.groupBy(*key).agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first"), F.count("*").alias("n"))
     many = materialise(many.filter(F.col("documents") >= documents).select(*key, "first", "n"))
     hot = heavy_of(many, key, many.agg(F.sum("n")).first()[0] or 0)
