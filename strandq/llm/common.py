@@ -115,6 +115,13 @@ def slices(rows: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Recor
             yield batch.slice(at, size)
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """u, v, m: links (u, v) with the least v of their u; a hub's links are dealt to cells of a bounded number of rows."""
+    least = materialise(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    hot = heavy_of(least, ["u"], least.agg(F.sum("n")).first()[0] or 0)
+    return dealt(pairs, hot, ["u"], "v").join(copied(least.drop("n"), hot, ["u"]), ["u", "cell"]).drop("cell")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, comp): the smallest node reachable.  Alternating large and small stars; each round is
     a minimum per node, combined before the shuffle, joined back, and written to the shared folder.  Nodes without
@@ -130,10 +137,8 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
             )
         seen = tuple(state)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        both = _with_least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = materialise(both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct())
+        own = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_least(large).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        e = materialise(small.unionByName(own.select("u", F.col("m").alias("v"))).distinct())

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _STEP, WordHasher, batches, bitmap, boxed, is_set, materialise, mix, slices, unboxed
+from .common import _STEP, WordHasher, batches, bitmap, boxed, copied, dealt, heavy_of, is_set, materialise, mix, slices, unboxed
 
 #: Bits of the filter that spares the join most n-grams: 2**FILTER_BITS bits is the proven bound of the broadcast.
 FILTER_BITS = 22
@@ -28,6 +28,8 @@ FILTER_BITS = 22
 MATCH, COST = 2, 1
 #: The least score, as a share of an exact copy's, that counts as a leak.
 LEAK = 0.5
+#: A pair of more items than this is no seed where an item has enough others.
+SHARED = 8
 #: Places of hits are told in units of 2**UNIT words.
 UNIT = 4
 _PLAIN = bytes(i if chr(i).isalnum() or i > 127 else 32 for i in range(256)).translate(bytes(i + 32 if 65 <= i < 91 else i for i in range(256)))
@@ -134,12 +136,14 @@ def gram_frequencies(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def rare_seeds(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """item, gram, times, words, need: per item its pairs without the most frequent ones, and how many of those left a leak has at least."""
-    counted = grams.join(gram_frequencies(docs, grams), "gram", "left").fillna(0, ["df"])
-    common = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("df"), "gram"))
-    counted = counted.withColumn("left_out", F.when(common <= F.floor(F.col("hits") / 2), F.col("times")).otherwise(0))
+    """item, gram, times, words, need, df: per item its pairs without those that many items share and the most frequent others, and how many of those left a leak has at least."""
+    shared = grams.groupBy("gram").agg(F.count("*").alias("items"))
+    counted = grams.join(shared.join(gram_frequencies(docs, grams), "gram", "left").fillna(0, ["df"]), "gram").withColumn("shared", F.col("items") > SHARED)
+    common = F.sum("times").over(Window.partitionBy("item").orderBy(F.desc("shared"), F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0))
+    most = F.when(F.col("shared"), F.col("hits") - 1).otherwise(F.floor(F.col("hits") / 2))
+    counted = counted.withColumn("left_out", F.when(common <= most, F.col("times")).otherwise(0))
     need = F.col("hits") - F.sum("left_out").over(Window.partitionBy("item"))
-    return counted.withColumn("need", need).filter("left_out = 0").select("item", "gram", "times", "words", "need")
+    return counted.withColumn("need", need).filter("left_out = 0").select("item", "gram", "times", "words", "need", "df")
 
 
 def _scale(words: Column, least: float) -> Column:
@@ -186,7 +190,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
             yield pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in out], ["doc_id", "n_words", "unit", "gram"])
 
     texts = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    hits = texts.mapInArrow(find, "doc_id long, n_words long, unit long, gram long").join(seeds, "gram")
+    # Pairs of very many documents are dealt to cells.  Their number is that of documents, so hits may be a few times as many.
+    often = seeds.groupBy("gram").agg(F.max("df").alias("n"))
+    hot = heavy_of(often, ["gram"], often.agg(F.sum("n")).first()[0] or 0)
+    hits = dealt(texts.mapInArrow(find, "doc_id long, n_words long, unit long, gram long"), hot, ["gram"], "doc_id", "unit").join(copied(seeds.drop("df"), hot, ["gram"]), ["gram", "cell"])
     last = F.expr("greatest(shiftright(n_words + shiftleft(1L, scale) - 1, scale) - 2, 0L)")
     block = F.expr(f"shiftright(unit, scale - {UNIT})")
     blocks = F.array_distinct(F.array(F.least(block, last), F.greatest(F.least(block - 1, last), F.lit(0))))

@@ -30,13 +30,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 URL = re.compile(r"(?<![A-Za-z0-9._~+-])[A-Za-z0-9._~+-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+-]*+)+")  # from a run's start only, so that long runs take linear time
 FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+")  # escapes alone, where the text between has become words
-UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};)+")
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over line ends; what stands before it on lines of its own may shift it, so it is read from four places.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++")
 _OCTETS = re.compile(r"(?:%[0-7][0-9A-Fa-f])|(?:%[89A-Fa-f][0-9A-Fa-f])+")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#x([0-9A-Fa-f]{1,6});")
-_PACKED = re.compile("e[A-P]|H4s")  # how zlib and gzip data begin in base64
+_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_PACKED = re.compile("(?=e[A-P]|H4s)")  # how zlib and gzip data begin in base64
+#: So many characters of base64 are unpacked first, as most of what looks like the beginning of compressed data breaks off within them.
+_PROBE = 128
 #: Compressed layers are read to their end, in windows of about LAYER_BYTES that overlap by CARRY characters.
 LAYER_BYTES, CARRY = 1 << 24, 1 << 22
 
@@ -53,7 +55,7 @@ def scan(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _escape(m: re.Match) -> str:
-    code = int(m[1] or m[2] or m[4] or "0", 16) if not m[3] else int(m[3])
+    code = int(m[5]) if m[5] else int(next(filter(None, m.groups())), 16)
     return chr(code) if code < 0xD800 or 0xDFFF < code < 0x110000 else m[0]
 
 
@@ -105,10 +107,14 @@ def _unpacked(raw: bytes) -> Iterator[str]:
 
 
 def _base64(s: str) -> Iterator[str]:
-    raw = _bytes(s)
-    yield raw.decode(errors="replace")
-    if raw[:1] == b"\x78" or raw[:2] == b"\x1f\x8b":
-        yield from _unpacked(raw)
+    """What a stretch decodes to: whatever is glued to its front, base64 begins at one of four places, and compressed data
+    wherever they can be unpacked."""
+    for k in range(4):
+        yield _bytes(s[k:]).decode(errors="replace")
+    for m in _PACKED.finditer(s):
+        first = _bytes(s[m.start() : m.start() + _PROBE])
+        if used := max((n for _, n in _inflated(first)), default=0):
+            yield from _unpacked(_bytes(s[m.start() :]) if used + 2 > len(first) else first)
 
 
 def _octets(m: re.Match) -> str:
@@ -159,9 +165,8 @@ def layers(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (plain := _unescaped(layer, UNICODE, _ESCAPE, _escape)).text != text:
         yield plain
     for m in BASE64.finditer(text):
-        for k in range(4 if m.start() == 0 and len(text) > CARRY else 1):  # a window may begin within a stretch
-            for decoded in _base64(m[0][k:]):
-                yield Layer(decoded, *layer.stretch(*m.span()))
+        for decoded in _base64(m[0]):
+            yield Layer(decoded, *layer.stretch(*m.span()))
     if "\n" in text:
         for m in WRAPPED.finditer(text):
             yield from _wrapped(layer, m)
@@ -234,7 +239,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     counts of base spans, a digest of them, all spans, how many decoding added, and how many characters it gave.
 
     Null texts count as empty and have no spans; repeated rows, null ids and further columns don't matter; an empty
-    table gives an empty result.  Whole texts are scanned, however long.
+    table gives an empty result.  Whole texts are scanned, however long, and so are their decoded layers, but for one
+    case: compressed data of over CARRY characters of base64 within another compressed layer may be cut where a window
+    of LAYER_BYTES of that layer ends.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,8 +30,9 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɑ": "a", "ɡ": "g", "ı": "i", "ł": "l", "ø": "o", "ß": "s",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
-#: At most about this many labelled rows of each class train the lexicon and the regression.  They bound what is fetched
-#: and broadcast too: the lexicon and its exceptions hold words of these rows only, each in three of them at least.
+#: At most about this many different labelled rows of each class train the lexicon and the regression, however often each
+#: is repeated.  They bound what is fetched and broadcast too: the lexicon and its exceptions hold words of these rows
+#: only, each in three of them at least.
 TRAIN_ROWS = {1: 8000, 0: 16000}
 #: What a text without any hit scores at most, so that no text is called toxic for nothing.
 SILENT = 0.45
@@ -95,14 +96,17 @@ class Matcher:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """text, toxic of a bounded choice by hash of the labelled rows whose crc32(doc_id as text) mod 5 is not 0; and by how
-    much, as a logarithm, the choice raises the odds of toxic rows over those of all labelled ones."""
+    """text, toxic of a bounded choice, by a hash of id and text, of the different labelled rows whose crc32(doc_id as text)
+    mod 5 is not 0; and by how much, as a logarithm, the choice raises the odds of toxic rows over those of all of them."""
     known = labels.filter("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 5 <> 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    shares = {label: min(1.0, bound / max(1, there.get(label, 0))) for label, bound in TRAIN_ROWS.items()}
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    there = materialise(keyed.select("doc_id", "text_hash").distinct().join(known, "doc_id"))
+    count = {r["toxic"]: r["count"] for r in there.groupBy("toxic").count().collect()}
+    shares = {label: min(1.0, bound / max(1, count.get(label, 0))) for label, bound in TRAIN_ROWS.items()}
     share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), math.log(shares[1] / shares[0])
+    chosen = there.filter(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < share * (1 << 20))
+    found = keyed.join(F.broadcast(chosen), ["doc_id", "text_hash"])  # a row for each of the bound at most
+    return found.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), math.log(shares[1] / shares[0])
 
 
 def _telling(n1, n0, all1, all0):
