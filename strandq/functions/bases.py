@@ -49,7 +49,7 @@ def last_kmer(k: int) -> str:
 
 
 def unpacked(number: Column, k: int) -> Column:
-    """The k-mer of a numeric key, for k up to 31."""
+    """The k-mer of a numeric key, for k up to 32; of 32 bases the key is an unsigned number."""
     return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), k, "0"), "0123", "ACTG")
 
 

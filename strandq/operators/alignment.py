@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -15,14 +17,54 @@ def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
     return F.levenshtein(a, b) if most is None else F.levenshtein(a, b, most)
 
 
+def letters(text: str) -> np.ndarray:
+    """The code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _steps(a: str, b: str, free: bool) -> Iterator[tuple[int, int, int]]:
+    """The columns of the edit matrix of a (down) against b, one after the other, as bits: where the cost grows downwards,
+    where it falls, and by how much the last row changes.  The costs of a column are one number of len(a) bits, so a
+    step takes a dozen operations on whole numbers, however long a is."""
+    n = len(a)
+    ones, top = (1 << n) - 1, 1 << n - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(a) if n <= 512 else ():
+        places[c] = places.get(c, 0) | 1 << i
+    if n > 512:  # adding bit after bit would copy the number each time
+        x = letters(a)
+        places = {chr(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x).tolist()}
+    grows, falls, lead = ones, 0, 0 if free else 1
+    for c in b:
+        same = places.get(c, 0)
+        stays = (((same & grows) + grows) ^ grows) | same | falls
+        right, left = falls | ones & ~(stays | grows), grows & stays
+        change = (1 if right & top else 0) - (1 if left & top else 0)
+        right, left = right << 1 & ones | lead, left << 1 & ones
+        grows, falls = left | ones & ~((same | falls) | right), right & (same | falls)
+        yield grows, falls, change
+
+
+def last_row(a: str, b: str, free: bool = False) -> np.ndarray:
+    """The least edits of a against b up to each end: against all of what lies before it or, if free, against any stretch that ends there."""
+    if not a:
+        return np.zeros(len(b) + 1, np.int64) if free else np.arange(len(b) + 1)
+    return len(a) + np.cumsum(np.fromiter((0, *(x for _, _, x in _steps(a, b, free))), np.int64, len(b) + 1))
+
+
+def last_column(a: str, b: str) -> np.ndarray:
+    """The edits of each beginning of a against all of b."""
+    grows, falls = (1 << len(a)) - 1, 0
+    if a:
+        for grows, falls, _ in _steps(a, b, False):  # noqa: B007  the last ones count
+            pass
+    bits = lambda x: np.unpackbits(np.frombuffer(x.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)].astype(np.int64)
+    return len(b) + np.append(0, np.cumsum(bits(grows) - bits(falls)))
+
+
 def fit(a: str, b: str, prefix: bool) -> tuple[int, int, list[int]]:
     """Least edits of a against a prefix of b, or any stretch of it, the first end (exclusive) that has them, and all such ends."""
-    x = np.frombuffer(b.encode(), np.uint8)
-    at = np.arange(len(x) + 1)
-    row = at.copy() if prefix else np.zeros(len(x) + 1, int)
-    for i, c in enumerate(a.encode(), 1):
-        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (x != c))])
-        row = np.minimum.accumulate(new - at) + at
+    row = last_row(a, b, not prefix)
     return int(row.min()), int(row.argmin()), np.flatnonzero(row == row.min()).tolist()
 
 
@@ -42,68 +84,118 @@ def affine(a: str, b: str, mode: str, match: int = 2, mismatch: int = 4, opening
     mode local: any stretches; extend: both begin at 0; dovetail: an end of a against a beginning of b; contained: all
     of a within b.  A gap of n costs opening + n * extending, in local mode opening + (n - 1) * extending; there N scores
     0 against anything, and elsewhere as any letter.  An alignment without columns has score 0 and an empty cigar.
+    Memory is that of as many rows as the root of len(a): about 17 * sqrt(len(a)) * len(b) bytes.
     """
-    if mode == "local":
-        opening -= extending
     n, m = len(a), len(b)
-    low = -(10**9)
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
-    h, e = np.full((n + 1, m + 1), low), np.full((n + 1, m + 1), low)  # e: a gap in b, from above
-    f = np.full((n + 1, m + 1), low)
-    gap = lambda k: -(opening + extending * k)
-    h[0, 0] = 0
-    free_a, free_b = mode in ("local", "dovetail"), mode in ("local", "contained")
-    h[1:, 0] = 0 if free_a else gap(np.arange(1, n + 1))
-    h[0, 1:] = 0 if free_b else gap(np.arange(1, m + 1))
-    if not free_a:
-        e[1:, 0] = h[1:, 0]
-    if not free_b:
-        f[0, 1:] = h[0, 1:]
-    slope = extending * np.arange(m + 1)
-    blank = ord("N") if mode == "local" else -1
-    steps = {c: np.where((y == blank) | (c == blank), 0, np.where(y == c, match, -mismatch)) for c in set(x.tolist())}
+    x, y = letters(a), letters(b)
+    rows = _Rows(x, y, mode, match, mismatch, opening, extending)
+    # Of every few rows one is kept, from which those up to the next are made again when the path comes to them.
+    every = max(1, math.isqrt(n))
+    kept, row = {0: rows.first()}, rows.first()
+    best = (int(row[0].max()), 0, int(row[0].argmax())) if mode in ("local", "extend") or not n else None
     for i in range(1, n + 1):
-        e[i] = np.maximum(e[i - 1], h[i - 1] - opening) - extending
-        if not free_a:
-            e[i, 0] = h[i, 0]
-        best = np.maximum(h[i - 1, :-1] + steps[x[i - 1]], e[i, 1:])
-        if mode == "local":
-            best = np.maximum(best, 0)
-        base = np.concatenate([[h[i, 0]], best])
-        run = np.maximum.accumulate(base + slope)[:-1] - slope[1:] - opening
-        f[i, 1:] = run
-        h[i, 1:] = np.maximum(best, run)
-    ends = {"local": h, "extend": h, "dovetail": h[n:], "contained": h[n:]}[mode]
-    i, j = np.unravel_index(int(ends.argmax()), ends.shape)
-    i = int(i) + (n if ends.shape[0] == 1 else 0)
-    j = int(j)
-    score, end_a, end_b, ops, state = int(h[i, j]), i, j, [], "h"
+        row = rows.after(i, *row)[:2]
+        if i % every == 0:
+            kept[i] = row
+        if mode in ("local", "extend") or i == n:
+            j = int(row[0].argmax())
+            if best is None or row[0][j] > best[0]:
+                best = (int(row[0][j]), i, j)
+    score, i, j = best
+    end_a, end_b, ops, state = i, j, [], "h"
+    base, marks = i + 1, np.zeros((0, 0), np.uint8)
     while i or j:
+        if i < base or not len(marks):
+            base = max(0, (i - 1) // every * every)
+            marks, row = np.zeros((min(every, n - base) + 1, m + 1), np.uint8), kept[base]
+            if base == 0:
+                marks[0] = rows.marks_of_first()
+            for k in range(base + 1, min(base + every, i) + 1):
+                *row, marks[k - base] = rows.after(k, *row, marked=True)
+            base += base > 0  # its own marks are those of the block before
+        mark = int(marks[i - (base - (base > 0)), j])
         if state == "h":
-            if (mode == "local" and h[i, j] == 0) or (i == 0 and free_b) or (j == 0 and free_a):
+            if mark & STOP:
                 break
-            if i and j and h[i, j] == h[i - 1, j - 1] + steps[x[i - 1]][j - 1]:
+            if mark & BOTH:
                 ops.append("=" if a[i - 1] == b[j - 1] else "X")
                 i, j = i - 1, j - 1
                 continue
-            state = "e" if i and h[i, j] == e[i, j] else "f"
+            state = "e" if mark & DOWN else "f"
         if state == "e":
             ops.append("I")
-            state = "e" if i > 1 and e[i, j] == e[i - 1, j] - extending and e[i, j] != h[i - 1, j] - opening - extending else "h"
+            state = "e" if mark & LONGER_DOWN else "h"
             i -= 1
         else:
             ops.append("D")
-            state = "f" if j > 1 and f[i, j] == f[i, j - 1] - extending and f[i, j] != h[i, j - 1] - opening - extending else "h"
+            state = "f" if mark & LONGER_ALONG else "h"
             j -= 1
-    text, k = "", 0
     ops.reverse()
-    while k < len(ops):
-        stop = k
-        while stop < len(ops) and ops[stop] == ops[k]:
-            stop += 1
-        text += f"{stop - k}{ops[k]}"
-        k = stop
-    return score, i, end_a, j, end_b, text
+    return score, i, end_a, j, end_b, "".join(f"{len(list(same))}{op}" for op, same in groupby(ops))
+
+
+#: What the path does at a cell: ends, takes a letter of both, takes one of a alone; and whether a gap goes on.
+STOP, BOTH, DOWN, LONGER_DOWN, LONGER_ALONG = 1, 2, 4, 8, 16
+_LOW = -(10**9)
+
+
+class _Rows:
+    """Rows of the matrices of affine alignment, each made from the one before: h the best score, e with a gap in b, f with one in a."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, mode: str, match: int, mismatch: int, opening: int, extending: int) -> None:
+        self.x, self.y, self.mode, self.extending = x, y, mode, extending
+        self.opening = opening - extending if mode == "local" else opening
+        self.match, self.mismatch = match, mismatch
+        self.free_a, self.free_b = mode in ("local", "dovetail"), mode in ("local", "contained")
+        self.slope = extending * np.arange(len(y) + 1)
+        self.blank = ord("N") if mode == "local" else -1
+        self.steps: dict[int, np.ndarray] = {}
+
+    def gap(self, k: np.ndarray | int) -> np.ndarray | int:
+        return -(self.opening + self.extending * k)
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        h, e = np.zeros(len(self.y) + 1, np.int64), np.full(len(self.y) + 1, _LOW)
+        if not self.free_b:
+            h[1:] = self.gap(np.arange(1, len(h)))
+        return h, e
+
+    def marks_of_first(self) -> np.ndarray:
+        out = np.full(len(self.y) + 1, STOP if self.free_b else LONGER_ALONG, np.uint8)
+        out[:2] &= ~np.uint8(LONGER_ALONG)  # the gap opens
+        return out
+
+    def after(self, i: int, h: np.ndarray, e: np.ndarray, marked: bool = False) -> tuple:
+        """Row i, from 1, and with `marked` what the path does at its cells."""
+        c, opening, extending = int(self.x[i - 1]), self.opening, self.extending
+        if c not in self.steps:
+            if len(self.steps) > 16:  # letters, of which there are few, or all kinds of characters
+                self.steps.clear()
+            self.steps[c] = np.where((self.y == self.blank) | (c == self.blank), 0, np.where(self.y == c, self.match, -self.mismatch))
+        down = np.maximum(e, h - opening) - extending
+        edge = 0 if self.free_a else self.gap(i)
+        if not self.free_a:
+            down[0] = edge
+        both = h[:-1] + self.steps[c]
+        best = np.maximum(both, down[1:])
+        if self.mode == "local":
+            best = np.maximum(best, 0)
+        along = np.full(len(h), _LOW)
+        along[1:] = np.maximum.accumulate(np.append(edge, best) + self.slope)[:-1] - self.slope[1:] - opening
+        new = np.append(edge, np.maximum(best, along[1:]))
+        if not marked:
+            return new, down
+        marks = np.zeros(len(h), np.uint8)
+        marks[1:] = np.where(new[1:] == both, BOTH, np.where(new[1:] == down[1:], DOWN, 0))
+        marks[0] = STOP if self.free_a else DOWN
+        if self.mode == "local":
+            marks[new == 0] |= STOP
+        if i > 1:
+            marks[(down == e - extending) & (down != h - opening - extending)] |= LONGER_DOWN
+        marks[2:][(along[2:] == along[1:-1] - extending) & (along[2:] != new[1:-1] - opening - extending)] |= LONGER_ALONG
+        if not self.free_a:
+            marks[0] = DOWN | (LONGER_DOWN if i > 1 else 0)
+        return new, down, marks
 
 
 def aligned(a: Column, b: Column, mode: str = "local", **costs: int) -> Column:
@@ -115,39 +207,68 @@ def aligned(a: Column, b: Column, mode: str = "local", **costs: int) -> Column:
     return run(a, b)
 
 
-def edit_path(a: str, b: str, mode: str) -> tuple[int, int, int, str, str, str]:
-    """distance, start and end in b, cigar (= X I D; I stands in a alone), and both texts with gaps.
+#: Cells of an edit matrix that is held whole; beyond, a path is found by halves.
+CELLS = 1 << 20
 
-    mode global: all of b; prefix: a beginning of b; infix: any stretch, the first end with the least distance, and the
-    start that the path leads to.  Among equal paths a column of both comes before I, and I before D.  In the shown
-    texts equal letters are lower-case and different ones upper-case.
-    """
+
+def _path(a: str, b: str) -> str:
+    """The columns (= X I D) of a best path of all of a against all of b: where the matrix is large, a row between the halves of
+    the longer text says where the path crosses it, so that memory is linear in the texts."""
     n, m = len(a), len(b)
-    at = np.arange(m + 1)
-    letters = np.array([ord(c) for c in b], dtype=np.int64)
-    rows = [np.zeros(m + 1, int) if mode == "infix" else at.copy()]
-    for i, c in enumerate(a, 1):
+    if (n + 1) * (m + 1) > CELLS and min(n, m) > 1:
+        if n < m:
+            half = m // 2
+            cut = int((last_column(a, b[:half]) + last_column(a[::-1], b[half:][::-1])[::-1]).argmin())
+            return _path(a[:cut], b[:half]) + _path(a[cut:], b[half:])
+        half = n // 2
+        cut = int((last_row(a[:half], b) + last_row(a[half:][::-1], b[::-1])[::-1]).argmin())
+        return _path(a[:half], b[:cut]) + _path(a[half:], b[cut:])
+    at, x, y = np.arange(m + 1), letters(a), letters(b)
+    rows = [at]
+    for i in range(1, n + 1):
         row = rows[-1]
-        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(c)))])
+        new = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (y != x[i - 1])))
         rows.append(np.minimum.accumulate(new - at) + at)
-    i, j = n, m if mode == "global" else int(rows[n].argmin())
-    distance, end, steps = int(rows[i][j]), j, []
-    while i or (j and mode != "infix"):
+    i, j, ops = n, m, []
+    while i or j:
         here = rows[i][j]
         if i and j and here == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            same = a[i - 1] == b[j - 1]
-            case = str.lower if same else str.upper
-            steps.append(("=" if same else "X", case(a[i - 1]), case(b[j - 1])))
+            ops.append("=" if a[i - 1] == b[j - 1] else "X")
             i, j = i - 1, j - 1
         elif i and here == rows[i - 1][j] + 1:
-            steps.append(("I", a[i - 1].upper(), "-"))
+            ops.append("I")
             i -= 1
         else:
-            steps.append(("D", "-", b[j - 1].upper()))
+            ops.append("D")
             j -= 1
-    steps.reverse()
-    runs = [(op, len(list(same))) for op, same in groupby(s[0] for s in steps)]
-    return distance, j, end, "".join(f"{k}{op}" for op, k in runs), "".join(s[1] for s in steps), "".join(s[2] for s in steps)
+    return "".join(reversed(ops))
+
+
+def edit_path(a: str, b: str, mode: str) -> tuple[int, int, int, str, str, str]:
+    """distance, start and end in b, cigar (= X I D; I stands in a alone), and both texts with gaps.
+
+    mode global: all of b; prefix: a beginning of b; infix: any stretch, the first end with the least distance, and of the
+    starts that give it the last.  Among equal paths of up to CELLS cells a column of both comes before I, and I before D;
+    of larger ones any of the least cost is taken.  In the shown texts equal letters are lower-case and different ones
+    upper-case.  Memory is linear in the texts.
+    """
+    row = last_row(a, b, mode == "infix")
+    end = len(b) if mode == "global" else int(row.argmin())
+    distance = int(row[end])
+    start = 0
+    if mode == "infix":
+        back = last_row(a[::-1], b[:end][::-1])
+        start = end - int(np.flatnonzero(back == distance)[0])
+    ops = _path(a, b[start:end])
+    i, j, shown_a, shown_b = 0, start, [], []
+    for op, run in groupby(ops):
+        k = len(list(run))
+        case = str.lower if op == "=" else str.upper
+        shown_a.append("-" * k if op == "D" else "".join(map(case, a[i : i + k])))
+        shown_b.append("-" * k if op == "I" else "".join(map(case, b[j : j + k])))
+        i += k * (op != "D")
+        j += k * (op != "I")
+    return distance, start, end, "".join(f"{len(list(run))}{op}" for op, run in groupby(ops)), "".join(shown_a), "".join(shown_b)
 
 
 def edit_paths(a: Column, b: Column, mode: str = "global") -> Column:

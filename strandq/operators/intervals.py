@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import skew
 from .stats import ordered_cells
 
 #: Each size of bins is so many times the one before.
@@ -87,7 +88,8 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, closed: bool = False
 
     Bins of `width`, eight times that, and so on: an interval lies in at most two bins of its own size.  Two intervals meet
     in the bins of the larger one's size; so each is dealt to the bins of its size and of the larger sizes that the other
-    side has, and a pair counts in the first bin that both share.  However long an interval is, its rows are few.
+    side has, and a pair counts in the first bin that both share.  However long an interval is, its rows are few.  Bins that
+    very many intervals of left lie in are dealt to cells, to which those of right are copied.
     """
     last = (lambda e: F.col(e)) if closed else (lambda e: F.greatest(F.col(e) - 1, F.lit(0)))
     size = lambda b, e: F.greatest(F.ceil(F.log(F.greatest(last(e) - F.col(b) + 1, F.lit(1)) / width) / math.log(STEP)), F.lit(0)).cast("int")
@@ -101,9 +103,12 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, closed: bool = False
 
     x, y = dealt(a, "_own", sizes(b, "_own2"), "bgn", "end_"), dealt(b, "_own2", sizes(a, "_own"), "beg2", "end2")
     meet = "bgn <= end2 and end_ >= beg2" if closed else "bgn < end2 and end_ > beg2"
-    pairs = x.join(y, ["grp", "_size", "_bin"]).filter(meet).filter("_size = greatest(_own, _own2)")
+    key = ["grp", "_size", "_bin"]
+    counts = x.groupBy(*key).agg(F.count("*").alias("n"))
+    hot = skew.heavy_of(counts, key, left.count())
+    pairs = skew.dealt(x, hot, key, *left.columns).join(skew.copied(y, hot, key), [*key, "cell"]).filter(meet).filter("_size = greatest(_own, _own2)")
     first = F.floor(F.greatest("bgn", "beg2") / (width * F.pow(F.lit(STEP), F.col("_size"))))
-    return pairs.filter(F.col("_bin") == first).drop("_bin", "_size", "_own", "_own2")
+    return pairs.filter(F.col("_bin") == first).drop("_bin", "_size", "_own", "_own2", "cell")
 
 
 def touching(left: DataFrame, regions: DataFrame, width: int, keep: bool = True, by: str = "overlap") -> DataFrame:

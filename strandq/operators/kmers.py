@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases as B
@@ -32,49 +32,90 @@ def enumerate_kmers(reads: DataFrame, k: int, with_invalid: bool = False) -> Dat
     return out.withColumn("rc", B.complement_reversed(F.col("fwd")))
 
 
-def windows(bases: bytes, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places, and two-bit packed windows with their reverse complements, of a sequence; those with another letter are left out."""
+#: Bases of a 64-bit word, and of a packed k-mer, which has one or two words.
+WORD, MOST = 32, 64
+
+
+def packed_columns(k: int) -> list[str]:
+    """The columns of a packed k-mer: one number up to 31 bases, beyond that one of the bases before the last 32, and one of these."""
+    if not 0 < k <= MOST:
+        raise ValueError(f"k-mers of 1 to {MOST} bases can be packed, not of {k}")
+    return ["packed"] if k < WORD else ["packed_hi", "packed"]
+
+
+def windows(bases: bytes, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """Places, and two-bit packed windows with their reverse complements, of a sequence, as the words of packed_columns(k); those
+    with another letter are left out."""
+    sizes = [k] if len(packed_columns(k)) == 1 else [k - WORD, WORD]
     for lo in range(0, max(0, len(bases) - k + 1), BLOCK):
         raw = np.frombuffer(bases, np.uint8)[lo : lo + BLOCK + k - 1]
         digit = (raw >> 1 & 3).astype(np.uint64)  # A 0, C 1, T 2, G 3 in either case; a complement differs by 2
         n = len(raw) - k + 1
-        fwd, rc = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        for j in range(k):
-            part = digit[j : j + n]
-            fwd = fwd << np.uint64(2) | part
-            rc |= (part ^ np.uint64(2)) << np.uint64(2 * j)
         bad = np.cumsum(np.append(0, ~np.isin(raw & 0xDF, list(b"ACGT"))))
         good = bad[k:] == bad[:-k]
-        yield np.flatnonzero(good) + lo, fwd[good], rc[good]
+
+        def word(begin: int, size: int, turned: bool) -> np.ndarray:
+            """`size` bases of each window from its base `begin` on, or of its reverse complement."""
+            out = np.zeros(n, np.uint64)
+            for j in range(begin, begin + size):
+                at = k - 1 - j if turned else j
+                out = out << np.uint64(2) | (digit[at : at + n] ^ np.uint64(2 * turned))
+            return out[good]
+
+        starts = np.cumsum([0, *sizes[:-1]])
+        yield np.flatnonzero(good) + lo, *([word(b, s, turned) for b, s in zip(starts.tolist(), sizes, strict=True)] for turned in (False, True))
+
+
+def smaller(fwd: list[np.ndarray], rc: list[np.ndarray]) -> list[np.ndarray]:
+    """The words of the smaller of each two k-mers."""
+    less = rc[-1] < fwd[-1]
+    if len(fwd) == 2:
+        less = (rc[0] < fwd[0]) | (rc[0] == fwd[0]) & less
+    return [np.where(less, y, x) for x, y in zip(fwd, rc, strict=True)]
+
+
+def unpacked(k: int) -> Column:
+    """The k-mer of the columns packed_columns(k)."""
+    parts = [B.unpacked(F.col("packed"), min(k, WORD))]
+    return F.concat(B.unpacked(F.col("packed_hi"), k - WORD), *parts) if k > WORD else parts[0]
 
 
 def count(reads: DataFrame, k: int) -> DataFrame:
-    """kmer, value: canonical k-mers with their number.  Up to 31 bases they are counted as packed numbers, per batch and
-    then per task, before the one shuffle."""
-    if k > 31:
+    """kmer, value: canonical k-mers with their number.  Up to 64 bases they are counted as packed numbers, per batch and
+    then per task, before the one shuffle; longer ones as text."""
+    if k > MOST:
         return enumerate_kmers(reads, k).select(B.canonical(F.col("fwd")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("value"))
+    names = packed_columns(k)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             held, size = [], 0
             for text in batch.column(0).to_pylist():
                 for _, fwd, rc in windows(text or b"", k):
-                    held.append(np.minimum(fwd, rc))
-                    size += len(fwd)
+                    held.append(smaller(fwd, rc))
+                    size += len(fwd[0])
                     if size >= BLOCK:
-                        yield _counted(held)
+                        yield _counted(held, names)
                         held, size = [], 0
             if held:
-                yield _counted(held)
+                yield _counted(held, names)
 
     ascii_ = F.regexp_replace("bases", r"[^\x00-\x7F]", "N").cast("binary")  # one byte for each letter
-    packed = reads.select(ascii_.alias("bases")).mapInArrow(run, "packed long, value long")
-    return packed.groupBy("packed").agg(F.sum("value").alias("value")).select(B.unpacked(F.col("packed"), k).alias("kmer"), "value")
+    packed = reads.select(ascii_.alias("bases")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "value"]))
+    return packed.groupBy(*names).agg(F.sum("value").alias("value")).select(unpacked(k).alias("kmer"), "value")
 
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(held), return_counts=True)
-    return pa.record_batch({"packed": pa.array(key.astype(np.int64)), "value": pa.array(n)})
+def _counted(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    words = [np.concatenate(x) for x in zip(*held, strict=True)]
+    if len(words) == 1:
+        key, n = np.unique(words[0], return_counts=True)
+        words = [key]
+    else:
+        order = np.lexsort(words[::-1])
+        words = [x[order] for x in words]
+        first = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in words], axis=0))) if len(order) else order
+        n, words = np.diff(first, append=len(order)), [x[first] for x in words]
+    return pa.record_batch([pa.array(x.astype(np.int64)) for x in [*words, n]], [*names, "value"])
 
 
 def write(table: DataFrame, path: str, files: int = 64) -> None:
@@ -171,39 +212,41 @@ def indexed(table: DataFrame) -> DataFrame:
 
 
 def packed_kmers(reads: DataFrame, k: int) -> DataFrame:
-    """seq_idx, pos, packed: the canonical k-mer, as a number, of every window of up to 31 bases without other letters."""
+    """seq_idx, pos and the columns packed_columns(k): the canonical k-mer of every window of up to 64 bases without other letters."""
+    names = packed_columns(k)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             held, size = [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for at, fwd, rc in windows(text or b"", k):
-                    held.append((np.full(len(at), i), at, np.minimum(fwd, rc)))
+                    held.append((np.full(len(at), i), at, *smaller(fwd, rc)))
                     size += len(at)
                     if size >= BLOCK:
-                        yield _placed(batch, held)
+                        yield _placed(batch, held, names)
                         held, size = [], 0
             if held:
-                yield _placed(batch, held)
+                yield _placed(batch, held, names)
 
     ascii_ = F.regexp_replace("bases", r"[^\x00-\x7F]", "N").cast("binary")
-    return reads.select(F.col("seq_idx").cast("long").alias("seq_idx"), ascii_.alias("bases")).mapInArrow(run, "seq_idx long, pos long, packed long")
+    return reads.select(F.col("seq_idx").cast("long").alias("seq_idx"), ascii_.alias("bases")).mapInArrow(run, ", ".join(f"{c} long" for c in ["seq_idx", "pos", *names]))
 
 
-def _placed(batch: pa.RecordBatch, held: list) -> pa.RecordBatch:
-    row, at, key = map(np.concatenate, zip(*held, strict=True))
-    return pa.record_batch({"seq_idx": batch.column(0).take(pa.array(row)), "pos": pa.array(at.astype(np.int64)), "packed": pa.array(key.astype(np.int64))})
+def _placed(batch: pa.RecordBatch, held: list, names: list[str]) -> pa.RecordBatch:
+    row, *columns = map(np.concatenate, zip(*held, strict=True))
+    return pa.record_batch([batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int64)) for x in columns)], ["seq_idx", "pos", *names])
 
 
 def positions(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """query_idx, query_pos, seq_idx, pos, kmer wherever canonical k-mers (of up to 31 bases) of both sides agree.
+    """query_idx, query_pos, seq_idx, pos, kmer wherever canonical k-mers (of up to 64 bases; longer ones raise) of both sides agree.
 
     Windows of a k-mer that many queries have are dealt to cells, to which the reference's are copied."""
-    left = packed_kmers(queries, k).select("packed", F.col("seq_idx").alias("query_idx"), F.col("pos").alias("query_pos"))
-    counts = left.groupBy("packed").agg(F.count("*").alias("n"))
-    hot = skew.heavy_of(counts, ["packed"], counts.agg(F.sum("n")).first()[0] or 0)
-    both = skew.dealt(left, hot, ["packed"], "query_idx", "query_pos").join(skew.copied(packed_kmers(reference, k), hot, ["packed"]), ["packed", "cell"])
-    return both.select("query_idx", "query_pos", "seq_idx", "pos", B.unpacked(F.col("packed"), k).alias("kmer"))
+    key = packed_columns(k)
+    left = packed_kmers(queries, k).select(*key, F.col("seq_idx").alias("query_idx"), F.col("pos").alias("query_pos"))
+    counts = left.groupBy(*key).agg(F.count("*").alias("n"))
+    hot = skew.heavy_of(counts, key, counts.agg(F.sum("n")).first()[0] or 0)
+    both = skew.dealt(left, hot, key, "query_idx", "query_pos").join(skew.copied(packed_kmers(reference, k), hot, key), [*key, "cell"])
+    return both.select("query_idx", "query_pos", "seq_idx", "pos", unpacked(k).alias("kmer"))
 
 
 def by_prefix(table: DataFrame, n: int) -> DataFrame:

@@ -74,13 +74,14 @@ def variables(sam: DataFrame) -> DataFrame:
     values are null; NaN, which other engines take as undefined, is made null by defined().
     """
     ops = sequences.cigar(F.col("cigar"))
-    total = lambda kinds: F.coalesce(sequences.total(ops, kinds), F.lit(0).cast("long"))
-    rlen = total("MDN=X")
+    sums = sequences.totals(ops, {"query_len": "MIS=X", "ref_len": "MDN=X", "clipped": "S"})
+    total = lambda k: F.coalesce(F.col(f"totals_.{k}"), F.lit(0).cast("long"))
+    rlen = total("ref_len")
     named = {
-        "ncigar": F.coalesce(F.size(ops), F.lit(0)), "qlen": total("MIS=X"), "rlen": rlen, "sclen": total("S"), "endpos": F.col("pos") + F.greatest(rlen, F.lit(1)) - 1,
+        "ncigar": F.coalesce(F.size(F.split(F.regexp_replace("cigar", "[0-9]+", ""), "")) * F.when(F.col("totals_").isNotNull(), 1), F.lit(0)), "qlen": total("query_len"), "rlen": rlen, "sclen": total("clipped"), "endpos": F.col("pos") + F.greatest(rlen, F.lit(1)) - 1,
         "mpos": F.col("pnext"), "mrname": F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext")), "library": F.try_element_at("tags", F.lit("LB")),
     }
-    return sam.withColumns(named | {f"flag_{n.lower()}": F.col("flag").bitwiseAND(v) != 0 for n, v in FLAGS.items()})
+    return sam.withColumn("totals_", sums).withColumns(named | {f"flag_{n.lower()}": F.col("flag").bitwiseAND(v) != 0 for n, v in FLAGS.items()}).drop("totals_")
 
 
 def defined(x: Column) -> Column:

@@ -77,38 +77,60 @@ def unpacked(data: Column, length: Column, bits: int = 2) -> Column:
 
 def cigar(text: Column) -> Column:
     """Array of n, op; null for a text that isn't one."""
-    ops = F.arrays_zip(F.regexp_extract_all(text, F.lit(r"([0-9]+)([MIDNSHP=X])"), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(r"([0-9]+)([MIDNSHP=X])"), F.lit(2)).alias("op"))
+    kinds = F.split(F.translate(text, "0123456789", ""), "")
+    ops = F.arrays_zip(F.slice(F.split(text, "[MIDNSHP=X]"), F.lit(1), F.size(kinds)).alias("n"), kinds.alias("op"))
     return F.when(text.rlike(r"^([0-9]+[MIDNSHP=X])+$"), F.transform(ops, lambda x: F.struct(x["n"].cast("long").alias("n"), x["op"].alias("op"))))
 
 
-def total(ops: Column, kinds: str) -> Column:
-    """The bases of the operations of some kinds."""
-    return F.aggregate(F.filter(ops, lambda x: x["op"].isin(*kinds)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+#: Which operations each total counts.
+TOTALS = {"query_len": "MIS=X", "ref_len": "MDN=X", "columns": "MID=X", "gaps": "ID", "matches": "=", "mismatches": "X"}
+
+
+def totals(ops: Column, kinds: dict[str, str] = TOTALS) -> Column:
+    """A struct of the bases of the operations of some kinds, in one pass over an array of n, op; null for a null array."""
+    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in kinds))
+    add = lambda a, x: F.struct(*((a[k] + F.when(x["op"].isin(*o), x["n"]).otherwise(F.lit(0).cast("long"))).alias(k) for k, o in kinds.items()))
+    return F.aggregate(ops, zero, add)
 
 
 def tallies(rows: DataFrame) -> DataFrame:
-    """id, query_len, ref_len, columns, gaps, matches, mismatches of rows (id, cigar)."""
-    c = cigar(F.col("cigar"))
-    return rows.select("id", *(total(c, k).alias(n) for n, k in (("query_len", "MIS=X"), ("ref_len", "MDN=X"), ("columns", "MID=X"), ("gaps", "ID"), ("matches", "="), ("mismatches", "X"))))
+    """id, query_len, ref_len, columns, gaps, matches, mismatches of rows (id, cigar); null where cigar isn't one."""
+    return rows.select("id", totals(cigar(F.col("cigar"))).alias("t")).select("id", "t.*")
 
 
-def _before(n: Column) -> Column:
-    """For each number of an array the sum of those before it."""
+def _laid_out(ops: Column) -> Column:
+    """op, n, a, b, inserted for each operation of an array of n, op: where it begins in query and reference, and how many bases
+    the insertions directly behind it have (padding and empty operations between don't part them)."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<struct<op:string,n:long,a:long,b:long,inserted:long>>")
     def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else np.cumsum(a) - a)
+        def one(some):
+            if some is None:
+                return None
+            out, a, b = [], 0, 0
+            for x in some:
+                op, n = x["op"], int(x["n"])
+                out.append({"op": op, "n": n, "a": a, "b": b, "inserted": 0})
+                a += n * (op in "MIS=X")
+                b += n * (op in "MDN=X")
+            behind = 0
+            for x in reversed(out):
+                if x["op"] == "I":
+                    behind += x["n"]
+                elif x["op"] != "P" and x["n"]:
+                    x["inserted"], behind = behind, 0
+            return out
 
-    return run(n)
+        return arrays.map(one)
+
+    return run(ops)
 
 
 def placed(rows: DataFrame, *keep: str) -> DataFrame:
-    """op, n, a, b of each operation of rows (cigar, pos): its length and where it begins in query and reference; with the columns to keep."""
-    ops = rows.select(*keep, "pos", cigar(F.col("cigar")).alias("ops"))
-    eaten = lambda kinds: F.transform("ops", lambda x: F.when(x["op"].isin(*kinds), x["n"]).otherwise(F.lit(0).cast("long")))
-    ops = ops.select(*keep, "pos", "ops", _before(eaten("MIS=X")).alias("a"), _before(eaten("MDN=X")).alias("b"))
-    each = ops.select(*keep, "pos", F.explode(F.arrays_zip("ops", "a", "b")).alias("x"))
-    return each.select(*keep, F.col("x.ops.op").alias("op"), F.col("x.ops.n").alias("n"), F.col("x.a").alias("a"), (F.col("x.b") + F.col("pos")).alias("b"))
+    """op, n, a, b, inserted of each operation of rows (cigar, pos): its length, where it begins in query and reference, and the
+    bases inserted behind it; with the columns to keep."""
+    ops = rows.select(*keep, "pos", _laid_out(cigar(F.col("cigar"))).alias("ops"))
+    return ops.select(*keep, "pos", F.explode("ops").alias("x")).select(*keep, "x.op", "x.n", "x.a", (F.col("x.b") + F.col("pos")).alias("b"), "x.inserted")
 
 
 def columns(rows: DataFrame) -> DataFrame:
@@ -118,11 +140,33 @@ def columns(rows: DataFrame) -> DataFrame:
     return each.select("id", "op", F.when(eats("MI=X"), F.col("a") + F.col("k")).alias("a_pos"), F.when(eats("MD=X"), F.col("b") + F.col("k")).alias("b_pos"))
 
 
-def pileup(rows: DataFrame) -> DataFrame:
-    """chrom, pos, base, n of rows (chrom, pos, cigar, seq): bases that cover each position; '-' for a deletion."""
-    eats = lambda kinds: F.col("op").isin(*kinds)
-    some = placed(rows, "chrom", "seq").filter(eats("MD=X") & (F.col("n") > 0))
-    letters = F.when(eats("M=X"), F.col("seq").substr((F.col("a") + 1).cast("int"), F.col("n").cast("int")))
-    bases = F.when(letters.isNull(), F.array_repeat(F.lit("-"), F.col("n").cast("int"))).otherwise(F.split(letters, ""))
-    each = some.select("chrom", "b", F.posexplode(bases).alias("k", "base"))
-    return each.groupBy("chrom", (F.col("b") + F.col("k")).alias("pos"), "base").agg(F.count("*").alias("n"))
+def covered(rows: DataFrame, *keep: str) -> DataFrame:
+    """chrom, pos, base, quality, inserted, with the columns to keep: a row for each position that a read of rows (chrom, pos,
+    cigar, seq, qual) covers.  base is '-' for a deletion, quality comes from qual, a text of phred + 33, of a deletion from
+    the base before it; inserted are the bases that the read has between this position and the next, if any.
+
+    Inserted bases before a read's first position belong to none.  Reads without a valid cigar and skipped stretches cover
+    nothing.  Null sequences and qualities give null bases and qualities, as do those shorter than their cigar.
+    """
+    rows = rows.withColumn("read_", F.struct("seq", F.col("qual").cast("string").alias("qual")))
+    some = placed(rows, "chrom", "read_", *keep).filter(F.col("op").isin(*"MD=X") & (F.col("n") > 0))
+    n, seq, qual, lost = F.col("n").cast("int"), F.col("read_.seq"), F.col("read_.qual"), F.col("op") == "D"
+    cut = lambda text, at, k: text.substr((at + 1).cast("int"), k.cast("int"))
+    every = lambda text: F.split(cut(text, F.col("a"), n), "")
+    inserted = F.when(F.col("inserted") > 0, cut(seq, F.col("a") + F.when(lost, 0).otherwise(F.col("n")), F.col("inserted")))
+    each = some.select(
+        "chrom", *keep, "b", "n", inserted.alias("behind"),
+        F.when(lost, F.array_repeat(F.lit("-"), n)).otherwise(every(seq)).alias("letters"),
+        F.when(lost & (F.col("a") > 0), F.array_repeat(cut(qual, F.col("a") - 1, F.lit(1)), n)).when(~lost, every(qual)).alias("marks"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    at = F.col("k").cast("int")
+    none = lambda c: F.when(c != "", c)
+    return each.select("chrom", *keep, (F.col("b") + F.col("k")).alias("pos"), none(F.get("letters", at)).alias("base"), (F.ascii(none(F.get("marks", at))) - 33).alias("quality"), F.when(F.col("k") == F.col("n") - 1, F.col("behind")).alias("inserted"))
+
+
+def pileup(rows: DataFrame, *by: str) -> DataFrame:
+    """chrom, pos, base, inserted, n, quality of rows (chrom, pos, cigar, seq, and qual if there): how many reads have each base,
+    with the same bases inserted behind it, at each position, and the sum of their qualities; '-' for a deletion; apart for
+    each value of the columns `by`, such as a sample or a strand."""
+    rows = rows if "qual" in rows.columns else rows.withColumn("qual", F.lit(None).cast("string"))
+    return covered(rows, *by).groupBy(*by, "chrom", "pos", "base", "inserted").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def moments(rows: DataFrame) -> DataFrame:
     """grp, n, mean, variance, deviation with n - 1; 0 for a single value."""
@@ -55,13 +57,14 @@ def mode(rows: DataFrame) -> DataFrame:
 
 
 def median(rows: DataFrame) -> DataFrame:
-    """grp, median: of whole numbers, the mean of the two middle ones rounded toward zero."""
-    return counted(rows).groupBy("grp").agg(_at("n div 2").alias("a"), _at("(n - 1) div 2").alias("b")).select("grp", F.expr("(a + b) div 2").alias("median"))
+    """grp, median: the mean of the two middle values, of whole numbers rounded toward zero; null values don't count."""
+    halve = "(a + b) div 2" if dict(rows.dtypes)["x"] in ("tinyint", "smallint", "int", "bigint") else "(a + b) / 2"
+    return counted(rows.filter("x is not null")).groupBy("grp").agg(_at("n div 2").alias("a"), _at("(n - 1) div 2").alias("b")).select("grp", F.expr(halve).alias("median"))
 
 
 def mad(rows: DataFrame) -> DataFrame:
-    """grp, mad: the upper median of the distances from the median."""
-    values = rows.groupBy("grp", "x").agg(F.count("*").alias("c"))
+    """grp, mad: the upper median of the distances from the median; null values don't count."""
+    values = rows.filter("x is not null").groupBy("grp", "x").agg(F.count("*").alias("c"))
     apart = values.join(median(rows), "grp").groupBy("grp", F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("c").alias("c"))
     w = Window.partitionBy("grp")
     ranks = apart.withColumns({"cum": F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
@@ -72,7 +75,7 @@ def moving(rows: DataFrame, alpha: float) -> DataFrame:
     """grp, ema: exponential moving average of x in the order of t (no ties); the weight of a value follows from how many come
     after it.
 
-    Groups are dealt to stretches of t, between bounds taken from all rows: a stretch sums its values as if nothing came
+    Groups are dealt to stretches of t: a stretch sums its values as if nothing came
     after it, and its sum is weighted by how many rows the later stretches have."""
     cells = ordered_cells(rows, "t")
     w = Window.partitionBy("grp", "cell").orderBy(F.desc("t"))
@@ -85,20 +88,21 @@ def moving(rows: DataFrame, alpha: float) -> DataFrame:
     return parts.groupBy("grp").agg(F.sum(F.col("share") * F.col("whole")).alias("ema"))
 
 
-#: Into how many stretches rows are dealt by their order.
-CELLS = 64
+#: Rows of a stretch, at most about so many: their number grows with the rows.
+STRETCH = 1 << 20
+
+
+def stretches(total: int, partitions: int) -> int:
+    """Into how many stretches so many rows are dealt: as many as tasks work on them, and more of them if they would be long."""
+    return max(partitions, -(-total // STRETCH))
 
 
 def ordered_cells(rows: DataFrame, by: str) -> DataFrame:
-    """rows with cell, which grows with `by`: stretches between CELLS - 1 bounds that a sketch of all rows finds.  So a group
-    of a third of all rows is in a third of the cells, if it isn't in one stretch of its own."""
-    kind = dict(rows.dtypes)[by]
-    key = F.col(by).cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col(by)
-    if kind == "string":
-        key = F.conv(F.rpad(F.substring(F.hex(F.col(by)), 1, 14), 14, "0"), 16, 10).cast("long")  # the first seven bytes, in order
-    shares = [i / CELLS for i in range(1, CELLS)]
-    bounds = rows.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 1000)).first()[0] or []
-    return rows.withColumn("cell", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < key)) if bounds else F.lit(0))
+    """rows with cell, which within a group grows with `by`: the partitions of a range partitioning by both, whose bounds a
+    sample gives, written once so that all that follows sees the same ones.  A group of a third of all rows is in a third
+    of the cells; rows of one group and one value of `by` stay together."""
+    n = stretches(rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialise(rows.repartitionByRange(n, "grp", by).withColumn("cell", F.spark_partition_id()))
 
 
 def weighted(hist: DataFrame) -> DataFrame:

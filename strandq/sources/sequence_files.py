@@ -246,7 +246,7 @@ def read_regions(spark: SparkSession, path: str, kind: str) -> DataFrame:
     name, begin, end, zero, mark = REGION_COLUMNS[kind]
     f = F.split("value", "\t")
     bgn = f[begin - 1].cast("long") - (0 if zero else 1)
-    size = {"sam": sequences.total(sequences.cigar(f[5]), "MDN=X"), "vcf": F.length(f[3])}.get(kind)
+    size = {"sam": sequences.totals(sequences.cigar(f[5]), {"n": "MDN=X"})["n"], "vcf": F.length(f[3])}.get(kind)
     rows = spark.read.text(path).filter(~F.col("value").startswith(mark) & (F.col("value") != ""))
     return rows.select(f[name - 1].alias("chrom"), bgn.alias("bgn"), (f[end - 1].cast("long") if end else bgn + size).alias("end_"), f.alias("fields"))
 

@@ -38,6 +38,13 @@ def remove(spark: SparkSession, paths: list[str] | None = None) -> None:
         made(spark).remove(path)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of any store that Spark reads; none if it isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back; it outlives any executor."""
     path = scratch(df.sparkSession)

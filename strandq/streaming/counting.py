@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import kmers
+from ..sources import shared
 
 
 def count_stream(spark: SparkSession, reads: DataFrame, k: int, out: str, state: str) -> DataFrame:
@@ -27,12 +28,14 @@ def sliding_stats(events: DataFrame, width: str, step: str, late: str) -> DataFr
 
 
 def latest(spark: SparkSession, out: str, state: str, table: DataFrame) -> DataFrame:
-    """The whole table of a streaming aggregation after what is there now: each batch writes it anew, and the last one counts."""
-    written: list[int] = []
+    """The whole table of a streaming aggregation after what is there now: each batch writes it anew, and the last one written
+    to its end counts, in this run or an earlier one.  Before any batch the table is empty."""
 
     def save(part: DataFrame, batch: int) -> None:
         part.write.mode("overwrite").parquet(f"{out}/b={batch}")
-        written.append(batch)
 
     table.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    written = [int(name[2:]) for name in shared.listed(spark, out) if name.startswith("b=") and "_SUCCESS" in shared.listed(spark, f"{out}/{name}")]
+    if not written:
+        return spark.createDataFrame([], table.schema)
     return spark.read.schema(table.schema).parquet(f"{out}/b={max(written)}")
