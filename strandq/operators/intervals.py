@@ -117,6 +117,38 @@ def touching(left: DataFrame, regions: DataFrame, width: int, keep: bool = True,
     return left.join(overlaps(rows, regions, width).select("id").distinct(), "id", "left_semi" if keep else "left_anti")
 
 
+def sweep(a: DataFrame, b: DataFrame) -> DataFrame:
+    """grp, bgn, end_, in_a, in_b: between each two neighbouring coordinates of both lists, how many intervals of either cover the stretch.
+
+    Coordinates are dealt to stretches; sums and first coordinates are carried over a row per stretch."""
+    ends = lambda rows, x, y: rows.filter("bgn < end_").select("grp", F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(n * x).alias("a"), F.lit(n * y).alias("b")) for c, n in (("bgn", 1), ("end_", -1))))).alias("e"))
+    sums = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("grp", "e.pos").agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
+    cells = ordered_cells(sums, "pos")
+    per, w = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp", "cell").orderBy("pos")
+    carried = lambda c: F.coalesce(F.sum(c).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{c}")
+    each = cells.groupBy("grp", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("pos").alias("first"))
+    each = each.select("grp", "cell", carried("a"), carried("b"), F.lead("first").over(per).alias("after"))
+    so_far = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    own = cells.select("grp", "cell", "pos", F.lead("pos").over(w).alias("stop"), so_far("a").alias("own_a"), so_far("b").alias("own_b")).join(each, ["grp", "cell"])
+    return own.select("grp", F.col("pos").alias("bgn"), F.coalesce("stop", "after").alias("end_"), (F.col("own_a") + F.col("before_a")).alias("in_a"), (F.col("own_b") + F.col("before_b")).alias("in_b")).filter("end_ is not null")
+
+
+#: What a stretch must be in, by the name of the operation.
+OPERATIONS = {"union": "in_a > 0 or in_b > 0", "intersection": "in_a > 0 and in_b > 0", "difference": "in_a > 0 and in_b = 0", "either": "(in_a > 0) <> (in_b > 0)"}
+
+
+def combined(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
+    """grp, bgn, end_: the positions of an operation of OPERATIONS on two lists of intervals (grp, bgn, end_), as the fewest
+    intervals.  Intervals of a list may overlap; empty ones, and those with a null, have no positions."""
+    return squash(sweep(a, b).filter(OPERATIONS[operation])).select("grp", "bgn", "end_")
+
+
+def contained(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """The rows of a (grp, bgn, end_, ...) all of whose positions are in intervals of b; empty intervals are in none."""
+    whole = squash(b.filter("bgn < end_")).select("grp", F.col("bgn").alias("beg2"), F.col("end_").alias("end2"))
+    return overlaps(a.filter("bgn < end_"), whole, width).filter("bgn >= beg2 and end_ <= end2").select(*a.columns)
+
+
 def parse_region(text):
     """name, beg (0-based), end of 'name', 'name:beg' or 'name:beg-end'; digits can hold commas and end in k, M or G."""
     number = lambda g: F.when(F.regexp_extract(text, _REGION, g) != "", F.regexp_replace(F.regexp_extract(text, _REGION, g), ",", "").cast("long") * F.when(F.regexp_extract(text, _REGION, g + 1).isin("k", "K"), 1000).when(F.regexp_extract(text, _REGION, g + 1).isin("m", "M"), 1000000).when(F.regexp_extract(text, _REGION, g + 1).isin("g", "G"), 1000000000).otherwise(1))

@@ -66,6 +66,34 @@ def trimmed_alleles(alts: Column, calls: Column) -> tuple[Column, Column]:
     return kept, F.transform(calls, lambda c: F.when(c.isNotNull(), F.size(F.filter(used, lambda u: u <= c))))
 
 
+def values_of_kept(values: Column, kept: Column, alleles: Column, number: str, ploidy: int = 2) -> Column:
+    """An array of values by allele, rewritten for the alleles that stay.
+
+    kept are their old numbers in order, 0 (the reference) first; alleles is how many there were.  number R has a value per
+    allele, A per alternative one, G per genotype of `ploidy` alleles: the value of alleles a <= b <= ... is at
+    C(a, 1) + C(b + 1, 2) + and so on.  Arrays of another length than that, and null ones, are null.
+    """
+
+    def choose(n: Column, k: int) -> Column:
+        out = F.lit(1).cast("long")
+        for j in range(k):
+            out = F.floor(out * (n - j) / (j + 1)).cast("long")
+        return out
+
+    if number in "RA":
+        at = F.filter(F.transform(kept, lambda k: k - int(number == "A")), lambda k: k >= 0)
+        size = alleles - int(number == "A")
+    else:
+        def places(most: Column, p: int) -> Column:
+            """The places of genotypes of p of the kept alleles up to the one of that index, the last allele slowest."""
+            if p == 0:
+                return F.array(F.lit(0).cast("long"))
+            return F.flatten(F.transform(F.sequence(F.lit(0), most.cast("int")), lambda i: F.transform(places(i, p - 1), lambda x: x + choose(F.get(kept, i).cast("long") + (p - 1), p))))
+
+        at, size = places(F.size(kept) - 1, ploidy), choose(alleles.cast("long") + (ploidy - 1), ploidy)
+    return F.when((F.size(values) == size) & (F.size(kept) > 0), F.transform(at, lambda i: F.get(values, i.cast("int"))))
+
+
 def variables(sam: DataFrame) -> DataFrame:
     """Alignment records (the columns of read_sam) with what record filters ask for: endpos, ncigar, qlen, rlen, sclen, mpos,
     mrname, library, and flag_paired and so on for each flag; tags stay a map, so that [NM] is tags['NM'].

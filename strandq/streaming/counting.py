@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kmers
 from ..sources import shared
+from . import carry
 
 
 def count_stream(spark: SparkSession, reads: DataFrame, k: int, out: str, state: str) -> DataFrame:
@@ -20,6 +21,12 @@ def count_stream(spark: SparkSession, reads: DataFrame, k: int, out: str, state:
     return kmers.merge(spark.read.schema("kmer string, value long, batch long, label long").option("recursiveFileLookup", "true").parquet(out))
 
 
+def count_chunks(spark: SparkSession, chunks: DataFrame, k: int, out: str, state: str, expire_s: float | None = None) -> DataFrame:
+    """Counts of the k-mers of sequences that come in pieces (see carry.carried), across batches and restarts."""
+    led = carry.carried(chunks, k - 1, expire_s).select("seq_idx", F.concat("lead", "piece").alias("bases"))
+    return count_stream(spark, led, k, out, state)
+
+
 def sliding_stats(events: DataFrame, width: str, step: str, late: str) -> DataFrame:
     """Count, mean and deviation of value per sliding window of ts and kind; works on batches and on streams."""
     if events.isStreaming:  # watermarks need points in time, not local times

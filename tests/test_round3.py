@@ -316,3 +316,175 @@ def test_tallies_of_odd_texts(spark):
     got = {x.id: tuple(x)[1:] for x in sequences.tallies(df).collect()}
     assert got[1] == (15, 9, 11, 3, 4, 1) and got[6] == (12, 12, 12, 0, 12, 0)
     assert all(got[k] == (None,) * 6 for k in (2, 3, 4, 5))
+
+
+def test_sets_of_intervals(spark, monkeypatch):
+    monkeypatch.setattr(stats, "STRETCH", 40)
+    r = random.Random(2)
+    lists = [[(r.choice("xy"), b := r.randint(-20, 200), b + r.randint(0, 8)) for _ in range(80)] for _ in range(2)]
+    a, b = (spark.createDataFrame(x + [(None, 1, 5), ("x", None, 5)], "grp string, bgn long, end_ long").filter("grp is not null") for x in lists)
+    spots = [{(g, p) for g, s, e in x for p in range(s, e)} for x in lists]
+    for name, want in {"union": spots[0] | spots[1], "intersection": spots[0] & spots[1], "difference": spots[0] - spots[1], "either": spots[0] ^ spots[1]}.items():
+        got = intervals.combined(a, b, name).collect()
+        assert Counter((x.grp, p) for x in got for p in range(x.bgn, x.end_)) == Counter(want), name
+        assert not {(x.grp, x.end_) for x in got} & {(x.grp, x.bgn) for x in got}
+    within = sorted((x.grp, x.bgn, x.end_) for x in intervals.contained(a, b, 4).collect())
+    assert within == sorted(x for x in lists[0] if x[1] < x[2] and all((x[0], p) in spots[1] for p in range(x[1], x[2])))
+    assert intervals.combined(a.limit(0), b.limit(0), "union").count() == 0
+
+
+def test_streams_of_codes(spark):
+    from strandq.functions import codes
+
+    r = random.Random(1)
+    rows = [(i, [r.choice([1, 2, 3, 7, 100, 2**20, 2**31 - 1]) if i % 2 else r.randint(1, 60) for _ in range(r.randint(0, 12))]) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, x array<long>")
+    small = df.filter("id % 2 = 0 or x is null")
+    for data, kinds in [(small, ["unary"]), (df, ["gamma"]), (df, ["delta"]), (df, ["zeckendorf"]), (df, [("fixed", 31)]), (small, ["gamma", ("fixed", 6), "unary", "zeckendorf", "delta"])]:
+        for x in data.select("x", codes.decoded(codes.encoded(F.col("x"), *kinds), *kinds).alias("y")).collect():
+            assert x.x == x.y, kinds
+    odd = spark.createDataFrame([("",), (None,), ("0",), ("001",), ("0101",), ("x",), ("1" * 5,)], "b string")
+    got = [x[0] for x in odd.select(codes.decoded(F.col("b"), "gamma")).collect()]
+    assert got == [[], None, None, None, [2, 1], None, [1] * 5]
+    assert codes.decode("0" * 70 + "1" + "0" * 70, [("gamma", 0)]) is None
+    with pytest.raises(ValueError):
+        codes.decoded(F.col("b"), ("fixed", 0))
+
+
+def test_values_of_kept_alleles(spark):
+    from strandq.operators import records
+
+    r = random.Random(7)
+    for ploidy in (1, 2, 3):
+        rows = []
+        for i in range(40):
+            n = r.randint(1, 5)
+            kept = [0] + sorted(r.sample(range(1, n), r.randint(0, n - 1)))
+            order = sorted(itertools.combinations_with_replacement(range(n), ploidy), key=lambda g: g[::-1])
+            values = [r.randint(0, 99) for _ in order]
+            new = sorted(itertools.combinations_with_replacement(kept, ploidy), key=lambda g: g[::-1])
+            rows.append((i, n, kept, values, [values[order.index(g)] for g in new], list(range(100, 100 + n)), [100 + k for k in kept], list(range(n - 1)), [k - 1 for k in kept if k]))
+        df = spark.createDataFrame(rows + [(99, 3, [0, 1], [1], None, [1], None, [1], None), (98, 3, [0], None, None, None, None, None, None)], "id int, n int, kept array<int>, g array<int>, g2 array<int>, r array<int>, r2 array<int>, a array<int>, a2 array<int>")
+        of = lambda c, number: records.values_of_kept(F.col(c), F.col("kept"), F.col("n"), number, ploidy).alias("new_" + c)
+        for x in df.select("*", of("g", "G"), of("r", "R"), of("a", "A")).collect():
+            assert (x.new_g, x.new_r, x.new_a) == (x.g2, x.r2, x.a2), (ploidy, x)
+
+
+def test_pairing_of_allele_sets(spark):
+    from strandq.operators import pairing
+
+    pair = lambda rows, *rules: [[s for s, *_ in x] for x in pairing.paired_sets([(s, ref, tuple(a.split(",")), 1) for s, ref, a in rows], frozenset(rules))]
+    assert pair([(1, "A", "C,G"), (2, "A", "C")]) == [[1, 2]] and pair([(1, "A", "C,G"), (2, "A", "C")], "exact") == [[1], [2]]
+    assert pair([(1, "A", "C,G"), (2, "a", "g,c")], "exact") == [[1, 2]] and pair([(1, "A", "C"), (2, "A", "T")]) == [[1], [2]]
+    assert pair([(1, "A", "C"), (2, "A", "T")], "snps") == [[1, 2]] and pair([(1, "A", "C"), (2, "AC", "A")], "snps", "indels") == [[1], [2]]
+    assert pair([(1, "A", "C"), (2, "AC", "A")], "any") == [[1, 2]] and pair([(1, "A", "."), (2, "A", "T")], "snp_ref") == [[1, 2]]
+    assert pair([(1, "A", "C"), (2, "A", "C"), (3, "A", "C,T"), (3, "A", "G")], "snps") == [[1, 2, 3], [3]]
+    # A record that two others suit goes to the one whose alleles agree.
+    assert sorted(pair([(1, "A", "C"), (2, "A", "G"), (2, "A", "C,T")], "snps")) == [[1, 2], [2]]
+
+    def plain(rows, rules):
+        """The greedy search by plain loops over all pairs of sets."""
+        own = {s: tuple(sorted(tuple(v) for t, *v in rows if t == s)) for s, *_ in rows}
+        sets = []
+        for s, *v in sorted(rows):
+            same = next((x for x in sets if x["v"] == [v]), None)
+            if same:
+                same["s"].append(s)
+            else:
+                sets.append({"v": [v], "s": [s]})
+        done = []
+        while sets:
+            most = max(len(x["s"]) for x in sets)
+            top = next(x for x in sets if len(x["s"]) == most)
+            options = []
+            for x in sets:
+                if x is top or {own[s] for s in x["s"]} & {own[s] for s in top["s"]}:
+                    continue
+                value = None
+                for a in top["v"]:
+                    for b in x["v"]:
+                        p = pairing._score((a[0], tuple(a[1])), (b[0], tuple(b[1])), rules)
+                        if value in (None, "ok") and p == 9:
+                            value = "sure"
+                        elif value in (None, "ok") and p == 0:
+                            value = "no"
+                        elif value is None:
+                            value = "ok"
+                low = min(pairing._score((a[0], tuple(a[1])), (b[0], tuple(b[1])), rules) for a in top["v"] for b in x["v"])
+                if value == "sure":
+                    options.append(((9, 0), x))
+                elif value == "ok":
+                    options.append(((low, len(top["s"]) + len(x["s"])), x))
+            if not options:
+                done.append(sorted(top["s"]))
+                sets = [x for x in sets if x is not top]
+                continue
+            best = max(o[0] for o in options)
+            other = next(x for o, x in options if o == best)
+            first, second = sorted((top, other), key=lambda x: next(i for i, y in enumerate(sets) if y is x))
+            first["v"], first["s"] = first["v"] + second["v"], first["s"] + second["s"]
+            sets = [x for x in sets if x is not second]
+        return done
+
+    r = random.Random(3)
+    rows = []
+    for pos in range(250):
+        for s in (1, 2, 3):
+            for ref, alts in {(r.choice(["A", "AC"]), ",".join(sorted(r.sample(["C", "G", "T", "AT", "."], r.randint(1, 2))))) for _ in range(r.randint(0, 2))}:
+                rows.append((pos, s, ref, alts.split(",")))
+    for rules in ((), ("exact",), ("snps",), ("snps", "indels", "snp_ref"), ("any",)):
+        frames = [spark.createDataFrame([("c", p, ref, alts) for p, t, ref, alts in rows if t == s] + [(None, 1, "A", ["C"]), ("c", 999, "A", None)], "chrom string, pos int, ref string, alts array<string>") for s in (1, 2, 3)]
+        got = defaultdict(list)
+        for x in pairing.paired(frames, *rules).orderBy("pos", "nth").collect():
+            got[x.pos].append(x.sources)
+        assert got.pop(999) == [[1, 2, 3]]
+        want = {p: plain([(s, ref, tuple(a)) for q, s, ref, a in rows if q == p], frozenset(rules)) for p in {x[0] for x in rows}}
+        assert {p: sorted(x) for p, x in got.items()} == {p: sorted(x) for p, x in want.items()}, rules
+    twice = spark.createDataFrame([("c", 1, "A", ["C"])] * 2, "chrom string, pos int, ref string, alts array<string>")
+    assert [x.sources for x in pairing.paired([twice, twice.limit(1)]).orderBy("nth").collect()] in ([[1, 2], [1]], [[1], [1, 2]])
+    with pytest.raises(ValueError):
+        pairing.paired([twice], "some")
+
+
+def test_pieces_over_batches(spark, tmp_path):
+    """Pieces in any order over batches and restarts, repeated, and sequences that are given up."""
+    from strandq.streaming import carry
+
+    schema, base = "seq_idx long, chunk long, piece string, is_last boolean, ts timestamp", f"file://{tmp_path}"
+    r = random.Random(4)
+    reads = {i: "".join(r.choice("ACGTacgtN") for _ in range(r.randint(1, 60))) for i in range(12)}
+    pieces = [(i, n, t[n * 7 : n * 7 + 7], (n + 1) * 7 >= len(t)) for i, t in reads.items() for n in range((len(t) + 6) // 7)]
+    r.shuffle(pieces)
+    half = len(pieces) // 2
+    put = lambda rows, s: spark.createDataFrame([(*x, None) for x in rows], schema).withColumn("ts", F.timestamp_seconds(F.lit(s))).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+    def run(name, df):
+        df.writeStream.format("parquet").option("path", f"{base}/{name}").option("checkpointLocation", f"{base}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{base}/{name}").collect()
+
+    put(pieces[:half], 1000)
+    run("led", carry.carried(stream(), 4))
+    counting.count_chunks(spark, stream(), 5, f"{base}/k", f"{base}/k-state")
+    put([p for p in pieces[half:] if p] + pieces[:2] + [(None, 0, "A", False)], 1001)
+    got = defaultdict(list)
+    for x in sorted(run("led", carry.carried(stream(), 4))):
+        got[x.seq_idx].append(x)
+        assert x.lead == reads[x.seq_idx][: x.bgn][-4:]
+    whole = {i: "".join(x.piece for x in sorted(v, key=lambda y: y.chunk)) for i, v in got.items()}
+    ended = {p[0] for p in pieces[:half] if p[3]}
+    assert all(whole[i] == t for i, t in reads.items() if i not in {p[0] for p in pieces[:2]} or i not in ended)
+    found = {x.kmer: x.value for x in counting.count_chunks(spark, stream(), 5, f"{base}/k", f"{base}/k-state").collect()}
+    assert found == {x.kmer: x.value for x in kmers.count(spark.createDataFrame(list(reads.items()), "seq_idx long, bases string"), 5).collect()}
+    squeezed = defaultdict(dict)
+    for x in run("squeezed", carry.squeezed(stream())):
+        squeezed[x.seq_idx][x.chunk] = x.piece
+    for i, t in reads.items():
+        assert "".join(v for _, v in sorted(squeezed[i].items())) == re.sub(r"(?i)(.)\1+", r"\1", t)
+    # A sequence that the watermark has left behind begins anew.
+    put([(50, 0, "AAAA", False)], 2000)
+    put([(51, 0, "C", True)], 9000)
+    put([(51, 0, "C", True)], 9001)
+    put([(50, 0, "GG", True)], 9002)
+    late = [x for x in run("late", carry.carried(stream().withWatermark("ts", "1 second"), 4, expire_s=60)) if x.seq_idx == 50]
+    assert sorted((x.chunk, x.bgn, x.lead, x.piece) for x in late) == [(0, 0, "", "AAAA"), (0, 0, "", "GG")]
