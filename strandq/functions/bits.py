@@ -71,6 +71,11 @@ def fibonacci_numbers(n: int = 91) -> list[int]:
     return out[: n + 1]
 
 
+def fibonacci(n: Column) -> Column:
+    """Number n of 1, 1, 2, 3, ... as a decimal, null from 93 on, where they no longer fit 64 bits."""
+    return F.get(F.array(*[F.lit(str(f)) for f in fibonacci_numbers(92)]), n.cast("int")).cast("decimal(20,0)")
+
+
 def zeckendorf(x: Column) -> Column:
     """Fibonacci code of a positive number, smallest term first, ending in 11."""
     terms = [f for f in fibonacci_numbers(90)[1:]]

@@ -142,15 +142,6 @@ def kmer08_packed(spark, d):
     return db(spark, d).select("kmer", number.alias("packed"), B.unpacked(number, K).alias("back"), "value")
 
 
-@query(" union all ".join(f"select cast({k} as bigint) as k, cast({p} as bigint) as palindromes, cast({b} as bigint) as below" for k, p, b in ((1, 0, 2), (2, 4, 6), (3, 0, 32), (4, 16, 120), (5, 0, 512), (6, 64, 2016))))
-def kmer09_census(spark, d):
-    out = None
-    for k in range(1, 7):
-        one = kmers.census(spark, k).withColumn("k", F.lit(k).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query(f"with {DB} select kmer, value from db")
 def kmer10_count(spark, d):
     return db(spark, d)
@@ -582,13 +573,6 @@ def hash02_md5(spark, d):
     return table(spark, d, "documents").select("doc_id", m.alias("digest"), F.conv(F.substring(m, 1, 8), 16, 10).cast("long").alias("high"))
 
 
-@query("with recursive f as (select 0::bigint as n, 1::hugeint as f, 1::hugeint as g union all select n + 1, g, f + g from f where n < 92) select n, cast(f as varchar) as f from f")
-def math01_fibonacci(spark, d):
-    """All that fit 64 bits without a sign."""
-    numbers = F.array(*[F.lit(str(f)) for f in bits.fibonacci_numbers(92)])
-    return spark.range(93).select(F.col("id").alias("n"), F.element_at(numbers, (F.col("id") + 1).cast("int")).alias("f"))
-
-
 @query("select doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) as n_words, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')[1] as first_word from documents".replace("\\\\", "\\"))
 def str04_words(spark, d):
     w = text.words(F.col("text"))
