@@ -230,12 +230,12 @@ DEPENDENT, LEAST_SHARE, QUALITIES = 0.17, 0.03, (4, 63)
 GENOTYPES = [a + b for i, a in enumerate("ACGT") for b in "ACGT"[i:]]
 
 
-def further_error(quality: int, depth: int) -> np.ndarray:
-    return _further_error(quality, depth) if depth <= 4096 else _further_error.__wrapped__(quality, depth)
+@lru_cache(maxsize=1 << 11)
+def _held(quality: int, depth: int) -> np.ndarray:
+    return further_error(quality, depth)
 
 
-@lru_cache(maxsize=1 << 11)
-def _further_error(quality: int, depth: int) -> np.ndarray:
+def further_error(quality: int, depth: int) -> np.ndarray:
     """For k from 0: the phred chance that one more than k of `depth` bases are wrong, when k are and each is with the chance of its quality."""
     k, wrong = np.arange(depth + 1), 10 ** (-quality / 10)
     log_factorial = np.append(0.0, np.cumsum(np.log(np.arange(1, depth + 1))))
@@ -244,6 +244,10 @@ def _further_error(quality: int, depth: int) -> np.ndarray:
     return np.append(-10 / math.log(10) * (tails[1:] - tails[:-1]), np.inf)
 
 
+#: Up to this depth what further errors say is kept from one position to the next.
+HELD = 1 << 12
+
+
 def likelihoods_of(counts: list[tuple[int, int, int, int]], dependent: float = DEPENDENT) -> list[float] | None:
     """The phred likelihoods of GENOTYPES from (quality, strand, base, number) of a position; None without any base.
 
@@ -253,12 +257,18 @@ def likelihoods_of(counts: list[tuple[int, int, int, int]], dependent: float = D
     depth = sum(n for *_, n in counts)
     if not depth:
         return None
+    table = _held if depth <= HELD else further_error
+    shares = (1 - dependent) ** np.arange(max(n for *_, n in counts) if depth > HELD else depth)
     seen, strands, costs = [0] * 4, {}, [0.0] * 4
     for quality, strand, base, n in sorted(counts, reverse=True):
-        before = strands.get((strand, base), 0)
-        share = (1 - dependent) ** np.arange(before, before + n) * (1 - LEAST_SHARE) + LEAST_SHARE
-        costs[base] += float((share * further_error(quality, depth)[seen[base] : seen[base] + n])[share > 0].sum())
-        seen[base] += n
+        before, k = strands.get((strand, base), 0), seen[base]
+        errors = table(quality, depth)
+        part = (1 - dependent) ** before * (1 - LEAST_SHARE)
+        if n == 1:
+            costs[base] += (part + LEAST_SHARE) * float(errors[k])
+        else:
+            costs[base] += float(((part * shares[:n] + LEAST_SHARE) * errors[k : k + n]).sum())
+        seen[base] = k + n
         strands[strand, base] = before + n
     out = []
     for i in range(4):
@@ -282,11 +292,12 @@ def genotype_likelihoods(bases: DataFrame, *by: str, dependent: float = DEPENDEN
 
     @F.pandas_udf("array<double>")
     def run(columns: pd.Series) -> pd.Series:
-        return columns.map(lambda some: likelihoods_of([(int(x["q"]), int(x["strand"]), int(x["b"]), int(x["n"])) for x in some], dependent))
+        split = lambda x: (x >> 43, x >> 42 & 1, x >> 40 & 3, x & (1 << 40) - 1)
+        return columns.map(lambda some: likelihoods_of([split(x) for x in some.tolist()], dependent))
 
     b = F.expr("instr('ACGT', upper(base)) - 1")
     q = F.greatest(F.least(F.col("quality"), F.lit(QUALITIES[1])), F.lit(QUALITIES[0])).cast("int")
     some = bases.filter("base is not null and length(base) = 1 and upper(base) in ('A', 'C', 'G', 'T') and quality is not null and strand in (0, 1)")
     counted = some.groupBy(*by, "chrom", "pos", q.alias("q"), "strand", b.alias("b")).agg(F.count("*").alias("n"))
-    columns = counted.groupBy(*by, "chrom", "pos").agg(F.sum("n").alias("depth"), F.collect_list(F.struct("q", "strand", "b", "n")).alias("counts_"))
+    columns = counted.groupBy(*by, "chrom", "pos").agg(F.sum("n").alias("depth"), F.collect_list(F.expr("shiftleft(cast((q * 2 + strand) * 4 + b as bigint), 40) + n")).alias("counts_"))
     return columns.withColumn("likelihoods", run("counts_")).drop("counts_")

@@ -152,16 +152,14 @@ def covered(rows: DataFrame, *keep: str) -> DataFrame:
     some = placed(rows, "chrom", "read_", *keep).filter(F.col("op").isin(*"MD=X") & (F.col("n") > 0))
     n, seq, qual, lost = F.col("n").cast("int"), F.col("read_.seq"), F.col("read_.qual"), F.col("op") == "D"
     cut = lambda text, at, k: text.substr((at + 1).cast("int"), k.cast("int"))
-    every = lambda text: F.split(cut(text, F.col("a"), n), "")
+    filled = lambda text: F.split(F.rpad(F.coalesce(text, F.lit("")), n, F.lit("\0")), "")
+    before = F.when(F.col("a") > 0, cut(qual, F.col("a") - 1, F.lit(1)))
     inserted = F.when(F.col("inserted") > 0, cut(seq, F.col("a") + F.when(lost, 0).otherwise(F.col("n")), F.col("inserted")))
-    each = some.select(
-        "chrom", *keep, "b", "n", inserted.alias("behind"),
-        F.when(lost, F.array_repeat(F.lit("-"), n)).otherwise(every(seq)).alias("letters"),
-        F.when(lost & (F.col("a") > 0), F.array_repeat(cut(qual, F.col("a") - 1, F.lit(1)), n)).when(~lost, every(qual)).alias("marks"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    at = F.col("k").cast("int")
-    none = lambda c: F.when(c != "", c)
-    return each.select("chrom", *keep, (F.col("b") + F.col("k")).alias("pos"), none(F.get("letters", at)).alias("base"), (F.ascii(none(F.get("marks", at))) - 33).alias("quality"), F.when(F.col("k") == F.col("n") - 1, F.col("behind")).alias("inserted"))
+    letters = F.when(lost, F.array_repeat(F.lit("-"), n)).otherwise(filled(cut(seq, F.col("a"), n)))
+    marks = F.when(lost, F.array_repeat(F.coalesce(before, F.lit("")), n)).otherwise(filled(cut(qual, F.col("a"), n)))
+    each = some.select("chrom", *keep, "b", (n - 1).alias("last"), inserted.alias("behind"), F.posexplode(F.arrays_zip(letters.alias("base"), marks.alias("mark"))).alias("k", "x"))
+    there = lambda c: F.when(~F.col(c).isin("", "\0"), F.col(c))
+    return each.select("chrom", *keep, (F.col("b") + F.col("k")).alias("pos"), there("x.base").alias("base"), (F.ascii(there("x.mark")) - 33).alias("quality"), F.when(F.col("k") == F.col("last"), F.col("behind")).alias("inserted"))
 
 
 def pileup(rows: DataFrame, *by: str) -> DataFrame:
