@@ -191,10 +191,31 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+# The checksum is taken byte after byte by its table of 256 numbers, which its polynomial gives.
+OP13_SQL = r"""
+with recursive steps as (select i, i as c, 0 as k from (select unnest(range(256)) as i) x union all select i, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(c order by i) as t from steps where k = 8),
+w as (select source, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+      from (select 0 as source, doc_id as id, text from documents union all select 1, item_id, text from benchmark) x),
+f as (select source, id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as f from w),
+n as (select source, id, f, count(*) as n from f group by all),
+d as (select f, xor(list_reduce([4294967295::bigint] || list_transform(range(0, strlen(f)), lambda i: cast('0x' || substr(hex(encode(f)), cast(2 * i + 1 as int), 2) as bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 as bucket
+      from (select distinct f from n) x, crc),
+b as (select source, id, bucket, sum(n) as n from n join d on n.f = d.f group by all),
+c as (select bucket, coalesce(sum(n) filter (where source = 0), 0) as s, coalesce(sum(n) filter (where source = 1), 0) as t from b group by bucket),
+g as (select bucket, cast(floor(1000 * ln((t + 1.0::double) * ((select sum(s) from c) + 10000.0::double) / ((s + 1.0::double) * ((select sum(t) from c) + 10000.0::double)))) as bigint) as gain from c),
+m as (select id, sum(n) as n, cast(floor(sum(n * gain) / sum(n)::double) as bigint) as weight from b join g on b.bucket = g.bucket where source = 0 group by id),
+r as (select w.id, len(w.w) as n_words, cast(coalesce(m.n, 0) as bigint) as n_features, coalesce(m.weight, 0) as weight,
+      coalesce(m.weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || w.id), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double))) as bigint) as score from w left join m on w.id = m.id where w.source = 0),
+o as (select id, row_number() over (order by score desc, id) as rank, count(*) over () as n from r where n_words >= 20)
+select r.id as doc_id, n_features, weight, score, cast(case when rank <= 25 * n // 100 then rank end as bigint) as rank from r left join o on r.id = o.id
+"""
+
+
 def queries() -> dict:
     every = (op1_decontaminate, op2_sharding, op3_substring_dedup, op4_packing, op5_toxicity, op6_url_filter, op7_chat, op8_secrets, op9_gif, op10_ngram_join, op11_line_dedup, op12_runs, op13_resample)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op7_chat": OP7_SQL, "op10_ngram_join": OP10_SQL, "op11_line_dedup": OP11_SQL}
+    return {"op6_url_filter": OP6_SQL, "op7_chat": OP7_SQL, "op10_ngram_join": OP10_SQL, "op11_line_dedup": OP11_SQL, "op13_resample": OP13_SQL}
