@@ -295,6 +295,15 @@ def src20_vcf(spark, d):
     return got.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "qual", F.array_join("filters", ";").alias("filters"), F.array_join(F.col("info")["DP"], ",").alias("dp"))
 
 
+@query(f"with {VARIANTS}, s as (select *, unnest(['s0', 's1', 's2']) as sample from v) select chrom, pos, ref, alt, sample, case sample when 's0' then '0/1' when 's1' then '1|1' else '.' end as gt, case sample when 's0' then cast(pos % 9 as varchar) end as dp from s")
+def src20_vcf_calls(spark, d):
+    """Variants with a FORMAT and three samples, written and read."""
+    v = rows(spark, d, "v", VARIANTS)
+    line = F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:DP"), F.concat(F.lit("0/1:"), F.col("pos") % 9), F.lit("1|1"), F.lit("."))
+    got = S.read_vcf_calls(spark, _written(spark, v.select(line.alias("value"))), ["s0", "s1", "s2"])
+    return got.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "sample", F.col("call")["GT"].alias("gt"), F.col("call")["DP"].alias("dp"))
+
+
 @query("select concat('c', cast(s_suppkey % 7 as varchar)) as chrom, s_suppkey * 10 as bgn, s_suppkey * 10 + 25 as end_, 3 as n_fields from supplier")
 def src23_regions(spark, d):
     """A table of regions by its kind's columns."""

@@ -176,10 +176,11 @@ def numbered(reads: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(offsets), "part_").withColumn("seq_idx", F.col("before_") + F.col("nth_")).drop("part_", "nth_", "before_")
 
 
-def sequence_table(reads: DataFrame, most: int = 1 << 16) -> DataFrame:
-    """ident, chunk, length, piece of reads (ident, bases): what regions are fetched from; one row per `most` bases."""
-    length = F.length("bases")
-    own = reads.select("ident", length.alias("length"), F.posexplode_outer(sequences.pieces(F.col("bases"), most)).alias("chunk", "piece"))
+def sequence_table(reads: DataFrame, most: int = 1 << 16, of: str = "bases") -> DataFrame:
+    """ident, chunk, length, piece of reads (ident, bases): what regions are fetched from; one row per `most` bases.  `of` may name
+    a text of qualities instead."""
+    length = F.length(of)
+    own = reads.select("ident", length.alias("length"), F.posexplode_outer(sequences.pieces(F.col(of), most)).alias("chunk", "piece"))
     return own.select("ident", F.coalesce("chunk", F.lit(0)).alias("chunk"), "length", F.coalesce("piece", F.lit("")).alias("piece"))
 
 
@@ -279,6 +280,27 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("value not like '#%'").select(p[0].alias("chrom"), p[1].cast("long").alias("pos"), p[2].alias("id"), p[3].alias("ref"), F.split(p[4], ",").alias("alt"), p[5].try_cast("double").alias("qual"), F.split(p[6], ";").alias("filters"), info.alias("info"))
 
 
+def read_vcf_calls(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
+    """chrom, pos, ref, alt (array), sample, call of variant text records: a row per record and sample, with the map of what its
+    FORMAT names to texts.
+
+    Samples are named by each file's own header, or all alike by `samples`.  Values that a call leaves out at its end are
+    null, and so are those of a missing call; records without FORMAT have no rows, and neither do columns without a
+    name.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    p = F.split("value", "\t")
+    rows = lines.filter("value not like '#%' and value <> ''")
+    if samples is None:
+        rows = rows.join(lines.filter("value like '#CHROM\t%'").select("file", F.slice(p, 10, 1 << 20).alias("names")), "file")
+    else:
+        rows = rows.withColumn("names", F.array(*map(F.lit, samples)))
+    each = rows.filter(F.size(p) > 9).select(p[0].alias("chrom"), p[1].cast("long").alias("pos"), p[3].alias("ref"), F.split(p[4], ",").alias("alt"), F.split(p[8], ":").alias("keys"), F.explode(F.arrays_zip(F.col("names").alias("sample"), F.slice(p, 10, 1 << 20).alias("text"))).alias("x"))
+    each = each.filter("x.sample is not null").select("chrom", "pos", "ref", "alt", "keys", "x.sample", F.split("x.text", ":").alias("values"))
+    call = F.map_from_entries(F.transform("keys", lambda k, i: F.struct(k, F.get("values", i))))
+    return each.select("chrom", "pos", "ref", "alt", "sample", call.alias("call"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(T.chomp(F.col("value")).alias("line"))
 

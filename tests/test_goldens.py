@@ -116,7 +116,7 @@ def test_sweeps_in_stretches(spark, monkeypatch):
         rows.append((g, b, b + r.choice((0, 1, 3, 9, 60))))
     iv = spark.createDataFrame(rows, "grp long, bgn long, end_ long")
     for cells in (1, 7, 64):
-        monkeypatch.setattr(stats, "CELLS", cells)
+        monkeypatch.setattr(stats, "STRETCH", -(-len(rows) // cells))
         for least in (-2, 0, 4):
             want = []
             for g in (1, 2):
@@ -342,7 +342,7 @@ def test_hot_kmers_are_dealt(spark, monkeypatch):
     assert sorted((x.query_idx, x.query_pos, x.seq_idx, x.pos) for x in got.collect()) == want
     monkeypatch.setattr(kmers, "BLOCK", 7)
     text = b"ACGTNACGTTGCAACGTAGGT" * 3
-    got = [(int(p), int(f), int(r)) for x in kmers.windows(text, 4) for p, f, r in zip(*x, strict=True)]
+    got = [(int(p), int(f), int(r)) for x in kmers.windows(text, 4) for p, f, r in zip(x[0], *x[1], *x[2], strict=True)]
     digits = {65: 0, 67: 1, 84: 2, 71: 3}
     plain = [(p, sum(digits[c] * 4 ** (3 - j) for j, c in enumerate(text[p : p + 4])), sum((digits[c] ^ 2) * 4**j for j, c in enumerate(text[p : p + 4]))) for p in range(len(text) - 3) if b"N" not in text[p : p + 4]]
     assert got == plain

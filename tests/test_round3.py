@@ -488,3 +488,16 @@ def test_pieces_over_batches(spark, tmp_path):
     put([(50, 0, "GG", True)], 9002)
     late = [x for x in run("late", carry.carried(stream().withWatermark("ts", "1 second"), 4, expire_s=60)) if x.seq_idx == 50]
     assert sorted((x.chunk, x.bgn, x.lead, x.piece) for x in late) == [(0, 0, "", "AAAA"), (0, 0, "", "GG")]
+
+
+def test_calls_of_samples(spark, tmp_path):
+    from strandq.sources import sequence_files as S
+
+    head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(head + "x\ty\n1\t5\t.\tA\tC,G\t.\t.\t.\tGT:AD:DP\t0/1:3,4:7\t1\n1\t6\t.\tA\tC\t.\t.\t.\n")
+    (tmp_path / "b.vcf").write_text(head + "z\n2\t7\t.\tT\t.\t.\t.\t.\tGT\t./.\n")
+    got = sorted((r.chrom, r.pos, r.alt, r["sample"], r.call) for r in S.read_vcf_calls(spark, f"file://{tmp_path}").collect())
+    assert got == [("1", 5, ["C", "G"], "x", {"GT": "0/1", "AD": "3,4", "DP": "7"}), ("1", 5, ["C", "G"], "y", {"GT": "1", "AD": None, "DP": None}), ("2", 7, ["."], "z", {"GT": "./."})]
+    reads = spark.createDataFrame([("r", "ACGTACGT", "ABCDEFGH")], "ident string, bases string, quals string")
+    asked = spark.createDataFrame([("r:3-6",), ("r",), ("q",)], "region string")
+    assert {x.region: x.bases for x in S.fetch(S.sequence_table(reads, 4, "quals"), asked, 4).collect()} == {"r:3-6": "CDEF", "r": "ABCDEFGH", "q": None}
