@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from . import sequences, skew
+from .stats import ordered_cells
 
 SATURATED = (1 << 32) - 1
 
@@ -279,11 +280,16 @@ def smoothed(hist: DataFrame, t: float = SPREAD, width: int = WIDTH) -> DataFram
 
 
 def extrema(curve: DataFrame) -> DataFrame:
-    """value, smooth, kind of local peaks and troughs of a curve of at most a few thousand rows."""
-    w = Window.orderBy("value")
-    rise, go = F.col("smooth") - F.lag("smooth").over(w), F.lead("smooth").over(w) - F.col("smooth")
+    """value, smooth, kind of the local peaks and troughs of a curve (value, smooth), of any length: its stretches know the
+    last row of the one before and the first of the one behind."""
+    cells = ordered_cells(curve.withColumn("grp", F.lit(0)), "value")
+    per, w = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp", "cell").orderBy("value")
+    ends = cells.groupBy("grp", "cell").agg(F.min_by("smooth", "value").alias("first"), F.max_by("smooth", "value").alias("last"))
+    ends = ends.select("grp", "cell", F.lag("last").over(per).alias("before"), F.lead("first").over(per).alias("behind"))
+    near = cells.withColumns({"l": F.lag("smooth").over(w), "r": F.lead("smooth").over(w)}).join(ends, ["grp", "cell"])
+    rise, go = F.col("smooth") - F.coalesce("l", "before"), F.coalesce("r", "behind") - F.col("smooth")
     kind = F.when((rise > 0) & (go < 0), "peak").when((rise < 0) & (go > 0), "trough")
-    return curve.withColumn("kind", kind).filter("kind is not null")
+    return near.withColumn("kind", kind).filter("kind is not null").select(*curve.columns, "kind")
 
 
 #: Turning points are sought at values from FIRST to below REACH of a histogram cut at SPAN; at most PEAKS count.

@@ -157,7 +157,7 @@ def header_ids(headers: DataFrame) -> DataFrame:
     appearance, with the id each has in its source.  Headers are small: their distinct names meet in one window."""
     first = headers.groupBy("name").agg(F.min(F.struct("source", "old")).alias("first"))
     ids = first.select("name", (F.row_number().over(Window.orderBy("first", "name")) - 1).alias("id"))
-    return headers.join(F.broadcast(ids), "name").select("name", "id", "source", "old")
+    return headers.join(ids, "name").select("name", "id", "source", "old")
 
 
 def sample_subset(calls: DataFrame, samples: DataFrame) -> DataFrame:

@@ -136,17 +136,18 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 
 
 def fisher(rows: DataFrame) -> DataFrame:
-    """rows of a two-by-two table (n11, n12, n21, n22) with left, right and two: exact tail probabilities."""
+    """rows of a two-by-two table (n11, n12, n21, n22) with lower, upper and two: exact tail probabilities, from as many numbers as there are tables with its sums."""
     @F.pandas_udf("struct<lower:double,upper:double,two:double>")
     def test(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-        from math import lgamma
-
-        choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
         out = []
         for n11, n12, n21, n22 in zip(a, b, c, d, strict=True):
             row, col, n = n11 + n12, n11 + n21, n11 + n12 + n21 + n22
             lo, hi = max(0, row + col - n), min(row, col)
-            p = np.exp([choose(row, k) + choose(n - row, col - k) - choose(n, col) for k in range(lo, hi + 1)])
+            k = np.arange(lo, hi)  # each table's chance from that of the one before
+            steps = np.log(row - k) + np.log(col - k) - np.log(k + 1) - np.log(n - row - col + k + 1)
+            p = np.append(0.0, np.cumsum(steps))
+            p = np.exp(p - p.max())
+            p /= p.sum()
             own = p[n11 - lo]
             out.append((p[: n11 - lo + 1].sum(), p[n11 - lo :].sum(), min(1.0, p[p <= own * (1 + 1e-9)].sum())))
         return pd.DataFrame(out, columns=["lower", "upper", "two"])

@@ -304,6 +304,26 @@ def src20_vcf_calls(spark, d):
     return got.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), "sample", F.col("call")["GT"].alias("gt"), F.col("call")["DP"].alias("dp"))
 
 
+@query(f"with {READS} select cast(seq_idx as varchar) as ident, bases, 65 as n_quals, 'fastq' as kind from reads union all select cast(seq_idx as varchar), bases, 0, 'fasta' from reads")
+def src01_opened(spark, d):
+    """Reads from files of two kinds, each opened by what its first lines say."""
+    r = reads(spark, d).select(F.col("seq_idx").cast("string").alias("ident"), "bases")
+    out = []
+    for lines in (S.fastq_text(r, 20), S.fasta_text(r)):
+        at = _written(spark, lines)
+        out.append(S.open_sequences(spark, at).select("ident", "bases", F.size("quals").alias("n_quals"), F.lit(S.sniff(spark, at)).alias("kind")))
+    return out[0].unionByName(out[1])
+
+
+@query(f"with {READS} select cast(seq_idx as varchar) as ident, case when seq_idx % 2 = 1 then reverse(translate(bases, 'ACGTacgt', 'TGCAtgca')) else bases end as bases, case when seq_idx % 2 = 1 then reverse(repeat('I', 64) || '5') else repeat('I', 64) || '5' end as qual from reads where seq_idx % 3 <> 0")
+def src09_sam_reads(spark, d):
+    """Alignment records as reads: secondary and supplementary ones left out, those of the reverse strand turned back."""
+    i = F.col("seq_idx")
+    flag = F.when(i % 3 == 0, F.when(i % 2 == 0, 256).otherwise(2048)).otherwise(0) + i % 2 * 16
+    line = F.concat_ws("\t", i, flag, F.lit("c"), i + 1, F.lit(60), F.lit("65M"), F.lit("*"), F.lit(0), F.lit(0), "bases", F.lit("I" * 64 + "5"))
+    return S.sam_reads(S.read_sam(spark, _written(spark, reads(spark, d).select(line.alias("value")))))
+
+
 @query("select concat('c', cast(s_suppkey % 7 as varchar)) as chrom, s_suppkey * 10 as bgn, s_suppkey * 10 + 25 as end_, 3 as n_fields from supplier")
 def src23_regions(spark, d):
     """A table of regions by its kind's columns."""

@@ -494,7 +494,7 @@ SEQ = f"substr(concat(translate(md5({ROW}), '0123456789abcdef', 'ACGTACGTACGTACG
 def agg19_pileup(spark, d):
     """The bases of all reads per position: a match, a deletion, and a second match each."""
     r = table(spark, d, "lineitem").selectExpr("l_suppkey % 5 as chrom", "l_partkey % 500 as pos", "concat(cast(l_quantity as int), 'M', l_partkey % 3 + 1, 'D', l_linenumber, 'M') as cigar", SEQ + " as seq")
-    return sequences.pileup(r)
+    return sequences.pileup(r).select("chrom", "pos", "base", "n")
 
 
 # ---- alignment ----

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bits, codes
+from ..functions import bits, codes, text
 from ..functions import bases as B
 from ..operators import alignment, intervals, kmers, pairing, qualities, records, sequences, stats
+from ..sources import sequence_files as S
 from ..sources.shared import scratch
 from ..streaming import carry, counting
 from .registry import BASES, DB, IV, K, PAGE_READS, READS, ROW, iv, of_length, page_reads, query, reads, rows, table
@@ -188,6 +189,25 @@ def var01_arrays(spark, d):
     return v.select("id", of(6, "G").alias("genotypes"), of(3, "R").alias("alleles"), of(2, "A").alias("alternatives"))
 
 
+CALLED = f"v as (select {ROW} as id, concat(l_returnflag, 'A') as a1, concat(l_linestatus, 'C') as a2, cast(l_linenumber % 4 as int) as c1, cast(l_orderkey % 3 as int) as c2, cast(case when l_partkey % 5 = 0 then null else l_partkey % 2 * 3 end as int) as c3 from lineitem)"
+
+
+@query(f"with {CALLED}, w as (select id, [a1, a2, 'G'] as alts, [c1, c2, c3] as calls from v) select id, array_to_string(list_transform(list_filter([1, 2, 3], lambda k: list_contains(calls, k)), lambda k: alts[k]), ',') as alts, "
+       "array_to_string(list_transform(calls, lambda c: case when c is null then '.' else cast(len(list_filter(list_distinct(calls), lambda u: u > 0 and u <= c)) as varchar) end), ',') as calls from w")
+def var01_trimmed_calls(spark, d):
+    """The alleles of three that some call uses, and the calls renumbered."""
+    v = rows(spark, d, "v", CALLED)
+    kept, new = records.trimmed_alleles(F.array("a1", "a2", F.lit("G")), F.array("c1", "c2", "c3"))
+    return v.select("id", F.array_join(kept, ",").alias("alts"), F.array_join(new.cast("array<string>"), ",", ".").alias("calls"))
+
+
+@query("select p_partkey, nullif(regexp_extract(translate(md5(p_name), '0123456789abcdef', 'aaaabaaaabaaaaab'), '^(ab?)+'), '') as longest from part")
+def regx04_longest_names(spark, d):
+    """The longest beginning of each text that repeats of three alternatives make, whichever is named first."""
+    t = F.translate(F.md5("p_name"), "0123456789abcdef", "aaaabaaaabaaaaab")
+    return table(spark, d, "part").select("p_partkey", text.longest_match(t, "(a|ab|abab)*")[0].alias("longest"))
+
+
 @query()
 def join08_sets(spark, d):
     """Variants of three sources, paired where alleles overlap or both are of one base."""
@@ -224,6 +244,14 @@ def stm03_squeezed(spark, d):
     return parts.groupBy("seq_idx").agg(joined.alias("squeezed"))
 
 
+@query(f"with {DB} select kmer, value from db")
+def stm02_arriving_files(spark, d):
+    """Counts of k-mers of FASTA files that arrive in a folder, one a batch."""
+    at = scratch(spark)
+    S.write_lines(S.fasta_text(reads(spark, d).select(F.col("seq_idx").cast("string").alias("ident"), "bases"), 30).repartition(3), f"{at}/in")
+    return counting.count_stream(spark, S.read_fasta(spark, f"{at}/in", stream=True, files=1), K, f"{at}/out", f"{at}/state").select("kmer", "value")
+
+
 # ---- modified bases ----
 @query(f"with {READS}, p as (select seq_idx as id, list_filter(range(0, length(bases)), lambda i: upper(substr(bases, cast(i as int) + 1, 1)) = 'C') as own from reads), "
        "g as (select id, own, unnest([0, 1, 2]) as k from p) select id, 'C' as base, case k when 2 then 'h' else 'm' end as code, cast(own[case k when 0 then id % 3 + 1 when 1 then id % 3 + 3 else 2 end] as int) as pos, cast(case k when 0 then id % 100 else k * 10 + 10 end as int) as quality from g where own[case k when 0 then id % 3 + 1 when 1 then id % 3 + 3 else 2 end] is not null")

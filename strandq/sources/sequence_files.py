@@ -20,11 +20,13 @@ def _qualities(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, stream: bool = False, files: int = 1000) -> DataFrame:
     """ident, flags, bases: records begin with > at the start of a line; all white space within bases is dropped.
 
-    A record is what Spark's text source finds between two such places, so that files are split; a file begins with a record."""
-    raw = spark.read.text(path, lineSep="\n>").filter(F.trim("value") != "")
+    A record is what Spark's text source finds between two such places, so that files are split; a file begins with a record.
+    With `stream` the folder's files are a stream, of at most `files` new ones a batch."""
+    source = spark.readStream.option("maxFilesPerTrigger", files) if stream else spark.read
+    raw = source.text(path, lineSep="\n>").filter(F.trim("value") != "")
     body = F.regexp_replace("value", "^>", "")
     head = F.regexp_replace(F.substring_index(body, "\n", 1), "\r", "")
     bases = F.when(F.instr(body, "\n") > 0, F.regexp_replace(body.substr(F.instr(body, "\n") + 1, F.length(body)), r"\s", "")).otherwise("")
