@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import skew
@@ -112,11 +112,30 @@ def overlaps(left: DataFrame, right: DataFrame, width: int, closed: bool = False
 
 
 def touching(left: DataFrame, regions: DataFrame, width: int, keep: bool = True, by: str = "overlap") -> DataFrame:
-    """Rows of left (with a unique column id) that touch some region, or none of them: by overlap, or by their start alone."""
-    rows = left.withColumn("end_", F.col("bgn") + 1) if by == "start" else left
+    """Rows of left (with a unique column id) that touch some region, or none of them: by overlap, by their start alone, or by the
+    change that they make (with columns ref and alts).
+
+    A change begins behind what the reference and all alleles have in common at their front; it ends with the reference.
+    One that only inserts lies between two positions, both of which must be in the region."""
+    rows = left
+    if by == "start":
+        rows = left.withColumn("end_", F.col("bgn") + 1)
+    elif by == "change":
+        rows = left.withColumns({"bgn": F.col("bgn") + common_front(F.col("ref"), F.col("alts")), "end_": F.col("bgn") + F.length("ref")})
     return left.join(overlaps(rows, regions, width).select("id").distinct(), "id", "left_semi" if keep else "left_anti")
 
 
+def common_front(ref: Column, alts: Column) -> Column:
+    """How many bases a reference allele and all others have in common at their front; all of the reference without others."""
+
+    def front(alt: Column) -> Column:
+        n = F.least(F.length(ref), F.length(alt))
+        differ = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ref.substr(i, F.lit(1)) == alt.substr(i, F.lit(1))), F.lit(False))
+        return F.when(differ > 0, differ - 1).otherwise(n).cast("int")
+
+    return F.aggregate(F.coalesce(alts, F.array().cast("array<string>")), F.length(ref), lambda a, alt: F.least(a, front(alt)))
+
+
 def sweep(a: DataFrame, b: DataFrame) -> DataFrame:
     """grp, bgn, end_, in_a, in_b: between each two neighbouring coordinates of both lists, how many intervals of either cover the stretch.
 

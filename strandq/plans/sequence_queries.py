@@ -11,7 +11,7 @@ from ..operators import alignment, intervals, kmers, pairing, qualities, records
 from ..sources import sequence_files as S
 from ..sources.shared import scratch
 from ..streaming import carry, counting
-from .registry import BASES, DB, IV, K, PAGE_READS, READS, ROW, iv, of_length, page_reads, query, reads, rows, table
+from .registry import DB, IV, K, PAGE_READS, READS, RG, ROW, iv, of_length, page_reads, query, reads, rg, rows, table
 
 
 # ---- k-mers ----
@@ -158,6 +158,16 @@ def int09_contained(spark, d):
     return intervals.contained(rows(spark, d, "ot", OTHER), iv(spark, d), 64)
 
 
+CHANGES = f"ch as (select {ROW} as id, l_suppkey as grp, l_orderkey as bgn, substr('ACGT', 1, cast(l_linenumber % 4 + 1 as int)) as ref, substr('ACGTT', 1, cast(l_partkey % 5 + 1 as int)) as a1, case when l_orderkey % 3 = 0 then 'AT' end as a2 from lineitem)"
+
+
+@query(f"with {CHANGES}, {RG}, f as (select *, least(length(ref), length(a1), case when a2 is null then 9 else 1 end) as off from ch) select id from f where exists (select 1 from rg where rg.grp = f.grp and f.bgn + f.off <= rg.end2 - 1 and f.bgn + length(f.ref) - 1 >= rg.beg2)")
+def join09_changes(spark, d):
+    """Variants whose change lies in a region, the third definition of touching it."""
+    v = rows(spark, d, "ch", CHANGES).withColumn("alts", F.filter(F.array("a1", "a2"), lambda x: x.isNotNull())).withColumn("end_", F.col("bgn") + F.length("ref"))
+    return intervals.touching(v, rg(spark, d), 256, by="change").select("id")
+
+
 # ---- codes ----
 @query("select o_orderkey as id, concat_ws(',', o_orderkey + 1, o_custkey % 1048576, o_orderkey % 50, o_custkey + 1, o_orderkey * 7 + 1, o_orderkey + 3) as numbers from orders")
 def cod03_streams(spark, d):

@@ -501,3 +501,9 @@ def test_calls_of_samples(spark, tmp_path):
     reads = spark.createDataFrame([("r", "ACGTACGT", "ABCDEFGH")], "ident string, bases string, quals string")
     asked = spark.createDataFrame([("r:3-6",), ("r",), ("q",)], "region string")
     assert {x.region: x.bases for x in S.fetch(S.sequence_table(reads, 4, "quals"), asked, 4).collect()} == {"r:3-6": "CDEF", "r": "ABCDEFGH", "q": None}
+
+
+def test_common_fronts(spark):
+    rows = [("ACG", ["ACT", "AC"], 2), ("ACG", ["T"], 0), ("A", ["AC"], 1), ("AC", None, 2), ("AC", [], 2), ("AC", ["<DEL>"], 0), ("AC", ["AC"], 2), ("AC", [""], 0)]
+    df = spark.createDataFrame(rows, "ref string, alts array<string>, n int")
+    assert all(x.n == x.m for x in df.select("n", intervals.common_front(F.col("ref"), F.col("alts")).alias("m")).collect())
