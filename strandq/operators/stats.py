@@ -100,7 +100,9 @@ def stretches(total: int, partitions: int) -> int:
 def ordered_cells(rows: DataFrame, by: str) -> DataFrame:
     """rows with cell, which within a group grows with `by`: the partitions of a range partitioning by both, whose bounds a
     sample gives, written once so that all that follows sees the same ones.  A group of a third of all rows is in a third
-    of the cells; rows of one group and one value of `by` stay together."""
+    of the cells; rows of one group and one value of `by` stay together.  What rows come from is read once: they are counted,
+    sampled and dealt from a table of their own."""
+    rows = materialise(rows)
     n = stretches(rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialise(rows.repartitionByRange(n, "grp", by).withColumn("cell", F.spark_partition_id()))
 
