@@ -28,9 +28,21 @@ def counted(rows: DataFrame) -> DataFrame:
     """grp, x, c, cum, n: the distinct values with their number, how many values are not greater, and how many there are.
 
     Rows are counted per value, with map-side combining, before any window sees them."""
-    w = Window.partitionBy("grp")
-    each = rows.groupBy("grp", "x").agg(F.count("*").alias("c"))
-    return each.withColumns({"cum": F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    return ranked(rows.groupBy("grp", "x").agg(F.count("*").alias("c")), "x", "c")
+
+
+def ranked(rows: DataFrame, by: str, weight: str) -> DataFrame:
+    """rows with cum, the weight of the group's rows up to their own in the order of `by`, and n, that of all its rows.
+
+    Groups are dealt to stretches of `by`, whose sums are carried over a row per stretch, so that a group of very many
+    different values is no single task.  A null group is a group, and null values come first."""
+    cells = ordered_cells(rows, by)
+    before = Window.partitionBy("grp").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy("grp", "cell").agg(F.sum(weight).alias("own_"))
+    sums = sums.select(F.col("grp").alias("grp_"), F.col("cell").alias("cell_"), F.coalesce(F.sum("own_").over(before), F.lit(0)).alias("before_"), F.sum("own_").over(Window.partitionBy("grp")).alias("n"))
+    within = Window.partitionBy("grp", "cell").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    own = cells.withColumn("cum", F.sum(weight).over(within)).join(sums, F.col("grp").eqNullSafe(F.col("grp_")) & (F.col("cell") == F.col("cell_")))
+    return own.select(*rows.columns, (F.col("cum") + F.col("before_")).alias("cum"), "n")
 
 
 def _at(rank: str) -> Column:
@@ -66,9 +78,7 @@ def mad(rows: DataFrame) -> DataFrame:
     """grp, mad: the upper median of the distances from the median; null values don't count."""
     values = rows.filter("x is not null").groupBy("grp", "x").agg(F.count("*").alias("c"))
     apart = values.join(median(rows), "grp").groupBy("grp", F.abs(F.col("x") - F.col("median")).alias("x")).agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("grp")
-    ranks = apart.withColumns({"cum": F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
-    return ranks.groupBy("grp").agg(_at("n div 2").alias("mad"))
+    return ranked(apart, "x", "c").groupBy("grp").agg(_at("n div 2").alias("mad"))
 
 
 def moving(rows: DataFrame, alpha: float) -> DataFrame:
@@ -110,22 +120,20 @@ def ordered_cells(rows: DataFrame, by: str) -> DataFrame:
 def weighted(hist: DataFrame) -> DataFrame:
     """grp, n, mean, deviation, mode, median, mad of rows (grp, value, weight); the median is the first value that reaches
     half, and mad that of the distances from it."""
-    w = Window.partitionBy("grp")
     v, c, n = F.col("value"), F.col("weight"), F.col("n")
-    half = lambda rows, x: rows.withColumns({"cum": F.sum("weight").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("weight").over(w)})
+    hist = hist.select("grp", "value", "weight")
     middle = lambda x: F.min(F.when(F.expr("cum >= n div 2"), F.col(x)))
-    own = half(hist, "value").groupBy("grp").agg(F.max("n").alias("n"), (F.sum(v * c) / F.max("n")).alias("mean"), F.max(F.struct("weight", (-v).alias("m")))["m"].alias("neg"), middle("value").alias("median"))
+    own = ranked(hist, "value", "weight").groupBy("grp").agg(F.max("n").alias("n"), (F.sum(v * c) / F.max("n")).alias("mean"), F.max(F.struct("weight", (-v).alias("m")))["m"].alias("neg"), middle("value").alias("median"))
     apart = hist.join(own, "grp")
     spread = apart.groupBy("grp").agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("s"))
     far = apart.groupBy("grp", F.abs(v - F.col("median")).alias("far")).agg(F.sum("weight").alias("weight"))
-    mads = half(far, "far").groupBy("grp").agg(middle("far").alias("mad"))
+    mads = ranked(far, "far", "weight").groupBy("grp").agg(middle("far").alias("mad"))
     return own.join(spread, "grp").join(mads, "grp").select("grp", "n", "mean", F.when(n > 1, F.sqrt(F.col("s") / (n - 1))).otherwise(0.0).alias("deviation"), (-F.col("neg")).alias("mode"), "median", "mad")
 
 
 def sampled(hist: DataFrame, shares: list[float]) -> DataFrame:
     """grp, share, value: the inverse cumulative distribution of rows (grp, value, weight) at floor(share * n)."""
-    w = Window.partitionBy("grp")
-    rows = hist.withColumns({"cum": F.sum("weight").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("weight").over(w)})
+    rows = ranked(hist.select("grp", "value", "weight"), "value", "weight")
     at = rows.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
     return at.groupBy("grp", "share").agg(F.coalesce(F.min(F.when(F.col("cum") > F.floor(F.col("share") * F.col("n")), F.col("value"))), F.max("value")).alias("value"))
 

@@ -410,10 +410,11 @@ def set01_distinct(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(text.range_numbers(t)).alias("x"))
 
 
-@query("with x as (select coalesce(a.k, coalesce(b.k, c.k)) as k, a.k as ak, b.k as bk, c.k as ck from (select distinct o_custkey as k from orders where o_orderkey % 2 = 0) a full join (select distinct o_custkey as k from orders where o_orderkey % 3 = 0) b on a.k = b.k full join (select distinct o_custkey as k from orders where o_orderkey % 5 = 0) c on coalesce(a.k, b.k) = c.k) select k, (case when ak is null then 0 else 1 end) + (case when bk is null then 0 else 2 end) + (case when ck is null then 0 else 4 end) as mask from x")
+@query("with x as (select coalesce(a.k, coalesce(b.k, c.k)) as k, a.k as ak, b.k as bk, c.k as ck from (select distinct o_custkey as k from orders) a full join (select distinct c_custkey as k from customer) b on a.k = b.k full join (select distinct l_partkey as k from lineitem) c on coalesce(a.k, b.k) = c.k) select k, (case when ak is null then 0 else 1 end) + (case when bk is null then 0 else 2 end) + (case when ck is null then 0 else 4 end) as mask from x")
 def join08_merge(spark, d):
-    o = table(spark, d, "orders")
-    out = records.merged([o.filter(f"o_orderkey % {n} = 0").select(F.col("o_custkey").alias("k")).distinct() for n in (2, 3, 5)], ["k"])
+    """Which of three whole tables have a key."""
+    keys = lambda name, c: table(spark, d, name).select(F.col(c).alias("k")).distinct()
+    out = records.merged([keys("orders", "o_custkey"), keys("customer", "c_custkey"), keys("lineitem", "l_partkey")], ["k"])
     return out.select("k", F.aggregate("sources", F.lit(0), lambda a, s: a + F.call_function("shiftleft", F.lit(1), s - 1)).alias("mask"))
 
 

@@ -507,3 +507,19 @@ def test_common_fronts(spark):
     rows = [("ACG", ["ACT", "AC"], 2), ("ACG", ["T"], 0), ("A", ["AC"], 1), ("AC", None, 2), ("AC", [], 2), ("AC", ["<DEL>"], 0), ("AC", ["AC"], 2), ("AC", [""], 0)]
     df = spark.createDataFrame(rows, "ref string, alts array<string>, n int")
     assert all(x.n == x.m for x in df.select("n", intervals.common_front(F.col("ref"), F.col("alts")).alias("m")).collect())
+
+
+def test_ranks_of_a_group_over_many_stretches(spark):
+    """One group of very many different values lies in several stretches, and its ranks are those of one sorted list."""
+    import random
+
+    rnd = random.Random(3)
+    values = [("a", rnd.choice([rnd.random(), float(rnd.randrange(50))])) for _ in range(4000)] + [(None, 2.0), (None, 5.0), (None, 9.0), ("n", None)]
+    df = spark.createDataFrame(values, "grp string, x double")
+    got = stats.counted(df).collect()
+    want = sorted(v for g, v in values if g == "a")
+    assert sorted((r.x, r.cum) for r in got if r.grp == "a") == [(v, sum(w <= v for w in want)) for v in sorted(set(want))]
+    assert {(r.grp, r.n) for r in got} == {("a", 4000), (None, 3), ("n", 1)}
+    assert stats.ordered_cells(df.filter("grp = 'a'"), "x").select("cell").distinct().count() > 2
+    assert {r.grp: r["median"] for r in stats.median(df).collect()} == {"a": (want[1999] + want[2000]) / 2, None: 5.0}
+    assert stats.counted(df.limit(0)).count() == 0
