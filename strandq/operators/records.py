@@ -152,6 +152,18 @@ def info_set(info: Column, key: str, values: Column) -> Column:
     return F.when(values.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), values)))
 
 
+def tag_set(tags: Column, key: str, value: Column) -> Column:
+    """A map of tags, of their types, or of a call's values, with one set to a text, or taken out where it is null."""
+    rest = F.map_filter(tags, lambda k, _: k != key)
+    return F.when(value.isNull(), rest).otherwise(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))
+
+
+def tag_numbers(value: Column) -> Column:
+    """The numbers of a tag of type B ('c,1,2' with the letter of their size), i or f; null for a null tag, and for what isn't a number."""
+    parts = F.split(value, ",")
+    return F.transform(F.filter(parts, lambda x, i: (i > 0) | ~x.rlike("^[cCsSiIf]$")), lambda x: x.try_cast("double"))
+
+
 def header_ids(headers: DataFrame) -> DataFrame:
     """name, id, source, old: the names of several headers (source, old, name) under common ids, in the order of their first
     appearance, with the id each has in its source.  Headers are small: their distinct names meet in one window."""

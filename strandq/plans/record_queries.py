@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions import special, text
-from ..operators import intervals, kmers, records, stats
+from ..operators import headers, intervals, kmers, records, stats
 from ..sources import sequence_files as S
 from ..sources.shared import scratch
 from .registry import READS, ROW, of_length, query, reads, rows, table
@@ -286,6 +286,40 @@ def src20_sam(spark, d):
     return got.select("qname", "flag", "rname", "pos", "mapq", "cigar", F.col("tags")["NM"].alias("nm"), F.col("tags")["LB"].alias("lb"), "endpos")
 
 
+@query(f"with {SAM} select qname, cast(nm as bigint) + 1 as nm, true as gone, ln + 0.5 as first, cast(-q as double) as last, 'iBf' as kinds from sam")
+def src20_sam_tags(spark, d):
+    """Tags of all types written and read back, one of them counted up and one taken out."""
+    full = rows(spark, d, "sam", SAM).withColumn("seq", F.lit("*"))
+    tags = F.create_map(F.lit("NM"), "nm", F.lit("LB"), "lb", F.lit("XF"), (F.col("ln") + 0.5).cast("string"), F.lit("XB"), F.concat(F.lit("s,1,"), (-F.col("q")).cast("string")))
+    kinds = F.create_map(*(F.lit(x) for x in ("NM", "i", "XF", "f", "XB", "B")))
+    got = S.read_sam(spark, _written(spark, S.sam_text(full.withColumns({"tags": tags, "kinds": kinds}))))
+    tags = records.tag_set(records.tag_set(F.col("tags"), "NM", F.col("tags")["NM"].cast("long") + 1), "LB", F.lit(None).cast("string"))
+    again = S.read_sam(spark, _written(spark, S.sam_text(got.withColumn("tags", tags))))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda e: e["value"]), "")
+    return again.select("qname", F.col("tags")["NM"].cast("long").alias("nm"), F.col("tags")["LB"].isNull().alias("gone"), records.tag_numbers(F.col("tags")["XF"])[0].alias("first"), records.tag_numbers(F.col("tags")["XB"])[1].alias("last"), kinds.alias("kinds"))
+
+
+#: A header of lines per size modulo five: names with numbers and types, and lines of a value alone.
+HEADERS = r"""h as (select p_size % 5 as source, p_partkey as nth, concat(replace(p_brand, '#', '_'), '.', substr(p_name, 1, 3)) as id, cast(p_size % 3 as varchar(9)) as number, case when p_retailprice > 1000 then 'Integer' else 'Float' end as type, concat(p_name, ', "', p_type, '"') as about from part)"""
+HEADER_LINES = r"""concat('##INFO=<ID=', id, ',Number=', number, ',Type=', type, ',Description="', replace(about, '"', '"'), '">')"""
+
+
+@query(f"with {HEADERS}, m as (select id, arg_min(h, source * 1000000000::bigint + nth) as x, count(distinct concat(number, type)) > 1 as differs from h group by id) "
+       r"""select x.source as source, x.nth as nth, 'INFO' as kind, differs, concat('##INFO=<ID=', id, ',Number=', case when differs then '.' else x.number end, ',Description="', replace(x.about, '"', '\"'), '",Version=2>') as line from m """
+       "union all select source, nth, 'made', false, concat('##made=', about) from h where source = (select min(source) from h)")
+def var02_headers(spark, d):
+    """Five headers made one: the first line of each name stays, with another number where they differ, without its type, and
+    with a version; of lines of a value alone, those of the first header."""
+    h = rows(spark, d, "h", HEADERS)
+    about = F.concat(F.lit(',Description="'), F.regexp_replace("about", '"', r'\\"'), F.lit('">'))
+    line = F.concat(F.lit("##INFO=<ID="), "id", F.lit(",Number="), "number", F.lit(",Type="), "type", about)
+    lines = h.select("source", "nth", F.explode(F.array(line, F.concat(F.lit("##made="), "about"))).alias("line"))
+    out = headers.merged(headers.parsed(lines))
+    number = F.when(F.col("differs"), ".").otherwise(headers.field(F.col("fields"), "Number"))
+    edited = headers.with_field(headers.with_field(headers.with_field(F.col("fields"), "Number", number), "Type", F.lit(None).cast("string")), "Version", F.lit(2))
+    return out.withColumn("fields", F.when(F.col("fields").isNotNull(), edited)).select("source", "nth", "kind", "differs", headers.written().alias("line"))
+
+
 @query(f"with {VARIANTS} select chrom, pos, ref, alt, cast(pos % 50 as double) + 0.5 as qual, 'PASS' as filters, cast(pos % 9 as varchar) as dp from v")
 def src20_vcf(spark, d):
     v = rows(spark, d, "v", VARIANTS)

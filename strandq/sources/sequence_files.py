@@ -221,9 +221,11 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
 
 
 def sam_text(sam: DataFrame) -> DataFrame:
-    """Of the eleven columns and tags of read_sam; tags are written as texts (Z) in the order of their names."""
+    """Of the eleven columns and tags of read_sam; tags are written in the order of their names, with the types of the map kinds
+    where it has them, else as texts (Z)."""
     fields = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
-    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws(":", e["key"], F.lit("Z"), e["value"]))
+    kind = lambda k: F.coalesce(F.try_element_at("kinds", k), F.lit("Z")) if "kinds" in sam.columns else F.lit("Z")
+    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws(":", e["key"], kind(e["key"]), e["value"]))
     return sam.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in fields), tags).alias("value"))
 
 
@@ -255,11 +257,13 @@ def read_regions(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """The eleven columns of alignment text records and their tags as a map."""
+    """The eleven columns of alignment text records, their tags as a map to texts, and kinds, a map to the letters of their types
+    (A, i, f, Z, H or B)."""
     part = F.split("value", "\t")
     names = [("qname", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string")]
-    tags = F.map_from_entries(F.transform(F.slice(part, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), t.substr(F.lit(6), F.length(t)))))
-    return spark.read.text(path).filter(~F.col("value").startswith("@")).select(*(part[i].try_cast(t).alias(n) for i, (n, t) in enumerate(names)), tags.alias("tags"))
+    of = lambda value: F.map_from_entries(F.transform(F.slice(part, 12, 1 << 20), lambda t: F.struct(F.substring(t, 1, 2), value(t))))
+    tags, kinds = of(lambda t: t.substr(F.lit(6), F.length(t))), of(lambda t: F.substring(t, 4, 1))
+    return spark.read.text(path).filter(~F.col("value").startswith("@")).select(*(part[i].try_cast(t).alias(n) for i, (n, t) in enumerate(names)), tags.alias("tags"), kinds.alias("kinds"))
 
 
 def sam_reads(sam: DataFrame) -> DataFrame:

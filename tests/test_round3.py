@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandq.operators import alignment, intervals, kmers, qualities, sequences, skew, stats
+from strandq.operators import alignment, headers, intervals, kmers, qualities, records, sequences, skew, stats
 from strandq.streaming import counting
 
 
@@ -511,8 +511,6 @@ def test_common_fronts(spark):
 
 def test_ranks_of_a_group_over_many_stretches(spark):
     """One group of very many different values lies in several stretches, and its ranks are those of one sorted list."""
-    import random
-
     rnd = random.Random(3)
     values = [("a", rnd.choice([rnd.random(), float(rnd.randrange(50))])) for _ in range(4000)] + [(None, 2.0), (None, 5.0), (None, 9.0), ("n", None)]
     df = spark.createDataFrame(values, "grp string, x double")
@@ -523,3 +521,49 @@ def test_ranks_of_a_group_over_many_stretches(spark):
     assert stats.ordered_cells(df.filter("grp = 'a'"), "x").select("cell").distinct().count() > 2
     assert {r.grp: r["median"] for r in stats.median(df).collect()} == {"a": (want[1999] + want[2000]) / 2, None: 5.0}
     assert stats.counted(df.limit(0)).count() == 0
+
+
+HEADER = ['##fileformat=VCFv4.2', '##source=a=b', '##source=second', r'##INFO=<ID=DP,Number=1,Type=Integer,Description="a, \"b\" \\ >">', '##FILTER=<ID=q10,Description="">', '##META=<Note=x>', '#CHROM\tPOS', None, '']
+OTHER = ['##source=other', '##INFO=<ID=DP,Number=.,Type=Integer,Description="later">', '##FILTER=<ID=q10,Description="later">', '##META=<Note=y>', '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">', '##extra=1']
+
+
+def _headers(spark, *lists):
+    return headers.parsed(spark.createDataFrame([(i, j, x) for i, some in enumerate(lists) for j, x in enumerate(some)], "source int, nth int, line string"))
+
+
+def test_headers_are_written_as_they_were(spark):
+    sam = ["@HD\tVN:1.6\tSO:coordinate", "@SQ\tSN:chr1\tLN:100\tUR:file:/a", "@CO\tfree\ttext", "@RG\tID:r1\tSM:s"]
+    got = _headers(spark, HEADER, OTHER, sam).select("source", "nth", "kind", "id", headers.written().alias("line")).orderBy("source", "nth").collect()
+    assert [r.line for r in got] == HEADER[:6] + OTHER + sam
+    assert [r.id for r in got if r.source == 2] == [None, "chr1", None, "r1"]
+    about = _headers(spark, HEADER).filter("id = 'DP'").select(headers.field(F.col("fields"), "Description")).first()[0]
+    assert about == 'a, "b" \\ >'
+
+
+def test_one_header_of_two(spark):
+    out = headers.merged(_headers(spark, HEADER, OTHER)).select("*", headers.written().alias("line")).collect()
+    assert {r.line: r.differs for r in out} == {x: x.startswith("##INFO") for x in HEADER[:6] + OTHER[-2:]} and len(out) == 8
+    assert headers.merged(_headers(spark, [])).count() == 0
+    many = headers.merged(_headers(spark, *[["##note=x", "##INFO=<ID=A,Number=1,Type=Flag>", "@CO\tc"]] * 2000)).collect()
+    assert sorted((r.mark, r.kind, r.source) for r in many if r.mark == "##") == [("##", "INFO", 0), ("##", "note", 0)] and len(many) == 2002
+
+
+def test_headers_edited_and_cut(spark):
+    rows = _headers(spark, HEADER, OTHER)
+    f = F.col("fields")
+    put = headers.with_field(headers.with_field(f, "Number", F.lit("A")), "Source", F.lit('x"y'), quoted=True)
+    line = rows.filter("kind = 'FORMAT'").withColumn("fields", put).select(headers.written()).first()[0]
+    assert line == '##FORMAT=<ID=DP,Number=A,Type=Integer,Description="d",Source="x\\"y">'
+    gone = rows.filter("kind = 'META'").withColumn("fields", headers.with_field(f, "Note", F.lit(None).cast("string"))).select(headers.written()).distinct().collect()
+    assert [r[0] for r in gone] == ["##META=<>"]
+    ids = spark.createDataFrame([("DP",), (None,)], "id string")
+    assert headers.with_ids(rows, "INFO", ids, keep=False).filter("kind = 'INFO'").count() == 0
+    assert headers.with_ids(rows, "INFO", ids).count() == rows.count()
+    assert headers.with_ids(rows, "META", ids).filter("kind = 'META'").count() == 0
+
+
+def test_tags_of_types(spark):
+    df = spark.createDataFrame([({"NM": "3", "ZZ": "a:b", "XB": "f,1.5,-2"},), ({},), (None,)], "tags map<string,string>")
+    got = df.select(records.tag_set(F.col("tags"), "NM", F.lit(None).cast("string")).alias("a"), records.tag_set(F.col("tags"), "NM", F.lit(4)).alias("b"), records.tag_numbers(F.try_element_at("tags", F.lit("XB"))).alias("n"), records.tag_numbers(F.try_element_at("tags", F.lit("ZZ"))).alias("z")).collect()
+    assert got[0].a == {"ZZ": "a:b", "XB": "f,1.5,-2"} and got[0].b["NM"] == "4" and got[0].n == [1.5, -2.0] and got[0].z == [None]
+    assert got[1].a == {} and got[1].b == {"NM": "4"} and got[1].n is None and got[2].a is None
