@@ -55,7 +55,7 @@ RG = "rg as (select s_suppkey as grp, s_suppkey * 100 as beg2, s_suppkey * 100 +
 VI = f"vi as (select l_suppkey as grp, cast(l_quantity as bigint) as x, l_orderkey * 8 + l_linenumber as u, {ROW} as t from lineitem)"
 HG = VI + ", hg as (select grp, x as value, count(*) as weight from vi group by grp, x)"
 CG = f"cg as (select {ROW} as id, concat(cast(cast(l_quantity as int) as varchar(9)), 'M', cast(l_linenumber as varchar(9)), 'I', cast(cast(l_quantity as int) % 7 + 1 as varchar(9)), '=', cast(l_linenumber % 3 + 1 as varchar(9)), 'D', cast(cast(l_quantity as int) % 5 + 1 as varchar(9)), 'X') as cigar, l_partkey % 50 as pos from lineitem)"
-PR = f"{READS}, pr as (select seq_idx as id, substr(upper(bases), 1, 24) as a, substr(upper(bases), 30, 24) as b from reads)"
+PR = f"{READS}, pr as (select seq_idx as id, upper(bases) as a, reverse(translate(upper(bases), 'ACGT', 'TGCA')) as b from reads)"
 
 
 def reads(spark, d):
@@ -500,22 +500,23 @@ def agg19_pileup(spark, d):
 
 # ---- alignment ----
 def pr(spark, d):
-    return reads(spark, d).selectExpr("seq_idx as id", "substr(upper(bases), 1, 24) as a", "substr(upper(bases), 30, 24) as b")
+    """Each whole read and its reverse complement."""
+    return reads(spark, d).selectExpr("seq_idx as id", "upper(bases) as a", "reverse(translate(upper(bases), 'ACGT', 'TGCA')) as b")
 
 
-@query(f"with {PR} select id, levenshtein(a, b) as distance, case when levenshtein(a, b) > 14 then -1 else levenshtein(a, b) end as bounded from pr")
+@query(f"with {PR} select id, levenshtein(a, b) as distance, case when levenshtein(a, b) > 32 then -1 else levenshtein(a, b) end as bounded from pr")
 def aln01_edit_distance(spark, d):
     a, b = F.col("a"), F.col("b")
-    return pr(spark, d).select("id", alignment.edit_distance(a, b).cast("long").alias("distance"), alignment.edit_distance(a, b, 14).cast("long").alias("bounded"))
+    return pr(spark, d).select("id", alignment.edit_distance(a, b).cast("long").alias("distance"), alignment.edit_distance(a, b, 32).cast("long").alias("bounded"))
 
 
-@query(f"with {PR}, e as (select id, a, b, unnest(range(0, 25)) as e from pr), w as (select id, e, levenshtein(a, substr(b, 1, cast(e as int))) as dist from e) select id, min(dist) as distance, arg_min(e, dist * 100 + e) as end_ from w group by id")
+@query(f"with {PR}, e as (select id, a, b, unnest(range(0, length(b) + 1)) as e from pr), w as (select id, e, levenshtein(a, substr(b, 1, cast(e as int))) as dist from e) select id, min(dist) as distance, arg_min(e, dist * 100 + e) as end_ from w group by id")
 def aln02_prefix(spark, d):
     r = alignment.fitted(F.col("a"), F.col("b"), True)
     return pr(spark, d).select("id", r.alias("r")).select("id", F.col("r.distance").cast("long").alias("distance"), F.col("r.end_").cast("long").alias("end_"))
 
 
-STRETCHES = f"{PR}, e as (select id, a, b, unnest(range(0, 25)) as e from pr), f as (select id, a, b, e, unnest(range(0, 25)) as f from e), w as (select id, a, f, f + e as stop, levenshtein(a, substr(b, cast(f as int) + 1, cast(e as int))) as dist from f where f + e <= 24)"
+STRETCHES = f"{PR}, e as (select id, a, b, unnest(range(0, length(b) + 1)) as e from pr), f as (select id, a, b, e, unnest(range(0, length(b) + 1)) as f from e), w as materialized (select id, a, f, f + e as stop, levenshtein(a, substr(b, cast(f as int) + 1, cast(e as int))) as dist from f where f + e <= length(b))"
 
 
 @query(f"with {STRETCHES}, m as (select id, min(dist) as distance from w group by id) select m.id, distance, string_agg(distinct stop, ',' order by stop) as ends from m join w on w.id = m.id and w.dist = m.distance group by m.id, distance".replace("string_agg(distinct stop, ',' order by stop)", "array_to_string(list_sort(list(distinct stop)), ',')"))
