@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import piles
+
 
 def pieces(text: Column, most: int) -> Column:
     """A text cut each `most` characters, in one pass over it; null and empty texts have no piece."""
@@ -79,7 +83,7 @@ def cigar(text: Column) -> Column:
     """Array of n, op; null for a text that isn't one."""
     kinds = F.split(F.translate(text, "0123456789", ""), "")
     ops = F.arrays_zip(F.slice(F.split(text, "[MIDNSHP=X]"), F.lit(1), F.size(kinds)).alias("n"), kinds.alias("op"))
-    return F.when(text.rlike(r"^([0-9]+[MIDNSHP=X])+$"), F.transform(ops, lambda x: F.struct(x["n"].cast("long").alias("n"), x["op"].alias("op"))))
+    return F.when(text.rlike(piles.VALID), F.transform(ops, lambda x: F.struct(x["n"].cast("long").alias("n"), x["op"].alias("op"))))
 
 
 #: Which operations each total counts.
@@ -98,38 +102,24 @@ def tallies(rows: DataFrame) -> DataFrame:
     return rows.select("id", totals(cigar(F.col("cigar"))).alias("t")).select("id", "t.*")
 
 
-def _laid_out(ops: Column) -> Column:
-    """op, n, a, b, inserted for each operation of an array of n, op: where it begins in query and reference, and how many bases
+def _laid_out(text: Column) -> Column:
+    """op, n, a, b, inserted for each operation of a text; null for one that isn't a cigar: where it begins in query and reference, and how many bases
     the insertions directly behind it have (padding and empty operations between don't part them)."""
 
-    @F.pandas_udf("array<struct<op:string,n:long,a:long,b:long,inserted:long>>")
-    def run(arrays: pd.Series) -> pd.Series:
-        def one(some):
-            if some is None:
-                return None
-            out, a, b = [], 0, 0
-            for x in some:
-                op, n = x["op"], int(x["n"])
-                out.append({"op": op, "n": n, "a": a, "b": b, "inserted": 0})
-                a += n * (op in "MIS=X")
-                b += n * (op in "MDN=X")
-            behind = 0
-            for x in reversed(out):
-                if x["op"] == "I":
-                    behind += x["n"]
-                elif x["op"] != "P" and x["n"]:
-                    x["inserted"], behind = behind, 0
-            return out
-
-        return arrays.map(one)
+    @F.arrow_udf("array<struct<op:string,n:long,a:long,b:long,inserted:long>>")
+    def run(arrays: pa.Array) -> pa.Array:
+        sizes, _, kind, *numbers = piles.laid_out(arrays)
+        each = pa.StructArray.from_arrays([piles.KINDS.take(pa.array(kind)), *map(pa.array, numbers)], ["op", "n", "a", "b", "inserted"])
+        bounds = pa.array(piles.starts(sizes).astype(np.int32), mask=np.append(np.asarray(pc.is_null(arrays)), False))
+        return pa.ListArray.from_arrays(bounds, each)
 
-    return run(ops)
+    return run(F.when(text.rlike(piles.VALID), text))
 
 
 def placed(rows: DataFrame, *keep: str) -> DataFrame:
     """op, n, a, b, inserted of each operation of rows (cigar, pos): its length, where it begins in query and reference, and the
     bases inserted behind it; with the columns to keep."""
-    ops = rows.select(*keep, "pos", _laid_out(cigar(F.col("cigar"))).alias("ops"))
+    ops = rows.select(*keep, "pos", _laid_out(F.col("cigar")).alias("ops"))
     return ops.select(*keep, "pos", F.explode("ops").alias("x")).select(*keep, "x.op", "x.n", "x.a", (F.col("x.b") + F.col("pos")).alias("b"), "x.inserted")
 
 
@@ -165,6 +155,6 @@ def covered(rows: DataFrame, *keep: str) -> DataFrame:
 def pileup(rows: DataFrame, *by: str) -> DataFrame:
     """chrom, pos, base, inserted, n, quality of rows (chrom, pos, cigar, seq, and qual if there): how many reads have each base,
     with the same bases inserted behind it, at each position, and the sum of their qualities; '-' for a deletion; apart for
-    each value of the columns `by`, such as a sample or a strand."""
+    each value of the columns `by`, such as a sample or a strand.  Bases are counted in packed rows before the one shuffle."""
     rows = rows if "qual" in rows.columns else rows.withColumn("qual", F.lit(None).cast("string"))
-    return covered(rows, *by).groupBy(*by, "chrom", "pos", "base", "inserted").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
+    return piles.pileup(rows, [*by, "chrom"])
