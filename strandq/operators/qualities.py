@@ -8,9 +8,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import piles
+
 #: The chances of opening and of extending a gap, for reads of up to LONG bases and for longer ones; the chance
 #: of an inserted base, and of each other base than the right one; the reach of the band; the decibels of a natural logarithm.
 LONG, SHORT_GAPS, LONG_GAPS = 1000, (0.001, 0.1), (1e-7, 0.1)
@@ -230,11 +234,6 @@ DEPENDENT, LEAST_SHARE, QUALITIES = 0.17, 0.03, (4, 63)
 GENOTYPES = [a + b for i, a in enumerate("ACGT") for b in "ACGT"[i:]]
 
 
-@lru_cache(maxsize=1 << 11)
-def _held(quality: int, depth: int) -> np.ndarray:
-    return further_error(quality, depth)
-
-
 def further_error(quality: int, depth: int) -> np.ndarray:
     """For k from 0: the phred chance that one more than k of `depth` bases are wrong, when k are and each is with the chance of its quality."""
     k, wrong = np.arange(depth + 1), 10 ** (-quality / 10)
@@ -244,8 +243,55 @@ def further_error(quality: int, depth: int) -> np.ndarray:
     return np.append(-10 / math.log(10) * (tails[1:] - tails[:-1]), np.inf)
 
 
-#: Up to this depth what further errors say is kept from one position to the next.
-HELD = 1 << 12
+#: Up to this depth many positions are worked on at once; what further errors say is kept for so many depths.
+HELD, KEPT = 1 << 9, 1 << 7
+
+
+@lru_cache(maxsize=KEPT)
+def _held(depth: int) -> np.ndarray:
+    """further_error of all qualities at a depth, one after the other."""
+    return np.concatenate([further_error(q, depth) for q in range(QUALITIES[0], QUALITIES[1] + 1)])
+
+
+def likelihoods_of_many(position: np.ndarray, quality: np.ndarray, strand: np.ndarray, base: np.ndarray, n: np.ndarray, dependent: float = DEPENDENT) -> tuple[np.ndarray, np.ndarray]:
+    """depth, and the likelihoods as rows of ten, of positions numbered from 0, each with at least one base: what likelihoods_of says of
+    the counts of each."""
+    key, n = piles.summed((((position * 64 + 63 - quality) * 2 + 1 - strand) * 4) + 3 - base, n)  # best qualities first
+    depth = piles.summed(key // 512, n)[1]
+    out = np.zeros((len(depth), len(GENOTYPES)))
+    position = key // 512
+    deep = depth[position] > HELD
+    for k in np.flatnonzero(depth > HELD):
+        lo, hi = np.searchsorted(position, [k, k + 1])
+        out[k] = likelihoods_of([(63 - x // 8 % 64, 1 - x // 4 % 2, 3 - x % 4, c) for x, c in zip(key[lo:hi].tolist(), n[lo:hi].tolist(), strict=True)], dependent)
+    each = np.repeat(key[~deep], n[~deep])
+    if not len(each):
+        return depth, out
+    position, quality, strand, base = each // 512, 63 - each // 8 % 64, 1 - each // 4 % 2, 3 - each % 4
+
+    def nth(group: np.ndarray) -> np.ndarray:
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+        place = np.empty(len(order), np.int64)
+        place[order] = piles.within(np.diff(first, append=len(order)))[1]
+        return place
+
+    own = position * 4 + base
+    seen, before = nth(own), nth(own * 2 + strand)
+    depths, which = np.unique(depth[position], return_inverse=True)
+    tables = [_held(int(d)) for d in depths]
+    errors = np.concatenate(tables)[piles.starts([len(t) for t in tables])[which] + (quality - QUALITIES[0]) * (depths[which] + 1) + seen]
+    weights = ((1 - dependent) ** np.arange(HELD))[before] * (1 - LEAST_SHARE) + LEAST_SHARE
+    costs = np.bincount(own, weights * errors, minlength=len(depth) * 4).reshape(-1, 4)
+    number = np.bincount(own, minlength=len(depth) * 4).reshape(-1, 4)
+    shallow, log_gamma = depth <= HELD, np.array([math.lgamma(k + 1) for k in range(HELD + 1)])
+    for x, (i, j) in enumerate((i, j) for i in range(4) for j in range(i, 4)):
+        rest = sum((costs[:, k] for k in range(4) if k not in (i, j)), np.zeros(len(depth)))
+        if i != j:
+            both = number[:, i] + number[:, j]
+            rest = rest - DECIBELS * (log_gamma[both] - log_gamma[number[:, i]] - log_gamma[number[:, j]] - both * math.log(2))
+        out[shallow, x] = np.maximum(rest, 0.0)[shallow]
+    return depth, out
 
 
 def likelihoods_of(counts: list[tuple[int, int, int, int]], dependent: float = DEPENDENT) -> list[float] | None:
@@ -257,12 +303,11 @@ def likelihoods_of(counts: list[tuple[int, int, int, int]], dependent: float = D
     depth = sum(n for *_, n in counts)
     if not depth:
         return None
-    table = _held if depth <= HELD else further_error
-    shares = (1 - dependent) ** np.arange(max(n for *_, n in counts) if depth > HELD else depth)
+    shares = (1 - dependent) ** np.arange(max(n for *_, n in counts))
     seen, strands, costs = [0] * 4, {}, [0.0] * 4
     for quality, strand, base, n in sorted(counts, reverse=True):
         before, k = strands.get((strand, base), 0), seen[base]
-        errors = table(quality, depth)
+        errors = further_error(quality, depth)
         part = (1 - dependent) ** before * (1 - LEAST_SHARE)
         if n == 1:
             costs[base] += (part + LEAST_SHARE) * float(errors[k])
@@ -290,10 +335,12 @@ def genotype_likelihoods(bases: DataFrame, *by: str, dependent: float = DEPENDEN
     qualities and strands count for nothing; positions with no other have no row.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(columns: pd.Series) -> pd.Series:
-        split = lambda x: (x >> 43, x >> 42 & 1, x >> 40 & 3, x & (1 << 40) - 1)
-        return columns.map(lambda some: likelihoods_of([split(x) for x in some.tolist()], dependent))
+    @F.arrow_udf("array<double>")
+    def run(columns: pa.Array) -> pa.Array:
+        position = np.repeat(np.arange(len(columns)), np.asarray(pc.list_value_length(columns)))
+        x = np.asarray(columns.flatten())
+        found = likelihoods_of_many(position, x >> 43, x >> 42 & 1, x >> 40 & 3, x & (1 << 40) - 1, dependent)[1]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(GENOTYPES)), pa.array(found.ravel()))
 
     b = F.expr("instr('ACGT', upper(base)) - 1")
     q = F.greatest(F.least(F.col("quality"), F.lit(QUALITIES[1])), F.lit(QUALITIES[0])).cast("int")
@@ -301,3 +348,29 @@ def genotype_likelihoods(bases: DataFrame, *by: str, dependent: float = DEPENDEN
     counted = some.groupBy(*by, "chrom", "pos", q.alias("q"), "strand", b.alias("b")).agg(F.count("*").alias("n"))
     columns = counted.groupBy(*by, "chrom", "pos").agg(F.sum("n").alias("depth"), F.collect_list(F.expr("shiftleft(cast((q * 2 + strand) * 4 + b as bigint), 40) + n")).alias("counts_"))
     return columns.withColumn("likelihoods", run("counts_")).drop("counts_")
+
+
+def read_likelihoods(reads: DataFrame, *by: str, dependent: float = DEPENDENT) -> DataFrame:
+    """genotype_likelihoods of the positions that reads (chrom, pos, cigar, seq, qual, strand) cover, apart for each value of the
+    columns `by`, counted in packed rows before the one shuffle; deletions count for nothing."""
+    keys = [*by, "chrom"]
+    letter = np.full(256, 4)
+    letter[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
+
+    def finish(table: pa.Table, group: np.ndarray) -> pa.Table:
+        strand, bins = np.asarray(table["strand"].combine_chunks()).astype(np.int64), table["bin"].combine_chunks()
+        row, place, base, mark, n = piles.entries(table, keys)
+        base = letter[np.minimum(base, 255)]
+        some = (base < 4) & (mark > 0)
+        row, place, base, n = row[some], place[some], base[some], n[some]
+        quality = np.clip(mark[some] - 33, *QUALITIES)
+        each, position = np.unique(group[row] * piles.BIN + place, return_inverse=True)
+        depth, found = likelihoods_of_many(position, quality, strand[row], base, n, dependent)
+        first = np.zeros(len(each), np.int64)
+        first[position[::-1]] = row[::-1]
+        where = pa.array(first)
+        pos = pc.add(pc.multiply(bins.take(where), piles.BIN), pa.array(each % piles.BIN))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * len(GENOTYPES)), pa.array(found.ravel()))
+        return pa.table([*(table[c].combine_chunks().take(where) for c in keys), pos, pa.array(depth), rows], names=[*keys, "pos", "depth", "likelihoods"])
+
+    return piles.counted(reads.filter("strand in (0, 1)"), keys, ["strand"], finish, "pos long, depth long, likelihoods array<double>", behind=False)

@@ -112,8 +112,7 @@ _EVEN = lambda i, j: f" - 4.343 * (lgamma(n{i} + n{j} + 1) - lgamma(n{i} + 1) -
        "select chrom, pos, cast(n0 + n1 + n2 + n3 as bigint) as depth, " + ", ".join(f"round(greatest(0, {_REST(i, j)}{_EVEN(i, j)}), 4) as {'acgt'[i]}{'acgt'[j]}" for i, j in GENOTYPES) + " from g")
 def aln11_likelihoods(spark, d):
     """Likelihoods of the ten genotypes at each position of a pile-up."""
-    covered = sequences.covered(_piled(spark, d), "strand")
-    out = qualities.genotype_likelihoods(covered)
+    out = qualities.read_likelihoods(_piled(spark, d))
     return out.select("chrom", "pos", "depth", *(F.round(F.col("likelihoods")[k], 4).alias("acgt"[i] + "acgt"[j]) for k, (i, j) in enumerate(GENOTYPES)))
 
 
