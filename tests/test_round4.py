@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandq.operators import piles, qualities, sequences
+from strandq.operators import alignment, piles, qualities, sequences
 
 
 def some_reads(spark, n=300, letters="ACGTN"):
@@ -58,3 +58,13 @@ def test_likelihoods_of_many_positions_are_those_of_each():
     assert depth.max() > qualities.HELD
     for p, some in counts.items():
         assert found[p] == pytest.approx(qualities.likelihoods_of([(*k, n) for k, n in some.items()]), abs=1e-7)
+
+
+@pytest.mark.parametrize("mode", ["local", "extend", "dovetail", "contained"])
+def test_pairs_aligned_together_are_as_aligned_alone(mode):
+    r = random.Random(7)
+    text = lambda k: "".join(r.choice("ACGTNé") for _ in range(k))
+    pairs = [(text(r.choice((0, 1, 2, 30))), text(r.choice((0, 1, 3, 40)))) for _ in range(150)]
+    pairs += [(a, a[3:9] + text(20) + a[15:]) for a in (text(40) for _ in range(60))] + [(text(600), text(20))]
+    for costs in ({}, {"opening": 1, "extending": 1, "match": 3, "mismatch": 1}):
+        assert alignment.affine_many(pairs, mode, **costs) == [alignment.affine(a, b, mode, **costs) for a, b in pairs]
