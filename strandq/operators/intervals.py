@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import skew
-from .stats import ordered_cells
+from .stats import apart, ordered_cells, tasks_of
 
 #: Each size of bins is so many times the one before.
 STEP = 8
@@ -40,7 +40,7 @@ def squash(rows: DataFrame, min_overlap: int = 0) -> DataFrame:
     cells = ordered_cells(rows.select("grp", "bgn", "end_"), "bgn")
     before, within = Window.partitionBy("grp").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("grp", "cell").orderBy("bgn", "end_")
     ends = cells.groupBy("grp", "cell").agg(F.max("end_").alias("most")).select("grp", "cell", F.max("most").over(before).alias("carried"))
-    own = cells.join(ends, ["grp", "cell"])
+    own = apart(cells).join(ends, ["grp", "cell"])
     reach = F.greatest(F.max("end_").over(within.rowsBetween(Window.unboundedPreceding, -1)), "carried")
     own = own.withColumn("fresh", F.when((reach >= F.col("bgn") + min_overlap) | (F.col("end_") <= reach), 0).otherwise(1))
     own = own.withColumn("nth", F.sum("fresh").over(within.rowsBetween(Window.unboundedPreceding, 0)))
@@ -49,7 +49,8 @@ def squash(rows: DataFrame, min_overlap: int = 0) -> DataFrame:
     last = parts.groupBy("grp", "cell").agg(F.max("nth").alias("last"))
     last = last.select("grp", "cell", F.max(F.when(F.col("last") > 0, F.struct("cell", "last"))).over(before).alias("from"))
     home = F.when(F.col("nth") > 0, F.struct("cell", F.col("nth").alias("last"))).otherwise(F.col("from"))
-    return parts.join(last, ["grp", "cell"]).groupBy("grp", home.alias("home")).agg(F.min("bgn").alias("bgn"), F.max("end_").alias("end_"), F.sum("num").alias("num")).drop("home")
+    whole = parts.join(last, ["grp", "cell"]).select("grp", home.alias("home"), "bgn", "end_", "num").repartition(tasks_of(cells), "grp", "home")
+    return whole.groupBy("grp", "home").agg(F.min("bgn").alias("bgn"), F.max("end_").alias("end_"), F.sum("num").alias("num")).drop("home")
 
 
 def depth(rows: DataFrame) -> DataFrame:
@@ -57,12 +58,12 @@ def depth(rows: DataFrame) -> DataFrame:
 
     Coordinates are dealt to stretches, whose sums and first coordinates are carried over a row per stretch."""
     events = rows.select("grp", F.explode(F.array(F.struct(F.col("bgn").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end_").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    sums = ordered_cells(events.groupBy("grp", "e.pos").agg(F.sum("e.d").alias("d")), "pos")
+    sums = ordered_cells(events.groupBy("grp", "e.pos").agg(F.sum("e.d").alias("d")), "pos", 2 * rows.count())
     per = Window.partitionBy("grp").orderBy("cell")
     cells = sums.groupBy("grp", "cell").agg(F.sum("d").alias("all"), F.min("pos").alias("first"))
     cells = cells.select("grp", "cell", F.coalesce(F.sum("all").over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"), F.lead("first").over(per).alias("next"))
     w = Window.partitionBy("grp", "cell").orderBy("pos")
-    own = sums.withColumns({"stop": F.lead("pos").over(w), "own": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(cells, ["grp", "cell"])
+    own = apart(sums).withColumns({"stop": F.lead("pos").over(w), "own": F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(cells, ["grp", "cell"])
     return own.select("grp", F.col("pos").alias("bgn"), F.coalesce("stop", "next").alias("end_"), (F.col("own") + F.col("carried")).alias("depth")).filter("end_ is not null")
 
 
@@ -71,7 +72,7 @@ def invert(squashed: DataFrame, lo: int, hi: int) -> DataFrame:
     cells = ordered_cells(squashed.select("grp", "bgn", "end_"), "bgn")
     per, w = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp", "cell").orderBy("bgn")
     ends = cells.groupBy("grp", "cell").agg(F.max("end_").alias("most")).select("grp", "cell", F.lag("most").over(per).alias("carried"))
-    gaps = cells.withColumn("was", F.lag("end_").over(w)).join(ends, ["grp", "cell"]).select("grp", F.coalesce("was", "carried", F.lit(lo)).alias("bgn"), F.col("bgn").alias("end_"))
+    gaps = apart(cells).withColumn("was", F.lag("end_").over(w)).join(ends, ["grp", "cell"]).select("grp", F.coalesce("was", "carried", F.lit(lo)).alias("bgn"), F.col("bgn").alias("end_"))
     last = squashed.groupBy("grp").agg(F.max("end_").alias("bgn")).select("grp", "bgn", F.lit(hi).alias("end_"))
     clip = lambda c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)).cast("long").alias(c)
     return gaps.unionByName(last).select("grp", clip("bgn"), clip("end_")).filter("bgn < end_")
@@ -142,13 +143,13 @@ def sweep(a: DataFrame, b: DataFrame) -> DataFrame:
     Coordinates are dealt to stretches; sums and first coordinates are carried over a row per stretch."""
     ends = lambda rows, x, y: rows.filter("bgn < end_").select("grp", F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(n * x).alias("a"), F.lit(n * y).alias("b")) for c, n in (("bgn", 1), ("end_", -1))))).alias("e"))
     sums = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("grp", "e.pos").agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
-    cells = ordered_cells(sums, "pos")
+    cells = ordered_cells(sums, "pos", 2 * (a.count() + b.count()))
     per, w = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp", "cell").orderBy("pos")
     carried = lambda c: F.coalesce(F.sum(c).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{c}")
     each = cells.groupBy("grp", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("pos").alias("first"))
     each = each.select("grp", "cell", carried("a"), carried("b"), F.lead("first").over(per).alias("after"))
     so_far = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    own = cells.select("grp", "cell", "pos", F.lead("pos").over(w).alias("stop"), so_far("a").alias("own_a"), so_far("b").alias("own_b")).join(each, ["grp", "cell"])
+    own = apart(cells).select("grp", "cell", "pos", F.lead("pos").over(w).alias("stop"), so_far("a").alias("own_a"), so_far("b").alias("own_b")).join(each, ["grp", "cell"])
     return own.select("grp", F.col("pos").alias("bgn"), F.coalesce("stop", "after").alias("end_"), (F.col("own_a") + F.col("before_a")).alias("in_a"), (F.col("own_b") + F.col("before_b")).alias("in_b")).filter("end_ is not null")
 
 

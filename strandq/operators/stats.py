@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
@@ -107,16 +110,40 @@ def stretches(total: int, partitions: int) -> int:
     return max(partitions, -(-total // STRETCH))
 
 
-def ordered_cells(rows: DataFrame, by: str) -> DataFrame:
+def ordered_cells(rows: DataFrame, by: str, total: int = 0) -> DataFrame:
     """rows with cell, which within a group grows with `by`: the partitions of a range partitioning by both, whose bounds a
     sample gives, written once so that all that follows sees the same ones.  A group of a third of all rows is in a third
     of the cells; rows of one group and one value of `by` stay together.  What rows come from is read once: they are counted,
-    sampled and dealt from a table of their own."""
-    rows = materialise(rows)
+    sampled and dealt from a table of their own.  `total` says of how many rows they are made, where these are shuffled for it."""
+    with shuffled_for(rows.sparkSession, total):
+        rows = materialise(rows)
     n = stretches(rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialise(rows.repartitionByRange(n, "grp", by).withColumn("cell", F.spark_partition_id()))
 
 
+def apart(cells: DataFrame) -> DataFrame:
+    """Rows of ordered_cells with those of a cell of a group in one task, for windows and sums within (grp, cell): over as many
+    tasks as there are stretches, so that what a task holds and sorts doesn't grow with the rows."""
+    return cells.repartition(tasks_of(cells), "grp", "cell")
+
+
+def tasks_of(cells: DataFrame) -> int:
+    """How many tasks share the rows of ordered_cells: one for each file that was written."""
+    return max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(cells.inputFiles()))
+
+
+@contextmanager
+def shuffled_for(spark: SparkSession, total: int) -> Iterator[None]:
+    """What is run within is shuffled over as many tasks as so many rows need."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, stretches(total, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def weighted(hist: DataFrame) -> DataFrame:
     """grp, n, mean, deviation, mode, median, mad of rows (grp, value, weight); the median is the first value that reaches
     half, and mad that of the distances from it."""

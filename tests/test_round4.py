@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandq.operators import alignment, piles, qualities, sequences
+from strandq.operators import alignment, intervals, piles, qualities, sequences, stats
 
 
 def some_reads(spark, n=300, letters="ACGTN"):
@@ -68,3 +68,23 @@ def test_pairs_aligned_together_are_as_aligned_alone(mode):
     pairs += [(a, a[3:9] + text(20) + a[15:]) for a in (text(40) for _ in range(60))] + [(text(600), text(20))]
     for costs in ({}, {"opening": 1, "extending": 1, "match": 3, "mismatch": 1}):
         assert alignment.affine_many(pairs, mode, **costs) == [alignment.affine(a, b, mode, **costs) for a, b in pairs]
+
+
+def test_tasks_of_sweeps_grow_with_the_rows(spark, monkeypatch):
+    r = random.Random(11)
+    some = lambda n: [("a" if r.random() < 0.8 else "b", at := r.randrange(30_000), at + r.randrange(12)) for _ in range(n)]
+    left, right = some(3000), some(2500)
+    a, b = (spark.createDataFrame(x, "grp string, bgn long, end_ long") for x in (left, right))
+    plain = {name: sorted(map(tuple, intervals.combined(a, b, name).collect())) for name in intervals.OPERATIONS}
+    whole = sorted(map(tuple, intervals.squash(a).collect()))
+    holes = sorted(map(tuple, intervals.invert(intervals.squash(a), 100, 5000).collect()))
+    monkeypatch.setattr(stats, "STRETCH", 100)
+    assert intervals.squash(a).rdd.getNumPartitions() >= 20
+    assert sorted(map(tuple, intervals.squash(a).collect())) == whole
+    assert sorted(map(tuple, intervals.invert(intervals.squash(a), 100, 5000).collect())) == holes
+    spots = lambda rows: {(g, p) for g, lo, hi in rows for p in range(lo, hi)}
+    x, y = spots(left), spots(right)
+    for name, own in {"union": x | y, "intersection": x & y, "difference": x - y, "either": x ^ y}.items():
+        got = sorted(map(tuple, intervals.combined(a, b, name).collect()))
+        assert got == plain[name] and spots(got) == own
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
