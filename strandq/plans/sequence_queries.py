@@ -229,11 +229,11 @@ def join08_sets(spark, d):
 
 # ---- streams ----
 def _pieces(spark, d):
-    """The reads as a stream of pieces of 20 bases, the last ones first, in a batch for each."""
-    at = scratch(spark)
+    """The reads as a stream of pieces of 20 bases, the last ones first, in batches of as many files as two thirds of the tasks that write them."""
+    at, files = scratch(spark), max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = sequences.chunked(reads(spark, d), 20).select("seq_idx", "chunk", "piece", "is_last")
-    cut.withColumn("turn", -F.col("chunk")).repartitionByRange(3, "turn").drop("turn").write.parquet(at)
-    return spark.readStream.schema("seq_idx long, chunk int, piece string, is_last boolean").option("maxFilesPerTrigger", 2).parquet(at)
+    cut.withColumn("turn", -F.col("chunk")).repartitionByRange(files, "turn", "seq_idx").drop("turn").write.parquet(at)
+    return spark.readStream.schema("seq_idx long, chunk int, piece string, is_last boolean").option("maxFilesPerTrigger", -(-2 * files // 3)).parquet(at)
 
 
 @query(f"with {DB} select kmer, value from db")
