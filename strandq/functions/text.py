@@ -222,10 +222,13 @@ _POSIX = {"alnum": "Alnum", "alpha": "Alpha", "blank": "Blank", "cntrl": "Cntrl"
 
 def longest_match(s: Column, pattern: str) -> Column:
     """The groups (the whole first) of the longest beginning of s that the dialect's pattern matches; null if none that isn't
-    empty does.  All beginnings are tried, from the longest: for names and fields, not for long texts."""
+    empty does.  All beginnings are tried, from the longest, unless the whole text matches: for names and fields, not for long
+    texts.  s is evaluated once."""
     java = java_pattern(pattern)
     whole = rf"(?s)\A(?:{java})\z"
-    n = F.get(F.filter(F.sequence(F.length(s), F.lit(0), F.lit(-1)), lambda i: (i > 0) & s.substr(F.lit(1), i).rlike(whole)), F.lit(0))
     groups = re.compile(re.sub(r"\\p\{[A-Za-z]+\}", "x", java)).groups
-    own = s.substr(F.lit(1), n)
-    return F.when(n.isNotNull(), F.array(own, *(F.regexp_extract(own, whole, k + 1) for k in range(groups))))
+    named = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  so that x is evaluated once
+    beginnings = lambda x: F.sequence(F.length(x) - 1, F.lit(1), F.lit(-1))
+    found = lambda x: F.get(F.filter(beginnings(x), lambda i: x.substr(F.lit(1), i).rlike(whole)), F.lit(0))
+    own = named(s, lambda x: F.when(x == "", None).when(x.rlike(whole), x).when(F.length(x) > 1, x.substr(F.lit(1), found(x))))
+    return named(own, lambda x: F.when(x.isNotNull(), F.array(x, *(F.regexp_extract(x, whole, k + 1) for k in range(groups)))))

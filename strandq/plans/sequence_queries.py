@@ -11,7 +11,7 @@ from ..operators import alignment, intervals, kmers, pairing, qualities, records
 from ..sources import sequence_files as S
 from ..sources.shared import scratch
 from ..streaming import carry, counting
-from .registry import DB, IV, K, PAGE_READS, READS, RG, ROW, iv, of_length, page_reads, query, reads, rg, rows, table
+from .registry import DB, IV, K, PAGE_READS, READS, RG, ROW, iv, of_length, page_reads, query, reads, rg, rows, spread, table
 
 
 # ---- k-mers ----
@@ -214,7 +214,7 @@ def var01_trimmed_calls(spark, d):
 def regx04_longest_names(spark, d):
     """The longest beginning of each text that repeats of three alternatives make, whichever is named first."""
     t = F.translate(F.md5("p_name"), "0123456789abcdef", "aaaabaaaabaaaaab")
-    return table(spark, d, "part").select("p_partkey", text.longest_match(t, "(a|ab|abab)*")[0].alias("longest"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", text.longest_match(t, "(a|ab|abab)*")[0].alias("longest"))
 
 
 @query()
