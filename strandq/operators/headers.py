@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from . import skew
 
 #: The field that tells the lines of a kind apart in alignment headers (in variant headers it is ID).
@@ -64,7 +65,8 @@ def merged(rows: DataFrame) -> DataFrame:
     Of lines of one kind and id the first stays, in the order of source and nth; differs says whether INFO or FORMAT lines of
     that id have other numbers or types than each other.  Variant lines with a value alone stay if no earlier source has their kind, lines of
     fields without an id if they are in the first source of all; all comments of alignment headers stay.  An id that very
-    many lines have is combined before it is shuffled."""
+    many lines have is combined before it is shuffled.  Rows are taken apart once, and kept for the passes over them."""
+    rows = materialise(rows)
     shape = F.struct(*(F.coalesce(field(F.col("fields"), c), F.lit("")).alias(c) for c in ("Number", "Type")))
     named = rows.filter("id is not null").groupBy("mark", "kind", "id").agg(F.min(F.struct("source", "nth", "value", "fields")).alias("first"), F.min(shape).alias("a"), F.max(shape).alias("b"))
     named = named.select("first.source", "first.nth", "mark", "kind", "id", "first.value", "first.fields", (F.col("kind").isin(*TYPED) & (F.col("a") != F.col("b"))).alias("differs"))

@@ -9,7 +9,7 @@ from ..functions import special, text
 from ..operators import headers, intervals, kmers, records, stats
 from ..sources import sequence_files as S
 from ..sources.shared import scratch
-from .registry import READS, ROW, of_length, query, reads, rows, table
+from .registry import READS, ROW, of_length, query, reads, rows, spread, table
 
 # Alignment records made of lineitem.
 CIGAR = "concat(cast(l_linenumber as varchar(9)), 'S', cast(cast(l_quantity as int) as varchar(9)), 'M', cast(l_linenumber as varchar(9)), 'I', cast(l_partkey % 3 + 1 as varchar(9)), 'D', cast(cast(l_quantity as int) % 5 + 1 as varchar(9)), 'X')"
@@ -212,7 +212,7 @@ def regx03_dialect(spark, d):
     """Groups that capture only if they say so, prefix groups, and a caret that stands for itself."""
     name = F.col("c_name")
     first, second = text.longest_match(name, "({c}[A-Z]([a-z])+)#0*[[:digit:]]*"), text.longest_match(name, "[A-Z][a-z]+#({c}({p}000))")
-    return table(spark, d, "customer").select("c_custkey", first[1].alias("word"), second[0].alias("whole"), second[1].alias("zeros"), text.longest_match(name, "^C")[0].alias("caret"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_name")).select("c_custkey", first[1].alias("word"), second[0].alias("whole"), second[1].alias("zeros"), text.longest_match(name, "^C")[0].alias("caret"))
 
 
 @query("select s_suppkey, case when s_suppkey % 3 = 0 then 'ab' when s_suppkey % 3 = 1 then 'abab' else null end as longest from supplier")
@@ -310,7 +310,7 @@ HEADER_LINES = r"""concat('##INFO=<ID=', id, ',Number=', number, ',Type=', type,
 def var02_headers(spark, d):
     """Five headers made one: the first line of each name stays, with another number where they differ, without its type, and
     with a version; of lines of a value alone, those of the first header."""
-    h = rows(spark, d, "h", HEADERS)
+    h = spread(rows(spark, d, "h", HEADERS))
     about = F.concat(F.lit(',Description="'), F.regexp_replace("about", '"', r'\\"'), F.lit('">'))
     line = F.concat(F.lit("##INFO=<ID="), "id", F.lit(",Number="), "number", F.lit(",Type="), "type", about)
     lines = h.select("source", "nth", F.explode(F.array(line, F.concat(F.lit("##made="), "about"))).alias("line"))

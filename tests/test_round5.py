@@ -4,6 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from strandq.functions import text
+from strandq.operators import headers
 from strandq.streaming import carry
 
 PIECES = "seq_idx long, chunk long, piece string, is_last boolean, ts timestamp"
@@ -27,3 +29,18 @@ def test_the_state_store_is_called_per_key_and_sequences_of_a_key_are_forgotten_
     assert max(x["stateOperators"][0]["numRowsTotal"] for x in q.recentProgress if x["stateOperators"]) < 20
     got = Counter((x.chunk, x.lead, x.piece) for x in spark.read.parquet(f"{base}/out").collect())
     assert got == {(0, "", "ACGT"): 40, (0, "", "C"): 2, (0, "", "TT"): 20, (1, "TT", "G"): 20, (1, "ACGT", "A"): 10, (2, "CGTA", "late"): 10}
+
+
+def test_a_longest_match_evaluates_its_text_once(spark):
+    plan = spark.range(1).select(text.longest_match(F.md5(F.col("id").cast("string")), "([0-9a-f]{,3}[a-f]|({c}[0-9])[a-f])*")[1].alias("x"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    some = [("",), (None,), ("x",), ("a",), ("ab",), ("ababx",), ("xab",), ("aab",), ("a\nb",)]
+    got = spark.createDataFrame(some, "s string").select(text.longest_match(F.col("s"), "({c}a|ab|abab)*"))
+    assert [x[0] for x in got.collect()] == [None, None, None, ["a", "a"], ["ab", "ab"], ["abab", "ab"], None, ["aab", "ab"], ["a", "a"]]
+
+
+def test_headers_are_taken_apart_once(spark):
+    lines = spark.createDataFrame([(s, n, f'##INFO=<ID=a{n % 3},Number={s % 2},Type=Integer,Description="x">') for s in range(3) for n in range(6)] + [(0, 9, "##made=one"), (1, 9, "##made=two")], "source long, nth long, line string")
+    out = headers.merged(headers.parsed(lines))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.source, x.nth, x.id, x.value, x.differs) for x in out.collect()) == [(0, 0, "a0", None, True), (0, 1, "a1", None, True), (0, 2, "a2", None, True), (0, 9, None, "one", False)]
