@@ -44,27 +44,43 @@ def packed_columns(k: int) -> list[str]:
     return ["packed"] if k < WORD else ["packed_hi", "packed"]
 
 
+#: The digit of each letter (A 0, C 1, T 2, G 3 in either case; a complement differs by 2), and 4 for all others.
+DIGITS = np.full(256, 4, np.uint8)
+DIGITS[list(b"ACTGactg")] = [0, 1, 2, 3] * 2
+
+
+def _words(digit: np.ndarray, size: int, turned: bool) -> np.ndarray:
+    """The word of `size` digits from each place on, the last ones first if turned: of words of 1, 2, 4... digits those that make up size."""
+    if not size:
+        return np.zeros(len(digit) + 1, np.uint64)
+    join = lambda x, n, y, m: (y << np.uint64(2 * n) | x) if turned else (x << np.uint64(2 * m) | y)
+    out, have, step, wide = None, 0, digit, 1
+    while wide <= size:
+        if size & wide:
+            if out is None:
+                out = step
+            else:
+                n = len(step) - have
+                out = join(out[:n], have, step[have:], wide)
+            have += wide
+        step, wide = join(step[:-wide], wide, step[wide:], wide) if 2 * wide <= size else step, 2 * wide
+    return out
+
+
 def windows(bases: bytes, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """Places, and two-bit packed windows with their reverse complements, of a sequence, as the words of packed_columns(k); those
     with another letter are left out."""
     sizes = [k] if len(packed_columns(k)) == 1 else [k - WORD, WORD]
+    starts = np.cumsum([0, *sizes[:-1]]).tolist()
     for lo in range(0, max(0, len(bases) - k + 1), BLOCK):
-        raw = np.frombuffer(bases, np.uint8)[lo : lo + BLOCK + k - 1]
-        digit = (raw >> 1 & 3).astype(np.uint64)  # A 0, C 1, T 2, G 3 in either case; a complement differs by 2
-        n = len(raw) - k + 1
-        bad = np.cumsum(np.append(0, ~np.isin(raw & 0xDF, list(b"ACGT"))))
-        good = bad[k:] == bad[:-k]
-
-        def word(begin: int, size: int, turned: bool) -> np.ndarray:
-            """`size` bases of each window from its base `begin` on, or of its reverse complement."""
-            out = np.zeros(n, np.uint64)
-            for j in range(begin, begin + size):
-                at = k - 1 - j if turned else j
-                out = out << np.uint64(2) | (digit[at : at + n] ^ np.uint64(2 * turned))
-            return out[good]
-
-        starts = np.cumsum([0, *sizes[:-1]])
-        yield np.flatnonzero(good) + lo, *([word(b, s, turned) for b, s in zip(starts.tolist(), sizes, strict=True)] for turned in (False, True))
+        small = DIGITS[np.frombuffer(bases, np.uint8)[lo : lo + BLOCK + k - 1]]
+        digit, n = (small & 3).astype(np.uint64), len(small) - k + 1
+        bad = np.append(np.int32(0), np.cumsum(small > 3, dtype=np.int32))
+        good = np.flatnonzero(bad[k:] == bad[:-k])
+        keep = (lambda x: x) if len(good) == n else (lambda x: x[good])
+        fwd = [keep(_words(digit, z, False)[b : b + n]) for b, z in zip(starts, sizes, strict=True)]
+        digit = digit ^ np.uint64(2)
+        yield good + lo, fwd, [keep(_words(digit, z, True)[k - b - z :][:n]) for b, z in zip(starts, sizes, strict=True)]
 
 
 def smaller(fwd: list[np.ndarray], rc: list[np.ndarray]) -> list[np.ndarray]:
@@ -81,42 +97,107 @@ def unpacked(k: int) -> Column:
     return F.concat(B.unpacked(F.col("packed_hi"), k - WORD), *parts) if k > WORD else parts[0]
 
 
-def count(reads: DataFrame, k: int) -> DataFrame:
-    """kmer, value: canonical k-mers with their number.  Up to 64 bases they are counted as packed numbers, per batch and
-    then per task, before the one shuffle; longer ones as text."""
+#: Counted k-mers are dealt to 2**CELL_BITS cells by the first bits of a mixed word; a task holds the different ones of a cell, and
+#: of what comes in at most HELD more.
+CELL_BITS, HELD = 12, 1 << 23
+#: A word is mixed by an odd factor, and comes back by that factor's inverse.
+MIX, OTHER = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+BACK = pow(MIX, -1, 1 << 64)
+
+
+def count(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """kmer, value: canonical k-mers that occur at least so often, with their number.  Up to 64 bases they are sorted and counted per
+    block of a task, shuffled in packed rows, one for each cell of a block, and merged cell by cell; longer ones are counted as text."""
     if k > MOST:
-        return enumerate_kmers(reads, k).select(B.canonical(F.col("fwd")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("value"))
+        return enumerate_kmers(reads, k).select(B.canonical(F.col("fwd")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("value")).filter(F.col("value") >= least)
     names = packed_columns(k)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in rows:
-            held, size = [], 0
             for text in batch.column(0).to_pylist():
-                for _, fwd, rc in windows(text or b"", k):
-                    held.append(smaller(fwd, rc))
-                    size += len(fwd[0])
-                    if size >= BLOCK:
-                        yield _counted(held, names)
-                        held, size = [], 0
-            if held:
-                yield _counted(held, names)
-
-    ascii_ = F.regexp_replace("bases", r"[^\x00-\x7F]", "N").cast("binary")  # one byte for each letter
-    packed = reads.select(ascii_.alias("bases")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "value"]))
-    return packed.groupBy(*names).agg(F.sum("value").alias("value")).select(unpacked(k).alias("kmer"), "value")
-
-
-def _counted(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    words = [np.concatenate(x) for x in zip(*held, strict=True)]
-    if len(words) == 1:
-        key, n = np.unique(words[0], return_counts=True)
-        words = [key]
-    else:
-        order = np.lexsort(words[::-1])
-        words = [x[order] for x in words]
-        first = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in words], axis=0))) if len(order) else order
-        n, words = np.diff(first, append=len(order)), [x[first] for x in words]
-    return pa.record_batch([pa.array(x.astype(np.int64)) for x in [*words, n]], [*names, "value"])
+                held.append(text or b"")
+                size += len(held[-1]) + 1
+                if size >= BLOCK:
+                    yield from blocks(held)
+                    held, size = [], 0
+        yield from blocks(held)
+
+    def blocks(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for _, fwd, rc in windows(b"\n".join(texts), k):  # no window goes across a line's end
+            words = _mixed(smaller(fwd, rc))
+            yield _celled(*_added(words, np.ones(len(words[0]), np.int64)))
+
+    def merge_(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, size = None, [], 0
+        for batch in rows:
+            for c, *parts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if c != cell:
+                    yield from _texts(held, k, least)
+                    cell, held, size = c, [], 0
+                held.append([*(np.frombuffer(x, "<u8") for x in parts[:-1]), np.frombuffer(parts[-1], "<i8")])
+                size += len(held[-1][0])
+                if size > HELD:
+                    words, n = _merged(held)
+                    held, size = [[*words, n]], 0
+        yield from _texts(held, k, least)
+
+    packed = reads.select(F.col("bases").cast("binary").alias("bases")).mapInArrow(run, ", ".join(["cell int", *(f"{c} binary" for c in names), "n binary"]))
+    return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(merge_, "kmer string, value long")
+
+
+def _mixed(words: list[np.ndarray]) -> list[np.ndarray]:
+    last = words[-1] ^ words[0] * OTHER if len(words) == 2 else words[-1]
+    return [*words[:-1], last * np.uint64(MIX)]
+
+
+def _unmixed(words: list[np.ndarray]) -> list[np.ndarray]:
+    last = words[-1] * np.uint64(BACK)
+    return [*words[:-1], last ^ words[0] * OTHER if len(words) == 2 else last]
+
+
+def _added(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different mixed k-mers in their order, and the sums of n."""
+    if not len(n):
+        return words, n
+    even = len(words) == 1 and n.min() == n.max() == 1
+    order = None if even else np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words)
+    words = [np.sort(words[0])] if even else [x[order] for x in words]
+    first = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in words], axis=0)))
+    n = np.diff(first, append=len(n)) if even else np.add.reduceat(n[order], first)
+    return [x[first] for x in words], n
+
+
+def _merged(held: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    *words, n = map(np.concatenate, zip(*held, strict=True))
+    return _added(words, n)
+
+
+def _celled(words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+    """A row per cell with the words and numbers of its k-mers as bytes."""
+    bounds = np.searchsorted(words[-1], np.arange(1 << CELL_BITS, dtype=np.uint64) << np.uint64(64 - CELL_BITS))
+    bounds = np.append(bounds, len(n))
+    cells = np.flatnonzero(np.diff(bounds))
+    offsets = pa.py_buffer((np.append(bounds[cells], len(n)) * 8).astype(np.int32))
+    of = lambda x: pa.Array.from_buffers(pa.binary(), len(cells), [None, offsets, pa.py_buffer(np.ascontiguousarray(x))])
+    return pa.record_batch([pa.array(cells.astype(np.int32)), *map(of, words), of(n.astype("<i8"))], ["cell", *packed_columns(MOST if len(words) == 2 else 1), "n"])
+
+
+def _texts(held: list[list[np.ndarray]], k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """kmer, value of one cell."""
+    if not held:
+        return
+    words, n = _merged(held)
+    words = _unmixed([x[n >= least] for x in words])
+    n = n[n >= least]
+    for lo in range(0, len(n), BLOCK // 16):
+        some = [x[lo : lo + BLOCK // 16] for x in words]
+        letters = np.empty((len(some[0]), k), np.uint8)
+        for j in range(k):
+            at = k - 1 - j
+            letters[:, j] = np.frombuffer(b"ACTG", np.uint8)[(some[-1 - at // WORD] >> np.uint64(2 * (at % WORD)) & np.uint64(3)).astype(np.intp)]
+        ends = pa.py_buffer(np.arange(len(letters) + 1, dtype=np.int32) * k)
+        yield pa.record_batch([pa.Array.from_buffers(pa.string(), len(letters), [None, ends, pa.py_buffer(letters)]), pa.array(n[lo : lo + BLOCK // 16])], ["kmer", "value"])
 
 
 def write(table: DataFrame, path: str, files: int = 64) -> None:
@@ -218,24 +299,22 @@ def packed_kmers(reads: DataFrame, k: int) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            held, size = [], 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for at, fwd, rc in windows(text or b"", k):
-                    held.append((np.full(len(at), i), at, *smaller(fwd, rc)))
-                    size += len(at)
-                    if size >= BLOCK:
-                        yield _placed(batch, held, names)
-                        held, size = [], 0
-            if held:
-                yield _placed(batch, held, names)
+            yield from _placed(batch, k)
 
     ascii_ = F.regexp_replace("bases", r"[^\x00-\x7F]", "N").cast("binary")
     return reads.select(F.col("seq_idx").cast("long").alias("seq_idx"), ascii_.alias("bases")).mapInArrow(run, ", ".join(f"{c} long" for c in ["seq_idx", "pos", *names]))
 
 
-def _placed(batch: pa.RecordBatch, held: list, names: list[str]) -> pa.RecordBatch:
-    row, *columns = map(np.concatenate, zip(*held, strict=True))
-    return pa.record_batch([batch.column(0).take(pa.array(row)), *(pa.array(x.astype(np.int64)) for x in columns)], ["seq_idx", "pos", *names])
+def _placed(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """The windows of a batch (seq_idx, bases), of some BLOCK bases of its sequences at once."""
+    texts = [x or b"" for x in batch.column(1).to_pylist()]
+    first = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    cuts = [*np.unique(np.searchsorted(first, np.arange(0, first[-1], BLOCK))).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for at, fwd, rc in windows(b"\n".join(texts[a:b]), k):  # no window goes across a line's end
+            row = np.searchsorted(first[a : b + 1] - first[a], at, side="right") - 1
+            words = (pa.array(x.view(np.int64)) for x in smaller(fwd, rc))
+            yield pa.record_batch([batch.column(0).take(pa.array(row + a)), pa.array(at - (first[a + row] - first[a])), *words], ["seq_idx", "pos", *packed_columns(k)])
 
 
 def positions(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:

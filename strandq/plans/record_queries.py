@@ -397,7 +397,7 @@ LETTERS = "translate(regexp_replace(lower(text), '[^a-z .,]', 'x'{g}), 'abcdefgh
 def kmer10_whole_texts(spark, d):
     """Canonical 21-mers of whole texts that occur more than once."""
     r = table(spark, d, "documents").selectExpr("doc_id as seq_idx", LETTERS.format(g="") + " as bases")
-    return kmers.value_range(kmers.count(r, 21), 2)
+    return kmers.value_range(kmers.count(r, 21, least=2), 2)
 
 
 @query("select l_suppkey as grp, count(*) as n from lineitem where l_orderkey < l_suppkey * 100 + 250 and l_orderkey >= l_suppkey * 100 group by l_suppkey")
