@@ -45,30 +45,43 @@ def _widths(depth: int, n: int) -> np.ndarray:
     return np.minimum(12, np.floor(np.log2(size)).astype(np.int64) + 1)
 
 
+#: The entry of each entry with a byte behind it, 0 for none, all 0 between calls.  The tasks of a worker come one after another.
+_TABLE: list[int] = []
+
+
 def lzw_codes(data: bytes, depth: int) -> np.ndarray:
     """The longest known stretch after another, between a clear code and an end code; the table is cleared when its 4096 entries are used.
 
-    Codes are kept times 256, so that a code and the next byte make a key without a shift."""
-    clear, first = 256 << depth, (256 << depth) + 512
-    codes, table, fresh = [clear], {}, first
-    put, known, full = codes.append, table.setdefault, 4096 << 8
-    at = data[0] << 8 if data else clear + 256
+    Codes are kept times 2**depth, so that a code and the next byte, of fewer than 2**depth, are a place in the table without a shift."""
+    if not _TABLE:
+        _TABLE.extend([0] * (4096 << 8))
+    one, clear = 1 << depth, 1 << 2 * depth
+    first = clear + 2 * one
+    codes, places, table, fresh = [clear], [], _TABLE, first
+    put, used, full = codes.append, places.append, 4096 << depth
+    at = data[0] << depth if data else clear + one
     for b in data[1:]:
-        code = known(at | b, fresh)
-        if code != fresh:
+        place = at | b
+        if code := table[place]:
             at = code
             continue
         put(at)
-        at = b << 8
-        fresh += 256
+        used(place)
+        table[place] = fresh
+        at = b << depth
+        fresh += one
         if fresh > full:
             put(clear)
-            table.clear()
+            for place in places:
+                table[place] = 0
+            places.clear()
             fresh = first
+    for place in places:
+        table[place] = 0
     put(at)
     if data:
-        put(clear + 256)
-    return np.array(codes) >> 8
+        put(clear + one)
+    return np.array(codes) >> depth
 
 
 def lzw_encode(data: bytes, depth: int = 8) -> bytes:

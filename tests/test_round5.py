@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandq.functions import text
+from strandq.llm import gif
 from strandq.operators import headers, kmers
 from strandq.streaming import carry
 
@@ -97,3 +98,12 @@ def test_windows_of_many_short_reads_are_taken_at_once(monkeypatch, k):
         hi = got.get("packed_hi", [0] * len(got["pos"]))
         number = [(h % (1 << 64)) << 64 | w % (1 << 64) for h, w in zip(hi, got["packed"], strict=True)]
         assert list(zip(got["seq_idx"], got["pos"], number, strict=True)) == [(7 + i, p, int(x.translate(str.maketrans("ACTG", "0123")), 4)) for i, p, x in plain(ascii_, k)]
+
+
+def test_codes_of_a_stretch_leave_no_trace_in_the_next():
+    r = random.Random(2)
+    for depth in (2, 5, 8, 3, 8):
+        data = bytes(r.randrange(1 << depth) for _ in range(9000))
+        assert gif.lzw_decode(gif.lzw_encode(data, depth), depth, len(data)) == data
+        assert not any(gif._TABLE)
+    assert gif.lzw_codes(b"", 8).tolist() == [256, 257] and gif.lzw_codes(b"\0\0\0\0", 2).tolist() == [4, 0, 6, 0, 5]
