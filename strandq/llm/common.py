@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import copied, dealt, heavy, heavy_of  # noqa: F401  for the operators
 from ..sources.shared import made, materialise, remove  # noqa: F401
 
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "1m"
 MASK40 = np.uint64((1 << 40) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -115,6 +116,15 @@ def slices(rows: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Recor
             yield batch.slice(at, size)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Python batches of about BATCH bytes from now on, unless the session has a bound of its own.
+
+    By default it hands 10,000 rows at once.  JVM and worker each hold that several times over, and neither gives all of
+    it back, so that an executor that runs one operator after the other comes to hold the most that each has taken.
+    """
+    spark.conf.set(BATCH_BYTES, spark.conf.get(BATCH_BYTES, BATCH))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, comp): the smallest node reachable.  Alternating large and small stars; each round is
     a minimum per node, combined before the shuffle, joined back, and written to the shared folder.  Nodes without
