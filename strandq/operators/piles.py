@@ -286,3 +286,76 @@ def pileup(rows: DataFrame, keys: list[str]) -> DataFrame:
         return pa.table([*(column[c].take(where) for c in keys), pos, letters, column["inserted"].take(where), pa.array(n), pa.array(quality, mask=known == 0)], names=[*keys, "pos", "base", "inserted", "n", "quality"])
 
     return counted(rows, keys, [], finish, "pos long, base string, inserted string, n long, quality long")
+
+
+#: Reads of one task of column_sums, at most about so many, and of them those that are worked on at once.
+READS, READS_AT_ONCE = 1 << 20, 1 << 15
+
+
+def column_sums(rows: DataFrame) -> DataFrame:
+    """id, op, n, sum_a, sum_b, sum_ab: see sequences.column_sums.
+
+    Reads are dealt by id as they are, since an id with its sums is several times as long, and sorted by it within tasks, whose
+    number grows with the reads.  A read's sums come from where its operations begin and how long they are; those of one
+    id are added at once, or if there are very many, as they come."""
+    kind = dict(rows.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, carried = [], 0, None
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < READS_AT_ONCE:
+                continue
+            sums = _column_sums(pa.Table.from_batches(held), carried)
+            held, size = [], 0
+            if sums.num_rows:
+                cut = int(np.searchsorted(code := _in_turn(sums["id"].combine_chunks()), code[-1]))  # the last id may go on
+                yield from sums.slice(0, cut).to_batches()
+                carried = sums.slice(cut)
+        if held or carried is not None:
+            yield from (_column_sums(pa.Table.from_batches(held), carried) if held else carried).to_batches()
+
+    reads = rows.select("id", "cigar", F.col("pos").cast("long").alias("pos")).filter(F.col("cigar").rlike(VALID))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // READS))
+    dealt = reads.repartition(tasks, "id").sortWithinPartitions("id")
+    return dealt.mapInArrow(run, f"id {kind}, op string, n long, sum_a long, sum_b long, sum_ab long")
+
+
+def _in_turn(column: pa.Array) -> np.ndarray:
+    """codes() in the order in which values first come, null like any other."""
+    return np.asarray(column.dictionary_encode(null_encoding="encode").indices).astype(np.int64)
+
+
+def _column_sums(reads: pa.Table, before: pa.Table | None) -> pa.Table:
+    """id, op and sums of reads (id, cigar, pos) in their order of ids, with rows of the same kind added to the first ones."""
+    reads = reads.combine_chunks()
+    col = {c: reads[c].combine_chunks() for c in ("id", "cigar", "pos")}
+    _, row, kind, n, a, b, _ = laid_out(col["cigar"])
+    some = np.isin(kind, [M, I, D, EQUAL, OTHER]) & (n > 0)
+    row, kind, n, a, b = (x[some] for x in (row, kind, n, a, b))
+    in_a, in_b = kind != D, (kind != I) & ~np.asarray(pc.is_null(col["pos"]))[row]
+    b = b + np.asarray(pc.fill_null(col["pos"], 0)).astype(np.int64)[row]
+    # Of n columns from a and b on: 0 + 1 + ... and the squares of these.
+    once = n * (n - 1) // 2
+    twice = np.where(once % 3 == 0, once // 3 * (2 * n - 1), once * ((2 * n - 1) // 3))
+    sums = [n, n * a + once, n * b + once, n * a * b + (a + b) * once + twice]
+    x, y, z = n.astype(float), a.astype(float), np.abs(b.astype(float))
+    most = x * y * z + (y + z) * x * x / 2 + x * x * x / 3
+    ids, known = col["id"].take(pa.array(row)), [np.ones(len(n), bool), in_a, in_b, in_a & in_b]
+    if before is not None:
+        ids = pa.concat_arrays([before["id"].combine_chunks(), ids])
+        kind = np.append(np.asarray(pc.index_in(before["op"].combine_chunks(), KINDS)).astype(np.int64), kind)
+        old = [before[c].combine_chunks() for c in before.column_names[2:]]
+        known = [np.append(np.asarray(pc.is_valid(x)), k) for x, k in zip(old, known, strict=True)]
+        sums = [np.append(np.asarray(pc.fill_null(x, 0)).astype(np.int64), y) for x, y in zip(old, sums, strict=True)]
+        most = np.append(np.abs(sums[-1][: len(before)].astype(float)), most)
+    code = _in_turn(ids)
+    each, most, *added = summed(code * len(KINDS) + kind, most, *(np.where(k, x, 0) for k, x in zip(known, sums, strict=True)), *(k.astype(np.int64) for k in known))
+    if len(most) and most.max() >= 2.0**63:
+        raise OverflowError("sums of an operation's positions don't fit 64 bits")
+    first = np.full(len(ids), -1)
+    first[code[::-1]] = np.arange(len(ids))[::-1]
+    of, op = np.divmod(each, len(KINDS))
+    values = [pa.array(x, mask=k == 0) for x, k in zip(added[: len(sums)], added[len(sums) :], strict=True)]
+    return pa.table([ids.take(pa.array(first[of])), KINDS.take(pa.array(op)), *values], names=["id", "op", "n", "sum_a", "sum_b", "sum_ab"])

@@ -130,6 +130,12 @@ def columns(rows: DataFrame) -> DataFrame:
     return each.select("id", "op", F.when(eats("MI=X"), F.col("a") + F.col("k")).alias("a_pos"), F.when(eats("MD=X"), F.col("b") + F.col("k")).alias("b_pos"))
 
 
+def column_sums(rows: DataFrame) -> DataFrame:
+    """id, op, n, sum_a, sum_b, sum_ab: how many columns() of each id and operation there are, and the sums of their positions
+    and of the products of these.  Reads are shuffled, not their columns nor sums."""
+    return piles.column_sums(rows)
+
+
 def covered(rows: DataFrame, *keep: str) -> DataFrame:
     """chrom, pos, base, quality, inserted, with the columns to keep: a row for each position that a read of rows (chrom, pos,
     cigar, seq, qual) covers.  base is '-' for a deletion, quality comes from qual, a text of phred + 33, of a deletion from
