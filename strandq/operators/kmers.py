@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from . import sequences, skew
+from .piles import starts, within
 from .stats import ordered_cells
 
 SATURATED = (1 << 32) - 1
@@ -70,17 +72,27 @@ def _words(digit: np.ndarray, size: int, turned: bool) -> np.ndarray:
 def windows(bases: bytes, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """Places, and two-bit packed windows with their reverse complements, of a sequence, as the words of packed_columns(k); those
     with another letter are left out."""
+    return _windows(DIGITS[np.frombuffer(bases, np.uint8)], k)
+
+
+def _windows(digits: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """The same of a sequence's DIGITS."""
     sizes = [k] if len(packed_columns(k)) == 1 else [k - WORD, WORD]
-    starts = np.cumsum([0, *sizes[:-1]]).tolist()
-    for lo in range(0, max(0, len(bases) - k + 1), BLOCK):
-        small = DIGITS[np.frombuffer(bases, np.uint8)[lo : lo + BLOCK + k - 1]]
+    begins = np.cumsum([0, *sizes[:-1]]).tolist()
+    for lo in range(0, max(0, len(digits) - k + 1), BLOCK):
+        small = digits[lo : lo + BLOCK + k - 1]
         digit, n = (small & 3).astype(np.uint64), len(small) - k + 1
-        bad = np.append(np.int32(0), np.cumsum(small > 3, dtype=np.int32))
-        good = np.flatnonzero(bad[k:] == bad[:-k])
+        good = np.flatnonzero(_whole(small, k))
         keep = (lambda x: x) if len(good) == n else (lambda x: x[good])
-        fwd = [keep(_words(digit, z, False)[b : b + n]) for b, z in zip(starts, sizes, strict=True)]
+        fwd = [keep(_words(digit, z, False)[b : b + n]) for b, z in zip(begins, sizes, strict=True)]
         digit = digit ^ np.uint64(2)
-        yield good + lo, fwd, [keep(_words(digit, z, True)[k - b - z :][:n]) for b, z in zip(starts, sizes, strict=True)]
+        yield good + lo, fwd, [keep(_words(digit, z, True)[k - b - z :][:n]) for b, z in zip(begins, sizes, strict=True)]
+
+
+def _whole(small: np.ndarray, k: int) -> np.ndarray:
+    """Which windows have no other letter."""
+    bad = np.append(np.int32(0), np.cumsum(small > 3, dtype=np.int32))
+    return bad[k:] == bad[:-k]
 
 
 def smaller(fwd: list[np.ndarray], rc: list[np.ndarray]) -> list[np.ndarray]:
@@ -106,27 +118,20 @@ BACK = pow(MIX, -1, 1 << 64)
 
 
 def count(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
-    """kmer, value: canonical k-mers that occur at least so often, with their number.  Up to 64 bases they are sorted and counted per
-    block of a task, shuffled in packed rows, one for each cell of a block, and merged cell by cell; longer ones are counted as text."""
+    """kmer, value: canonical k-mers that occur at least so often, with their number.  Below LONG bases they are sorted and counted per
+    block of a task, shuffled in packed rows, one for each cell of a block, and merged cell by cell; from there on to 64 bases see
+    _counted_in_runs; longer ones are counted as text."""
     if k > MOST:
         return enumerate_kmers(reads, k).select(B.canonical(F.col("fwd")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("value")).filter(F.col("value") >= least)
+    if k >= LONG:
+        return _counted_in_runs(reads, k, least)
     names = packed_columns(k)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in rows:
-            for text in batch.column(0).to_pylist():
-                held.append(text or b"")
-                size += len(held[-1]) + 1
-                if size >= BLOCK:
-                    yield from blocks(held)
-                    held, size = [], 0
-        yield from blocks(held)
-
-    def blocks(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for _, fwd, rc in windows(b"\n".join(texts), k):  # no window goes across a line's end
-            words = _mixed(smaller(fwd, rc))
-            yield _celled(*_added(words, np.ones(len(words[0]), np.int64)))
+        for text in _joined(rows, BLOCK):
+            for _, fwd, rc in windows(text, k):
+                words = _mixed(smaller(fwd, rc))
+                yield _celled(*_added(words, np.ones(len(words[0]), np.int64)))
 
     def merge_(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, size = None, [], 0
@@ -146,6 +151,178 @@ def count(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
     return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(merge_, "kmer string, value long")
 
 
+def _joined(rows: Iterator[pa.RecordBatch], block: int) -> Iterator[bytes]:
+    """Texts of some `block` bytes or one longer one, with line ends between, across which no window goes."""
+    held, size = [], 0
+    for batch in rows:
+        for text in batch.column(0).to_pylist():
+            held.append(text or b"")
+            size += len(held[-1]) + 1
+            if size >= block:
+                yield b"\n".join(held)
+                held, size = [], 0
+    yield b"\n".join(held)
+
+
+#: From so many bases on, k-mers are shuffled as runs of windows with the same signature: their smallest mixed canonical k-mer of
+#: SIGNATURE bases, which a reverse complement has too.  A run has at most RUN windows.
+LONG, SIGNATURE, RUN = 16, 11, 255
+#: A fixed value that hashes of runs are polynomials of, and its inverse.
+BASE = 0x9FB21C651E98DF25
+EASAB = pow(BASE, -1, 1 << 64)
+
+
+def _counted_in_runs(reads: DataFrame, k: int, least: int) -> DataFrame:
+    """kmer, value: neighbouring windows mostly share a signature, and so a cell: they are shuffled as the bases that they cover, two
+    bits each, which takes a byte or so a window; equal runs of a block are shuffled once, with their number.  A task takes
+    the windows of a cell's runs and counts them.  If a cell has more than HELD windows, it does so in several passes, each for a
+    share of the k-mers: it holds the packed runs of a cell, and some HELD windows."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text in _joined(rows, BLOCK):
+            digits = DIGITS[np.frombuffer(text, np.uint8)]
+            for lo in range(0, max(0, len(digits) - k + 1), BLOCK):
+                yield _runs(digits[lo : lo + BLOCK + k - 1], k)
+
+    def merge_(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, size = None, [], 0
+        for batch in rows:
+            for c, *parts in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if c != cell and size >= BLOCK:  # small cells are counted together
+                    yield from _passes(held, k, least)
+                    held, size = [], 0
+                cell = c
+                held.append(parts)
+                size += len(parts[-1])
+        yield from _passes(held, k, least)
+
+    packed = reads.select(F.col("bases").cast("binary").alias("bases")).mapInArrow(run, "cell int, sizes binary, times binary, bases binary")
+    return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(merge_, "kmer string, value long")
+
+
+def _signatures(small: np.ndarray, k: int) -> np.ndarray:
+    """The cell of each window."""
+    digit = (small & 3).astype(np.uint64)
+    x = (np.minimum(_words(digit, SIGNATURE, False), _words(digit ^ np.uint64(2), SIGNATURE, True)) * np.uint64(MIX) >> np.uint64(32)).astype(np.uint32)
+    x = x[: len(small) - SIGNATURE + 1]
+    have, wide = 1, k - SIGNATURE + 1
+    while have < wide:
+        step = min(have, wide - have)
+        x, have = np.minimum(x[:-step], x[step:]), have + step
+    return (x.astype(np.uint64) * OTHER >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+@cache
+def _powers(x: int, n: int) -> np.ndarray:
+    return np.append(np.uint64(1), np.multiply.accumulate(np.full(n, x, np.uint64)))
+
+
+def _runs(small: np.ndarray, k: int) -> pa.RecordBatch:
+    """A row per cell with the windows of each of its different runs, how often they occur (nothing if all do once), and their
+    bases, four in a byte; each run begins with a byte."""
+    cell = np.where(_whole(small, k), _signatures(small, k), -1)
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(first, append=len(cell))
+    first, size = first[cell[first] >= 0], size[cell[first] >= 0]
+    of, j = within(-(-size // RUN))
+    first, size = first[of] + RUN * j, np.minimum(RUN, size[of] - RUN * j)
+    most = BLOCK + MOST
+    prefix = np.append(np.uint64(0), np.cumsum((small + np.uint64(1)) * _powers(BASE, most)[: len(small)]))
+    key = (prefix[first + size + k - 1] - prefix[first]) * _powers(EASAB, most)[first]
+    key = cell[first].astype(np.uint64) << np.uint64(64 - CELL_BITS) | key >> np.uint64(CELL_BITS)
+    order = np.argsort(key)
+    key, first, size = key[order], first[order], size[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]))[: len(key)]
+    same = np.flatnonzero(~new)
+    if len(same):  # compared base by base
+        of, j = within(size[same] + k - 1)
+        new[same] = ~np.logical_and.reduceat(small[first[same][of] + j] == small[first[same - 1][of] + j], starts(size[same] + k - 1)[:-1])
+    new = np.flatnonzero(new)
+    times, first, size = np.diff(new, append=len(key)), first[new], size[new]
+    cells, begins = np.unique(cell[first], return_index=True)
+    begins = np.append(begins, len(first))
+    quad, tail = np.append(small & 3, np.zeros(3, np.uint8)), len(small)
+    quad = quad[:tail] << 6 | quad[1 : tail + 1] << 4 | quad[2 : tail + 2] << 2 | quad[3:]
+    n = _quads(size, k)
+    of, j = within(n)
+    often = np.maximum.reduceat(times, begins[:-1]) > 1 if len(times) else np.zeros(0, bool)
+    columns = [(size.astype(np.uint8), begins), (times[np.repeat(often, np.diff(begins))].astype("<u4"), starts(np.where(often, 4 * np.diff(begins), 0))), (quad[first[of] + 4 * j], starts(n)[begins])]
+    binary = [pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(b.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x, b in columns]
+    return pa.record_batch([pa.array(cells.astype(np.int32)), *binary], ["cell", "sizes", "times", "bases"])
+
+
+def _quads(size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes of runs of so many windows."""
+    return (size + k + 2) // 4
+
+
+def _opened(rows: list[list[bytes]], k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Canonical k-mers of the windows of runs, and how often each occurs."""
+    sizes, times, bases = zip(*rows, strict=True)
+    size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+    often = np.ones(len(size), np.int64)
+    if any(times):
+        often = np.concatenate([np.frombuffer(x, "<u4") if x else np.ones(len(s), "<u4") for x, s in zip(times, sizes, strict=True)]).astype(np.int64)
+    word = np.frombuffer(b"".join(bases) + bytes(24), np.uint8).astype(np.uint64)  # of 8 bytes from each byte on
+    for n in (1, 2, 4):
+        word = word[:-n] << np.uint64(8 * n) | word[n:]
+    place = np.repeat(4 * starts(_quads(size, k))[:-1] - starts(size)[:-1], size) + np.arange(size.sum())
+
+    def at(skip: int, n: int) -> np.ndarray:
+        """The words of n bases from `skip` on."""
+        if n > 29:  # with up to three bases before them they don't fit
+            return at(skip, n - 16) << np.uint64(32) | at(skip + n - 16, 16)
+        here = place + skip
+        return word[here >> 2] << (here & 3).astype(np.uint64) * np.uint64(2) >> np.uint64(64 - 2 * n)
+
+    if k < WORD:
+        fwd = at(0, k)
+        return smaller([fwd], [_turned(fwd, k)]), np.repeat(often, size)
+    fwd = [at(0, k - WORD) if k > WORD else np.zeros(len(place), np.uint64), at(k - WORD, WORD)]
+    rc = [_turned(at(WORD, k - WORD), k - WORD) if k > WORD else fwd[0], _turned(at(0, WORD), WORD)]
+    return smaller(fwd, rc), np.repeat(often, size)
+
+
+def _turned(word: np.ndarray, n: int) -> np.ndarray:
+    """The complements of words of n bases, reversed."""
+    word = word.byteswap()
+    for bits, some in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333)):
+        word = word >> np.uint64(bits) & np.uint64(some) | (word & np.uint64(some)) << np.uint64(bits)
+    return (word ^ np.uint64(0xAAAAAAAAAAAAAAAA)) >> np.uint64(64 - 2 * n)
+
+
+def _passes(rows: list[list[bytes]], k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """kmer, value of the runs of whole cells."""
+    if not rows:
+        return
+    total = np.cumsum([int(np.frombuffer(x[0], np.uint8).sum(dtype=np.int64)) for x in rows])
+    cuts = [*(np.flatnonzero(np.diff(total // BLOCK)) + 1).tolist(), len(rows)]
+    passes = -(-int(total[-1]) // HELD)
+    for share in range(passes):
+        held = []
+        for lo, hi in zip([0, *cuts], cuts, strict=False):
+            words, n = _opened(rows[lo:hi], k)
+            if passes > 1:
+                own = (_mixed(words)[-1] >> np.uint64(32)) % np.uint64(passes) == share
+                words, n = [x[own] for x in words], n[own]
+            held.append([*words, n])
+        *words, n = map(np.concatenate, zip(*held, strict=True))
+        yield from _spelled(*_summed(words, n), k, least)
+
+
+def _summed(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """_added() in any order: single ones, of which there are most, are sorted without their numbers."""
+    more = n > 1
+    if len(words) == 2 or not more.any():
+        return _added(words, n)
+    (one,), n_one = _added([words[0][~more]], n[~more])
+    (other,), n = _added([words[0][more]], n[more])
+    at = np.searchsorted(one, other)
+    there = (at < len(one)) & (np.append(one, np.uint64(0))[at] == other)
+    n_one[at[there]] += n[there]
+    return [np.append(one, other[~there])], np.append(n_one, n[~there])
+
+
 def _mixed(words: list[np.ndarray]) -> list[np.ndarray]:
     last = words[-1] ^ words[0] * OTHER if len(words) == 2 else words[-1]
     return [*words[:-1], last * np.uint64(MIX)]
@@ -161,7 +338,7 @@ def _added(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np
     if not len(n):
         return words, n
     even = len(words) == 1 and n.min() == n.max() == 1
-    order = None if even else np.argsort(words[0], kind="stable") if len(words) == 1 else np.lexsort(words)
+    order = None if even else np.argsort(words[0]) if len(words) == 1 else np.lexsort(words)
     words = [np.sort(words[0])] if even else [x[order] for x in words]
     first = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in words], axis=0)))
     n = np.diff(first, append=len(n)) if even else np.add.reduceat(n[order], first)
@@ -188,8 +365,12 @@ def _texts(held: list[list[np.ndarray]], k: int, least: int) -> Iterator[pa.Reco
     if not held:
         return
     words, n = _merged(held)
-    words = _unmixed([x[n >= least] for x in words])
-    n = n[n >= least]
+    yield from _spelled(_unmixed(words), n, k, least)
+
+
+def _spelled(words: list[np.ndarray], n: np.ndarray, k: int, least: int) -> Iterator[pa.RecordBatch]:
+    """kmer, value of counted k-mers that occur at least so often."""
+    words, n = [x[n >= least] for x in words], n[n >= least]
     for lo in range(0, len(n), BLOCK // 16):
         some = [x[lo : lo + BLOCK // 16] for x in words]
         letters = np.empty((len(some[0]), k), np.uint8)

@@ -1,11 +1,12 @@
 """What large tables put on disk: rows are shuffled once, packed or as they are, not with what is made of them."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandq.operators import piles, sequences
+from strandq.operators import kmers, piles, sequences
 from strandq.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,48 @@ def test_column_sums_are_those_of_the_columns(spark, monkeypatch):
     huge = spark.createDataFrame([(1, "9000000M", 0)], "id int, cigar string, pos long")
     with pytest.raises(Exception, match="64 bits"):
         sequences.column_sums(huge).collect()
+
+
+def plain(texts, k):
+    """How often each canonical k-mer occurs, one by one."""
+    key, out = (lambda x: x.translate(str.maketrans("ACTG", "0123"))), Counter()
+    for t in texts:
+        t = (t or "").translate(str.maketrans("acgt", "ACGT"))
+        some = [f for p in range(len(t) - k + 1) if not set(f := t[p : p + k]) - set("ACGT")]
+        out.update(min(f, f[::-1].translate(str.maketrans("ACGT", "TGCA")), key=key) for f in some)
+    return out
+
+
+@pytest.fixture(scope="module")
+def odd_texts():
+    r = random.Random(9)
+    some = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    texts = [some(r.randrange(150), "ACGTacgtN" if r.random() < 0.3 else "ACGT") for _ in range(60)] + [None, "", "A", "N" * 40, "A" * 900, "AC" * 400, some(700, "AT"), "é" + some(80, "ACGT")]
+    line = some(90, "ACGT")
+    return texts + texts[:20] + [some(15, "ACGT") + line + some(15, "ACGT") for _ in range(25)] + [line[::-1].translate(str.maketrans("ACGT", "TGCA"))]
+
+
+@pytest.mark.parametrize("k", [15, 16, 21, 29, 30, 31, 32, 33, 47, 48, 49, 63, 64])
+def test_runs_of_windows_give_every_kmer(spark, monkeypatch, odd_texts, k):
+    own = plain(odd_texts, k)
+    reads = spark.createDataFrame(list(enumerate(odd_texts)), "seq_idx long, bases string").repartition(3)
+    for block, held in ((kmers.BLOCK, kmers.HELD), (100, 7)):
+        monkeypatch.setattr(kmers, "BLOCK", block)
+        monkeypatch.setattr(kmers, "HELD", held)
+        for least in (1, 2):
+            rows = kmers.count(reads, k, least=least).collect()
+            assert len(rows) == len({x.kmer for x in rows})
+            assert {x.kmer: x.value for x in rows} == {x: n for x, n in own.items() if n >= least}
+
+
+def test_a_window_takes_few_bytes_of_a_shuffle(spark, monkeypatch):
+    """Of new text, and of text that a block has several times."""
+    r = random.Random(4)
+    new, caught = "".join(r.choices("ACGT", k=400_000)), []
+    for texts, most in (([new], 2.5), ([new[:20_000]] * 20, 0.2)):
+        reads = spark.createDataFrame(list(enumerate(texts)), "seq_idx long, bases string").coalesce(1)
+        with monkeypatch.context() as m:
+            m.setattr(type(reads), "repartition", lambda self, *a, f=type(reads).repartition: caught.append(self) or f(self, *a))
+            kmers.count(reads, 21)
+        binary = [F.sum(F.length(c)) for c, kind in caught[-1].dtypes if kind == "binary"]
+        assert sum(caught[-1].agg(*binary).first()) < most * 400_000
