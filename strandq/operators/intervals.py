@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import skew
+from ..sources.shared import materialise
+from . import skew, stats
+from .packed import numbers, packed
+from .piles import codes, starts
 from .stats import apart, ordered_cells, tasks_of
 
 #: Each size of bins is so many times the one before.
@@ -137,30 +143,183 @@ def common_front(ref: Column, alts: Column) -> Column:
     return F.aggregate(F.coalesce(alts, F.array().cast("array<string>")), F.length(ref), lambda a, alt: F.least(a, front(alt)))
 
 
-def sweep(a: DataFrame, b: DataFrame) -> DataFrame:
-    """grp, bgn, end_, in_a, in_b: between each two neighbouring coordinates of both lists, how many intervals of either cover the stretch.
-
-    Coordinates are dealt to stretches; sums and first coordinates are carried over a row per stretch."""
-    ends = lambda rows, x, y: rows.filter("bgn < end_").select("grp", F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("pos"), F.lit(n * x).alias("a"), F.lit(n * y).alias("b")) for c, n in (("bgn", 1), ("end_", -1))))).alias("e"))
-    sums = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("grp", "e.pos").agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
-    cells = ordered_cells(sums, "pos", 2 * (a.count() + b.count()))
-    per, w = Window.partitionBy("grp").orderBy("cell"), Window.partitionBy("grp", "cell").orderBy("pos")
-    carried = lambda c: F.coalesce(F.sum(c).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"before_{c}")
-    each = cells.groupBy("grp", "cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("pos").alias("first"))
-    each = each.select("grp", "cell", carried("a"), carried("b"), F.lead("first").over(per).alias("after"))
-    so_far = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    own = apart(cells).select("grp", "cell", "pos", F.lead("pos").over(w).alias("stop"), so_far("a").alias("own_a"), so_far("b").alias("own_b")).join(each, ["grp", "cell"])
-    return own.select("grp", F.col("pos").alias("bgn"), F.coalesce("stop", "after").alias("end_"), (F.col("own_a") + F.col("before_a")).alias("in_a"), (F.col("own_b") + F.col("before_b")).alias("in_b")).filter("end_ is not null")
-
-
-#: What a stretch must be in, by the name of the operation.
-OPERATIONS = {"union": "in_a > 0 or in_b > 0", "intersection": "in_a > 0 and in_b > 0", "difference": "in_a > 0 and in_b = 0", "either": "(in_a > 0) <> (in_b > 0)"}
+#: Which positions an operation keeps, of those that are in some interval of either list, by its name.
+OPERATIONS = {"union": lambda a, b: a | b, "intersection": lambda a, b: a & b, "difference": lambda a, b: a & ~b, "either": lambda a, b: a != b}
+#: Intervals that are packed at once, and how many positions of a sample a stretch has.
+PACK, SAMPLE = 1 << 19, 128
 
 
 def combined(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
     """grp, bgn, end_: the positions of an operation of OPERATIONS on two lists of intervals (grp, bgn, end_), as the fewest
-    intervals.  Intervals of a list may overlap; empty ones, and those with a null, have no positions."""
-    return squash(sweep(a, b).filter(OPERATIONS[operation])).select("grp", "bgn", "end_")
+    intervals.  Intervals of a list may overlap; empty ones, and those with a null, have no positions.
+
+    Where intervals begin and end is shuffled once, in packed rows in which what falls on one place is summed.  A task sorts
+    all of a cell and finds its intervals.  A cell has all of many groups, or a stretch of a group that has too many for one
+    task: for such groups sums are carried over the stretches before, and intervals that reach over a stretch's bounds
+    are put together of one piece per stretch.  A sample says where to cut, and nothing else."""
+    side = lambda rows, x: rows.select("grp", F.col("bgn").cast("long").alias("bgn"), F.col("end_").cast("long").alias("end_"), F.lit(x).alias("in_a")).filter("grp is not null and bgn < end_")
+    both, total = side(a, True).unionByName(side(b, False)), a.count() + b.count()
+    n = stats.stretches(2 * total, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    large = _large(both, total, n)
+    cuts, base = {}, 0
+    for grp, cut in large:
+        cuts[base] = np.array(cut, np.int64)
+        base += len(cut) + 1
+    cell = F.lit(base) + F.pmod(F.xxhash64("grp"), F.lit(n)).cast("int")
+    if large:
+        of = both.sparkSession.createDataFrame([(x[0], c) for x, c in zip(large, cuts, strict=True)], both.select("grp", F.lit(0).alias("base")).schema)
+        both, cell = both.join(F.broadcast(of), "grp", "left"), F.coalesce("base", cell)
+    both = both.select("grp", cell.alias("cell"), "bgn", "end_", "in_a")
+    carried = _carried(both.filter(F.col("cell") < base), cuts) if large else {}
+    kind = f"grp {dict(both.dtypes)['grp']}"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _some(batches):
+            yield _ends_packed(table, cuts)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            own = np.asarray(batch.column(0))
+            bounds = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+            for lo, hi in zip(bounds, np.append(bounds[1:], len(own)), strict=True):
+                if own[lo] != cell:
+                    yield from found(cell, held)
+                    cell, held = own[lo], []
+                held.append(batch.slice(lo, hi - lo))
+        yield from found(cell, held)
+
+    def found(cell: int | None, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from _pieces(pa.Table.from_batches(held), int(cell), carried.get(int(cell), (0, 0)), bounds_of.get(int(cell)), OPERATIONS[operation]).to_batches(max_chunksize=1 << 16)
+
+    bounds_of = {c + i: (cut[i - 1] if i else None, cut[i] if i < len(cut) else None) for c, cut in cuts.items() for i in range(len(cut) + 1)}
+    rows = both.mapInArrow(pack, f"cell int, grps array<{kind[4:]}>, sizes binary, pos binary, a binary, b binary")
+    pieces = rows.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(find, f"{kind}, cell int, bgn long, end_ long, open boolean, goes_on boolean")
+    if not large:
+        return pieces.select("grp", "bgn", "end_")
+    pieces = materialise(pieces)
+    chain = F.sum(F.when(F.col("open"), 0).otherwise(1)).over(Window.partitionBy("grp").orderBy("cell", "bgn"))
+    joined = pieces.filter("open or goes_on").withColumn("chain", chain).groupBy("grp", "chain").agg(F.min("bgn").alias("bgn"), F.max("end_").alias("end_"))
+    return pieces.filter("not (open or goes_on)").select("grp", "bgn", "end_").unionByName(joined.select("grp", "bgn", "end_"))
+
+
+def _large(both: DataFrame, total: int, n: int) -> list[tuple]:
+    """Groups that have more than about a quarter of a stretch, and where to cut them: at most some 4 n places."""
+    share = min(1.0, SAMPLE * n / max(1, 2 * total))
+    most = max(1, int(max(2 * total // (4 * n), stats.STRETCH // 64) * share))
+    spots = both.sample(share, seed=1) if share < 1 else both
+    places = spots.select("grp", F.explode(F.array("bgn", "end_")).alias("pos")).groupBy("grp").agg(F.sort_array(F.collect_list("pos")).alias("s")).filter(F.size("s") > most)
+    parts = f"cast(ceil(size(s) / {most}) as int)"
+    cut = F.expr(f"array_sort(array_distinct(transform(sequence(1, {parts} - 1), i -> s[cast(i * cast(size(s) as long) div {parts} as int)])))")
+    return [(r[0], r[1]) for r in places.select("grp", cut).collect()]
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of some PACK rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _ends(table: pa.Table, cuts: dict[int, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The row, cell, position and changes of both lists where intervals (cell, bgn, end_, in_a) begin and end."""
+    cell, bgn, end, in_a = (np.asarray(table[c].combine_chunks()) for c in ("cell", "bgn", "end_", "in_a"))
+    row, pos = np.tile(np.arange(len(cell)), 2), np.append(bgn, end)
+    move = np.repeat(np.array([1, -1]), len(cell))
+    cell = np.tile(cell, 2).astype(np.int64)
+    if cuts:
+        order = np.argsort(cell, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+        for lo, hi, c in zip(first, np.append(first[1:], len(order)), cell[order[first]].tolist(), strict=True):
+            if c in cuts:
+                cell[order[lo:hi]] += np.searchsorted(cuts[c], pos[order[lo:hi]], side="right")
+    in_a = np.tile(in_a, 2)
+    return row, cell, pos, np.where(in_a, move, 0), np.where(in_a, 0, move)
+
+
+def _carried(rows: DataFrame, cuts: dict[int, np.ndarray]) -> dict[int, tuple[int, int]]:
+    """How many intervals of both lists are open where each stretch of the large groups begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _some(batches):
+            _, cell, _, a, b = _ends(table, cuts)
+            cells, at = np.unique(cell, return_inverse=True)
+            sums = [pa.array(np.bincount(at, x, len(cells)).astype(np.int64)) for x in (a, b)]
+            yield pa.record_batch([pa.array(cells.astype(np.int32)), *sums], ["cell", "a", "b"])
+
+    sums = {r[0]: (r[1], r[2]) for r in rows.mapInArrow(run, "cell int, a long, b long").groupBy("cell").agg(F.sum("a"), F.sum("b")).collect()}
+    out = {}
+    for base, cut in cuts.items():
+        a = b = 0
+        for c in range(base, base + len(cut) + 1):
+            out[c] = a, b
+            a, b = a + sums.get(c, (0, 0))[0], b + sums.get(c, (0, 0))[1]
+    return out
+
+
+def _summed(group: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first row, group, position and sums of changes of each place at which these aren't 0, in order."""
+    order = np.lexsort((pos, group))
+    group, pos = group[order], pos[order]
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (pos[1:] != pos[:-1]))[: len(pos)])
+    a, b = np.add.reduceat(a[order], first), np.add.reduceat(b[order], first)
+    some = (a != 0) | (b != 0)
+    first = first[some]
+    return order[first], group[first], pos[first], a[some], b[some]
+
+
+def _ends_packed(table: pa.Table, cuts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """A row per cell with its groups, how many places each has, and these places with the changes of both lists."""
+    row, cell, pos, a, b = _ends(table, cuts)
+    grp = table["grp"].combine_chunks()
+    cells, own = np.unique(cell, return_inverse=True)
+    group = codes(grp)[row]
+    each = own * (group.max() + 1) + group
+    at, each, pos, a, b = _summed(each, pos, a, b)
+    own, row = own[at], row[at]
+    lead = np.flatnonzero(np.append(True, each[1:] != each[:-1]))[: len(each)]
+    sizes = np.diff(lead, append=len(each))
+    of = starts(np.bincount(own[lead], minlength=len(cells)))
+    rows = starts(np.bincount(own, minlength=len(cells)))
+    step = np.diff(pos, prepend=0)
+    step[rows[:-1][np.diff(rows) > 0]] = pos[rows[:-1][np.diff(rows) > 0]]
+    lists = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), grp.take(pa.array(row[lead])))
+    return pa.record_batch([pa.array(cells.astype(np.int32)), lists, packed(sizes, of), packed(step, rows), packed(a, rows), packed(b, rows)], ["cell", "grps", "sizes", "pos", "a", "b"])
+
+
+_PIECE = ["grp", "cell", "bgn", "end_", "open", "goes_on"]
+
+
+def _pieces(table: pa.Table, cell: int, carried: tuple[int, int], bounds: tuple | None, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pa.Table:
+    """grp, cell, bgn, end_, open, goes_on of the intervals of one cell; of a stretch, whether they begin or end beyond its bounds."""
+    grp = table["grps"].combine_chunks().flatten()
+    sizes, pos, a, b = ([numbers(x) for x in table[c].to_pylist()] for c in ("sizes", "pos", "a", "b"))
+    row = np.repeat(np.arange(len(grp)), np.concatenate(sizes))
+    at, group, pos, a, b = _summed(codes(grp)[row], np.concatenate([np.cumsum(x) for x in pos]), np.concatenate(a), np.concatenate(b))
+    row = row[at]
+    if not len(row):  # if some are open here, neighbouring stretches say so
+        return pa.table({c: pa.array([], t) for c, t in zip(_PIECE, [grp.type, pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()], strict=True)})
+    # Over all of a group changes sum up to 0; a stretch has one group only.
+    own = keep(np.cumsum(a) + carried[0] > 0, np.cumsum(b) + carried[1] > 0)
+    began = bool(keep(np.array([carried[0] > 0]), np.array([carried[1] > 0]))[0])
+    before = np.append(began, own)[:-1]
+    first, last = np.flatnonzero(own & ~before), np.flatnonzero(~own & before)
+    bgn, end, of = pos[first], pos[last], row[first]
+    goes_on = bool(own[-1])
+    if began:
+        bgn, of = np.append(bounds[0], bgn), np.append(0, of)
+    if goes_on:
+        end = np.append(end, bounds[1])
+    opened, on = np.zeros(len(bgn), bool), np.zeros(len(bgn), bool)
+    opened[:1], on[-1:] = began, goes_on
+    return pa.table([grp.take(pa.array(of.astype(np.int64))), pa.array(np.full(len(bgn), cell, np.int32)), *map(pa.array, (bgn.astype(np.int64), end.astype(np.int64), opened, on))], names=_PIECE)
 
 
 def contained(a: DataFrame, b: DataFrame, width: int) -> DataFrame:

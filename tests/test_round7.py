@@ -1,13 +1,16 @@
 """What large tables put on disk: rows are shuffled once, packed or as they are, not with what is made of them."""
 
+import datetime
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandq.operators import kmers, piles, sequences
-from strandq.plans import registry
+from strandq.operators import intervals, kmers, packed, piles, sequences, stats
+from strandq.plans import registry, sequence_queries  # noqa: F401  registers more
+from strandq.sources import shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +87,67 @@ def test_a_window_takes_few_bytes_of_a_shuffle(spark, monkeypatch):
             kmers.count(reads, 21)
         binary = [F.sum(F.length(c)) for c, kind in caught[-1].dtypes if kind == "binary"]
         assert sum(caught[-1].agg(*binary).first()) < most * 400_000
+
+
+def test_numbers_come_back_from_their_bytes():
+    r = np.random.default_rng(1)
+    for x in ([], [0, 0, 0], [1, -1, 300, 2**63 - 1, -(2**63)], r.integers(-3, 3, 900), r.integers(-(2**40), 2**40, 900)):
+        x = np.array(x, np.int64)
+        rows = packed.packed(x, np.array([0, len(x) // 3, len(x) // 3, len(x)]))
+        assert [packed.numbers(y).tolist() for y in rows.to_pylist()] == [x[: len(x) // 3].tolist(), [], x[len(x) // 3 :].tolist()]
+
+
+@pytest.mark.parametrize("name", ["int09_union", "int09_difference", "int09_either", "int09_intersection"])
+def test_sets_of_intervals_are_shuffled_once(spark, monkeypatch, name):
+    """Ends of intervals in packed rows; groups that fit a task leave no table in the scratch folder."""
+    caught, made = [], len(shared.made(spark))
+    frame = type(spark.range(0))
+    with monkeypatch.context() as m:
+        m.setattr(frame, "repartition", lambda self, *a, f=frame.repartition: caught.append(self) or f(self, *a))
+        found = registry.queries()[name](spark, SF)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert len(shared.made(spark)) == made
+    ends = 4 * spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert sum(caught[-1].agg(*(F.sum(F.length(c)) for c in ("sizes", "pos", "a", "b"))).first()) < 4 * ends
+
+
+def covered(rows, operation):
+    """The intervals of an operation, from how many of both lists are open at each place."""
+    out = []
+    for g in sorted({x[0] for x in rows[0] + rows[1] if x[0] is not None}):
+        moves = Counter()
+        for side, own in enumerate(rows):
+            for h, lo, hi in own:
+                if h == g and lo is not None and hi is not None and lo < hi:
+                    moves[lo, side] += 1
+                    moves[hi, side] -= 1
+        depth, begin = [0, 0], None
+        for pos in sorted({p for p, _ in moves}):
+            for side in (0, 1):
+                depth[side] += moves[pos, side]
+            a, b = depth[0] > 0, depth[1] > 0
+            on = {"union": a or b, "intersection": a and b, "difference": a and not b, "either": a != b}[operation]
+            if on and begin is None:
+                begin = pos
+            elif not on and begin is not None:
+                out.append((g, begin, pos))
+                begin = None
+    return out
+
+
+@pytest.mark.parametrize("operation", ["union", "intersection", "difference", "either"])
+def test_sets_of_large_groups_are_put_together_of_stretches(spark, monkeypatch, operation):
+    r = random.Random(6)
+    day = lambda: datetime.date(2020, 1, 1 if r.random() < 0.7 else r.randint(2, 9))
+    some = lambda n: [(day(), at := r.randint(-500, 500), at + r.choice((-2, 0, 1, 4, 9))) for _ in range(n)]
+    lists = [some(500) + [(None, 1, 9), (day(), None, 3), (day(), 4, None)], some(300)]
+    lists[0] += [(datetime.date(2020, 1, 1), -10_000, 10_000)] * 2 + [(datetime.date(2020, 1, 1), 600, 650), (datetime.date(2020, 1, 1), 650, 700)] * 9
+    lists[1] += [(datetime.date(2020, 1, 2), 0, 2**63 - 1), (datetime.date(2020, 1, 1), -(2**63), -400), (datetime.date(2020, 1, 1), 640, 20_000)]
+    a, b = (spark.createDataFrame(x, "grp date, bgn long, end_ long").repartition(2) for x in lists)
+    want = covered(lists, operation)
+    for stretch, pack, sample in ((stats.STRETCH, intervals.PACK, intervals.SAMPLE), (150, 60, intervals.SAMPLE), (150, 1000, 16)):
+        monkeypatch.setattr(stats, "STRETCH", stretch)
+        monkeypatch.setattr(intervals, "PACK", pack)
+        monkeypatch.setattr(intervals, "SAMPLE", sample)
+        assert sorted(map(tuple, intervals.combined(a, b, operation).collect())) == want
+    assert intervals.combined(a.limit(0), b.limit(0), operation).count() == 0
