@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import materialise
 from . import skew, stats
 from .packed import numbers, packed
-from .piles import codes, starts
+from .piles import codes, even_zero, starts
 from .stats import apart, ordered_cells, tasks_of
 
 #: Each size of bins is so many times the one before.
@@ -158,7 +158,7 @@ def combined(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
     task: for such groups sums are carried over the stretches before, and intervals that reach over a stretch's bounds
     are put together of one piece per stretch.  A sample says where to cut, and nothing else."""
     side = lambda rows, x: rows.select("grp", F.col("bgn").cast("long").alias("bgn"), F.col("end_").cast("long").alias("end_"), F.lit(x).alias("in_a")).filter("grp is not null and bgn < end_")
-    both, total = side(a, True).unionByName(side(b, False)), a.count() + b.count()
+    both, total = even_zero(side(a, True).unionByName(side(b, False)), "grp"), a.count() + b.count()
     n = stats.stretches(2 * total, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     large = _large(both, total, n)
     cuts, base = {}, 0
@@ -174,7 +174,7 @@ def combined(a: DataFrame, b: DataFrame, operation: str) -> DataFrame:
     kind = f"grp {dict(both.dtypes)['grp']}"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _some(batches):
+        for table in _some(batches, PACK):
             yield _ends_packed(table, cuts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,13 +215,13 @@ def _large(both: DataFrame, total: int, n: int) -> list[tuple]:
     return [(r[0], r[1]) for r in places.select("grp", cut).collect()]
 
 
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of some PACK rows."""
+def _some(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of about so many rows."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
-        if size >= PACK:
+        if size >= most:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
     if size:
@@ -248,7 +248,7 @@ def _carried(rows: DataFrame, cuts: dict[int, np.ndarray]) -> dict[int, tuple[in
     """How many intervals of both lists are open where each stretch of the large groups begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _some(batches):
+        for table in _some(batches, PACK):
             _, cell, _, a, b = _ends(table, cuts)
             cells, at = np.unique(cell, return_inverse=True)
             sums = [pa.array(np.bincount(at, x, len(cells)).astype(np.int64)) for x in (a, b)]

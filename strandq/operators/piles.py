@@ -60,10 +60,20 @@ def laid_out(cigars: pa.Array) -> tuple[np.ndarray, ...]:
 
 def codes(column: pa.Array) -> np.ndarray:
     """Whole numbers that are equal where values of a column are; nulls have one of their own."""
-    x = column.dictionary_encode()
+    x = _told_apart(column).dictionary_encode()
     return np.asarray(pc.fill_null(x.indices, len(x.dictionary))).astype(np.int64)
 
 
+def _told_apart(column: pa.Array) -> pa.Array:
+    """A column that Arrow can number: nested values as texts."""
+    return pa.array([None if x is None else repr(x) for x in column.to_pylist()], pa.string()) if pa.types.is_nested(column.type) else column
+
+
+def even_zero(rows: DataFrame, name: str) -> DataFrame:
+    """rows with 0.0 for -0.0 in a column, as Spark groups it."""
+    return rows.withColumn(name, F.col(name) + F.lit(0.0).cast(dict(rows.dtypes)[name])) if dict(rows.dtypes)[name] in ("float", "double") else rows
+
+
 def alike(columns: list[np.ndarray]) -> np.ndarray:
     """The number, from 0, of the group of each row that agrees with others in all of some columns of whole numbers."""
     order = np.lexsort(columns[::-1])
@@ -318,13 +328,13 @@ def column_sums(rows: DataFrame) -> DataFrame:
 
     reads = rows.select("id", "cigar", F.col("pos").cast("long").alias("pos")).filter(F.col("cigar").rlike(VALID))
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // READS))
-    dealt = reads.repartition(tasks, "id").sortWithinPartitions("id")
+    dealt = even_zero(reads, "id").repartition(tasks, "id").sortWithinPartitions("id")
     return dealt.mapInArrow(run, f"id {kind}, op string, n long, sum_a long, sum_b long, sum_ab long")
 
 
 def _in_turn(column: pa.Array) -> np.ndarray:
     """codes() in the order in which values first come, null like any other."""
-    return np.asarray(column.dictionary_encode(null_encoding="encode").indices).astype(np.int64)
+    return np.asarray(_told_apart(column).dictionary_encode(null_encoding="encode").indices).astype(np.int64)
 
 
 def _column_sums(reads: pa.Table, before: pa.Table | None) -> pa.Table:

@@ -76,6 +76,21 @@ def test_runs_of_windows_give_every_kmer(spark, monkeypatch, odd_texts, k):
             assert {x.kmer: x.value for x in rows} == {x: n for x, n in own.items() if n >= least}
 
 
+@pytest.mark.parametrize("k", [21, 40])
+def test_a_cell_is_counted_in_passes(monkeypatch, odd_texts, k):
+    """What tasks do, in this process, so that its settings hold."""
+    monkeypatch.setattr(kmers, "BLOCK", 60)
+    digits = kmers.DIGITS[np.frombuffer("\n".join(t or "" for t in odd_texts).encode(), np.uint8)]
+    rows = []
+    for lo in range(0, len(digits) - k + 1, kmers.BLOCK):
+        batch = kmers._runs(digits[lo : lo + kmers.BLOCK + k - 1], k)
+        rows += zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+    for held in (1 << 23, 997):
+        monkeypatch.setattr(kmers, "HELD", held)
+        got = [x for batch in kmers._passes(rows, k, 1) for x in zip(*batch.to_pydict().values(), strict=True)]
+        assert len(got) == len(dict(got)) and dict(got) == plain(odd_texts, k)
+
+
 def test_a_window_takes_few_bytes_of_a_shuffle(spark, monkeypatch):
     """Of new text, and of text that a block has several times."""
     r = random.Random(4)
@@ -151,3 +166,18 @@ def test_sets_of_large_groups_are_put_together_of_stretches(spark, monkeypatch,
         monkeypatch.setattr(intervals, "SAMPLE", sample)
         assert sorted(map(tuple, intervals.combined(a, b, operation).collect())) == want
     assert intervals.combined(a.limit(0), b.limit(0), operation).count() == 0
+
+
+def test_groups_and_ids_of_other_types(spark, monkeypatch):
+    """Structs, and numbers of which Spark groups 0.0 with -0.0, and NaN with NaN; groups that fit a task, and such that are cut."""
+    spans = [(g, at, at + 3) for g in (0, 1, 2) for at in range(g, 90, 2 + g)]
+    for as_, kind in ((lambda g, at: {"x": g, "y": None}, "struct<x:int,y:string>"), (lambda g, at: (0.0 if at % 4 else -0.0, 1.5, float("nan"))[g], "double")):
+        a = spark.createDataFrame([(as_(g, x), x, y) for g, x, y in spans], f"grp {kind}, bgn long, end_ long")
+        reads = spark.createDataFrame([(as_(g, x), f"{x + 1}M2D", y) for g, x, y in spans], f"id {kind}, cigar string, pos long").repartition(2)
+        want = sequences.columns(reads).groupBy("id", "op").agg(F.count("*"), F.sum("a_pos"), F.sum("b_pos"), F.sum(F.col("a_pos") * F.col("b_pos")))
+        whole = sorted((str(x.grp), x.bgn, x.end_) for x in intervals.squash(a).collect())
+        for stretch, at_once in ((stats.STRETCH, piles.READS_AT_ONCE), (30, 3)):
+            monkeypatch.setattr(stats, "STRETCH", stretch)
+            monkeypatch.setattr(piles, "READS_AT_ONCE", at_once)
+            assert sorted((str(x.grp), x.bgn, x.end_) for x in intervals.combined(a, a.limit(0), "union").collect()) == whole
+            assert sorted(map(str, map(tuple, sequences.column_sums(reads).collect()))) == sorted(map(str, map(tuple, want.collect())))
